@@ -88,7 +88,7 @@ def map_texts(df: DataFrame, text: str, keep: list[str], schema: str,
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow = to_arrow_schema(out, timezone="UTC")
+        arrow = to_arrow_schema(out)
         names = [f.name for f in added.fields]
         work = make()
         k = len(keep)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, secrets
 
 
 def queries() -> dict:
-    return {"op10_bpe": bpe.op10_bpe}
+    return {"op1_secret_scans": secrets.op1_secret_scans, "op10_bpe": bpe.op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_secret_scans": secrets.ORACLE}
