@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text that a Python worker handles at a time; bounds its memory.
@@ -58,7 +59,7 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
 def pieces(batch: pa.RecordBatch, column: int, limit: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` whose texts hold about ``limit`` bytes, a row at least."""
     texts = batch.column(column)
-    sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
         if total and total + n > limit:
