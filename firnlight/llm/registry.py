@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, secrets
+from . import bpe, html, secrets
 
 
 def queries() -> dict:
-    return {"op1_secret_scans": secrets.op1_secret_scans, "op10_bpe": bpe.op10_bpe}
+    return {
+        "op1_secret_scans": secrets.op1_secret_scans,
+        "op6_html": html.op6_html,
+        "op10_bpe": bpe.op10_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
