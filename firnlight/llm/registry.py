@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, html, secrets
+from . import bpe, html, langid, repetition, secrets
 
 
 def queries() -> dict:
     return {
         "op1_secret_scans": secrets.op1_secret_scans,
+        "op2_quality_rules": repetition.op2_quality_rules,
         "op6_html": html.op6_html,
+        "op8_language_id": langid.op8_language_id,
         "op10_bpe": bpe.op10_bpe,
     }
 
