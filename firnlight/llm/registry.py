@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html, langid, repetition, secrets
+from . import bpe, html, jaccard, langid, repetition, secrets
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_secret_scans": secrets.op1_secret_scans,
         "op2_quality_rules": repetition.op2_quality_rules,
         "op6_html": html.op6_html,
+        "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
         "op8_language_id": langid.op8_language_id,
         "op10_bpe": bpe.op10_bpe,
     }
