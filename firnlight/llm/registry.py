@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html, jaccard, langid, repetition, secrets
+from . import bpe, html, jaccard, langid, repetition, secrets, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op6_html": html.op6_html,
         "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
         "op8_language_id": langid.op8_language_id,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_bpe": bpe.op10_bpe,
     }
 
