@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, html, jaccard, langid, repetition, secrets, toxicity
+from . import bpe, html, jaccard, langid, mixing, repetition, secrets, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_secret_scans": secrets.op1_secret_scans,
         "op2_quality_rules": repetition.op2_quality_rules,
+        "op3_source_mixing": mixing.op3_source_mixing,
         "op6_html": html.op6_html,
         "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
         "op8_language_id": langid.op8_language_id,
