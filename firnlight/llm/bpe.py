@@ -189,23 +189,25 @@ def decode_bpe(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "de
     return df.withColumn(text, decoded(col(f"`{ids}`")))
 
 
-def bpe_digests(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode and decode whole texts and return counts and SHA-256 digests of both."""
+def bpe_digests(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encode and decode whole texts and return counts and SHA-256 digests of both, and the ids on request."""
 
     def make():
         codec = BpeCodec(vocabulary)
 
         def work(texts):
-            n, ids, back = [], [], []
+            n, ids, back, tokens = [], [], [], []
             for es in codec.entries(texts):
                 n.append(sum(len(e[0]) for e in es))
                 ids.append(hashlib.sha256(" ".join([e[1] for e in es]).encode()).hexdigest())
                 back.append(hashlib.sha256(" ".join([e[2] for e in es]).encode()).hexdigest())
-            return {"n_tokens": n, "ids_sha256": ids, "decoded_sha256": back}
+                if with_ids:
+                    tokens.append(np.fromiter(chain.from_iterable(e[0] for e in es), np.int32, n[-1]))
+            return {"n_tokens": n, "ids_sha256": ids, "decoded_sha256": back, "ids": tokens}
 
         return work
 
-    return map_texts(df, text, [key], "n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    return map_texts(df, text, [key], "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, make)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

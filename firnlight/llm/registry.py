@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, html, jaccard, langid, mixing, repetition, secrets, toxicity
+from . import bpe, chat, html, jaccard, langid, mixing, repetition, search, secrets, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_quality_rules": repetition.op2_quality_rules,
         "op3_source_mixing": mixing.op3_source_mixing,
         "op4_chat_format": chat.op4_chat_format,
+        "op5_exact_topk": search.op5_exact_topk,
         "op6_html": html.op6_html,
         "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
         "op8_language_id": langid.op8_language_id,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scans": secrets.ORACLE, "op4_chat_format": chat.ORACLE}
+    return {"op1_secret_scans": secrets.ORACLE, "op4_chat_format": chat.ORACLE, "op5_exact_topk": search.ORACLE}
