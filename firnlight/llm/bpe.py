@@ -18,11 +18,14 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import map_texts, read
 
@@ -178,15 +181,14 @@ def encode_bpe(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "i
 
 def decode_bpe(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Add ``text``, the decoded ids; null ids give an empty text."""
-    from pyspark.sql.functions import col, pandas_udf
-    import pandas as pd
 
-    @pandas_udf("string")
-    def decoded(batches: "pd.Series") -> "pd.Series":
-        codec = BpeCodec(vocabulary, 1)
-        return batches.map(lambda x: "" if x is None else codec.decode(x))
+    @F.pandas_udf("string")
+    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        codec = BpeCodec(vocabulary)
+        for batch in batches:
+            yield batch.map(lambda x: "" if x is None else codec.decode(x))
 
-    return df.withColumn(text, decoded(col(f"`{ids}`")))
+    return df.withColumn(text, decoded(F.col(f"`{ids}`")))
 
 
 def bpe_digests(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:

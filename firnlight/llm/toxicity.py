@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, map_texts, read
+from .common import map_texts, read
 
 WORDS = re.compile(r"[^\W\d_]+")
 SHARES = 4
@@ -84,7 +84,7 @@ class Sample:
         keep = common[flat] if len(flat) else np.zeros(0, bool)
         return cls(list(place), flat[keep], owner[keep], np.array(dense).reshape(len(texts), SHARES))
 
-    def telling(self, rows: np.ndarray, y: np.ndarray, most: int = 300, least_z: float = 2.3) -> np.ndarray:
+    def telling(self, rows: np.ndarray, y: np.ndarray, most: int = 400, least_z: float = 1.3) -> np.ndarray:
         """Codes of the words whose share of texts differs most between the classes, by the z-score of two proportions."""
         used = rows[self.owner]
         pos = np.bincount(self.codes[used], y[self.owner[used]], len(self.names))
@@ -151,7 +151,7 @@ class Chain:
         return out
 
 
-def fit_chain(texts: list[str | None], labels: np.ndarray, folds: np.ndarray, names: list[str], least_docs: int = 4) -> Chain:
+def fit_chain(texts: list[str | None], labels: np.ndarray, folds: np.ndarray, names: list[str], least_docs: int = 2) -> Chain:
     """A chain over the columns of ``labels``; ``folds`` numbers the fold of each row."""
     sample = Sample.of(texts, least_docs)
     models = []
@@ -212,9 +212,10 @@ def score_toxicity(df: DataFrame, chain: Chain, text: str = "text", keep: list[s
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents whose toxicity lies below the threshold, as they are."""
     chain = fit_toxicity(docs, labels)
-    (text,) = fresh(docs, "text__copy")
-    marked = score_toxicity(docs.withColumn(text, F.col("text")), chain, text, keep=docs.columns)
-    return marked.where(F.col("p_toxic") < threshold).select(*docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # no name of the documents can clash with a new one
+    plain = docs.toDF(*names)
+    marked = score_toxicity(plain.withColumn("body", F.col(names[docs.columns.index("text")])), chain, "body", keep=names)
+    return marked.where(F.col("p_toxic") < threshold).select(*names).toDF(*docs.columns)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
