@@ -158,7 +158,7 @@ def polar_stereographic(lat: Column, long: Column, true_lat: float = -71.0, cent
     t = F.tan(math.pi / 4 - phi / 2) / F.pow((1 - s) / (1 + s), e / 2)
     rho = a * m_c / t_of(phi_c) * t
     lam = F.radians((long - centre) * pole)
-    return pole * rho * F.sin(lam), -pole * rho * F.cos(lam) * pole
+    return pole * rho * F.sin(lam), -pole * rho * F.cos(lam)
 
 
 def flat_earth(lat: Column, long: Column) -> tuple[Column, Column]:
@@ -174,3 +174,36 @@ def common_start(values: Column) -> Column:
         F.sequence(F.lit(1), F.greatest(F.length(first), F.lit(1))), F.lit(0),
         lambda n, i: F.when((n == i - 1) & (first.substr(i, F.lit(1)) == last.substr(i, F.lit(1))) & (i <= F.length(first)), i).otherwise(n))
     return first.substr(F.lit(1), longest)
+
+
+def utm_inverse(x: Column, y: Column, zone: Column, north: Column | bool = True) -> tuple[Column, Column]:
+    """Latitude and longitude (degrees) of UTM coordinates on WGS84, by the inverse series and Newton steps."""
+    a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
+    n = f / (2 - f)
+    rect = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480]
+    delta = [2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15]
+    false_north = F.when(north if isinstance(north, Column) else F.lit(north), 0.0).otherwise(10000000.0)
+    xi, eta = (y - false_north) / (k0 * rect), (x - 500000.0) / (k0 * rect)
+    xi1, eta1 = xi, eta
+    for j, c in enumerate(beta, 1):
+        xi1 = xi1 - c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        eta1 = eta1 - c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
+    lat = chi
+    for j, c in enumerate(delta, 1):
+        lat = lat + c * F.sin(2 * j * chi)
+    return F.degrees(lat), zone * 6 - 183 + F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1)))
+
+
+def comment_time(comment: Column) -> Column:
+    """Date of a comment that reads ``...]...]m/d/y``."""
+    part = [F.regexp_extract(comment, r"\][^\]]*\]\s*(\d+)/(\d+)/(\d+)", i).try_cast("int") for i in (1, 2, 3)]
+    year = F.when(part[2] < 100, part[2] + 2000).otherwise(part[2])
+    return F.when(part[0].between(1, 12) & part[1].between(1, 28), F.make_date(year, part[0], part[1])).otherwise(
+        F.try_to_date(F.concat_ws("-", year, F.lpad(part[0].cast("string"), 2, "0"), F.lpad(part[1].cast("string"), 2, "0"))))
+
+
+def surface_elevation(altitude: Column, surface_time: Column) -> Column:
+    """Elevation of a surface seen from an aircraft, from its two-way time (s) in air."""
+    return altitude - surface_time * C_AIR / 2

@@ -222,3 +222,151 @@ def horizontal_spectrum(traces: DataFrame, spacing: float, bins: int) -> DataFra
     power = F.avg(F.col("re") * F.col("re") + F.col("im") * F.col("im"))
     return sums.groupBy("profile_id", "bin", "n__").agg(power.alias("power")).select(
         "profile_id", "bin", "power", F.when(F.col("bin") > 0, F.lit(spacing) * F.col("n__") / F.col("bin")).alias("wavelength"))
+
+
+def chirp_header(header: Column, clock: float = 1e9, eps: float = 3.18) -> dict[str, Column]:
+    """Chirp parameters from a header's register lines such as Reg0B="6666666633333333".
+
+    Frequencies are 32-bit tuning words of the clock: Reg0B stop and start, Reg0C
+    down and up steps, Reg0D down and up times in units of four clock ticks.
+    """
+    def word(register: str, first: int, count: int) -> Column:
+        digits = F.regexp_extract(header, f'Reg{register}="([0-9A-Fa-f]+)"', 1)
+        return F.conv(F.nullif(digits.substr(first, count), F.lit("")), 16, 10).cast("double")
+
+    tune = clock / 2**32
+    start, stop, step = word("0B", 9, 8) * tune, word("0B", 1, 8) * tune, word("0C", 9, 8) * tune
+    tick = word("0D", 5, 4) * 4 / clock
+    count = F.rint(F.abs((stop - start) / step))
+    speed = 3e8 / math.sqrt(eps)
+    length = count * tick
+    rate = 2 * math.pi * step / tick
+    band = rate / (2 * math.pi) * length
+    centre = start + band / 2
+    return {"f_start": start, "f_stop": stop, "steps": count, "chirp_length": length, "rate": rate, "bandwidth": band, "centre": centre,
+            "wavelength": speed / centre, "samples": F.regexp_extract(header, r"N_ADC_SAMPLES=(\d+)", 1).try_cast("int")}
+
+
+def zip_acquisitions(parts: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """Join complex profiles (re, im, range) on key and sample; columns <name>_re and <name>_im.
+
+    Refuses acquisitions that differ in their samples or ranges.
+    """
+    names = list(parts)
+    cut = [df.select(*keys, F.col("range").alias(f"{n}_range"), F.col("re").alias(f"{n}_re"), F.col("im").alias(f"{n}_im")) for n, df in parts.items()]
+    out = cut[0]
+    for df in cut[1:]:
+        out = out.join(df, keys, "full")
+    first = F.col(f"{names[0]}_range")
+    differ = F.lit(False)
+    for n in names[1:]:
+        differ = differ | ~first.eqNullSafe(F.col(f"{n}_range"))
+    checked = F.when(differ, F.raise_error(F.lit("acquisitions differ in samples or ranges")).cast("double")).otherwise(first)
+    return out.select(*keys, checked.alias("range"), *[F.col(f"{n}_{p}") for n in names for p in ("re", "im")])
+
+
+def coherence_of(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Complex coherence of two columns of complex numbers (re1, im1, re2, im2) over each group."""
+    a, b, c, d = map(F.col, ("re1", "im1", "re2", "im2"))
+    root = F.sqrt(F.sum(a * a + b * b) * F.sum(c * c + d * d))
+    return pairs.groupBy(*keys).agg(F.try_divide(F.sum(a * c + b * d), root).alias("co_re"), F.try_divide(F.sum(b * c - a * d), root).alias("co_im"))
+
+
+def azimuth_rotation(images: DataFrame, thetas: list[float], azimuth: float) -> DataFrame:
+    """Shift the azimuths of an image so that a known antenna orientation comes first."""
+    if azimuth == 0:
+        return images
+    limit = 0.0 if azimuth < 0 else math.pi
+    first = next((i for i, t in enumerate(thetas) if t + azimuth > limit), None)
+    if first is None:
+        raise ValueError("no azimuth lies beyond the orientation")
+    return images.withColumn("theta_idx", F.pmod(F.col("theta_idx") - first, F.lit(len(thetas))).cast("int"))
+
+
+def low_pass_range(images: DataFrame, column: str, cutoff: float, rate: float, order: int = 3) -> DataFrame:
+    """Zero-phase low-pass of a column along range for each site and azimuth; one number a range bin per group."""
+    import pandas as pd
+
+    from ..functions.filters import padding_of, sections, zero_phase
+
+    sos, padding = sections(order, [2 * cutoff / rate], "low"), padding_of(order, "low")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("sample_idx").reset_index(drop=True)
+        there = pdf[column].notna().to_numpy()
+        if there.sum() > padding:
+            pdf.loc[there, column] = zero_phase(sos, pdf.loc[there, column].to_numpy(float)[:, None], padding)[:, 0]
+        return pdf
+
+    return images.groupBy("site", "theta_idx").applyInPandas(run, images.schema)
+
+
+def bed_pick(pair: DataFrame, differences: DataFrame, kernel: int = 201, prominence: float = 10.0, width: float = 300.0, most_apart: int = 50, least_coherence: float = 0.9) -> DataFrame:
+    """The bed of each pair: last wide peak of the smoothed power of both profiles, with its coherence.
+
+    Peaks need a whole profile: a group is one pair. Without a peak, too far apart
+    or too little coherent, the result is null with the reason in ``fault``.
+    """
+    import pandas as pd
+
+    from ..functions.filters import median_filter, peaks
+
+    def run(profile: pd.DataFrame, co: pd.DataFrame) -> pd.DataFrame:
+        profile, co = profile.sort_values("sample_idx"), co.sort_values("range")
+        name = (profile if len(profile) else co)["pair_id"].iloc[0]
+        found, levels = [], []
+        for re, im in (("re1", "im1"), ("re2", "im2")):
+            power = 10 * np.log10(np.maximum(profile[re].to_numpy(float) ** 2 + profile[im].to_numpy(float) ** 2, 1e-300))
+            smooth = median_filter(power, kernel) if len(power) else power
+            at = peaks(smooth, prominence, width)
+            found.append(int(at.max()) if len(at) else -1)
+            levels.append(float(smooth[found[-1]]) if len(at) else float("nan"))
+        row = {"pair_id": name, "sample_idx": None, "range": None, "coherence": None, "power": None, "fault": None}
+        if min(found) < 0:
+            row["fault"] = "no peak"
+        elif abs(found[0] - found[1]) >= most_apart:
+            row["fault"] = "picks too far apart"
+        else:
+            sample = sum(found) // 2
+            where = float(profile["range"].iloc[sample])
+            near = int((co["range"] - where).abs().to_numpy().argmin()) if len(co) else 0
+            part = np.hypot(co["co_re"], co["co_im"]).to_numpy()[max(0, near - 10) : near + 10]
+            coherence = float(np.median(part)) if len(part) else 0.0
+            row |= {"sample_idx": sample, "range": where, "coherence": coherence, "power": sum(levels) / 2}
+            if coherence <= least_coherence:
+                row["fault"] = "coherence too low"
+        return pd.DataFrame([row])
+
+    schema = "pair_id int, sample_idx int, range double, coherence double, power double, fault string"
+    return pair.groupBy("pair_id").cogroup(differences.groupBy("pair_id")).applyInPandas(lambda a, b: run(a, b), schema)
+
+
+def noise_error(values: DataFrame, win: int, column: str = "uncertainty") -> DataFrame:
+    """Mean of a phase uncertainty over [i - win // 2, i + win // 2) samples."""
+    near = Window.partitionBy("pair_id").orderBy("sample_idx").rowsBetween(-(win // 2), win // 2 - 1)
+    return values.withColumn("error", F.avg(column).over(near))
+
+
+def single_chain(chirps: DataFrame, bed_range: float, count: int | None = None, seed: int = 0, **conversion) -> DataFrame:
+    """Range conversion, stacking of complex profiles and phase uncertainty of single acquisitions."""
+    profile = range_convert(chirps, **conversion)
+    if count is not None:
+        place = F.dense_rank().over(Window.partitionBy("acq_id").orderBy("burst", "chirp"))
+        profile = profile.withColumn("n__", place).where(F.col("n__") <= count).drop("n__")
+    stacked = profile.groupBy("acq_id", "sample_idx").agg(F.avg("re").alias("re"), F.avg("im").alias("im"), F.first("range").alias("range"))
+    return phase_uncertainty(stacked, bed_range, seed)
+
+
+def difference_chain(pair: DataFrame, win: int, step: int, wavelength: float, rate: float, speed: float, low: float, high: float) -> tuple[DataFrame, DataFrame]:
+    """(differences, strain): coherence, unwrapped phase, displacement and strain rate of time pairs with a range column."""
+    co = phase_difference(pair, win, step)
+    differences = range_difference(unwrap(co), wavelength, rate, speed, win)
+    return differences, strain_rate(differences, low, high)
+
+
+def polarised_chain(site: DataFrame, thetas: list[float], first: int, last: int, n_theta: int, n_range: int) -> DataFrame:
+    """Rotation, extinction axis and coherence along it, per site and range."""
+    images = rotate(site, thetas)
+    axis = extinction_axis(power_anomaly(images), first, last)
+    co = coherence_2d(images, n_theta, n_range)
+    return co.join(axis, ["site", "sample_idx"]).where(F.col("theta_idx") == F.col("cpe_idx")).drop("theta_idx")

@@ -172,3 +172,33 @@ def nearest_velocity(traces: DataFrame, depths: list[float], velocities: list[fl
     table = F.array(*[F.struct(F.lit(float(z)).alias("z"), F.lit(float(v)).alias("v")) for z, v in zip(depths, velocities)])
     best = F.array_min(F.transform(table, lambda x, i: F.struct(F.abs(x["z"] - F.col(at)).alias("d"), i.alias("i"), x["v"].alias("v"))))
     return traces.withColumn("velocity", best["v"])
+
+
+def drop_without_position(traces: DataFrame, column: str = "decday") -> DataFrame:
+    """Leave out traces without a fix and number the rest anew."""
+    kept = traces.where(F.col(column).isNotNull())
+    return kept.withColumn("trace_idx", (F.row_number().over(along()) - 1).cast("int"))
+
+
+def project(traces: DataFrame) -> DataFrame:
+    """UTM coordinates in the zone of each profile's mean position, and distances from them."""
+    from ..functions.scalars import utm, utm_zone
+
+    whole = Window.partitionBy("profile_id")
+    zoned = traces.withColumn("zone", utm_zone(F.avg("long").over(whole)))
+    x, y, _ = utm(F.col("lat"), F.col("long"), F.col("zone"))
+    return cumulative_distance(zoned.withColumn("x_coord", x).withColumn("y_coord", y))
+
+
+def nearest_grid(points: DataFrame, nodes: list[tuple[float, float, float]], x: str, z: str) -> DataFrame:
+    """The velocity of the node (velocity, z, x) nearest to each point; a literal table, ties to the first."""
+    table = F.array(*[F.struct(F.lit(float(b)).alias("z"), F.lit(float(c)).alias("x"), F.lit(float(a)).alias("v")) for a, b, c in nodes])
+    best = F.array_min(F.transform(table, lambda n, i: F.struct(
+        ((n["x"] - F.col(x)) * (n["x"] - F.col(x)) + (n["z"] - F.col(z)) * (n["z"] - F.col(z))).alias("d"), i.alias("i"), n["v"].alias("v"))))
+    return points.withColumn("velocity", best["v"])
+
+
+def control_and_respace(traces: DataFrame, fixes: DataFrame, spacing: float, offset: float = 0.0) -> DataFrame:
+    """GPS positions, projection, and a constant spacing, in this order."""
+    placed = project(gps_control(traces, fixes, offset))
+    return constant_spacing(placed, spacing, ["lat", "long", "elev", "x_coord", "y_coord"])

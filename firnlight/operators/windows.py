@@ -158,3 +158,43 @@ def coherence_over(keys: list[str], order: str, width: int, re1: str = "re1", im
     return F.try_divide(F.sum(a * c + b * d).over(near), root), F.try_divide(F.sum(b * c - a * d).over(near), root)
 
 
+
+
+def adaptive_filter(traces: DataFrame, travel_time: list[float], width: int) -> DataFrame:
+    """Subtract an adaptive mean: smoothed along samples by four equal weights, forwards and backwards, and tapered.
+
+    Returns traces with arrays; the smoothing is row-local on the arrays of means.
+    """
+    import numpy as np
+
+    from .filters import map_samples
+
+    def smooth(x: np.ndarray) -> np.ndarray:
+        pad = min(12, len(x) - 1)
+        wide = np.vstack([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
+        for _ in range(2):  # a moving mean whose past is the first value, then the same backwards
+            past = np.vstack([np.repeat(wide[:1], 3, 0), wide])
+            wide = (sum(past[k : k + len(wide)] for k in range(4)) / 4)[::-1]
+        return wide[pad : pad + len(x)]
+
+    means = to_arrays(adaptive_means(traces, width).select("profile_id", "trace_idx", "sample_idx", F.col("mean").alias("v")), "profile_id", "trace_idx")
+    smoothed = map_samples(means, smooth).withColumnRenamed("samples", "mean__")
+    joined = traces.join(smoothed, ["profile_id", "trace_idx"])
+    tapered = F.zip_with("mean__", taper(travel_time), lambda m, w: m * w)
+    return joined.withColumn("samples", F.zip_with("samples", tapered, lambda v, m: v - m)).drop("mean__")
+
+
+def horizontal_filter(traces: DataFrame, kind: str, travel_time: list[float], bounds: tuple[int, int] | None = None, width: int | None = None) -> DataFrame:
+    """Dispatch by name: hfilt (mean of some traces) or adaptive."""
+    if kind == "hfilt" and bounds:
+        return remove_mean_trace(traces, travel_time, *bounds)
+    if kind == "adaptive" and width:
+        return adaptive_filter(traces, travel_time, width)
+    raise ValueError(f"{kind} is no filter or lacks its bounds or width")
+
+
+def trigger_sample(traces: DataFrame, share: float = 0.5) -> DataFrame:
+    """For each profile the first sample whose mean absolute amplitude exceeds a share of the largest."""
+    means = long_samples(traces, "profile_id").groupBy("profile_id", "sample_idx").agg(F.avg(F.abs("v")).alias("m"))
+    most = F.max("m").over(Window.partitionBy("profile_id"))
+    return means.withColumn("most__", most).where(F.col("m") > share * F.col("most__")).groupBy("profile_id").agg(F.min("sample_idx").alias("trig"))

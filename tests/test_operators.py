@@ -150,3 +150,29 @@ def test_stream_of_traces(spark, tmp_path):
     q.awaitTermination(120)
     got = {(str(r.start)[-8:], r.sample_idx): (r.v, r.traces) for r in spark.table("stacks").collect()}
     assert got["00:00:00", 0] == (10.0, 3) and got["00:00:30", 0] == (40.0, 3)
+
+
+def test_command_line(spark, small, tmp_path):
+    from firnlight import cli
+
+    small.write.parquet(f"{tmp_path}/t")
+    cli.main(["proc", f"{tmp_path}/t", f"{tmp_path}/out", "--dt", "1e-8", "--crop", "2", "6", "--hcrop", "4", "--rev"], spark)
+    assert arrays(spark.read.parquet(f"{tmp_path}/out"))[0] == [112, 113, 114, 115]
+
+
+def test_zip_refuses_different_ranges(spark):
+    from firnlight.operators import apres
+
+    a = spark.createDataFrame([(1, 0, 0.0, 1.0, 1.0), (1, 1, 1.0, 1.0, 1.0)], "site int, sample_idx int, range double, re double, im double")
+    assert apres.zip_acquisitions({"x": a, "y": a.withColumn("re", F.col("re") + 1)}, ["site", "sample_idx"]).count() == 2
+    with pytest.raises(Exception, match="differ"):
+        apres.zip_acquisitions({"x": a, "y": a.where("sample_idx = 0")}, ["site", "sample_idx"]).collect()
+
+
+def test_adaptive_filter_of_ones(spark):
+    ones = spark.createDataFrame([("p", i, [1.0] * 40) for i in range(30)], "profile_id string, trace_idx int, samples array<double>")
+    times = [0.01 * k for k in range(40)]
+    out = arrays(windows.adaptive_filter(ones, times, 10))
+    assert out[3] == pytest.approx([1 - np.exp(-0.05 * t) for t in times]) and out[29] == pytest.approx(out[3])
+    with pytest.raises(ValueError):
+        windows.horizontal_filter(ones, "other", times)
