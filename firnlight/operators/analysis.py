@@ -112,40 +112,57 @@ def attenuation_pair(first: DataFrame, second: DataFrame, interface: float = -0.
     return both.groupBy("profile_id").agg(F.avg(value).alias("attenuation"), F.stddev_pop(value).alias("deviation"))
 
 
-def attenuation_growing(layer: DataFrame, rates: list[float], target: float = 1.0, width: float = 0.1, start: int = 100, step: int = 100) -> DataFrame:
-    """Attenuation at each trace with a window grown until its radiometric resolution is reached.
+def trial_rate(stats: dict[str, Column], rates: list[float], target: float, width: float, least: int = 3) -> Column:
+    """The rate whose corrected power depends least on depth, null where a window does not resolve it.
 
-    For each trial rate the correlation of corrected power with depth is taken; the
-    rate of least correlation wins, and the window grows while rates within
-    ``width`` of it span more than ``target``. Growth is a loop per trace, so a
-    profile's layer (three numbers a trace) is one group.
+    Power corrected by a rate N is p + 2 N z, so its correlation with depth follows
+    from the window's regression sums alone. A window resolves the rate if the rates
+    with a correlation below ``width`` span no more than ``target``.
     """
-    trial = np.asarray(rates, float)
+    szz, spp, szp, n = stats["szz"], stats["spp"], stats["szp"], stats["n"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("trace_idx").reset_index(drop=True)
-        z, db = pdf["z"].to_numpy(float), pdf["db"].to_numpy(float)
-        out = np.full((len(pdf), 2), np.nan)
-        for i in range(len(pdf)):
-            size = start
-            while size // 2 <= len(pdf):
-                a, b = max(0, i - size // 2), min(len(pdf), i + size // 2)
-                ok = np.isfinite(z[a:b]) & np.isfinite(db[a:b])
-                zz, pp = z[a:b][ok], db[a:b][ok]
-                if len(zz) > 2 and zz.std() > 0:
-                    corrected = pp[None, :] + 2 * trial[:, None] * zz[None, :]
-                    dz, dp = zz - zz.mean(), corrected - corrected.mean(1, keepdims=True)
-                    spread = np.sqrt((dz**2).sum() * (dp**2).sum(1))
-                    c = np.abs(np.divide((dp * dz).sum(1), spread, out=np.zeros(len(trial)), where=spread > 0))
-                    best = int(c.argmin())
-                    near = np.flatnonzero(c < width)
-                    if len(near) and trial[near[-1]] - trial[near[0]] <= target and c[best] < width:
-                        out[i] = trial[best], size
-                        break
-                size += step
-        return pdf.assign(attenuation=out[:, 0], window=out[:, 1])[["profile_id", "picknum", "trace_idx", "attenuation", "window"]]
-
-    return layer.groupBy(*LAYER).applyInPandas(run, "profile_id string, picknum int, trace_idx int, attenuation double, window double")
+    def correlation(rate: Column) -> Column:
+        root = F.sqrt(F.greatest(szz * (spp + 4 * rate * szp + 4 * rate * rate * szz), F.lit(0.0)))
+        return F.abs(F.coalesce(F.try_divide(szp + 2 * rate * szz, root), F.lit(0.0)))
+
+    tried = F.transform(doubles(rates), lambda r, i: F.struct(correlation(r).alias("c"), i.alias("i"), r.alias("rate")))
+    near = F.transform(F.filter(tried, lambda x: x["c"] < width), lambda x: x["rate"])
+    resolved = (n >= least) & (szz > 0) & (F.size(near) > 0) & (F.array_max(near) - F.array_min(near) <= target)
+    return F.when(resolved, F.array_min(tried)["rate"])
+
+
+def first_resolved(found: list[tuple[float, str]]) -> tuple[Column, Column]:
+    """Rate and window of the smallest window that resolves; ``found`` lists windows and their columns from small to large."""
+    rate = F.coalesce(*[F.col(c) for _, c in found])
+    window = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(float(w))) for w, c in found])
+    return rate, window
+
+
+def attenuation_growing(layer: DataFrame, rates: list[float], target: float = 1.0, width: float = 0.1, windows: tuple[int, ...] = (100, 200, 300, 400)) -> DataFrame:
+    """Attenuation at each trace of a layer from the smallest window of traces that resolves it."""
+    out = layer
+    names = []
+    for w in windows:
+        near = Window.partitionBy(*LAYER).orderBy("trace_idx").rowsBetween(-(w // 2), w // 2 - 1)
+        sums = {k: F.col(f"{k}__{w}") for k in ("n", "szz", "spp", "szp")}
+        out = out.withColumns({f"{k}__{w}": v for k, v in slope_columns(near).items()})
+        names.append((w, f"rate__{w}"))
+        out = out.withColumn(f"rate__{w}", trial_rate(sums, rates, target, width))
+    rate, window = first_resolved(names)
+    return out.select("profile_id", "picknum", "trace_idx", rate.alias("attenuation"), window.alias("window"))
+
+
+def attenuation_growing_depths(layers: DataFrame, depths: list[float], rates: list[float], windows: tuple[float, ...], target: float = 1.0, width: float = 0.1) -> DataFrame:
+    """The same around each depth, over all layers: windows of depth grow until the rate is resolved.
+
+    Depths and windows are short lists; only partial sums are shuffled.
+    """
+    table = F.array(*[F.struct(F.lit(float(d)).alias("depth"), F.lit(float(w)).alias("w")) for d in depths for w in windows])
+    hits = layers.select("profile_id", "db", "z", F.explode(F.filter(table, lambda t: F.abs(F.col("z") - t["depth"]) < t["w"] / 2)).alias("t"))
+    sums = hits.groupBy("profile_id", F.col("t")["depth"].alias("depth"), F.col("t")["w"].alias("w")).agg(*[v.alias(k) for k, v in slope_columns().items()])
+    tried = sums.withColumn("rate", trial_rate({k: F.col(k) for k in ("n", "szz", "spp", "szp")}, rates, target, width))
+    best = F.min(F.when(F.col("rate").isNotNull(), F.struct("w", "rate")))
+    return tried.groupBy("profile_id", "depth").agg(best.alias("b")).select("profile_id", "depth", F.col("b")["rate"].alias("attenuation"), F.col("b")["w"].alias("window"))
 
 
 def continuity(traces: DataFrame, cut: float | None = None) -> DataFrame:

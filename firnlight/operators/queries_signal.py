@@ -328,9 +328,28 @@ def attenuation_m7(spark, d):
     return out.select(*[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("attenuation", "deviation")])
 
 
-@query("attenuation_m3")
+RATES = [float(k) for k in range(30)]
+TRIED = """c AS (SELECT *, list_transform(range(30), lambda r: abs(coalesce((c + 2 * r * a) / CASE WHEN a * (b + 4 * r * c + 4 * r * r * a) > 0 THEN sqrt(a * (b + 4 * r * c + 4 * r * r * a)) END, 0))) AS t FROM r),
+f AS (SELECT *, list_filter(range(30), lambda r: t[r + 1] < 0.2) AS near FROM c),
+x AS (SELECT *, CASE WHEN n >= 3 AND a > 0 AND len(near) > 0 AND list_max(near) - list_min(near) <= 5 THEN list_position(t, list_min(t)) - 1 END AS rate FROM f)"""
+
+
+@query("attenuation_m3", f"""
+WITH {LAY}, r AS (SELECT 50 AS w, ly.n AS pn, i, regr_count(db, z) OVER q AS n, regr_sxx(db, z) OVER q AS a, regr_syy(db, z) OVER q AS b, regr_sxy(db, z) OVER q AS c FROM ly WINDOW q AS (PARTITION BY ly.n ORDER BY i ROWS BETWEEN 25 PRECEDING AND 24 FOLLOWING)
+  UNION ALL SELECT 100, ly.n, i, regr_count(db, z) OVER q, regr_sxx(db, z) OVER q, regr_syy(db, z) OVER q, regr_sxy(db, z) OVER q FROM ly WINDOW q AS (PARTITION BY ly.n ORDER BY i ROWS BETWEEN 50 PRECEDING AND 49 FOLLOWING)),
+{TRIED}
+SELECT pn AS picknum, i AS trace_idx, arg_min(rate, w) FILTER (rate IS NOT NULL)::DOUBLE AS attenuation, min(w) FILTER (rate IS NOT NULL)::DOUBLE AS "window" FROM x GROUP BY 1, 2""")
 def attenuation_m3(spark, d):
-    return A.attenuation_growing(_layers(spark, d), [float(k) for k in range(30)], 5.0, 0.2, 50, 50)
+    return A.attenuation_growing(_layers(spark, d), RATES, 5.0, 0.2, (50, 100)).drop("profile_id")
+
+
+@query("attenuation_m6b", f"""
+WITH {LAY}, d AS (SELECT unnest([0.15, 0.3, 0.45]::DOUBLE[]) AS d), w AS (SELECT unnest([0.05, 0.1, 0.2, 0.4]::DOUBLE[]) AS w),
+r AS (SELECT d, w, regr_count(db, z) AS n, regr_sxx(db, z) AS a, regr_syy(db, z) AS b, regr_sxy(db, z) AS c FROM ly, d, w WHERE abs(z - d) < w / 2 GROUP BY 1, 2),
+{TRIED}
+SELECT d AS depth, arg_min(rate, w) FILTER (rate IS NOT NULL)::DOUBLE AS attenuation, min(w) FILTER (rate IS NOT NULL) AS "window" FROM x GROUP BY 1""")
+def attenuation_m6b(spark, d):
+    return A.attenuation_growing_depths(_layers(spark, d), [0.15, 0.3, 0.45], RATES, (0.05, 0.1, 0.2, 0.4), 5.0, 0.2).drop("profile_id")
 
 
 @query("continuity_index", f"""
