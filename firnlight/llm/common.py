@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Characters of text that a Python worker handles at a time; bounds its memory.
 CHUNK_CHARS = 2_000_000
@@ -56,6 +58,18 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def splittable_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """A join on ``key`` whose hot keys adaptive execution can split.
+
+    Where one side comes from an aggregation by the key, Spark would join in the
+    aggregation's own partitions, and such a join is never split. A second key,
+    a hash of the first, makes both sides shuffle for the join itself.
+    """
+    (k,) = fresh(left, "join_hash__")
+    both = [df.withColumn(k, F.xxhash64(F.col(f"`{key}`"))) for df in (left, right)]
+    return both[0].join(both[1], [key, k], how).drop(k)
+
+
 def pieces(batch: pa.RecordBatch, column: int, limit: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` whose texts hold about ``limit`` bytes, a row at least."""
     texts = batch.column(column)
@@ -78,11 +92,7 @@ def map_texts(df: DataFrame, text: str, keep: list[str], schema: str,
     (None for null) to a dict of column values; ``schema`` is the DDL of those
     columns. Columns in ``keep`` are passed through. Nothing is shuffled.
     """
-    import pyspark.sql.functions as F
-
     picked = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("text__"))
-    from pyspark.sql.types import StructType
-
     added = StructType.fromDDL(schema)
     out = StructType([*picked.schema.fields[:-1], *added.fields])
 

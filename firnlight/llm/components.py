@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import splittable_join, stored
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -20,7 +20,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     else:
         near = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    tied = near.join(least, "a")
+    tied = splittable_join(near, least, "a")
     if large:
         out = tied.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, read, stored
+from .common import map_texts, read, splittable_join, stored
 from .components import components
 
 SHINGLE = 5
@@ -232,14 +232,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     each = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.col("bands").substr(i * 8 + 1, F.lit(8)))
     bands = sets.select("set_id", F.explode(each).alias("band"))
     meet = bands.groupBy("band").agg(F.min("set_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    candidates = components(bands.join(meet, "band"), "set_id", "head", "jaccard-candidates")
+    candidates = components(splittable_join(bands, meet, "band"), "set_id", "head", "jaccard-candidates")
     candidates = stored(candidates, "jaccard-groups")
 
     n_blocks = candidates.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     members = (
         sets.select("set_id", "least", "copies")
         .join(candidates.withColumnRenamed("node", "set_id"), "set_id")
-        .join(n_blocks, "root")
+        .transform(lambda df: splittable_join(df, n_blocks, "root"))
         .withColumn("own", F.pmod(F.hash("set_id"), F.col("blocks")))
     )
     named = [docs[f"`{key}`"].alias("least"), docs[f"`{text}`"].alias("text__")]
@@ -300,9 +300,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
         .withColumn("root", F.coalesce("root", "set_id"))
     )
     heads = named_sets.groupBy("root").agg(F.min("least").alias("class_id"))
-    known = named_sets.join(heads, "root").select("set_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    known = splittable_join(named_sets, heads, "root").select("set_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return (
-        marked.select(key, "set_id").join(known, "set_id", "left")
+        splittable_join(marked.select(key, "set_id"), known, "set_id", "left")
         .select(key, F.when(F.col("set_id").isNull(), F.col(key)).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     )
 

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, read, shared_dir
+from .common import fresh, read, shared_dir, splittable_join
 
 
 @dataclass(frozen=True)
@@ -140,7 +140,7 @@ def findings(versions: DataFrame, ledger: DataFrame, rules=RULES, text: str = "t
         .groupBy(F.col("blob_id").alias(key))
         .agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("findings")))).alias(got))
     )
-    joined = versions.withColumn(key, blob_id(F.col(f"`{text}`"))).join(hits, key, "left")
+    joined = splittable_join(versions.withColumn(key, blob_id(F.col(f"`{text}`"))), hits, key, "left")
     extra = {blob: F.col(key), out: F.coalesce(F.col(got), F.array().cast(FINDING))}
     return joined.select(*[F.col(f"`{c}`") for c in versions.columns if c not in extra], *[e.alias(c) for c, e in extra.items()])
 
