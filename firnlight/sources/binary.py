@@ -177,6 +177,20 @@ def parse_bursts(path: str, raw: bytes) -> pd.DataFrame:
     return traces_of(path, np.hstack(parts), 1 / 40000)
 
 
+def parse_simulation(dt: float, share: float = 0.5) -> Callable[[str, bytes], pd.DataFrame]:
+    """A text matrix with a line per trace; samples before the mean amplitude first passes a share of its largest are cut."""
+    def parse(path: str, raw: bytes) -> pd.DataFrame:
+        lines = [line.replace(",", " ").split() for line in raw.decode("latin-1").splitlines() if line.strip()]
+        if not lines or len({len(x) for x in lines}) != 1:
+            raise ValueError("not a matrix")
+        data = np.array(lines, float).T
+        mean = np.abs(data).mean(1)
+        start = int(np.flatnonzero(mean > share * mean.max())[0]) if mean.max() > 0 else 0
+        return traces_of(path, data[start:], dt, dist=np.arange(data.shape[1], dtype=float), decday=np.arange(data.shape[1], dtype=float))
+
+    return parse
+
+
 def split_project(blob: bytes) -> dict[str, bytes]:
     """The files within a project blob, by the names ``lineN.ext`` that come before their contents."""
     import re
@@ -185,11 +199,12 @@ def split_project(blob: bytes) -> dict[str, bytes]:
     return {m.group().decode(): blob[m.end() : (marks[i + 1].start() if i + 1 < len(marks) else len(blob))] for i, m in enumerate(marks)}
 
 
-GATED = {"gprMax": "h5py", "bsi": "h5py", "delores": "h5py", "UoA_h5": "h5py", "UoA_mat": "h5py", "mcords_nc": "netCDF4", "mcords_mat": "scipy", "stomat": "scipy", "mat": "scipy"}
+GATED = {"gprMax": "h5py", "bsi": "h5py", "delores": "h5py", "UoA_h5": "h5py", "UoA_mat": "h5py", "mcords_nc": "netCDF4"}
 
 
 def load(spark: SparkSession, kind: str, path: str, **options) -> DataFrame:
-    """Read files of a kind: gssi, pe, ramac, segy, tek, apres, osu, parquet; others name the missing library."""
+    """Read files of a kind: gssi, pe, ramac, segy, tek, apres, osu, seidart, mat, stomat, mcords_mat, parquet; others name the missing library."""
+    from . import matlab as ML
     from . import text as T
 
     if kind in GATED:
@@ -202,7 +217,9 @@ def load(spark: SparkSession, kind: str, path: str, **options) -> DataFrame:
         return read_files(spark, path, parse_dt1(options["header"]))
     if kind == "ramac":
         return read_files(spark, path, parse_rd3(options["samples"], options["window_ns"]))
-    parse = {"gssi": parse_dzt, "segy": parse_segy, "tek": parse_wheel(**options) if kind == "tek" else None, "apres": parse_bursts}.get(kind)
+    if kind == "seidart":
+        return read_files(spark, path, parse_simulation(options["dt"]))
+    parse = {"mat": ML.parse_native, "stomat": ML.parse_native, "mcords_mat": ML.parse_sounder, "gssi": parse_dzt, "segy": parse_segy, "tek": parse_wheel(**options) if kind == "tek" else None, "apres": parse_bursts}.get(kind)
     if parse is None:
         raise ValueError(f"unknown kind {kind}")
     return read_files(spark, path, parse)

@@ -75,3 +75,15 @@ def read_trace_texts(spark: SparkSession, path: str) -> DataFrame:
         number(5).alias("dt"), F.transform(F.slice("p", 7, F.greatest(F.size("p") - 6, F.lit(0))), lambda v: v.try_cast("double")).alias("samples"))
     order = Window.partitionBy(F.regexp_replace("fn", "/[^/]*$", "")).orderBy("ts", "fn")
     return out.withColumn("trace_idx", (F.row_number().over(order) - 1).cast("int")).withColumn("profile_id", F.lit("osu"))
+
+
+def gps_mat(spark: SparkSession, path: str) -> DataFrame:
+    """GPS fixes of MATLAB level-5 files with decday, long, lat and elev."""
+    from .matlab import gps_rows
+
+    def run(frames):
+        for frame in frames:
+            for content in frame["content"]:
+                yield gps_rows(bytes(content))
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "decday double, long double, lat double, elev double")

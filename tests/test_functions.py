@@ -144,3 +144,29 @@ def test_other_readers():
     for bad in (b"", b"x" * 100):
         with pytest.raises((ValueError, IndexError, struct.error)):
             binary.parse_dzt("x", bad)
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_matlab_round_trip(packed):
+    from firnlight.sources import matlab
+
+    x = np.arange(12.0).reshape(3, 4)
+    raw = matlab.write_mat({"data": x, "dt": 1e-8, "lat": np.arange(4.0), "fn": "line 1", "flags": {"agc": 1.0, "note": "ok"}}, packed)
+    got = matlab.read_mat(raw)
+    assert got["data"].tolist() == x.tolist() and got["fn"] == "line 1" and got["flags"]["note"] == "ok" and got["flags"]["agc"][0, 0] == 1
+    traces = matlab.parse_native("a/line.mat", raw)
+    assert traces.samples[1].tolist() == [1, 5, 9] and traces.lat.tolist() == [0, 1, 2, 3] and traces.dt[0] == 1e-8
+    assert matlab.gps_rows(matlab.write_mat({k: np.arange(3.0) for k in ("decday", "long", "lat", "elev")})).shape == (3, 4)
+    for bad in (b"", b"\x89HDF" + b"x" * 200, raw[:100]):
+        with pytest.raises(ValueError):
+            matlab.read_mat(bad)
+
+
+def test_sounder_and_simulation():
+    from firnlight.sources import matlab
+
+    mat = {"Data": np.array([[1.0, 10.0], [100.0, 0.0], [1.0, 1.0]]), "Latitude": [70.0, 71.0], "Longitude": [-40.0, -41.0], "GPS_time": [0.0, 86400.0], "Time": [0.0, 1e-8, 2e-8]}
+    out = matlab.parse_sounder("x.mat", matlab.write_mat(mat))
+    assert out.samples[0].tolist() == [0, 20, 0] and np.isnan(out.samples[1][1]) and out.decday.tolist() == [719529, 719530] and out.dt[0] == pytest.approx(1e-8)
+    sim = binary.parse_simulation(1e-9)("x.txt", b"0 5 1\n0 5 2\n")
+    assert sim.samples[1].tolist() == [5, 2] and len(sim) == 2
