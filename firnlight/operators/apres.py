@@ -137,8 +137,8 @@ def rotate(site: DataFrame, thetas: list[float]) -> DataFrame:
 def coherence_2d(images: DataFrame, n_theta: int, n_range: int) -> DataFrame:
     """Coherence of hh and vv over [i - n_theta, i + n_theta) azimuths and [j - n_range, j + n_range) ranges, wrapped in azimuth.
 
-    Sums over azimuth and then over range are two running frames, so the cost does
-    not grow with the window. The last range bin never counts.
+    Sums over azimuth and then over range are two frames of one dimension, so the
+    cost grows with the window's sides, not its area. The last range bin never counts.
     """
     a, b, c, d = map(F.col, ("hh_re", "hh_im", "vv_re", "vv_im"))
     parts = images.select("site", "sample_idx", "theta_idx", (a * c + b * d).alias("x"), (b * c - a * d).alias("y"), (a * a + b * b).alias("p"), (c * c + d * d).alias("q"))

@@ -31,7 +31,7 @@ def interpolate(points: DataFrame, fixes: DataFrame, key: str, at: str, values:
     """Linear interpolation of ``values`` of ``fixes`` at the ``at`` of ``points``, per ``key``.
 
     Points and fixes are laid in one order and each point takes the last fix before
-    and the first after it: one shuffle by key and one sort, no range join. Outside
+    and the first after it: one shuffle by key and two sorts, no range join. Outside
     the fixes the end segment is carried on, or the result is null. Rows without
     ``at`` stay, with null values; equal fixes count once.
     """
@@ -46,19 +46,14 @@ def interpolate(points: DataFrame, fixes: DataFrame, key: str, at: str, values:
     shared = [c for c in points.columns if c not in values]
     every = points.select(*shared).withColumn("is_fix__", F.lit(0)).unionByName(
         known.select(key, at, "f__", "prev__", "next__").withColumn("is_fix__", F.lit(1)), allowMissingColumns=True)
-    around = Window.partitionBy(key).orderBy(F.col(at).asc_nulls_last(), F.desc("is_fix__"))
-    before = around.rowsBetween(Window.unboundedPreceding, 0)
-    after = around.rowsBetween(0, Window.unboundedFollowing)
-
-    def last(c: str) -> Column:
-        return F.last(F.when(F.col("is_fix__") == 1, F.col(c)), ignorenulls=True)
-
-    def first(c: str) -> Column:
-        return F.first(F.when(F.col("is_fix__") == 1, F.col(c)), ignorenulls=True)
-
-    found = every.select(
-        "*", last("f__").over(before).alias("a__"), first("f__").over(after).alias("b__"),
-        last("prev__").over(before).alias("a0__"), first("next__").over(after).alias("b1__"))
+    # The next fix is the last one in the opposite order: a frame that runs to the end would be read anew for every row.
+    up = Window.partitionBy(key).orderBy(F.col(at).asc_nulls_last(), F.desc("is_fix__"))
+    down = Window.partitionBy(key).orderBy(F.col(at).desc_nulls_last(), F.desc("is_fix__"))
+    before, after = (w.rowsBetween(Window.unboundedPreceding, 0) for w in (up, down))
+    fixed = F.when(F.col("is_fix__") == 1, F.struct("f__", "prev__", "next__"))
+    seen = every.withColumn("last__", F.last(fixed, ignorenulls=True).over(before)).withColumn("first__", F.last(fixed, ignorenulls=True).over(after))
+    found = seen.withColumns({
+        "a__": F.col("last__")["f__"], "b__": F.col("first__")["f__"], "a0__": F.col("last__")["prev__"], "b1__": F.col("first__")["next__"]})
     found = found.where(F.col("is_fix__") == 0)
     # Beyond an end the last two fixes give the line.
     low = F.when(F.col("a__").isNull(), F.col("b__")).when(F.col("b__").isNull(), F.col("a0__")).otherwise(F.col("a__"))
