@@ -112,7 +112,7 @@ def chirp_header(spark, d):
 
 @query("quadpol_zip", f"""
 WITH {TR}, z AS (SELECT (i // 4)::INT AS site, i % 4 AS q, s, a[2 * s + 1] AS re FROM tr, (SELECT unnest(range(32))::INT AS s))
-SELECT site, s AS sample_idx, s * 1.5 AS range, round(max(re) FILTER (q = 0), 6) + 0.0 AS hh_re, round(max(re) FILTER (q = 3), 6) + 0.0 AS vv_re FROM z GROUP BY 1, 2""")
+SELECT site, s AS sample_idx, s * 1.5::DOUBLE AS range, round(max(re) FILTER (q = 0), 6) + 0.0 AS hh_re, round(max(re) FILTER (q = 3), 6) + 0.0 AS vv_re FROM z GROUP BY 1, 2""")
 def quadpol_zip(spark, d):
     site = _sites(spark, d)
     parts = {n: site.select("site", "sample_idx", (F.col("sample_idx") * 1.5).alias("range"), F.col(f"s{n}_re").alias("re"), F.col(f"s{n}_im").alias("im")) for n in ("hh", "hv", "vh", "vv")}
