@@ -181,3 +181,23 @@ def test_pipeline(spark):
 def test_registry():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_take_odd_rows(spark, stage):
+    """Nulls in any column, repeated rows, clashing names and no rows at all."""
+    name, f = corpus_pipeline.STAGES[stage]
+    rows = [(None, None, None, None, None, "x"), (1, "a b c d e f", "en", "s1", 11, "x"), (1, "a b c d e f", "en", "s1", 11, "x"), (2, "", None, None, 0, "y"),
+            (3, "token = abcdefghij é", "en", None, None, "z"), (4, "w " * 20000, "en", "s2", 40000, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, findings string").withColumns(
+        {c: F.lit("own") for c in ("p_toxic", "slot", "place", "set_id", "root", "blob_id", "body")})
+    out = f(spark, docs, SF)
+    got = out.collect()
+    if name == "bpe":
+        assert len(got) == len(rows)
+    else:
+        assert out.columns == docs.columns
+        want = [None, 1, 2, 3, 4] if name == "ngram_jaccard" else [None, 1, 1, 2, 3, 4]
+        assert sorted((r.doc_id for r in got), key=lambda x: (x is not None, x)) == want
+        assert all(r.p_toxic == "own" and r.body == "own" for r in got)
+    assert f(spark, docs.limit(0), SF).count() == 0
