@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..functions.filters import operator_matrix
 from ..plans.registry import query
 from ..plans.tables import PK, S, TR, picks, r6, read, samples, traces, travel_time
 from . import apres as R
 from . import geometry as G
 from . import windows as W
-from .queries_signal import QUAD, THETAS, _differences, _pairs, _sites
+from .queries_signal import QUAD, THETAS, _differences, _pairs, _sites, _values
 
 
 def r4(c):
@@ -34,7 +35,15 @@ def polar_stereographic(spark, d):
     return traces(spark, d).select("trace_idx", (F.round(x, 3) + F.lit(0.0)).alias("x"), (F.round(y, 3) + F.lit(0.0)).alias("y"))
 
 
-@query("project_profile")
+@query("project_profile", f"""
+WITH {TR}, c AS (SELECT 1 / 298.257223563 / (2 - 1 / 298.257223563)::DOUBLE AS n), z AS (SELECT i, lat, lon, (1 + floor((avg(lon) OVER () + 180) / 6))::INT AS zone, n FROM tr, c),
+p AS (SELECT *, radians(lat) AS phi, radians(lon - (zone * 6 - 183)) AS lam, 2 * sqrt(n) / (1 + n) AS e FROM z), q AS (SELECT *, sinh(atanh(sin(phi)) - e * atanh(e * sin(phi))) AS t FROM p),
+r AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta, n / 2 - 2 * n * n / 3 + 5 * n * n * n / 16 AS a1, 13 * n * n / 48 - 3 * n * n * n / 5 AS a2, 61 * n * n * n / 240 AS a3,
+  6378137.0 / (1 + n) * (1 + n * n / 4 + n * n * n * n / 64) AS big FROM q),
+u AS (SELECT i, zone, 500000.0 + 0.9996 * big * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)) AS x,
+  10000000.0 + 0.9996 * big * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)) AS y FROM r),
+d AS (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) / 1000 AS d FROM u WINDOW w AS (ORDER BY i))
+SELECT i AS trace_idx, zone, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y, round(sum(d) OVER (ORDER BY i), 6) + 0.0 AS dist FROM d""")
 def project_profile(spark, d):
     return G.project(traces(spark, d)).select("trace_idx", "zone", r4("x_coord").alias("x"), r4("y_coord").alias("y"), r6("dist").alias("dist"))
 
@@ -64,7 +73,13 @@ def trigger_sample(spark, d):
     return W.trigger_sample(traces(spark, d, by_label=True), 0.95)
 
 
-@query("adaptive_filter")
+@query("adaptive_filter", f"""
+WITH {S}, n AS (SELECT count(*) AS n FROM tr), c AS (SELECT s.*, n FROM s, n), e AS (SELECT k, avg(v) AS e FROM c WHERE i >= n - 12 GROUP BY k),
+m AS (SELECT i, c.k, v, CASE WHEN i <= 6 THEN avg(v) OVER (PARTITION BY c.k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 5 FOLLOWING)
+  WHEN i >= n - 6 THEN e ELSE avg(v) OVER (PARTITION BY c.k ORDER BY i ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) END AS mean FROM c JOIN e ON c.k = e.k),
+w AS (SELECT n // 64 AS r, n % 64 AS c, w FROM (SELECT unnest(range(4096)) AS n, unnest({_values(operator_matrix(W.smooth_samples, 64))}) AS w)),
+z AS (SELECT i, r, sum(mean * w) AS z FROM m JOIN w ON w.c = m.k GROUP BY 1, 2)
+SELECT s.i AS trace_idx, s.k AS sample_idx, round(v - z * exp(-0.05 * 0.01 * s.k), 6) + 0.0 AS v FROM s JOIN z ON z.i = s.i AND z.r = s.k""")
 def adaptive_filter(spark, d):
     out = W.horizontal_filter(traces(spark, d), "adaptive", travel_time(), width=12)
     return samples(out, "trace_idx").withColumn("v", r6("v"))
@@ -131,7 +146,9 @@ def bed_pick(spark, d):
     return R.bed_pick(pair, _differences(spark, d), kernel=3, prominence=1.0, width=1.0, most_apart=20, least_coherence=0.2)
 
 
-@query("polarised_chain")
+@query("polarised_chain", f"""
+WITH {QUAD}, x AS (SELECT site, s, arg_min(t, (an, t)) AS t FROM an WHERE t >= 2 AND t < 8 GROUP BY 1, 2)
+SELECT site, s AS sample_idx, t AS cpe_idx, round(re, 4) + 0.0 AS co_re, round(im, 4) + 0.0 AS co_im FROM x JOIN cc USING (site, s, t)""")
 def polarised_chain(spark, d):
     out = R.polarised_chain(_sites(spark, d), THETAS, 2, 8, 2, 3)
     return out.select("site", "sample_idx", "cpe_idx", r4("co_re").alias("co_re"), r4("co_im").alias("co_im"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -160,25 +161,25 @@ def coherence_over(keys: list[str], order: str, width: int, re1: str = "re1", im
 
 
 
+def smooth_samples(x: np.ndarray) -> np.ndarray:
+    """Four equal weights along the rows of (samples x traces), forwards and backwards, edges continued by point reflection."""
+    pad = min(12, len(x) - 1)
+    wide = np.vstack([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
+    for _ in range(2):  # a moving mean whose past is the first value, then the same backwards
+        past = np.vstack([np.repeat(wide[:1], 3, 0), wide])
+        wide = (sum(past[k : k + len(wide)] for k in range(4)) / 4)[::-1]
+    return wide[pad : pad + len(x)]
+
+
 def adaptive_filter(traces: DataFrame, travel_time: list[float], width: int) -> DataFrame:
     """Subtract an adaptive mean: smoothed along samples by four equal weights, forwards and backwards, and tapered.
 
     Returns traces with arrays; the smoothing is row-local on the arrays of means.
     """
-    import numpy as np
-
     from .filters import map_samples
 
-    def smooth(x: np.ndarray) -> np.ndarray:
-        pad = min(12, len(x) - 1)
-        wide = np.vstack([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
-        for _ in range(2):  # a moving mean whose past is the first value, then the same backwards
-            past = np.vstack([np.repeat(wide[:1], 3, 0), wide])
-            wide = (sum(past[k : k + len(wide)] for k in range(4)) / 4)[::-1]
-        return wide[pad : pad + len(x)]
-
     means = to_arrays(adaptive_means(traces, width).select("profile_id", "trace_idx", "sample_idx", F.col("mean").alias("v")), "profile_id", "trace_idx")
-    smoothed = map_samples(means, smooth).withColumnRenamed("samples", "mean__")
+    smoothed = map_samples(means, smooth_samples).withColumnRenamed("samples", "mean__")
     joined = traces.join(smoothed, ["profile_id", "trace_idx"])
     tapered = F.zip_with("mean__", taper(travel_time), lambda m, w: m * w)
     return joined.withColumn("samples", F.zip_with("samples", tapered, lambda v, m: v - m)).drop("mean__")
