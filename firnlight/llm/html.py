@@ -7,7 +7,8 @@ text. Every block with text then passes points, for its length and its commas
 and less its share of link text, to its ancestors: all to the parent, half to
 the next, a falling share further up. The container with the most points,
 discounted by its own link density, is the article; siblings with a fair part of
-its points are kept with it. All the text of those containers is returned.
+its points, and headings before it, are kept with it. All the text of those
+containers is returned.
 
 Edge cases: null or empty html gives an empty text, markup without text too;
 unclosed and misnested tags close as browsers close them; a page whose blocks
@@ -52,7 +53,7 @@ SCOPE = frozenset("ul ol dl table select html body article section div".split())
 DROP = frozenset("nav footer aside form button select head script style noscript iframe template svg math textarea title dialog menu object canvas audio video".split())
 #: Words of a class, id or role that name parts around an article.
 DROP_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox banner breadcrumb breadcrumbs byline cookie cookies consent disclaimer gdpr "
+    "ad ads adv advert adverts advertisement advertising adbox adsbygoogle adsense adslot adunit banner breadcrumb breadcrumbs byline cookie cookies consent disclaimer gdpr "
     "footer header masthead login menu modal nav navbar navigation navigationbar newsletter notice notices alert notification overlay pager pagination popup "
     "promo promoted promotion recommended related search share sharing shares sidebar sidebars signup skip social sponsor sponsored subscribe "
     "subscription toolbar toc widget widgets contentinfo complementary".split()
@@ -64,6 +65,7 @@ KEEP_WORDS = frozenset("article articlebody content entry main post story".split
 TAG_POINTS = {"article": 10.0, "main": 10.0, "section": 2.0, "div": 2.0, "td": 1.0, "blockquote": 1.0, "ul": -3.0, "ol": -3.0, "dl": -3.0}
 CONTAINERS = frozenset("article main section div td body blockquote center".split())
 SIBLING_SHARE = 0.2
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 
 def dropped(tag: str, attrs: str, in_article: bool) -> bool:
@@ -221,6 +223,8 @@ def main_text(html: str | None) -> str:
         for i in range(1, n):
             if parents[i] == parents[best] and i != best and not drops[i] and chars[i]:
                 density = linked[i] / chars[i]
+                if i < best and tags[i] in HEADINGS and density < 0.25:
+                    chosen.add(i)
                 if points[i] >= least and tags[i] in CONTAINERS or tags[i] == "p" and density < 0.25 and chars[i] > 80:
                     chosen.add(i)
     inside = [False] * n
