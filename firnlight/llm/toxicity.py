@@ -1,9 +1,12 @@
 """Toxicity by classifier chains of linear models.
 
 Categories are predicted one after the other. Each has a logistic regression
-over words that tell it apart and a few shares of characters; later models also
-see the probabilities of earlier categories. In training those are out-of-fold
-predictions, so that a later model meets them as uncertain as they will be.
+over words and beginnings of words that tell it apart and a few shares of
+characters; later models also see the probabilities of earlier categories. In
+training those are out-of-fold predictions, so that a later model meets them as
+uncertain as they will be. A word counts as present or not. A beginning, which
+gathers inflected and compounded forms, counts by its share of the words, as a
+long text holds most of them by chance.
 
 The chain is fitted on a bounded sample of labelled rows, drawn by a hash of the
 key; then every whole text is scored where it lies, without a shuffle.
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,81 +31,96 @@ from pyspark.sql import functions as F
 from .common import map_texts, read
 
 WORDS = re.compile(r"[^\W\d_]+")
+#: Letters of the beginnings of words, written with a hyphen, and the share of words from which one counts in full.
+STEMS, FULL_SHARE = (4, 5, 6, 7), 0.01
 SHARES = 4
 FOLDS = 5
 #: From the labels table: what counts as positive in each category, in the order of the chain.
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 
 
-def words_of(text: str) -> set[str]:
-    return set(WORDS.findall(text.lower()))
+def features_of(text: str, stems: frozenset[str] | None = None) -> tuple[dict[str, float], int]:
+    """Values of the words and beginnings of a text, of these ``stems`` or all; and how many words are distinct."""
+    counts = Counter(WORDS.findall(text.lower()))
+    out: dict[str, float] = dict.fromkeys(counts, 1.0)
+    if stems is None or stems:
+        shares: Counter = Counter()
+        for w, n in counts.items():
+            for k in STEMS:
+                if len(w) > k and (stems is None or w[:k] in stems):
+                    shares[w[:k]] += n
+        full = FULL_SHARE * sum(counts.values())
+        out |= {f"{stem}-": min(n / full, 1.0) for stem, n in shares.items()}
+    return out, len(counts)
 
 
-def shares_of(text: str, words: set[str]) -> list[float]:
+def shares_of(text: str, distinct: int) -> list[float]:
     """Of a text's characters: symbols, capitals, digits; and how few of its words are distinct."""
     n = max(len(text), 1)
     symbols = sum(map(text.count, "#*$%&|<>!")) / n
     runs = text.count(" ") + text.count("\n") + 1
-    return [min(10 * symbols, 3.0), min(3 * sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")) / n, 3.0), min(10 * sum(map(text.count, "0123456789")) / n, 3.0), 1 - min(len(words) / runs, 1.0)]
+    return [min(10 * symbols, 3.0), min(3 * sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")) / n, 3.0), min(10 * sum(map(text.count, "0123456789")) / n, 3.0), 1 - min(distinct / runs, 1.0)]
 
 
 @dataclass
 class Model:
-    """One linear model: weights of words, of the shares, of earlier categories, and a bias."""
+    """One linear model: weights of words and beginnings, of the shares, of earlier categories, and a bias."""
 
     words: dict[str, float] = field(default_factory=dict)
     dense: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = 0.0
 
-    def __post_init__(self):
-        self.known = frozenset(self.words)
-
-    def probability(self, words: set[str], dense: list[float]) -> float:
-        z = self.bias + sum(map(self.words.__getitem__, self.known & words)) + float(np.dot(self.dense, dense))
+    def probability(self, values: dict[str, float], dense: list[float]) -> float:
+        z = self.bias + sum(v * values[w] for w, v in self.words.items() if w in values) + float(np.dot(self.dense, dense))
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
 @dataclass
 class Sample:
-    """The words of labelled texts as flat codes, and the shares of each text."""
+    """The features of labelled texts as flat codes with values, and the shares of each text."""
 
     names: list[str]
     codes: np.ndarray
+    values: np.ndarray
     owner: np.ndarray
     dense: np.ndarray
 
     @classmethod
     def of(cls, texts: list[str | None], least_docs: int) -> Sample:
         place: dict[str, int] = {}
-        codes, dense = [], []
+        codes, values, dense = [], [], []
         for t in texts:
-            words = words_of(t or "")
-            dense.append(shares_of(t or "", words))
-            codes.append(np.array([place.setdefault(w, len(place)) for w in sorted(words)], np.int64))
+            found, distinct = features_of(t or "")
+            dense.append(shares_of(t or "", distinct))
+            names = sorted(found)
+            codes.append(np.array([place.setdefault(w, len(place)) for w in names], np.int64))
+            values.append(np.array([found[w] for w in names]))
         owner = np.repeat(np.arange(len(texts)), [len(c) for c in codes])
         flat = np.concatenate(codes) if codes else np.zeros(0, np.int64)
         common = np.bincount(flat, minlength=len(place)) >= least_docs
         keep = common[flat] if len(flat) else np.zeros(0, bool)
-        return cls(list(place), flat[keep], owner[keep], np.array(dense).reshape(len(texts), SHARES))
+        value = np.concatenate(values) if values else np.zeros(0)
+        return cls(list(place), flat[keep], value[keep], owner[keep], np.array(dense).reshape(len(texts), SHARES))
 
-    def telling(self, rows: np.ndarray, y: np.ndarray, most: int = 400, least_z: float = 1.3) -> np.ndarray:
-        """Codes of the words whose share of texts differs most between the classes, by the z-score of two proportions."""
+    def telling(self, rows: np.ndarray, y: np.ndarray, most: int = 400, least_z: float = 3.0) -> np.ndarray:
+        """Codes of the features whose mean value differs most between the classes, in standard errors of the difference."""
         used = rows[self.owner]
-        pos = np.bincount(self.codes[used], y[self.owner[used]], len(self.names))
-        both = np.bincount(self.codes[used], minlength=len(self.names))
+        codes, values, owner = self.codes[used], self.values[used], self.owner[used]
+        pos = np.bincount(codes, values * y[owner], len(self.names))
+        both = np.bincount(codes, values, len(self.names))
         a, b = y[rows].sum(), (~y[rows]).sum()
-        share = both / (a + b)
-        z = np.abs(pos / a - (both - pos) / b) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / a + 1 / b))
+        spread = np.bincount(codes, values**2, len(self.names)) / (a + b) - (both / (a + b)) ** 2
+        z = np.abs(pos / a - (both - pos) / b) / np.sqrt(np.maximum(spread, 1e-9) * (1 / a + 1 / b))
         order = np.lexsort((np.arange(len(z)), -z))[:most]
         return order[z[order] >= least_z]
 
     def matrix(self, chosen: np.ndarray) -> np.ndarray:
-        """A row for each text: which chosen words it has, its dense columns, and 1."""
+        """A row for each text: its values of the chosen features, its dense columns, and 1."""
         place = np.full(len(self.names), -1)
         place[chosen] = np.arange(len(chosen))
         x = np.zeros((len(self.dense), len(chosen) + self.dense.shape[1] + 1))
         at = place[self.codes]
-        x[self.owner[at >= 0], at[at >= 0]] = 1
+        x[self.owner[at >= 0], at[at >= 0]] = self.values[at >= 0]
         x[:, len(chosen) : -1] = self.dense
         x[:, -1] = 1
         return x
@@ -111,8 +130,8 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_weights(sample: Sample, rows: np.ndarray, y: np.ndarray, penalty: float = 0.3, rounds: int = 15) -> tuple[np.ndarray, np.ndarray]:
-    """Chosen words and the weights of a logistic regression by Newton steps, both classes weighing the same."""
+def fit_weights(sample: Sample, rows: np.ndarray, y: np.ndarray, penalty: float = 0.1, balance: float = 0.7, rounds: int = 15) -> tuple[np.ndarray, np.ndarray]:
+    """Chosen features and the weights of a logistic regression by Newton steps; the rarer class weighs more, by a power of its share."""
     none = np.zeros(0, np.int64)
     if y[rows].all() or not y[rows].any():
         w = np.zeros(sample.dense.shape[1] + 1)
@@ -120,7 +139,7 @@ def fit_weights(sample: Sample, rows: np.ndarray, y: np.ndarray, penalty: float
         return none, w
     chosen = sample.telling(rows, y)
     x, t = sample.matrix(chosen)[rows], y[rows]
-    weight = np.where(t, 0.5 / t.mean(), 0.5 / (1 - t.mean()))
+    weight = np.where(t, 0.5 / t.mean(), 0.5 / (1 - t.mean())) ** balance
     ridge = np.full(x.shape[1], penalty)
     ridge[-1] = 1e-3
     w = np.zeros(x.shape[1])
@@ -142,12 +161,15 @@ class Chain:
     names: list[str]
     models: list[Model]
 
+    def __post_init__(self):
+        self.stems = frozenset(w[:-1] for m in self.models for w in m.words if w.endswith("-"))
+
     def predict(self, text: str | None) -> list[float]:
         text = text or ""
-        words = words_of(text)
-        dense, out = shares_of(text, words), []
+        values, distinct = features_of(text, self.stems)
+        dense, out = shares_of(text, distinct), []
         for m in self.models:
-            out.append(m.probability(words, dense + out))
+            out.append(m.probability(values, dense + out))
         return out
 
 
