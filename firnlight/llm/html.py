@@ -6,7 +6,8 @@ role names an advert, a notice, a sidebar, reader comments and the like) give no
 text. Every block with text then passes points, for its length and its commas
 and less its share of link text, to its ancestors: all to the parent, half to
 the next, a falling share further up. The container with the most points,
-discounted by its own link density, is the article; siblings with a fair part of
+discounted by its own link density, is the article; where the page itself names a
+container around it as the article, that one is. Siblings with a fair part of
 its points, and headings before it, are kept with it. All the text of those
 containers is returned.
 
@@ -34,6 +35,8 @@ TOKEN = re.compile(
 MAX_DEPTH = 512
 ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 PART = re.compile(r"[a-z]+|[0-9]+")
+#: Names that only say what a page around has or lacks, as in has-sidebar.
+ABOUT = re.compile(r"^(?:has|with|no|without|is|hide|show)[-_]")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp template svg math".split())
@@ -61,6 +64,10 @@ DROP_WORDS = frozenset(
 COMMENT_WORDS = frozenset("comment comments commentlist disqus discussion replies reply respond responses".split())
 #: Words that say the element holds the article after all.
 KEEP_WORDS = frozenset("article articlebody content entry main post story".split())
+#: Of those, the ones that name the article alone.
+ARTICLE_WORDS = KEEP_WORDS - {"content", "main"}
+#: What may follow a word for a part in the name of an article element, as in comment-body.
+ITEM_WORDS = frozenset("body box card item list thread unit".split())
 #: Points of an element for what it is.
 TAG_POINTS = {"article": 10.0, "main": 10.0, "section": 2.0, "div": 2.0, "td": 1.0, "blockquote": 1.0, "ul": -3.0, "ol": -3.0, "dl": -3.0}
 CONTAINERS = frozenset("article main section div td body blockquote center".split())
@@ -68,40 +75,46 @@ SIBLING_SHARE = 0.2
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 
-def dropped(tag: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element is a part around the article."""
-    if tag in DROP:
-        return True
-    if tag in ("html", "body", "article", "main"):
-        return False
-    if tag == "header":
-        return not in_article
-    if not attrs or attrs.isspace():
-        return False
+def part_of_page(tag: str, attrs: str, in_article: bool) -> str:
+    """``drop`` for a part around the article, ``article`` or ``keep`` for what is named as the article or its frame."""
+    if tag in DROP or tag == "header" and not in_article:
+        return "drop"
+    plain = "article" if tag == "article" else "keep" if tag == "main" else ""
+    if tag in ("html", "body") or not attrs or attrs.isspace():
+        return plain
+    names: set[str] = set()
     words: set[str] = set()
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return "drop"
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
+                return "drop"
         else:
-            words.update(PART.findall(value))
+            names.update(n for n in value.split() if not ABOUT.match(n))
+    if tag in ("article", "main"):
+        for n in names:  # an article's class often names its topics, so a name must mean nothing else
+            parts = set(PART.findall(n))
+            if parts & (COMMENT_WORDS | DROP_WORDS) and not any(w not in COMMENT_WORDS | DROP_WORDS | ITEM_WORDS and w.isalpha() for w in parts):
+                return "drop"
+        return plain
+    for n in names:
+        words.update(PART.findall(n))
     if words & COMMENT_WORDS:
-        return True
+        return "drop"
     if words & KEEP_WORDS:
-        return False
+        return "article" if words & ARTICLE_WORDS else "keep"
     if in_article:
         words -= {"header", "byline", "search", "toc", "skip"}
-    return bool(words & DROP_WORDS)
+    return "drop" if words & DROP_WORDS else ""
 
 
 def main_text(html: str | None) -> str:
     """The article's text; blocks in page order, joined by one space."""
     if not html:
         return ""
-    tags, parents, drops, in_article, blocks = ["html"], [0], [False], [False], [0]
+    tags, parents, drops, in_article, blocks, parts = ["html"], [0], [False], [False], [0], [""]
     texts: list[tuple[int, bool, str]] = []  # node, in a link, text; a space where a block or line ends
     stack, links = [0], 0
     at, size = 0, len(html)
@@ -166,9 +179,10 @@ def main_text(html: str | None) -> str:
         node = len(tags)
         tags.append(tag)
         parents.append(top)
-        inside = in_article[top] or tag in ("article", "main")
-        in_article.append(inside)
-        drops.append(drops[top] or dropped(tag, m["attrs"], in_article[top]))
+        part = part_of_page(tag, m["attrs"], in_article[top])
+        in_article.append(in_article[top] or part == "article" or tag == "main")
+        drops.append(drops[top] or part == "drop")
+        parts.append(part)
         blocks.append(node if tag in BLOCK else blocks[top])
         if m["attrs"].endswith("/") and tag in ("svg", "math", "iframe"):
             continue
@@ -217,6 +231,7 @@ def main_text(html: str | None) -> str:
         best = max(found, key=lambda i: (points[i], -i))
     else:
         best = next((i for want in ("article", "main", "body") for i in range(n) if tags[i] == want and not drops[i]), 0)
+    best = article_around(best, tags, parents, parts, chars, linked)
     chosen = {best}
     if best and tags[best] not in ("body", "main"):
         least = max(10.0, SIBLING_SHARE * points[best])
@@ -233,6 +248,23 @@ def main_text(html: str | None) -> str:
     return " ".join("".join(t if inside[node] or t == " " else " " for node, _, t in texts).split())
 
 
+def article_around(best: int, tags: list[str], parents: list[int], parts: list[str], chars: list[int], linked: list[int]) -> int:
+    """The outermost container that the page names as the article around ``best``; ``best`` if there is none.
+
+    An article element counts as it is; a container known by its class only if
+    half of its text is the article and little of the rest is links.
+    """
+    found, node = best, best
+    named = ""
+    while node:
+        node_chars = max(chars[node], 1)
+        near = chars[best] >= 0.5 * node_chars and linked[node] < 0.3 * node_chars
+        if tags[node] == "article" or tags[node] == "main" and named != "article" or parts[node] and named not in ("article", "main") and near:
+            found, named = node, tags[node]
+        node = parents[node]
+    return found
+
+
 def extract_main_text(df: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:
     """Add ``text`` (main text of the whole html) and ``n_chars`` (its code points)."""
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("text", "n_chars")]

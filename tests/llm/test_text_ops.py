@@ -182,6 +182,23 @@ def test_toxicity(spark):
     assert toxicity.drop_toxic(odd.limit(0), labels).count() == 0
 
 
+def test_toxicity_learns_beginnings_of_words_by_their_share():
+    rng = random.Random(5)
+    ends = [a + b for a in "bdfgklmn" for b in "aeiou"]
+
+    def text(bad, n):
+        return " ".join(f"grob{rng.choice(ends)}{rng.choice(ends)}" if rng.random() < bad else rng.choice(ends) + rng.choice(ends) for _ in range(n))
+
+    y = np.array([i % 4 == 0 for i in range(400)])
+    texts = [text(0.05 if t else 0.0, 120) + (" grobaba" if i % 5 == 0 else "") * (not t) for i, t in enumerate(y)]
+    chain = toxicity.fit_chain(texts, y[:, None], np.arange(400) % 5, ["toxic"])
+    assert "grob-" in chain.models[0].words
+    assert all(chain.predict(text(0.05, 150))[0] > 0.5 for _ in range(20))  # in forms never met before
+    assert not any(chain.predict(text(0.0, 600) + " grobaba")[0] > 0.5 for _ in range(20))
+    values, distinct = toxicity.features_of("", None)
+    assert values == {} and distinct == 0
+
+
 def test_toxicity_chain_uses_out_of_fold_probabilities():
     rng = np.random.default_rng(0)
     a = rng.random(400) < 0.5
@@ -207,6 +224,27 @@ def test_html():
         html.main_text(broken)
 
 
+def words(name, n=30):
+    return " ".join(f"{name}{k}{',' * (k % 9 == 8)}" for k in range(n)) + "."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<body class=has-sidebar><div class='layout with-sidebar'><div class=content-area><p>{a}</p></div><div class=sidebar>side</div></div>", "{a}"),
+        ("<div id=content><div><div><p>{a}</p><p>{b}</p></div><div><p>{c}</p></div></div></div><div id=menu>menu</div>", "{a} {b} {c}"),
+        ("<div class=article><div><p>first</p></div><div><p>{a}</p><p>{b}</p><p>{c}</p></div><div><p>last</p></div></div>", "first {a} {b} {c} last"),
+        ("<article><div><p>lead</p></div><div><p>{a}</p><p>{b}</p></div><p>end</p></article><article class=comment><p>{c}</p></article>", "lead {a} {b} end"),
+        ("<article class='post category-advertising'><p>{a}</p></article>", "{a}"),
+        ("<div class=post><header><h1>head</h1></header><div><p>{a}</p></div><div class=reader-comments><p>{b}</p></div></div>", "head {a}"),
+        ("<div><a href=x>menu</a></div><div><p>{a}</p><p>{b}</p></div>", "{a} {b}"),
+    ],
+)
+def test_html_containers(page, want):
+    fill = {k: words(k) for k in "abc"}
+    assert html.main_text(page.format(**fill)) == want.format(**fill)
+
+
 def test_html_query(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     out = {r.page_id: r for r in html.op6_html(spark, SF).collect()}
