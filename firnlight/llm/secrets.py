@@ -8,7 +8,8 @@ scanned once, a new commit costs only its new blobs, and a changed rule only
 its own pass.
 
 Everything is DataFrame and SQL functions. Positions come from splitting a text
-at a rule's matches: a match starts after all pieces and matches before it.
+at a rule's matches: a match starts after all pieces and matches before it. The
+running sum goes by chunks of matches, so the work is linear in their number.
 
 Edge cases: null text counts as empty; a blob without findings has an empty
 list; equal texts share a blob; an empty table gives no rows.
@@ -54,6 +55,9 @@ RULES = (
     Rule("vcs_token", "gh[pousr]_[A-Za-z0-9]{36,}", hint="gh"),
 )
 
+#: Matches of a text that one fold gathers, as each step of it copies what it has so far.
+CHUNK = 256
+
 FINDING = "array<struct<start:long,rank:int,end:long,kind:string>>"
 
 
@@ -70,19 +74,33 @@ def spans(text: Column, rule: Rule, rank: int) -> Column:
         F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("value"),
     )
 
+    def width(x: Column) -> Column:
+        return (F.length(x["before"]) + F.coalesce(F.length(x["whole"]), F.lit(0))).cast("long")
+
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["before"])
-        end = start + F.coalesce(F.length(x["whole"]), F.lit(0))
+        end = acc["at"] + width(x)
         found = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))).cast(FINDING)
         kept = F.when(F.coalesce(F.length(x["value"]), F.lit(0)) >= rule.least, F.concat(acc["found"], found)).otherwise(acc["found"])
-        return F.struct(end.cast("long").alias("at"), kept.alias("found"))
+        return F.struct(end.alias("at"), kept.alias("found"))
 
     none = F.array().cast(FINDING)
-    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("found"))
+    zero = F.lit(0).cast("long")
+
+    def gathered(p: Column) -> Column:
+        last = F.floor((F.size(p) - 1) / CHUNK).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(p, i * CHUNK + 1, F.lit(CHUNK)))
+        starts = F.aggregate(
+            chunks, F.array(zero), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + F.aggregate(c, zero, lambda n, x: n + width(x)))))
+        folded = F.zip_with(
+            chunks, starts, lambda c, at: F.coalesce(F.aggregate(c, F.struct(at.alias("at"), none.alias("found")), step, lambda acc: acc["found"]), none))
+        return F.flatten(folded)
+
     hit = text.rlike(rule.pattern)
     if rule.hint:
         hit = F.contains(text, F.lit(rule.hint)) & hit
-    return F.when(hit, F.aggregate(parts, start, step, lambda acc: acc["found"])).otherwise(none)
+    # Within the transform the pieces are a variable, made once and not in every chunk.
+    return F.when(hit, F.element_at(F.transform(F.array(parts), gathered), 1)).otherwise(none)
 
 
 def scan(blobs: DataFrame, rules=RULES, blob: str = "blob_id", text: str = "text", todo: str = "todo") -> DataFrame:
