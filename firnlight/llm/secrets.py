@@ -168,15 +168,36 @@ def listed(found: Column) -> Column:
 
 
 def redacted(text: Column, found: Column) -> Column:
-    """The text with each finding replaced by its kind in brackets; overlaps count once."""
+    """The text with each finding replaced by its kind in brackets; overlaps count once.
 
-    def step(acc: Column, f: Column) -> Column:
-        between = text.substr((acc["at"] + 1).cast("int"), F.greatest(f["start"] - acc["at"], F.lit(0)).cast("int"))
-        mask = F.when(f["start"] >= acc["at"], F.concat(between, F.lit("["), f["kind"], F.lit("]"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(f["end"], acc["at"]).alias("at"), F.concat(acc["out"], mask).alias("out"))
+    The text is cut where chunks of findings end, and each piece is masked by itself.
+    """
+
+    def masked(x: Column) -> Column:
+        def step(acc: Column, f: Column) -> Column:
+            start, end = f["start"] - x["base"], f["end"] - x["base"]
+            between = x["piece"].substr((acc["at"] + 1).cast("int"), F.greatest(start - acc["at"], F.lit(0)).cast("int"))
+            mask = F.when(start >= acc["at"], F.concat(between, F.lit("["), f["kind"], F.lit("]"))).otherwise(F.lit(""))
+            return F.struct(F.greatest(end, acc["at"]).alias("at"), F.concat(acc["out"], mask).alias("out"))
+
+        return F.aggregate(x["chunk"], F.struct(zero.alias("at"), F.lit("").alias("out")), step, lambda acc: acc["out"])
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], text.substr((acc["at"] + 1).cast("int"), F.length(text))))
+    def joined(all_: Column) -> Column:
+        def piece(c: Column, i: Column) -> Column:
+            base = F.get(all_["bases"], i)
+            span = text.substr((base + 1).cast("int"), (F.get(all_["bases"], i + 1) - base).cast("int"))
+            return F.struct(c.alias("chunk"), base.alias("base"), span.alias("piece"))
+
+        tail = text.substr((F.element_at(all_["bases"], -1) + 1).cast("int"), F.length(text))
+        return F.concat(F.array_join(F.transform(F.transform(all_["chunks"], piece), masked), ""), tail)
+
+    zero = F.lit(0).cast("long")
+    last = F.floor((F.size(found) - 1) / CHUNK).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(found, i * CHUNK + 1, F.lit(CHUNK)))
+    bases = F.aggregate(
+        chunks, F.array(zero), lambda acc, c: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), F.array_max(F.transform(c, lambda f: f["end"]))))))
+    # As a variable of the transform, chunks and cuts are made once.
+    done = F.element_at(F.transform(F.array(F.struct(chunks.alias("chunks"), bases.alias("bases"))), joined), 1)
     return F.when(F.size(found) > 0, done).otherwise(text)
 
 

@@ -148,6 +148,24 @@ def test_repetition_equals_brute_force():
         assert got["covered_share"][i] == pytest.approx(covered / chars)
 
 
+def test_many_secrets_in_one_text(spark, tmp_path):
+    rng = random.Random(3)
+    body = " ".join(rng.choice([f"é🙂 token: abc{i:07d}", "ab12" * 8, f"secret={'0f' * 14}", "plain words"]) for i in range(1500))
+    docs = spark.createDataFrame([(1, body), (2, "x"), (3, None)], "doc_id long, text string")
+    found = {r.blob_id: r.findings for r in secrets.scan(secrets.unseen(docs, None)).collect()}
+    found = found[hashlib.sha256(body.encode()).hexdigest()]
+    pattern = secrets.BASE_RULES[0].pattern
+    assert [(f.start, f.end) for f in found if f.kind == "assign"] == [m.span() for m in re.finditer(pattern, body) if len(m[2]) >= 6]
+    assert [(f.start, f.end) for f in found if f.kind == "hex"] == [m.span() for m in re.finditer("[0-9a-f]{24,}", body)]
+    want, at = "", 0
+    for f in found:
+        if f.start >= at:
+            want += body[at : f.start] + f"[{f.kind}]"
+        at = max(at, f.end)
+    out = {r.doc_id: r.text for r in secrets.redact_secrets(docs, str(tmp_path / "ledger")).collect()}
+    assert out == {1: want + body[at:], 2: "x", 3: None}
+
+
 def test_repetition_query(spark):
     texts = [*ODD, " ".join(f"w{i}" for i in range(80)), " ".join(f"w{i}" for i in range(60)) * 1 + " " + " ".join(f"w{i}" for i in range(60)) + "".join(f" v{i}" for i in range(200))]
     out = {r.doc_id: r for r in repetition.repetition_rules(frame(spark, texts, kept=["q"] * len(texts))).collect()}
