@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import map_texts, read
 
 #: Distinct words that a worker remembers; beyond it the memory starts anew.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 
 #: What str.split() takes for white space and the pattern does not.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")

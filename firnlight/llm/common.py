@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Characters of text that a Python worker handles at a time; bounds its memory.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 
 #: The words of a text are its maximal runs of other characters than these.
 WORD = "[^\x20\x09-\x0d]+"
