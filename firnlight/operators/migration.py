@@ -52,25 +52,29 @@ def kirchhoff(traces: DataFrame, travel_time: list[float], spacing: float, veloc
     Each input trace contributes an array to the output traces of its aperture
     (all of them, if none is given); contributions are added up in partial sums by
     output, so no task holds a profile. Time per output sample is the nearest
-    sample to twice the distance over the velocity, nothing beyond the last.
+    sample to twice the distance over the velocity, nothing beyond the last; so
+    traces whose distance alone lies beyond the last sample add nothing to an
+    output and are not joined with it.
     """
     dt = travel_time[1] - travel_time[0]
     graded = time_gradient(traces, dt * 1e-6)
-    n = F.count(F.lit(1)).over(Window.partitionBy("profile_id"))
-    reach = F.lit(aperture) if aperture is not None else F.col("n__")
-    spread = graded.withColumn("n__", n).withColumn(
+    n = traces.groupBy("profile_id").agg(F.count(F.lit(1)).alias("n__"))
+    heard = math.floor(velocity * travel_time[-1] * 1e-6 / 2 / spacing) + 1
+    reach = F.lit(heard if aperture is None else min(aperture, heard))
+    # By trace and into a fixed number of tasks: the terms are many times the input that scans are cut by.
+    graded = graded.repartition(int(traces.sparkSession.conf.get("spark.sql.shuffle.partitions")), "profile_id", "trace_idx")
+    spread = graded.join(F.broadcast(n), graded["profile_id"].eqNullSafe(n["profile_id"])).drop(n["profile_id"]).withColumn(
         "out__", F.explode(F.sequence(F.greatest(F.lit(0), F.col("trace_idx") - reach).cast("int"), F.least(F.col("n__") - 1, F.col("trace_idx") + reach).cast("int"))))
     depth = doubles([velocity * t * 1e-6 / 2 for t in travel_time])
     x2 = F.pow((F.col("trace_idx") - F.col("out__")) * spacing, F.lit(2.0))
-
-    def term(z):
-        r = F.sqrt(x2 + z * z)
-        at = F.rint((2 * r / velocity * 1e6 - travel_time[0]) / dt).cast("int")
-        value = F.when(2 * r / velocity * 1e6 <= travel_time[-1], F.get("samples", at)).otherwise(0.0)
-        return F.when(r > 0, value * z / r / velocity).otherwise(F.coalesce(value, F.lit(0.0)) / velocity)
-
-    flat = spread.select("profile_id", "out__", F.posexplode(F.transform(depth, term)).alias("sample_idx", "c"))
-    out = flat.groupBy("profile_id", "out__", "sample_idx").agg((F.sum("c") / (2 * math.pi)).alias("v"))
+    # A row a term: columns are compiled, while functions within a transform are interpreted.
+    terms = spread.select("profile_id", "out__", "samples", x2.alias("x2__"), F.posexplode(depth).alias("sample_idx", "z__"))
+    terms = terms.withColumn("r__", F.sqrt(F.col("x2__") + F.col("z__") * F.col("z__")))
+    z, r = F.col("z__"), F.col("r__")
+    at = F.rint((2 * r / velocity * 1e6 - travel_time[0]) / dt).cast("int")
+    value = F.when(2 * r / velocity * 1e6 <= travel_time[-1], F.get("samples", at)).otherwise(0.0)
+    c = F.when(r > 0, value * z / r / velocity).otherwise(F.coalesce(value, F.lit(0.0)) / velocity)
+    out = terms.groupBy("profile_id", "out__", "sample_idx").agg((F.sum(c) / (2 * math.pi)).alias("v"))
     return out.withColumnRenamed("out__", "trace_idx")
 
 

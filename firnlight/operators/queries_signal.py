@@ -392,6 +392,19 @@ def kirchhoff_small(spark, d):
     return out.where("trace_idx < 20").select("profile_id", "trace_idx", "sample_idx", (F.round("v", 4) + F.lit(0.0)).alias("v"))
 
 
+@query("kirchhoff", f"""
+WITH {TR}, t AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY i) - 1 AS i, a FROM tr), j AS (SELECT unnest(range(64))::INT AS j),
+g AS (SELECT p, i, j, (a[least(j + 1, 63) + 1] - a[greatest(j - 1, 0) + 1]) / ((least(j + 1, 63) - greatest(j - 1, 0)) * 1e-8::DOUBLE) AS g FROM t, j),
+o AS (SELECT t.p, t.i AS o, j AS z, 1.69e8::DOUBLE * (0.01::DOUBLE * j) * 1e-6::DOUBLE / 2 AS d FROM t, j),
+r AS (SELECT o.p, o.o, o.z, o.d, t.i, sqrt(((t.i - o.o) * 0.5::DOUBLE) * ((t.i - o.o) * 0.5::DOUBLE) + o.d * o.d) AS r FROM o JOIN t ON o.p = t.p),
+h AS (SELECT *, round_even((2 * r / 1.69e8::DOUBLE * 1e6) / 0.01::DOUBLE, 0)::INT AS at FROM r WHERE 2 * r / 1.69e8::DOUBLE * 1e6 <= 0.63::DOUBLE)
+SELECT h.p AS profile_id, h.o::INT AS trace_idx, z AS sample_idx, round(sum(g.g * CASE WHEN r > 0 THEN d / r ELSE 1 END / 1.69e8::DOUBLE) / (2 * pi()), 4) + 0.0 AS v
+FROM h JOIN g ON g.p = h.p AND g.i = h.i AND g.j = h.at GROUP BY 1, 2, 3""")
+def kirchhoff(spark, d):
+    out = M.kirchhoff(_small(spark, d), travel_time(), 0.5)
+    return out.select("profile_id", "trace_idx", "sample_idx", (F.round("v", 4) + F.lit(0.0)).alias("v"))
+
+
 @query("migration_taper", f"""
 WITH {TR}, n AS (SELECT count(*) AS n FROM tr), j AS (SELECT unnest(range(64))::INT AS j)
 SELECT i AS trace_idx, j AS sample_idx, round(a[j + 1] * least(least(i, n - 1 - i) / 10.0, 1.0) * least(least(j, 63 - j) / 5.0, 1.0), 6) + 0.0 AS v FROM tr, n, j""")

@@ -176,3 +176,32 @@ def test_adaptive_filter_of_ones(spark):
     assert out[3] == pytest.approx([1 - np.exp(-0.05 * t) for t in times]) and out[29] == pytest.approx(out[3])
     with pytest.raises(ValueError):
         windows.horizontal_filter(ones, "other", times)
+
+
+def test_kirchhoff_query_covers_all_profiles_and_traces(spark):
+    from firnlight import catalog
+
+    sf = "/root/testdata/sf0.001"
+    want = spark.read.parquet(f"{sf}/embeddings.parquet").groupBy("label").count().collect()
+    got = catalog.queries()["kirchhoff"](spark, sf).groupBy("profile_id").count().collect()
+    assert {r.profile_id: r["count"] for r in got} == {str(r.label): r["count"] * 64 for r in want}
+
+
+def test_kirchhoff_equals_brute_force(spark):
+    """Two profiles, the longer one wider than the distance that the last sample hears."""
+    rng, times, spacing, v = np.random.default_rng(1), [0.01 * k for k in range(16)], 4.0, 1.69e8
+    data = {"a": rng.normal(size=(12, 16)), "b": rng.normal(size=(3, 16))}
+    rows = [(p, i, a.tolist()) for p, x in data.items() for i, a in enumerate(x)]
+    df = spark.createDataFrame(rows, "profile_id string, trace_idx int, samples array<double>")
+    got = {(r.profile_id, r.trace_idx, r.sample_idx): r.v for r in migration.kirchhoff(df, times, spacing, v).collect()}
+    assert len(got) == 15 * 16
+    for p, x in data.items():
+        slope = np.gradient(x, 0.01 * 1e-6, axis=1)
+        for o in range(len(x)):
+            for z, t in enumerate(times):
+                depth, total = v * t * 1e-6 / 2, 0.0
+                for i in range(len(x)):
+                    r = np.hypot((i - o) * spacing, depth)
+                    if 2 * r / v * 1e6 <= times[-1]:
+                        total += slope[i, round(2 * r / v * 1e6 / 0.01)] * (depth / r if r > 0 else 1) / v
+                assert got[p, o, z] == pytest.approx(total / (2 * np.pi), rel=1e-9, abs=1e-9)
