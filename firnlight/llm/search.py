@@ -12,7 +12,9 @@ in blocks: a group holds one shard and one block of queries, never more.
 
 Edge cases: vectors that are null or hold null, NaN or infinite components take
 no part; vectors of other lengths count as padded with zeros; of equal ids a
-query passes over all; fewer than k candidates give fewer rows.
+query passes over all; a repeated row is a candidate as often as it is there, and
+rows of one query id, repeated or not, share one ranking, as in the SQL; fewer
+than k candidates give fewer rows.
 """
 
 from __future__ import annotations
@@ -143,7 +145,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     kth = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).alias("kth"))
     told = asked.join(kth, "query_id", "left").withColumn("reached", F.coalesce("kth", unknown))
     told = told.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("shard") != home)
-    found = first.unionByName(search(spread.where(F.col("shard") != home), told)).distinct()
+    found = first.unionByName(search(spread.where(F.col("shard") != home), told))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

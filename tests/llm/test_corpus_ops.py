@@ -160,6 +160,25 @@ def test_top_k_edges(spark):
     assert search.top_k(v.limit(0), v.limit(0).withColumnRenamed("vec_id", "query_id")).count() == 0
 
 
+def test_top_k_counts_repeated_rows_as_the_sql_does(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(300)]
+    rows += [(7, [9.0] * 8)] * 5 + [(8, [8.0] * 8)] * 2 + [rows[50]] + [(100, rng.normal(size=8).tolist())]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    v = search.whole_vectors(spark.read.parquet(f"{tmp_path}/embeddings.parquet"))
+    q = v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    db = duckdb.connect()
+    db.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = sorted(db.execute(search.ORACLE).fetchall())
+    assert len(want) == 30
+    for rows_of_shard in (60, 8192):
+        got = search.top_k(v, q, 5, shard_rows=rows_of_shard, query_rows=3).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
+    assert sorted(map(tuple, search.op5_exact_topk(spark, str(tmp_path)).collect())) == want
+
+
 def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard", "secret_scans", "source_mixing", "bpe"]
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("block", F.lit("clash"))
