@@ -330,3 +330,21 @@ def test_texts_are_processed_whole(spark):
     df = frame(spark, [long])
     assert bpe.bpe_digests(df, bpe.default_vocabulary()).first().n_tokens > 180000
     assert pd.DataFrame(repetition.repetition_stats([long])).n_words[0] == 1 + 180000 + 3
+
+
+def test_toxicity_sample_is_bounded_by_keys(spark):
+    """Repeated labels and repeated ids neither fill nor empty the sample."""
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(3000)] + [(i, f"plain {i}") for i in range(2, 60)] + [(None, "x"), (7, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0)] * 5000 + [(1, 1, 1)] + [(i, 1, i % 2) for i in range(2, 60)] + [(None, 1, 1), (3, None, 1)], "doc_id long, quality int, toxic int")
+    rows = toxicity.labelled_sample(docs, labels, sample_rows=1000).collect()
+    assert sorted(int(r.key__) for r in rows) == list(range(1, 60))
+    one = next(r for r in rows if r.key__ == "1")
+    assert one.text__ == "text 0" and one.y1 == 1
+
+
+def test_toxicity_scores_every_row_whole(spark):
+    chain = toxicity.Chain(["toxic"], [toxicity.Model({"bad": 80.0}, np.zeros(toxicity.SHARES), -40.0)])
+    rows = [(1, "fine words " * 200_000 + "bad"), (1, "fine"), (1, "fine"), (None, "bad"), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("P_TOXIC", F.lit("own"))
+    out = toxicity.score_toxicity(df, chain, keep=["doc_id"]).collect()
+    assert sorted((str(r.doc_id), r.p_toxic > 0.5) for r in out) == [("1", False), ("1", False), ("1", True), ("2", False), ("None", True)]
