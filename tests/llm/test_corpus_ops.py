@@ -71,6 +71,70 @@ def test_near_duplicates_edges(spark):
     assert got == {(None, 1, 1), (1, 1, 1), (2, 2, 0)}
 
 
+def varied(words, rng, name):
+    w = list(words)
+    w[rng.randrange(len(w))] = name
+    return " ".join(w)
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    rng = random.Random(8)
+    a, b, c = ([f"{x}{i}" for i in range(200)] for x in "abc")
+    base = {x[0][0]: " ".join(x) for x in (a, b, c)}
+    near_a = varied(a, rng, "zz")
+    rows = [(None, base["a"]), (1, near_a), (3, base["b"]), (5, base["b"]), (5, base["c"]), (None, None), (None, "")]
+    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(None, 1, 1), (1, 1, 1), (3, 3, 1), (5, 3, 1), (5, 5, 0), (None, None, 0), (None, None, 0)], key=str)
+    for rows, want in (
+        ([(3, base["b"]), (5, base["b"]), (5, base["a"])], [(3, base["b"]), (5, base["a"])]),
+        ([(5, base["a"]), (5, base["c"])], [(5, base["a"]), (5, base["c"])]),
+        ([(None, base["a"])] * 40 + [(None, near_a), (None, base["c"])], 2),
+        ([(None, base["a"]), (9, near_a)], [(9, near_a)]),
+        ([(7, base["a"])] * 30, [(7, base["a"])]),
+    ):
+        kept = [(r.doc_id, r.text) for r in jaccard.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+        assert len(kept) == want if isinstance(want, int) else sorted(kept) == sorted(want)
+
+
+def test_near_duplicates_random_ids_and_long_texts(spark):
+    """Random groups with null and repeated ids, and texts larger than a block, against brute force."""
+    rng = random.Random(21)
+    bases = [[f"g{g}w{i}" for i in range(rng.choice([8, 60, 300]))] for g in range(12)]
+    rows = []
+    for k in range(300):
+        w = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(40)}"
+        rows.append((rng.choice([None, rng.randrange(60), 1000 + k]), " ".join(w)))
+    long = [f"l{i}" for i in range(60_000)]
+    rows += [(2000, " ".join(long)), (2001, varied(long, rng, "y")), (2002, " ".join(long[:100]))]
+    numbers = [(i, t) for i, (_, t) in enumerate(rows)]
+    want = brute_near(numbers)  # by row
+    least = collections.defaultdict(list)
+    for i, c, _ in want:
+        least[c].append(rows[i][0])
+    least = {c: min((x for x in ids if x is not None), default=None) for c, ids in least.items()}
+    expected = sorted(((rows[i][0], least[c], n) for i, c, n in want), key=str)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in jaccard.near_duplicates(df, block=16).collect()), key=str)
+    assert got == expected
+    kept = [(r.doc_id, r.text) for r in jaccard.keep_one_of_each(df).collect()]
+    group = {(d, t): c for (d, t), (_, c, _) in zip(rows, want)}
+    assert sorted(group[x] for x in kept) == sorted({c for _, c, _ in want})
+
+
+def test_surviving_pairs_and_links_of_dense_blocks():
+    rng = np.random.default_rng(5)
+    values = rng.integers(0, 3, (60, 128)).astype(np.uint32)
+    values[:30] = values[0]
+    limits = jaccard.least_matches(0.8, 128, 32, 1e-7)
+    a, b = jaccard.surviving_pairs(values, values, True, limits)
+    assert set(zip(a.tolist(), b.tolist())) == {(i, j) for i in range(30) for j in range(i + 1, 30)}
+    names = [bytes([x]) for x in rng.permutation(60)]
+    root = jaccard.least_linked(names, np.arange(0, 19), np.arange(1, 20))
+    assert all(names[root[i]] == min(names[:20]) for i in range(20)) and all(root[i] == i for i in range(20, 60))
+
+
 def test_posterior_limits():
     for n, least in jaccard.least_matches(0.8, 128, 32, 1e-7):
         assert 0 < least < 0.8 * n
