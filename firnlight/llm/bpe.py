@@ -191,8 +191,9 @@ def decode_bpe(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "de
     return df.withColumn(text, decoded(F.col(f"`{ids}`")))
 
 
-def bpe_digests(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """Encode and decode whole texts and return counts and SHA-256 digests of both, and the ids on request."""
+def bpe_digests(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", with_ids: bool = False,
+                keep: tuple[str, ...] = ()) -> DataFrame:
+    """Encode and decode whole texts and return counts and SHA-256 digests of both, and the ids on request; ``keep`` passes columns on."""
 
     def make():
         codec = BpeCodec(vocabulary)
@@ -209,7 +210,7 @@ def bpe_digests(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
 
         return work
 
-    return map_texts(df, text, [key], "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, make)
+    return map_texts(df, text, [key, *keep], "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, make)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

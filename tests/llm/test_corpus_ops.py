@@ -1,7 +1,9 @@
 """Operators on whole tables, against brute force, and the pipeline."""
 
 import collections
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -167,35 +169,114 @@ def test_components(spark):
     assert got == {i: find(i) for i in list(root)}
 
 
+def brute_schedule(weights, blocks):
+    """Slot by slot: of the sources that may run, the one whose next block is due first."""
+    total, done, out, t = sum(map(Fraction, weights.values())), dict.fromkeys(weights, 0), [], 0
+    share = {s: Fraction(w) / total for s, w in weights.items()}
+    while any(done[s] < blocks[s] for s in weights):
+        may = [s for s in weights if done[s] < blocks[s] and done[s] <= share[s] * (t + 1) and math.floor(done[s] / share[s]) <= t]
+        if may:
+            s = min(may, key=lambda s: (math.ceil((done[s] + 1) / share[s]), s is None, str(s)))
+            out.append((s, done[s], t))
+            done[s] += 1
+        t += 1
+    return out
+
+
 @pytest.mark.parametrize("seed", range(20))
-def test_schedule_is_fair(seed):
+def test_schedule_equals_brute_force(seed):
     rng = random.Random(seed)
-    w = mixing.integer_weights({i: rng.random() ** 3 + 1e-6 for i in range(rng.randint(1, 9))}, slots=rng.choice([16, 64, 97]))
-    total, got = sum(w.values()), dict.fromkeys(w, 0)
-    for t, (s, i, slot) in enumerate(mixing.schedule(w)):
-        assert slot == t and i == got[s] and i * total // w[s] <= t < -(-(i + 1) * total // w[s])
+    w = {i: rng.choice([rng.random() ** 3 + 1e-3, rng.randint(1, 20), 2**0.5]) for i in range(rng.randint(1, 9))}
+    blocks = {i: rng.randint(0, 30) for i in w}
+    assert mixing.schedule(w, blocks) == brute_schedule(w, blocks)
+
+
+@pytest.mark.parametrize("weights", [{"a": 1000, "b": 3.3, "c": 17.7, "d": 500}, {"a": 2**0.5, "b": 3**0.5, "c": 0.001, None: 7**0.5}, {"a": 1}, {"a": 0.1, "b": 0.2, "c": 0.7}])
+def test_schedule_stays_within_a_block_of_the_given_weights(weights):
+    n = 4096 * 100
+    total = sum(map(Fraction, weights.values()))
+    share = {s: Fraction(w) / total for s, w in weights.items()}
+    out = mixing.schedule(weights, {s: math.ceil(n * x) for s, x in share.items()})
+    got, ends = dict.fromkeys(weights, 0), {s: x.limit_denominator(10**12) for s, x in share.items()}
+    for t, (s, i, slot) in enumerate(out[:n]):
+        assert slot == t and i == got[s]
         got[s] += 1
-        assert all(abs(got[q] - w[q] * (t + 1) / total) < 1 for q in w)
-    assert got == w
-
-
-def test_mix_places_every_row(spark):
-    rows = [(i, None if i % 11 == 0 else f"s{min(i % 7, 4)}", "c") for i in range(2000)] + [(5, "s4", "c")] * 3
-    df = spark.createDataFrame(rows, "doc_id long, source string, s2__ string")
-    out = mixing.mix(df, block_rows=4, slots=64, bucket_rows=100).toPandas().sort_values(["slot", "place"])
-    assert len(out) == len(rows) and not out.duplicated(["slot", "place"]).any()
-    blocks = out.groupby("slot").agg(s=("source", "first"), n=("source", lambda x: x.fillna("-").nunique()))
-    assert (blocks.n == 1).all()
-    whole = mixing.integer_weights(mixing.tempered(mixing.source_counts(df)), 64)
-    got = dict.fromkeys(whole, 0)
-    for t, s in zip(blocks.index, blocks.s):
-        got[s if isinstance(s, str) else None] += 1
-        if t < out[out.in_mix].slot.max():
-            assert all(abs(got[q] - whole[q] * (t + 1) / 64) < 1 for q in whole)
-    assert sorted(r.doc_id for r in mixing.mixed_order(df).collect()) == sorted(r[0] for r in rows)
+        if t % 997 == 0 or t > n - 50:
+            assert all(abs(got[q] - ends[q] * (t + 1)) < 1 for q in got)
+
+
+def deviation(out, weights, end):
+    """The most that any source is off its target, in blocks, over the slots before ``end``; ``out``: a source for each slot."""
+    total = sum(weights.values())
+    got, most = dict.fromkeys(weights, 0), 0.0
+    for t in range(end):
+        if t in out:
+            got[out[t]] += 1
+        most = max([most, *(abs(got[q] - w / total * (t + 1)) for q, w in weights.items())])
+    return most
+
+
+@pytest.mark.parametrize("weights", [None, {"s0": 1000, "s1": 3.3, "s2": 17.7, "s3": 500, "s4": 1, None: 0.5}])
+def test_mix_places_every_row(spark, weights):
+    rows = [(i, None if i % 11 == 0 else f"s{min(i % 7, 4)}", "c") for i in range(2000)] + [(5, "s4", "c")] * 3 + [(None, "s1", str(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, s2__ string").withColumn("slot__", F.lit("own"))
+    out = mixing.mix(df, weights, block_rows=4, bucket_rows=100).toPandas().sort_values(["slot", "place"])
+    assert len(out) == len(rows) and not out.duplicated(["slot", "place"]).any() and (out.slot__ == "own").all()
+    blocks = out.groupby("slot").agg(s=("source", "first"), n=("source", lambda x: x.fillna("-").nunique()), rows=("place", "count"))
+    assert (blocks.n == 1).all() and blocks.rows.max() == 4
+    target = weights or {s: n**0.5 for s, n in collections.Counter(r[1] for r in rows).items()}
+    in_slot = {int(t): s if isinstance(s, str) else None for t, s in zip(blocks.index, blocks.s)}
+    assert out.in_mix.any() and deviation(in_slot, target, int(out[out.in_mix].slot.max()) + 1) < 1
+    counted = collections.Counter((None if r[0] is None else r[0], r[1]) for r in rows)
+    assert collections.Counter((None if d != d else int(d), s if isinstance(s, str) else None) for d, s in zip(out.doc_id, out.source)) == counted
     assert mixing.mix(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(df, {"s1": 1.0})
+    with pytest.raises(ValueError):
+        mixing.mix(df, dict.fromkeys(["s0", "s1", "s2", "s3", "s4", None], 0.0))
+
+
+def test_mix_spreads_null_and_repeated_ids(spark):
+    df = spark.createDataFrame([(None if i % 2 else 7, "s", f"text {i}") for i in range(4000)], "doc_id long, source string, text string")
+    out = mixing.mix(df, block_rows=4, bucket_rows=100)
+    sizes = [r["count"] for r in out.groupBy((F.col("block") / 50).cast("int")).count().collect()]
+    assert sum(sizes) == 4000 and out.select("slot", "place").distinct().count() == 4000
+    tree = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in tree
+    hashes = df.select(F.xxhash64(F.lit(7), "doc_id", "doc_id", "source", "text")).distinct().count()
+    assert hashes == 4000
+
+
+def test_mix_with_large_blocks_and_more_sources_than_servers(spark):
+    """Blocks grow with the rows, and small sources share pools; no row is lost and pools keep their weight."""
+    rng = random.Random(2)
+    rows = [(i, f"d{rng.randrange(300)}" if i % 3 else f"big{i % 2}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    for weights in (None, {s: 1.0 + len(s) for s in {r[1] for r in rows}}):
+        out = mixing.mix(df, weights, block_rows=4, most_blocks=500, servers=16, bucket_rows=200).toPandas()
+        assert sorted(out.doc_id) == list(range(6000)) and not out.duplicated(["slot", "place"]).any()
+        assert out.groupby("slot").doc_id.count().max() == 12 and out.slot.nunique() <= 500 + 16
+        assert out[out.in_mix].shape[0] > 0
+        own = out[out.source == "big0"].sort_values(["slot", "place"])
+        assert sorted(own.block.unique()) == list(range(own.block.nunique()))
+    with pytest.raises(ValueError):
+        mixing.mix(df, {s: 1.0 for s in {r[1] for r in rows} - {"d5"}}, servers=16)
+
+
+def test_mixed_order_is_read_back_from_files(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"t{i}", f"s{i % 3 if i % 5 else 0}", "own") for i in range(5000)], "doc_id long, text string, source string, slot string")
+    placed = {r.doc_id: (r.slot, r.place) for r in mixing.mix(docs.drop("slot")).collect()}
+    mixing.mixed_order(docs).write.parquet(f"{tmp_path}/mixed")
+    back = mixing.written_order(spark.read.parquet(f"{tmp_path}/mixed"))
+    assert back.columns == [*docs.columns, "mix_part", "mix_row"]
+    in_files = [r for r in back.orderBy("mix_part", "mix_row").collect()]
+    source, target = collections.Counter(), {}
+    counts = collections.Counter(r.source for r in in_files)
+    target = {s: n**0.5 / sum(m**0.5 for m in counts.values()) for s, n in counts.items()}
+    for t, r in enumerate(in_files[:1500]):
+        source[r.source] += 1
+        assert all(abs(source[s] - target[s] * (t + 1)) < 2 * mixing.BLOCK_ROWS for s in target)
+    assert len(placed) == 5000 and mixing.written_order(docs).where("mix_row is not null").count() == 0
 
 
 def test_top_k_equals_brute_force(spark):
