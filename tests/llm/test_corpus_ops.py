@@ -340,6 +340,25 @@ def test_pipeline(spark):
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} == kept
     out = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in out} == kept and all(r.n_tokens == len(r.ids) for r in out)
+    counts = collections.Counter(r.source for r in one.collect())
+    total = sum(n**0.5 for n in counts.values())
+    source_of, got = {r.doc_id: r.source for r in one.collect()}, collections.Counter()
+    for t, r in enumerate(sorted(out, key=lambda r: (r.mix_part, r.mix_row))[:64]):
+        got[source_of[r.doc_id]] += 1
+    assert all(abs(got[s] - 64 * n**0.5 / total) < 2 * mixing.BLOCK_ROWS for s, n in counts.items())
+
+
+def test_pipeline_shares_a_ledger_of_secrets(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "token = abcdefgh"), (2, "clean")], "doc_id long, text string")
+    spark.conf.set(corpus_pipeline.LEDGER, f"file://{tmp_path}/ledger")
+    try:
+        for more in ([], [(3, "new")]):
+            got = corpus_pipeline.secret_scans(spark, docs.union(spark.createDataFrame(more, docs.schema)), SF).collect()
+            assert {r.doc_id: r.text for r in got}[1] == "[assign]"
+        ledger = spark.read.parquet(f"file://{tmp_path}/ledger")
+        assert ledger.count() == ledger.select("blob_id").distinct().count() == 3
+    finally:
+        spark.conf.unset(corpus_pipeline.LEDGER)
 
 
 def test_registry():
