@@ -1,5 +1,10 @@
 """Every radar query against its SQL over the smallest tables, and the entry points."""
 
+import pathlib
+import shutil
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -40,3 +45,15 @@ def test_query_gives_rows(spark, name):
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_entry_without_training_data(tmp_path, pipeline):
+    """With the llm folders gone, with or without corpus_pipeline.py, the other queries are there."""
+    root = pathlib.Path(entry_module.__file__).parent
+    shutil.copytree(root / "firnlight", tmp_path / "firnlight", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ["__spark_entry__.py"] + ["corpus_pipeline.py"] * (pipeline and (root / "corpus_pipeline.py").exists()):
+        shutil.copy(root / name, tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), 'pipeline' in e.queries())"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
+    assert out.stdout.split() == [str(len(catalog.queries())), str(len(catalog.oracle_sql())), "False"]
