@@ -1,20 +1,21 @@
 """Exact top-k inner-product search by ball trees, shard by shard.
 
-The vectors are dealt into shards of bounded size. In each a ball tree is built;
-a block of queries walks it best first: nodes are ordered by the upper bound
-centre . q + radius * |q| and left out for every query whose kth score so far
-lies above the bound. The kth scores are shared between shards: each block of
-queries first searches one shard, and the scores it has reached there bound the
-search of all others.
+The vectors are dealt into shards of bounded size. In each a ball tree is built,
+once a round, and blocks of queries stream through it, best nodes first: nodes
+are ordered by the upper bound centre . q + radius * |q| and left out for every
+query whose kth score so far lies above the bound. The kth scores are shared in
+rounds: a query meets one shard, then some more, then all others, and before each
+round learns the kth score that it has reached anywhere.
 
-Scores are exact integers; ties go to the smaller id. Queries meet all vectors
-in blocks: a group holds one shard and one block of queries, never more.
+Scores are exact integers; ties go to the smaller id. A task holds one shard and
+one block of queries, never more.
 
 Edge cases: vectors that are null or hold null, NaN or infinite components take
 no part; vectors of other lengths count as padded with zeros; of equal ids a
 query passes over all; a repeated row is a candidate as often as it is there, and
 rows of one query id, repeated or not, share one ranking, as in the SQL; fewer
-than k candidates give fewer rows.
+than k candidates give fewer rows; an empty table gives none. Repeated rows are
+folded before the search and no more than k of them go on, as no more can count.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,6 +31,8 @@ from pyspark.sql.window import Window
 from .common import read, stored
 
 LEAF, SHARD_ROWS, QUERY_ROWS = 256, 8192, 2048
+#: Shards that a query has met grow by this factor from round to round.
+GROWTH = 8
 
 
 class BallTree:
@@ -97,27 +100,61 @@ class BallTree:
         return tuple(best)
 
 
-def matrix(vectors: pd.Series, width: int) -> np.ndarray:
-    out = np.zeros((len(vectors), width))
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
+def matrix(vectors: pa.Array) -> np.ndarray:
+    """Lists of numbers as rows, padded with zeros."""
+    flat, ends = vectors.flatten().to_numpy(zero_copy_only=False).astype(float), np.cumsum(vectors.value_lengths().to_numpy(zero_copy_only=False))
+    sizes = np.diff(np.r_[0, ends]).astype(int)
+    out = np.zeros((len(sizes), max(sizes.max(initial=0), 1)))
+    out[np.arange(out.shape[1])[None, :] < sizes[:, None]] = flat
     return out
 
 
-def search_group(k: int):
-    """The search of one shard by one block of queries."""
+def same_width(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    width = max(a.shape[1], b.shape[1])
+    return tuple(np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (a, b))
 
-    def run(shard: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        if not len(shard) or not len(block):
-            return none
-        width = max(shard.vector.map(len).max(), block.asked.map(len).max())
-        shard, x, q = shard.reset_index(drop=True), matrix(shard.vector, width), matrix(block.asked, width)
-        if width * np.abs(x).max(initial=0) * np.abs(q).max(initial=0) >= 2**53:
-            raise ValueError("components too large for exact scores")
-        tree = BallTree(shard.vec_id.to_numpy(), x)
-        rows, ids, scores = tree.search(block.query_id.to_numpy(), q, k, block.reached.to_numpy())
-        return pd.DataFrame({"query_id": block.query_id.to_numpy()[rows], "vec_id": ids, "score": scores.astype(np.int64)})
+
+FOUND = pa.schema([("query_id", pa.int64()), ("copies", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+
+def search_stream(k: int, query_rows: int):
+    """A function for mapInArrow over rows (shard, is_query, id, vector, reached, copies), sorted by the first two.
+
+    It keeps the vectors of the shard at hand, its tree once a query comes, and no query.
+    """
+
+    def run(batches):
+        now, ids, parts, tree = None, [], [], None
+        for batch in batches:
+            shard, is_query = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(is_query.astype(int)) != 0)) + 1
+            for low, high in zip(np.r_[0, cuts], np.r_[cuts, batch.num_rows]):
+                if low == high:
+                    continue
+                if shard[low] != now:
+                    now, ids, parts, tree = shard[low], [], [], None
+                rows = batch.slice(low, high - low)
+                own = rows.column(2).to_numpy(zero_copy_only=False)
+                if not is_query[low]:
+                    ids.append(own)
+                    parts.append(matrix(rows.column(3)))
+                    continue
+                if not parts:
+                    continue
+                if tree is None:
+                    width = max(p.shape[1] for p in parts)
+                    tree = BallTree(np.concatenate(ids), np.concatenate([np.pad(p, ((0, 0), (0, width - p.shape[1]))) for p in parts]))
+                for first in range(0, len(own), query_rows):
+                    some = rows.slice(first, query_rows)
+                    x, q = same_width(tree.x, matrix(some.column(3)))
+                    if x.shape[1] > tree.x.shape[1]:
+                        tree = BallTree(tree.ids, x)
+                    if x.shape[1] * np.abs(x).max(initial=0) * np.abs(q).max(initial=0) >= 2**53:
+                        raise ValueError("components too large for exact scores")
+                    reached, copies = (some.column(i).to_numpy(zero_copy_only=False) for i in (4, 5))
+                    at, vec, score = tree.search(own[first : first + query_rows], q, k, reached)
+                    found = [own[first : first + query_rows][at], copies[at], vec, score.astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], schema=FOUND)
 
     return run
 
@@ -128,26 +165,35 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     ``vectors`` has ``vec_id`` and ``vector`` (array of long), ``queries`` has
     ``query_id`` and ``vector``; a vector with the query's own id is passed over.
     """
+
+    def folded(df: DataFrame, key: str) -> DataFrame:
+        return df.groupBy(F.col(key).alias("id"), "vector").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("copies"))
+
     shards = max(1, -(-vectors.count() // shard_rows))
-    blocks = max(1, -(-queries.count() // query_rows))
-    base = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(shards)).cast("int"))
-    asked = queries.select("query_id", F.col("vector").alias("asked")).withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(5)), F.lit(blocks)).cast("int"))
-    spread = base.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    home = F.pmod(F.col("block"), F.lit(shards))
-    schema, keys = "query_id long, vec_id long, score long", ("shard", "block")
-
-    def search(some: DataFrame, block: DataFrame) -> DataFrame:
-        pair = some.select(*keys, "vec_id", "vector").groupBy(*keys).cogroup(block.select(*keys, "query_id", "asked", "reached").groupBy(*keys))
-        return pair.applyInPandas(lambda a, b: search_group(k)(a, b), schema)
-
-    unknown = F.lit(-float(2**62))
-    first = stored(search(spread.where(F.col("shard") == home), asked.withColumn("shard", home).withColumn("reached", unknown)), "topk-first")
-    kth = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).alias("kth"))
-    told = asked.join(kth, "query_id", "left").withColumn("reached", F.coalesce("kth", unknown))
-    told = told.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("shard") != home)
-    found = first.unionByName(search(spread.where(F.col("shard") != home), told))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    base = folded(vectors, "vec_id").withColumn("n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(
+        F.pmod(F.xxhash64("id", "vector", F.lit(3)), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("is_query"), "id", "vector",
+        F.lit(0.0).alias("reached"), F.lit(1).cast("long").alias("copies"))
+    asked = folded(queries, "query_id").withColumn("home", F.pmod(F.xxhash64("id", "vector", F.lit(5)), F.lit(shards)).cast("int"))
+    every = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def best(found: DataFrame) -> DataFrame:
+        each = found.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("n")
+        return each.withColumn("rank", F.row_number().over(every)).where(F.col("rank") <= k)
+
+    found, low, high, number = None, 0, 1, 0
+    while low < shards:
+        told = asked.withColumn("reached", F.lit(-float(2**62)))
+        if found is not None:
+            kth = best(found).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("kth"))
+            told = asked.join(kth, "id", "left").withColumn("reached", F.coalesce("kth", F.lit(-float(2**62))))
+        turns = F.explode(F.sequence(F.lit(low), F.lit(min(high, shards) - 1))).alias("turn")
+        met = told.select("*", turns).select(
+            F.pmod(F.col("home") + F.col("turn"), F.lit(shards)).cast("int").alias("shard"), F.lit(True).alias("is_query"), "id", "vector", "reached", "copies")
+        rows = base.union(met).repartition("shard").sortWithinPartitions("shard", "is_query")
+        new = stored(rows.mapInArrow(search_stream(k, query_rows), "query_id long, copies long, vec_id long, score long"), f"topk-{number}")
+        found = new if found is None else found.union(new)
+        low, high, number = high, high * GROWTH, number + 1
+    return best(found).select("query_id", "rank", "vec_id", "score")
 
 
 def whole_vectors(df: DataFrame, key: str = "vec_id", embedding: str = "embedding", scale: int = 256) -> DataFrame:
