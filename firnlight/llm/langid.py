@@ -12,7 +12,9 @@ few letters on, so that short texts find their syllables in the dictionary.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0 and
 rejected; ties go to the language with more labelled rows, then by name; without
-any labelled row all is ``und``; with one language the score is 1.
+any labelled row all is ``und``; with one language the score is 1; repeated rows
+are predicted each, texts of any length whole, and own columns named as the new
+ones give way to them; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,16 +24,26 @@ import re
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import map_texts, read
 
 WORDS = re.compile(r"[^\W\d_]+")
 REPEAT = 4
+#: Languages that a classifier tells apart at most: each worker holds a compressor of each.
+MOST_LANGUAGES = 256
+
+
+def plain(text: str) -> bytes:
+    return f" {' '.join(WORDS.findall(text.lower()))} ".encode()
+
+
+def repeated(letters: bytes) -> bytes:
+    return np.repeat(np.frombuffer(letters, np.uint8), REPEAT).tobytes()
 
 
 def normal(text: str) -> bytes:
-    plain = f" {' '.join(WORDS.findall(text.lower()))} ".encode()
-    return np.repeat(np.frombuffer(plain, np.uint8), REPEAT).tobytes()
+    return repeated(plain(text))
 
 
 def fold(key: str = "doc_id", folds: int = 5) -> Column:
@@ -43,26 +55,30 @@ def fit_dictionaries(labelled: DataFrame, key: str = "doc_id", text: str = "text
     """A dictionary for each language, languages with more rows first.
 
     Fitted on a bounded sample: about ``sample_docs`` texts of a language, drawn
-    by a hash of the key, of which ``dictionary_bytes`` letters are kept. Rows
+    by a hash of the key, of which ``dictionary_bytes`` of letters are kept. Rows
     with null language or text are not used. One scan counts the languages, one
-    more draws the samples; only those texts reach the driver.
+    more draws the samples; letters are cut from them in the executors, so that
+    at most twice the dictionaries reach the driver. More than
+    ``MOST_LANGUAGES`` languages are refused.
     """
     rows = labelled.where(F.col(lang).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages")
     if not counts:
         return []
     place = F.pmod(F.xxhash64(F.lit(17), F.col(f"`{key}`")), F.lit(1 << 30))
     keep = F.lit(False)
     for name, n in counts.items():
         keep = keep | ((F.col(lang) == name) & (place < int((1 << 30) * min(1.0, sample_docs / n))))
-    texts: dict[str, list] = {name: [] for name in counts}
-    for name, at, body in rows.where(keep & F.col(text).isNotNull()).select(lang, place, text).collect():
-        texts[name].append((at, body))
-    out = []
-    for name in sorted(counts, key=lambda x: (-counts[x], x)):
-        joined = b"".join(normal(t) for _, t in sorted(texts[name]))
-        out.append((name, joined[: dictionary_bytes * REPEAT]))
-    return out
+    drawn = rows.where(keep & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), place.alias("at"), F.col(text).alias("body"))
+    letters = map_texts(drawn, "body", ["lang", "at"], "letters binary", lambda: lambda texts: {"letters": [plain(t)[:dictionary_bytes] for t in texts]})
+    order = Window.partitionBy("lang").orderBy("at", "letters")
+    before = F.sum(F.length("letters")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    samples: dict[str, list] = {name: [] for name in counts}
+    for r in letters.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < dictionary_bytes).collect():
+        samples[r["lang"]].append((r["before"], r["at"], r["letters"]))
+    return [(name, b"".join(bytes(x) for _, _, x in sorted(samples[name]))[:dictionary_bytes]) for name in sorted(counts, key=lambda x: (-counts[x], x))]
 
 
 class CompressionClassifier:
@@ -74,7 +90,7 @@ class CompressionClassifier:
         self.names = [n for n, _ in dictionaries]
         self.compress = []
         for _, content in dictionaries:
-            d = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+            d = zstd.ZstdCompressionDict(repeated(content), dict_type=zstd.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=level)
             self.compress.append(zstd.ZstdCompressor(level=level, dict_data=d, write_content_size=False).compress)
         self.step, self.margin = chunk * REPEAT, margin

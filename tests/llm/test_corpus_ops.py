@@ -324,6 +324,21 @@ def test_top_k_counts_repeated_rows_as_the_sql_does(spark, tmp_path):
     assert sorted(map(tuple, search.op5_exact_topk(spark, str(tmp_path)).collect())) == want
 
 
+def test_top_k_over_many_shards_and_rounds(spark):
+    """Shards enough for four rounds, hot rows and vectors of several lengths."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.integers(-50, 50, 6 if i % 3 else 4).tolist()) for i in range(800)] + [(5, [9] * 6)] * 400 + [(None, [1])] * 0
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>").repartition(5)
+    q = df.where("vec_id % 40 = 0").withColumnRenamed("vec_id", "query_id")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in search.top_k(df, q, 3, shard_rows=10, query_rows=4).collect())
+    want = []
+    for i, v in rows:
+        if i % 40 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in rows if j != i)[:3]
+            want += [(i, n + 1, j, -x) for n, (x, j) in enumerate(scored)]
+    assert got == sorted(want)
+
+
 def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard", "secret_scans", "source_mixing", "bpe"]
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("block", F.lit("clash"))

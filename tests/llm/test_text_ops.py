@@ -348,3 +348,34 @@ def test_toxicity_scores_every_row_whole(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("P_TOXIC", F.lit("own"))
     out = toxicity.score_toxicity(df, chain, keep=["doc_id"]).collect()
     assert sorted((str(r.doc_id), r.p_toxic > 0.5) for r in out) == [("1", False), ("1", False), ("1", True), ("2", False), ("None", True)]
+
+
+def test_language_sample_is_cut_in_the_executors(spark):
+    rows = [(i, "ab cd " * 30_000, "x") for i in range(40)] + [(100 + i, "ef gh", "y") for i in range(3)] + [(None, None, "x"), (1, "z", None)]
+    learned = dict(langid.fit_dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"), dictionary_bytes=1000))
+    assert len(learned["x"]) == 1000 and learned["y"].split() == [b"ef", b"gh"] * 3
+    df = spark.createDataFrame([(1, "ab cd " * 100_000 + "ef", "own"), (1, "ef gh", "own"), (1, "ef gh", "own")], "doc_id long, text string, `Score` string")
+    out = langid.identify_languages(df, list(learned.items())).collect()
+    assert sorted(r.lang_pred for r in out) == ["x", "y", "y"]
+    many = spark.range(langid.MOST_LANGUAGES + 1).selectExpr("id AS doc_id", "'t' AS text", "cast(id AS string) AS lang")
+    with pytest.raises(ValueError):
+        langid.fit_dictionaries(many)
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark):
+    from firnlight.llm import common
+
+    class Conf:
+        def __init__(self, **known):
+            self.known = known
+
+        def get(self, name, default=None):
+            return self.known.get(name, default)
+
+    class Session:
+        conf = Conf(**{"spark.master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session)
+    Session.conf = Conf(**{"spark.master": "spark://host:7077", "spark.checkpoint.dir": "hdfs://x/y"})
+    assert common.shared_dir(Session) == "hdfs://x/y" and common.shared_dir(spark)
