@@ -11,28 +11,31 @@ container around it as the article, that one is. Siblings with a fair part of
 its points, and headings before it, are kept with it. All the text of those
 containers is returned.
 
+A class name decides by itself only where it names nothing but a part around the
+article; a section inside it with such a word and another one is kept if it reads
+like the article, by length, commas and share of links.
+
 Edge cases: null or empty html gives an empty text, markup without text too;
-unclosed and misnested tags close as browsers close them; a page whose blocks
-hold no points falls back on its first article, main or body element.
+unclosed and misnested tags close as browsers close them; attributes and nesting
+of any size are read as such; a page whose blocks hold no points falls back on
+its first article, main or body element; repeated rows are read each; own columns
+named text or n_chars give way to the new ones; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import map_texts, read
 
-#: A tag, comment or declaration; the counts bound the work on broken markup.
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?>[^>\"']*+(?:(?:\"[^\"]{0,4000}\"|'[^']{0,4000}')[^>\"']*+){0,100}+)|[^>]*+)>",
-    re.S,
-)
-#: Elements nested deeper than this join the one above.
-MAX_DEPTH = 512
+#: A comment, a declaration, or the start of a tag.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)", re.S)
+#: What ends a tag or begins a quoted value in it.
+STOP = re.compile(r"[>\"']")
 ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 PART = re.compile(r"[a-z]+|[0-9]+")
 #: Names that only say what a page around has or lacks, as in has-sidebar.
@@ -52,6 +55,9 @@ CLOSED_BY = {
 #: What keeps those closings inside a list or table of their own.
 SCOPE = frozenset("ul ol dl table select html body article section div".split())
 
+#: Elements that do not hold another of their kind.
+SELF_CLOSING = frozenset("a h1 h2 h3 h4 h5 h6".split())
+
 #: Elements that hold no article text.
 DROP = frozenset("nav footer aside form button select head script style noscript iframe template svg math textarea title dialog menu object canvas audio video".split())
 #: Words of a class, id or role that name parts around an article.
@@ -68,6 +74,10 @@ KEEP_WORDS = frozenset("article articlebody content entry main post story".split
 ARTICLE_WORDS = KEEP_WORDS - {"content", "main"}
 #: What may follow a word for a part in the name of an article element, as in comment-body.
 ITEM_WORDS = frozenset("body box card item list thread unit".split())
+#: Words for a part around the article that say nothing inside it.
+IN_ARTICLE = frozenset("header byline search toc skip".split())
+#: Characters of a doubtful element from which it may be part of the article.
+PROSE_CHARS = 400
 #: Points of an element for what it is.
 TAG_POINTS = {"article": 10.0, "main": 10.0, "section": 2.0, "div": 2.0, "td": 1.0, "blockquote": 1.0, "ul": -3.0, "ol": -3.0, "dl": -3.0}
 CONTAINERS = frozenset("article main section div td body blockquote center".split())
@@ -76,7 +86,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 
 def part_of_page(tag: str, attrs: str, in_article: bool) -> str:
-    """``drop`` for a part around the article, ``article`` or ``keep`` for what is named as the article or its frame."""
+    """``drop`` for a part around the article, ``article`` or ``keep`` for what is named as the article or its frame, ``maybe`` if the scores must tell."""
     if tag in DROP or tag == "header" and not in_article:
         return "drop"
     plain = "article" if tag == "article" else "keep" if tag == "main" else ""
@@ -104,16 +114,45 @@ def part_of_page(tag: str, attrs: str, in_article: bool) -> str:
     if words & COMMENT_WORDS:
         return "drop"
     if words & KEEP_WORDS:
+        # A part of the article named after it, as story-share, is what its last word says.
+        if in_article and any(p[-1] in DROP_WORDS - IN_ARTICLE and set(p) & KEEP_WORDS for n in names if (p := PART.findall(n))):
+            return "maybe"
         return "article" if words & ARTICLE_WORDS else "keep"
     if in_article:
-        words -= {"header", "byline", "search", "toc", "skip"}
+        words -= IN_ARTICLE
+        # A section of the article may be named by such a word and its topic, as related-work.
+        if words & DROP_WORDS and all(set(p) - DROP_WORDS - ITEM_WORDS for n in names if set(p := PART.findall(n)) & DROP_WORDS):
+            return "maybe"
     return "drop" if words & DROP_WORDS else ""
 
 
+class TagEnds:
+    """Where the tags of a page end: at the first ``>`` outside quoted values, of any length and number.
+
+    A quote that is never closed is none. Once a tag would run to the end of the
+    page, quotes are passed over from there on, so that the work stays linear.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.quotes = html, True
+
+    def after(self, start: int) -> int:
+        """The place of the ``>`` that ends the tag whose attributes begin at ``start``; -1 if there is none."""
+        at = start
+        while self.quotes and (m := STOP.search(self.html, at)):
+            if m[0] == ">":
+                return m.start()
+            close = self.html.find(m[0], m.end())
+            at = close + 1 if close >= 0 else m.end()
+        self.quotes = False
+        return self.html.find(">", start)
+
+
 def main_text(html: str | None) -> str:
     """The article's text; blocks in page order, joined by one space."""
     if not html:
         return ""
+    ends, opened = TagEnds(html), Counter()  # elements open by name
     tags, parents, drops, in_article, blocks, parts = ["html"], [0], [False], [False], [0], [""]
     texts: list[tuple[int, bool, str]] = []  # node, in a link, text; a space where a block or line ends
     stack, links = [0], 0
@@ -124,6 +163,7 @@ def main_text(html: str | None) -> str:
         while len(stack) > depth:
             node = stack.pop()
             links -= tags[node] == "a"
+            opened[tags[node]] -= 1
             if tags[node] in BLOCK:
                 texts.append((node, False, " "))
 
@@ -131,14 +171,15 @@ def main_text(html: str | None) -> str:
     begin = html.find("<")
     while 0 <= begin:
         m = TOKEN.match(html, begin) if begin < last or html.startswith("<!", begin) else None
-        if m is None:
+        end = ends.after(m.end()) if m is not None and m["tag"] else -1
+        if m is None or m["tag"] and end < 0:
             if begin > last:
                 break
             begin = html.find("<", begin + 1)
             continue
         if m.start() > at and not drops[stack[-1]]:
             texts.append((stack[-1], links > 0, unescape(html[at : m.start()])))
-        at = m.end()
+        at = end + 1 if m["tag"] else m.end()
         begin = html.find("<", at)
         if m["cdata"] and not drops[stack[-1]]:
             texts.append((stack[-1], links > 0, m["cdata"]))
@@ -149,7 +190,7 @@ def main_text(html: str | None) -> str:
         if m["close"]:
             if tag == "br":
                 texts.append((stack[-1], False, " "))
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if tags[stack[depth]] == tag:
                     close_to(depth)
                     break
@@ -161,9 +202,10 @@ def main_text(html: str | None) -> str:
         if tag == "html":
             continue
         shut = CLOSED_BY.get(tag, ())
-        for depth in range(len(stack) - 1, 0, -1):
+        may = any(opened[t] for t in shut) or tag in BLOCK and opened["p"] or tag == "body" and opened["head"] or tag in SELF_CLOSING and opened[tag]
+        for depth in range(len(stack) - 1, 0, -1) if may else ():
             above = tags[stack[depth]]
-            if above in shut or above == "p" and tag in BLOCK or above == "head" and tag == "body" or above == tag and tag in ("a", "h1", "h2", "h3", "h4", "h5", "h6"):
+            if above in shut or above == "p" and tag in BLOCK or above == "head" and tag == "body" or above == tag and tag in SELF_CLOSING:
                 close_to(depth)
                 if not shut:
                     break
@@ -179,26 +221,29 @@ def main_text(html: str | None) -> str:
         node = len(tags)
         tags.append(tag)
         parents.append(top)
-        part = part_of_page(tag, m["attrs"], in_article[top])
+        attrs = html[m.end() : end]
+        part = part_of_page(tag, attrs, in_article[top])
         in_article.append(in_article[top] or part == "article" or tag == "main")
         drops.append(drops[top] or part == "drop")
         parts.append(part)
         blocks.append(node if tag in BLOCK else blocks[top])
-        if m["attrs"].endswith("/") and tag in ("svg", "math", "iframe"):
+        if attrs.endswith("/") and tag in ("svg", "math", "iframe"):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
-            at = end.end() if end else size
+            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
+            at = close.end() if close else size
             begin = html.find("<", at)
             continue
-        if len(stack) >= MAX_DEPTH:
-            continue
         stack.append(node)
+        opened[tag] += 1
         links += tag == "a"
     if at < size and not drops[stack[-1]]:
         texts.append((stack[-1], links > 0, unescape(html[at:])))
 
     n = len(tags)
+    if "maybe" in parts:
+        set_aside(drops, parts, parents, texts)
+        texts = [t for t in texts if t[2] == " " or not drops[t[0]]]
     chars, linked, commas = [0] * n, [0] * n, [0] * n
     for node, in_link, text in texts:
         if text != " " and (k := len(text.strip())):
@@ -248,6 +293,23 @@ def main_text(html: str | None) -> str:
     return " ".join("".join(t if inside[node] or t == " " else " " for node, _, t in texts).split())
 
 
+def set_aside(drops: list[bool], parts: list[str], parents: list[int], texts: list[tuple[int, bool, str]]) -> None:
+    """Drop the elements with a doubtful name, and all in them, unless they read like the article: long, with commas, and few links."""
+    n = len(parts)
+    chars, linked, commas = [0] * n, [0] * n, [0] * n
+    for node, in_link, text in texts:
+        k = len(text.strip())
+        chars[node] += k
+        linked[node] += k * in_link
+        commas[node] += text.count(",")
+    for node in range(n - 1, 0, -1):
+        for sums in (chars, linked, commas):
+            sums[parents[node]] += sums[node]
+    for node in range(1, n):
+        prose = chars[node] >= PROSE_CHARS and commas[node] >= chars[node] / 400 and linked[node] < 0.1 * chars[node]
+        drops[node] = drops[node] or drops[parents[node]] or parts[node] == "maybe" and not prose
+
+
 def article_around(best: int, tags: list[str], parents: list[int], parts: list[str], chars: list[int], linked: list[int]) -> int:
     """The outermost container that the page names as the article around ``best``; ``best`` if there is none.
 

@@ -379,3 +379,42 @@ def test_shared_folder_is_asked_for_on_a_cluster(spark):
         common.shared_dir(Session)
     Session.conf = Conf(**{"spark.master": "spark://host:7077", "spark.checkpoint.dir": "hdfs://x/y"})
     assert common.shared_dir(Session) == "hdfs://x/y" and common.shared_dir(spark)
+
+
+def test_html_of_any_size():
+    page = "<body><nav>menu</nav><article {0}><p title='x > y' {0}>" + words("a", 60) + "</p></article><footer>f</footer></body>"
+    want = html.main_text(page.replace("{0}", ""))
+    assert want == words("a", 60)
+    for attrs in ('data-x="' + "<p>,>" * 20_000 + '"', " ".join(f"a{i}='>'" for i in range(1000)), "data-y='" + "z\n" * 50_000 + "'"):
+        assert html.main_text(page.replace("{0}", attrs)) == want
+    deep = "<div>" * 5000 + "<nav>menu <a href=x>one</a></nav><p>" + words("a", 60) + "</p>" + "</div>" * 5000
+    assert html.main_text(deep) == want
+    spans = "<article><p>" + "<span>" * 5000 + words("a", 60) + "</span>" * 5000 + "</p></article>"
+    assert html.main_text(spans) == want
+
+
+def test_html_stays_linear_on_broken_markup():
+    import time
+
+    for broken in ('<p a="' * 40_000 + ">", '<p ">" ' * 40_000, "<p a='>" * 40_000, "<a b=\"'>" * 40_000, "<div>" * 40_000 + "</x>" * 40_000, "<i><p>" * 20_000, "<" * 100_000):
+        start = time.process_time()
+        html.main_text(broken)
+        assert time.process_time() - start < 10
+
+
+def test_html_names_decide_with_the_scores():
+    a, b, long = words("a", 60), words("b", 60), words("r", 120)
+    page = "<article><p>{a}</p><div class='related-work'><h2>Work</h2><p>{r}</p></div><p>{b}</p></article>"
+    assert html.main_text(page.format(a=a, b=b, r=long)) == f"{a} Work {long} {b}"
+    for part in ("<div class='related-work'><a href=x>More, on this</a></div>", "<div class='story-share'>Share, this</div>", "<div class='related'><p>" + long + "</p></div>",
+                 "<div class='reader-comments'><p>" + long + "</p></div>", "<div class='ad-slot'>Buy</div>"):
+        assert html.main_text(f"<article><p>{a}</p>{part}<p>{b}</p></article>") == f"{a} {b}"
+
+
+def test_html_operator_edges(spark):
+    page = f"<article><p>{words('a', 60)}</p></article>"
+    rows = [(1, page, "own"), (1, page, "own"), (None, None, None), (2, "", "own")]
+    df = spark.createDataFrame(rows, "page_id long, html string, `TEXT` string").withColumn("n_chars", F.lit("own"))
+    out = html.extract_main_text(df).collect()
+    assert sorted((r.text, r.n_chars) for r in out) == sorted([(words("a", 60), len(words("a", 60)))] * 2 + [("", 0)] * 2)
+    assert html.extract_main_text(df.limit(0)).count() == 0
