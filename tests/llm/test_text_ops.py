@@ -177,6 +177,61 @@ def test_repetition_equals_brute_force():
         assert got["covered_share"][i] == pytest.approx(covered / chars)
 
 
+def brute_rules(text):
+    """Base counts and verdict of op2, by plain loops over the whole text."""
+    text = text or ""
+    w = re.findall("[^\x20\x09-\x0d]+", text)
+    n, again, covered, longest = brute_repetition(text, 16)
+    seen, repeated = set(), 0
+    for line in text.split("\n"):
+        if re.search("[^\x20\x09-\x0d]", line):
+            repeated += line in seen
+            seen.add(line)
+    chars = sum(map(len, w))
+    failed = n < 50 or 100 * again > 50 * n
+    return n, chars, sum(c in "#*$%&|<>" for c in text), repeated, again, failed, not failed and covered <= 0.3 * chars and longest <= 50
+
+
+def test_quality_rules_equal_brute_force(spark, tmp_path):
+    rng = random.Random(11)
+    texts = list(ODD[:5]) + ["\x1c \x85 a\u2028b", "#*$ %&|<>\n#*$ %&|<>\n \n \n"]
+    for _ in range(60):
+        vocabulary = [f"{rng.choice(['w', 'é', '#'])}{i}" for i in range(rng.choice([4, 60, 500]))]
+        w = [rng.choice(vocabulary) + rng.choice([" ", "\n", "\t", " \n"]) for _ in range(rng.randrange(220))]
+        if w and rng.random() < 0.5:
+            w += w[: rng.randrange(len(w))]
+        texts.append("".join(w))
+    frame(spark, [*texts, texts[-1]], lang=["x"] * (len(texts) + 1)).write.parquet(f"{tmp_path}/documents.parquet")
+    out = repetition.op2_quality_rules(spark, str(tmp_path)).collect()
+    assert len(out) == len(texts) + 1
+    for r in out:
+        t = texts[min(r.doc_id, len(texts) - 1)]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) == brute_rules(t)
+    assert any(r.kept for r in out) and any(not r.kept and not r.base_failed for r in out)
+    assert repetition.repetition_rules(frame(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_languages_are_those_of_least_size(spark):
+    """Every prediction is the language whose dictionary compresses the whole text best, reckoned anew."""
+    import zstandard as zstd
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    learned = langid.fit_dictionaries(docs.where(langid.fold() != 0))
+    made = {n: zstd.ZstdCompressor(level=3, dict_data=zstd.ZstdCompressionDict(bytes(b for x in c for b in [x] * 4), dict_type=zstd.DICT_TYPE_RAWCONTENT), write_content_size=False) for n, c in learned}
+    order = [n for n, _ in learned]
+    out = {r.doc_id: r for r in langid.op8_language_id(spark, SF).collect()}
+    for r in docs.collect():
+        letters = "".join(c if c.isalpha() else " " for c in (r.text or "").lower())
+        if not letters.strip():
+            assert out[r.doc_id].lang_pred == "und" and out[r.doc_id].score == 0
+            continue
+        data = b"".join(bytes([x] * 4) for x in f" {' '.join(letters.split())} ".encode())
+        sizes = {n: sum(len(made[n].compress(data[i : i + 4096])) for i in range(0, len(data), 4096)) for n in order}
+        ranked = sorted(order, key=lambda n: (sizes[n], order.index(n)))
+        assert out[r.doc_id].lang_pred == ranked[0]
+        assert out[r.doc_id].score == pytest.approx(1 - sizes[ranked[0]] / sizes[ranked[1]])
+
+
 def test_many_secrets_in_one_text(spark, tmp_path):
     rng = random.Random(3)
     body = " ".join(rng.choice([f"é🙂 token: abc{i:07d}", "ab12" * 8, f"secret={'0f' * 14}", "plain words"]) for i in range(1500))
@@ -325,9 +380,9 @@ def test_chat_guards_are_reversible(text):
 
 def test_texts_are_processed_whole(spark):
     long = "w" * 10 + " " + "filler words here " * 60000 + "password = abcdefgh"
-    assert secrets.op1_secret_scans is not None
-    assert base_spans(long)
     df = frame(spark, [long])
+    found = secrets.scan(secrets.unseen(df, None)).first().findings
+    assert [f"{f.kind}:{f.start}:{f.end}" for f in found] == base_spans(long) != []
     assert bpe.bpe_digests(df, bpe.default_vocabulary()).first().n_tokens > 180000
     assert pd.DataFrame(repetition.repetition_stats([long])).n_words[0] == 1 + 180000 + 3
 
