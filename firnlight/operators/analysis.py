@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.arrays import doubles
 from ..functions.filters import median_filter
 from ..functions.scalars import refractive_focusing
+from .along import with_halo
 
 LAYER = ("profile_id", "picknum")
 
@@ -81,10 +82,11 @@ def attenuation_layer(layers: DataFrame, keys: list[str], deming: float | None =
 
 def attenuation_moving(layers: DataFrame, window: int, least: int = 5) -> DataFrame:
     """Attenuation at each trace over all layers of the traces around it; null under ``least`` points."""
-    near = Window.partitionBy("profile_id").orderBy("trace_idx").rangeBetween(-(window // 2), window // 2)
+    half = window // 2
+    near = Window.partitionBy("profile_id", "segment__").orderBy("trace_idx").rangeBetween(-half, half)
     c = slope_columns(near)
-    fitted = layers.select("profile_id", "trace_idx", F.when(c["n"] >= least, -F.try_divide(c["szp"], c["szz"]) / 2).alias("attenuation"))
-    return fitted.groupBy("profile_id", "trace_idx").agg(F.max("attenuation").alias("attenuation"))
+    fitted = with_halo(layers, half, half).select("profile_id", "trace_idx", "owned__", F.when(c["n"] >= least, -F.try_divide(c["szp"], c["szz"]) / 2).alias("attenuation"))
+    return fitted.where("owned__").groupBy("profile_id", "trace_idx").agg(F.max("attenuation").alias("attenuation"))
 
 
 def attenuation_depths(layers: DataFrame, depths: list[float], window: float, least: int = 5) -> DataFrame:
@@ -117,7 +119,8 @@ def trial_rate(stats: dict[str, Column], rates: list[float], target: float, widt
 
     Power corrected by a rate N is p + 2 N z, so its correlation with depth follows
     from the window's regression sums alone. A window resolves the rate if the rates
-    with a correlation below ``width`` span no more than ``target``.
+    with a correlation below ``width`` span no more than ``target``, and if uncorrected
+    power is correlated with depth by more than ``width``.
     """
     szz, spp, szp, n = stats["szz"], stats["spp"], stats["szp"], stats["n"]
 
@@ -127,7 +130,7 @@ def trial_rate(stats: dict[str, Column], rates: list[float], target: float, widt
 
     tried = F.transform(doubles(rates), lambda r, i: F.struct(correlation(r).alias("c"), i.alias("i"), r.alias("rate")))
     near = F.transform(F.filter(tried, lambda x: x["c"] < width), lambda x: x["rate"])
-    resolved = (n >= least) & (szz > 0) & (F.size(near) > 0) & (F.array_max(near) - F.array_min(near) <= target)
+    resolved = (n >= least) & (szz > 0) & (correlation(F.lit(0.0)) > width) & (F.size(near) > 0) & (F.array_max(near) - F.array_min(near) <= target)
     return F.when(resolved, F.array_min(tried)["rate"])
 
 
@@ -196,12 +199,13 @@ def bessel_i0(x: Column, terms: int = 40) -> Column:
 
 def roughness(bed: DataFrame, half: int, wavelength: float) -> DataFrame:
     """RMS deviation of ``height`` from a line over traces [i - half, i + half) and the loss of coherent power from it."""
-    near = Window.partitionBy("profile_id").orderBy("trace_idx").rowsBetween(-half, half - 1)
+    near = Window.partitionBy("profile_id", "segment__").orderBy("trace_idx").rowsBetween(-half, half - 1)
+    bed = with_halo(bed, half, half)
     y, x = F.col("height"), F.col("trace_idx").cast("double")
     n = F.count(y).over(near)
     residual = F.regr_syy(y, x).over(near) - F.try_divide(F.regr_sxy(y, x).over(near) * F.regr_sxy(y, x).over(near), F.regr_sxx(y, x).over(near))
     rms = F.sqrt(F.try_divide(F.greatest(residual, F.lit(0.0)), n - 1))
-    out = bed.withColumn("rms", rms)
+    out = bed.withColumn("rms", rms).where("owned__").drop("segment__", "owned__")
     g = 4 * math.pi * F.col("rms") / wavelength
     i0 = bessel_i0(g * g / 2)
     return out.withColumn("power_loss", F.exp(-g * g) * i0 * i0)

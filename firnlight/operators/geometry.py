@@ -6,25 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def along():
-    return Window.partitionBy("profile_id").orderBy("trace_idx")
+from .along import renumbered, with_neighbour, with_profile, with_running
 
 
 def cumulative_distance(traces: DataFrame) -> DataFrame:
     """``dist`` in km along each profile from projected coordinates."""
-    dx, dy = (F.col(c) - F.lag(c).over(along()) for c in ("x_coord", "y_coord"))
+    after = with_neighbour(traces, "prev__", ["x_coord", "y_coord"])
+    dx, dy = (F.col(c) - F.col("prev__")[c] for c in ("x_coord", "y_coord"))
     step = F.coalesce(F.sqrt(dx * dx + dy * dy), F.lit(0.0)) / 1000
-    return traces.withColumn("step__", step).withColumn("dist", F.sum("step__").over(along())).drop("step__")
+    return with_running(after, d__=step).withColumn("dist", F.col("d__")).drop("prev__", "d__")
 
 
 def cull_stationary(traces: DataFrame, min_movement: float = 1e-2) -> DataFrame:
     """Leave out traces that moved less than ``min_movement`` metres, and take their steps off later distances."""
-    step = F.col("dist") - F.lag("dist").over(along())
-    marked = traces.withColumn("step__", step).withColumn("still__", F.coalesce(F.col("step__") * 1000 < min_movement, F.lit(False)))
-    lost = F.sum(F.when(F.col("still__"), F.col("step__")).otherwise(0.0)).over(along())
-    out = marked.withColumn("dist", F.col("dist") - lost).where(~F.col("still__")).drop("step__", "still__")
-    return out.withColumn("trace_idx", (F.row_number().over(along()) - 1).cast("int"))
+    after = with_neighbour(traces, "prev__", ["dist"])
+    marked = after.withColumn("step__", F.col("dist") - F.col("prev__")["dist"]).withColumn("still__", F.coalesce(F.col("step__") * 1000 < min_movement, F.lit(False)))
+    totals = with_running(marked, lost__=F.when(F.col("still__"), F.col("step__")).otherwise(0.0), n__=(~F.col("still__")).cast("int"))
+    out = totals.withColumn("dist", F.col("dist") - F.col("lost__")).where(~F.col("still__"))
+    return out.withColumn("trace_idx", (F.col("n__") - 1).cast("int")).drop("prev__", "step__", "still__", "lost__", "n__")
 
 
 def interpolate(points: DataFrame, fixes: DataFrame, key: str, at: str, values: list[str], extrapolate: bool = False) -> DataFrame:
@@ -73,7 +72,14 @@ def interpolate(points: DataFrame, fixes: DataFrame, key: str, at: str, values:
 def gps_control(traces: DataFrame, fixes: DataFrame, offset: float = 0.0, extrapolate: bool = False) -> DataFrame:
     """Positions of the traces from GPS fixes at their time; longitudes in [0, 360)."""
     moved = fixes.select("profile_id", (F.col("decday") + offset).alias("decday"), "lat", F.pmod("long", F.lit(360.0)).alias("long"), "elev")
-    return interpolate(traces, moved, "profile_id", "decday", ["lat", "long", "elev"], extrapolate)
+    return placed(traces, moved, "decday", ["lat", "long", "elev"], extrapolate)
+
+
+def placed(traces: DataFrame, fixes: DataFrame, at: str, values: list[str], extrapolate: bool) -> DataFrame:
+    """Traces with interpolated values; their samples stay out of the sort along the profile and are joined back."""
+    names = ["profile_id", "trace_idx", *[at] * (at != "trace_idx")]
+    found = interpolate(traces.select(*names), fixes, "profile_id", at, values, extrapolate).select("profile_id", "trace_idx", *values)
+    return traces.drop(*values).join(found, ["profile_id", "trace_idx"])
 
 
 def offset_scores(traces: DataFrame, fixes: DataFrame, offsets: list[float]) -> DataFrame:
@@ -113,7 +119,7 @@ def clean_gps(traces: DataFrame, values: list[str]) -> DataFrame:
     out = traces
     for v in values:
         known = traces.where(F.col(v).isNotNull()).select("profile_id", "trace_idx", v)
-        out = interpolate(out, known, "profile_id", "trace_idx", [v], extrapolate=True)
+        out = placed(out, known, "trace_idx", [v], extrapolate=True)
     return out
 
 
@@ -121,13 +127,11 @@ def constant_spacing(traces: DataFrame, spacing: float, values: list[str], min_m
     """Traces resampled to a constant spacing in metres along the profile; samples and ``values`` linear.
 
     A grid point lies in exactly one segment between two neighbouring traces, so each
-    trace makes its own points: one window, then row-local work.
+    trace makes its own points: one window over segments, then row-local work.
     """
     moving = cull_stationary(traces, min_movement)
     step = spacing / 1000
-    whole = Window.partitionBy("profile_id")
-    own = F.struct("dist", "samples", *values)
-    base = moving.withColumn("own__", own).withColumn("next__", F.lead("own__").over(along())).withColumn("d0__", F.min("dist").over(whole)).withColumn("d1__", F.max("dist").over(whole))
+    base = with_profile(with_neighbour(moving, "next__", ["dist", "samples", *values], ahead=True), d0__=F.min("dist"))
     low = F.ceil((F.col("dist") - F.col("d0__")) / step - 1e-9)
     high = F.ceil((F.col("next__")["dist"] - F.col("d0__")) / step - 1e-9) - 1
     points = F.when(high >= low, F.sequence(low.cast("int"), high.cast("int")))
@@ -171,16 +175,14 @@ def nearest_velocity(traces: DataFrame, depths: list[float], velocities: list[fl
 
 def drop_without_position(traces: DataFrame, column: str = "decday") -> DataFrame:
     """Leave out traces without a fix and number the rest anew."""
-    kept = traces.where(F.col(column).isNotNull())
-    return kept.withColumn("trace_idx", (F.row_number().over(along()) - 1).cast("int"))
+    return renumbered(traces.where(F.col(column).isNotNull()))
 
 
 def project(traces: DataFrame) -> DataFrame:
     """UTM coordinates in the zone of each profile's mean position, and distances from them."""
     from ..functions.scalars import utm, utm_zone
 
-    whole = Window.partitionBy("profile_id")
-    zoned = traces.withColumn("zone", utm_zone(F.avg("long").over(whole)))
+    zoned = with_profile(traces, mean__=F.avg("long")).withColumn("zone", utm_zone(F.col("mean__"))).drop("mean__")
     x, y, _ = utm(F.col("lat"), F.col("long"), F.col("zone"))
     return cumulative_distance(zoned.withColumn("x_coord", x).withColumn("y_coord", y))
 

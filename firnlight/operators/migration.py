@@ -14,10 +14,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.arrays import doubles
 from ..plans.tables import samples as long_samples
+from .along import with_profile
 
 
 def edge_taper(n: int, width: int) -> np.ndarray:
@@ -28,8 +28,7 @@ def edge_taper(n: int, width: int) -> np.ndarray:
 
 def tapered(traces: DataFrame, across: int, down: int) -> DataFrame:
     """Edge taper over traces and samples; long samples."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("profile_id"))
-    flat = traces.withColumn("n__", n).select("profile_id", "trace_idx", "n__", F.size("samples").alias("m__"), F.posexplode("samples").alias("sample_idx", "v"))
+    flat = with_profile(traces, n__=F.count(F.lit(1))).select("profile_id", "trace_idx", "n__", F.size("samples").alias("m__"), F.posexplode("samples").alias("sample_idx", "v"))
     h = F.least(F.least("trace_idx", F.col("n__") - 1 - F.col("trace_idx")) / across, F.lit(1.0))
     w = F.least(F.least("sample_idx", F.col("m__") - 1 - F.col("sample_idx")) / down, F.lit(1.0))
     return flat.select("profile_id", "trace_idx", "sample_idx", (F.col("v") * h * w).alias("v"))

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.arrays import argmax, argmin
 from ..functions.filters import padding_of, sections, zero_phase
+from .along import with_profile
 
 
 @dataclass(frozen=True)
@@ -68,9 +69,9 @@ def pick_packets(traces: DataFrame, window: PickWindow, midpoint: Column) -> Dat
 def guided_pick(traces: DataFrame, window: PickWindow, start: int, end: int) -> DataFrame:
     """Pick along a straight line from sample ``start`` at the first trace to ``end`` at the last; -9999 as start means end."""
     start = end if start == -9999 else start
-    n = F.count(F.lit(1)).over(Window.partitionBy("profile_id"))
-    marked = traces.withColumn("mid__", F.rint(F.col("trace_idx") * F.lit(float(end - start)) / n) + start)
-    return pick_packets(marked, window, F.col("mid__")).drop("mid__")
+    counted = with_profile(traces, n__=F.count(F.lit(1)))
+    marked = counted.withColumn("mid__", F.rint(F.col("trace_idx") * F.lit(float(end - start)) / F.col("n__")) + start)
+    return pick_packets(marked, window, F.col("mid__")).drop("mid__", "n__")
 
 
 def pick_one(trace: np.ndarray, window: PickWindow, midpoint: float) -> tuple[int, int, int, float]:

@@ -331,7 +331,7 @@ def attenuation_m7(spark, d):
 RATES = [float(k) for k in range(30)]
 TRIED = """c AS (SELECT *, list_transform(range(30), lambda r: abs(coalesce((c + 2 * r * a) / CASE WHEN a * (b + 4 * r * c + 4 * r * r * a) > 0 THEN sqrt(a * (b + 4 * r * c + 4 * r * r * a)) END, 0))) AS t FROM r),
 f AS (SELECT *, list_filter(range(30), lambda r: t[r + 1] < 0.2) AS near FROM c),
-x AS (SELECT *, CASE WHEN n >= 3 AND a > 0 AND len(near) > 0 AND list_max(near) - list_min(near) <= 5 THEN list_position(t, list_min(t)) - 1 END AS rate FROM f)"""
+x AS (SELECT *, CASE WHEN n >= 3 AND a > 0 AND t[1] > 0.2 AND len(near) > 0 AND list_max(near) - list_min(near) <= 5 THEN list_position(t, list_min(t)) - 1 END AS rate FROM f)"""
 
 
 @query("attenuation_m3", f"""

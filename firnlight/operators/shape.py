@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.arrays import first_at_least
+from .along import renumbered, with_profile
 
 GEOMETRY = ("dist", "lat", "long", "elev", "decday", "x_coord", "y_coord", "pressure", "trig")
 
@@ -30,10 +31,10 @@ def crop_time(traces: DataFrame, travel_time: list[float], limit: float, side: s
 
 def crop_pretrigger(traces: DataFrame) -> DataFrame:
     """Shift every trace up by its own trigger; the shared height shrinks by the least trigger of the profile."""
-    least = F.min("trig").over(Window.partitionBy("profile_id"))
-    height = (F.size("samples") - least).cast("int")
+    traces = with_profile(traces, least__=F.min("trig"))
+    height = (F.size("samples") - F.col("least__")).cast("int")
     moved = F.transform(F.sequence(F.lit(0), height - 1), lambda j: F.get("samples", (F.col("trig") + j).cast("int")))
-    return traces.withColumn("samples", F.when(height > 0, moved).otherwise(F.array().cast("array<double>"))).withColumn("trig", F.lit(0))
+    return traces.withColumn("samples", F.when(height > 0, moved).otherwise(F.array().cast("array<double>"))).withColumn("trig", F.lit(0)).drop("least__")
 
 
 def crop_picks(picks: DataFrame, start: int, height: int) -> DataFrame:
@@ -60,20 +61,18 @@ def hcrop(traces: DataFrame, trace_num: int, side: str = "left") -> DataFrame:
     if side == "right":
         return traces.where(F.col("trace_idx") < trace_num - 1)
     kept = traces.where(F.col("trace_idx") >= trace_num - 1)
-    rebased = kept.withColumn("dist", F.col("dist") - F.min("dist").over(Window.partitionBy("profile_id")))
+    rebased = with_profile(kept, start__=F.min("dist")).withColumn("dist", F.col("dist") - F.col("start__")).drop("start__")
     return _renumber(rebased, F.lit(trace_num - 1))
 
 
 def hcrop_distance(traces: DataFrame, limit: float, side: str = "left") -> DataFrame:
     """As :func:`hcrop` at the first trace of each profile whose distance reaches ``limit``."""
-    whole = Window.partitionBy("profile_id")
-    at = F.min(F.when(F.col("dist") >= limit, F.col("trace_idx"))).over(whole)
-    marked = traces.withColumn("at__", at)
+    marked = with_profile(traces, at__=F.min(F.when(F.col("dist") >= limit, F.col("trace_idx"))))
     if side == "right":
         return marked.where(F.col("trace_idx") < F.col("at__")).drop("at__")
     kept = marked.where(F.col("trace_idx") >= F.col("at__"))
-    rebased = kept.withColumn("dist", F.col("dist") - F.min("dist").over(whole))
-    return _renumber(rebased, F.col("at__")).drop("at__")
+    rebased = with_profile(kept, start__=F.min("dist")).withColumn("dist", F.col("dist") - F.col("start__"))
+    return _renumber(rebased, F.col("at__")).drop("at__", "start__")
 
 
 def restack(traces: DataFrame, count: int) -> DataFrame:
@@ -109,10 +108,12 @@ def restack_picks(picks: DataFrame, count: int, snum: int) -> DataFrame:
 
 def reverse(traces: DataFrame) -> DataFrame:
     """Turn every profile around; distances are measured from the new start."""
-    whole = Window.partitionBy("profile_id")
-    out = traces.withColumn("trace_idx", (F.max("trace_idx").over(whole) - F.col("trace_idx")).cast("int"))
+    ends = {"last__": F.max("trace_idx")} | ({"far__": F.max("dist")} if "dist" in traces.columns else {})
+    out = with_profile(traces, **ends)
+    out = out.withColumn("trace_idx", (F.col("last__") - F.col("trace_idx")).cast("int"))
     if "dist" in traces.columns:
-        out = out.withColumn("dist", F.max("dist").over(whole) - F.col("dist"))
+        out = out.withColumn("dist", F.col("far__") - F.col("dist"))
+    out = out.drop(*ends)
     return out.withColumn("trace_num", F.col("trace_idx") + 1) if "trace_num" in traces.columns else out
 
 
@@ -127,28 +128,27 @@ def concat(traces: DataFrame, order: str = "profile_id", name: str = "cat") -> D
     before = Window.orderBy("o__" if order != "profile_id" else "profile_id").rowsBetween(Window.unboundedPreceding, -1)
     shifts = ends.select("profile_id", "first__", F.coalesce(F.sum("n__").over(before), F.lit(0)).alias("n0__"), F.coalesce(F.sum("d__").over(before), F.lit(0.0)).alias("d0__"))
     joined = traces.join(shifts, "profile_id")
-    place = F.row_number().over(Window.partitionBy("profile_id").orderBy("trace_idx")) - 1
     return (
-        joined.withColumn("place__", place).withColumn("trace_idx", (F.col("place__") + F.col("n0__")).cast("int"))
+        renumbered(joined).withColumn("trace_idx", (F.col("trace_idx") + F.col("n0__")).cast("int"))
         .withColumn("dist", F.col("dist") + F.col("d0__")).withColumn("profile_id", F.lit(name))
-        .drop("first__", "n0__", "d0__", "place__")
+        .drop("first__", "n0__", "d0__")
     )
 
 
 def concat_picks(picks: DataFrame, traces: DataFrame) -> DataFrame:
     """Picks of all layers on all traces of the concatenated profiles; null where a profile lacks the layer."""
-    layers = picks.select("picknum").distinct()
-    every = traces.select("profile_id", "trace_idx").join(F.broadcast(layers))  # layers are a handful of numbers
+    # Layers are a handful of numbers: one array that every trace explodes, and no join without a key.
+    layers = picks.agg(F.collect_set("picknum").alias("layers__"))
+    every = traces.select("profile_id", "trace_idx").crossJoin(layers).select("profile_id", "trace_idx", F.explode("layers__").alias("picknum"))
     return every.join(picks, ["profile_id", "trace_idx", "picknum"], "left")
 
 
 def elevation_correct(traces: DataFrame, dt: float, velocity: float = 1.69e8) -> DataFrame:
     """Shift each trace down by its elevation below the highest; missing samples are null."""
-    whole = Window.partitionBy("profile_id")
     dz = dt * velocity / 2
-    down = ((F.max("elev").over(whole) - F.col("elev")) / dz).cast("int")
-    marked = traces.withColumn("down__", down)
-    deepest = F.max("down__").over(whole)
+    ends = with_profile(traces, top__=F.max("elev"), low__=F.min("elev"))
+    marked = ends.withColumn("down__", ((F.col("top__") - F.col("elev")) / dz).cast("int"))
+    deepest = ((F.col("top__") - F.col("low__")) / dz).cast("int")
     none = F.lit(None).cast("double")
     padded = F.concat(F.array_repeat(none, F.col("down__")), F.col("samples"), F.array_repeat(none, F.col("deepest__") - F.col("down__")))
-    return marked.withColumn("deepest__", deepest).withColumn("samples", padded).drop("down__", "deepest__")
+    return marked.withColumn("deepest__", deepest).withColumn("samples", padded).drop("down__", "deepest__", "top__", "low__")
