@@ -1,7 +1,10 @@
 """Command line: convert files, process stored profiles and export picks.
 
     python -m firnlight.cli load KIND PATH OUT
-    python -m firnlight.cli proc IN OUT --dt 1e-8 [--hcrop N] [--restack N] [--rev] [--vbp LOW HIGH] [--hfilt A B] [--nmo SEP V] [--crop A B] [--migrate KIND SPACING V]
+    python -m firnlight.cli proc IN OUT --dt 1e-8 [--hcrop N] [--restack N] [--rev] [--vbp LOW HIGH] [--hfilt A B] [--ahfilt N] [--nmo SEP V] [--denoise V H] [--interp SPACING] [--crop A B] [--migrate KIND SPACING V]
+    python -m firnlight.cli step NAME IN OUT --dt 1e-8 [--args A ...]     one step: agc, rgain, elev, lp, hp, hbp, rev and those of proc
+    python -m firnlight.cli cat IN ... OUT
+    python -m firnlight.cli geolocate IN OUT --gps FIXES [--offset D] [--extrapolate]
     python -m firnlight.cli export IN OUT --picks PICKS --layers 1 2 --dt 1e-8
 """
 
@@ -12,6 +15,14 @@ import argparse
 from pyspark.sql import SparkSession
 
 
+#: Steps by name: the method of a profile, and which of its numbers are whole.
+STEPS = {
+    "agc": ("agc", 1), "rgain": ("gain", 0), "elev": ("elevate", 0), "lp": ("low_pass", 0), "hp": ("high_pass", 0), "hbp": ("horizontal_band_pass", 0),
+    "rev": ("reverse", 0), "hcrop": ("hcrop", 1), "restack": ("restack", 1), "vbp": ("band_pass", 0), "hfilt": ("remove_mean", 2), "ahfilt": ("adaptive", 1),
+    "nmo": ("moveout", 0), "denoise": ("denoise", 2), "interp": ("respace", 0), "crop": ("crop", 2),
+}
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="firnlight")
     sub = p.add_subparsers(dest="command", required=True)
@@ -19,6 +30,8 @@ def parser() -> argparse.ArgumentParser:
     load.add_argument("kind")
     load.add_argument("path")
     load.add_argument("out")
+    load.add_argument("--s-srs", help="system of the files' coordinates, for degrees")
+    load.add_argument("--t-srs", help="system to project degrees to")
     proc = sub.add_parser("proc", help="process stored traces in the fixed order of steps")
     proc.add_argument("path")
     proc.add_argument("out")
@@ -26,9 +39,26 @@ def parser() -> argparse.ArgumentParser:
     proc.add_argument("--hcrop", type=int)
     proc.add_argument("--restack", type=int)
     proc.add_argument("--rev", action="store_true", default=None)
-    for name, n in (("vbp", 2), ("hfilt", 2), ("nmo", 2), ("crop", 2)):
+    proc.add_argument("--ahfilt", type=int)
+    proc.add_argument("--interp", type=float)
+    for name, n in (("vbp", 2), ("hfilt", 2), ("nmo", 2), ("denoise", 2), ("crop", 2)):
         proc.add_argument(f"--{name}", nargs=n, type=float)
     proc.add_argument("--migrate", nargs=3)
+    step = sub.add_parser("step", help="apply one step")
+    step.add_argument("name", choices=sorted(STEPS))
+    step.add_argument("path")
+    step.add_argument("out")
+    step.add_argument("--dt", type=float, required=True)
+    step.add_argument("--args", nargs="*", type=float, default=[])
+    cat = sub.add_parser("cat", help="profiles one after the other")
+    cat.add_argument("paths", nargs="+")
+    cat.add_argument("out")
+    place = sub.add_parser("geolocate", help="positions from GPS fixes, a table of decday, long, lat, elev")
+    place.add_argument("path")
+    place.add_argument("out")
+    place.add_argument("--gps", required=True)
+    place.add_argument("--offset", type=float, default=0.0)
+    place.add_argument("--extrapolate", action="store_true")
     export = sub.add_parser("export", help="write picks as text, a line per trace")
     export.add_argument("path")
     export.add_argument("out")
@@ -40,7 +70,7 @@ def parser() -> argparse.ArgumentParser:
 
 def steps_of(args: argparse.Namespace) -> dict:
     out: dict = {}
-    for name in ("hcrop", "restack"):
+    for name in ("hcrop", "restack", "ahfilt", "interp"):
         if getattr(args, name) is not None:
             out[name] = getattr(args, name)
     if args.rev:
@@ -48,7 +78,7 @@ def steps_of(args: argparse.Namespace) -> dict:
     for name in ("vbp", "nmo"):
         if getattr(args, name):
             out[name] = tuple(getattr(args, name))
-    for name in ("hfilt", "crop"):
+    for name in ("hfilt", "crop", "denoise"):
         if getattr(args, name):
             out[name] = tuple(int(v) for v in getattr(args, name))
     if args.migrate:
@@ -62,7 +92,23 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     if args.command == "load":
         from .sources.binary import load
 
-        load(spark, args.kind, args.path).write.parquet(args.out)
+        load(spark, args.kind, args.path, args.s_srs, args.t_srs).write.parquet(args.out)
+        return
+    if args.command == "cat":
+        from functools import reduce
+
+        from .operators.shape import concat
+
+        parts = [spark.read.parquet(p) for p in args.paths]
+        concat(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)).write.parquet(args.out)
+        return
+    if args.command == "geolocate":
+        from .operators.geometry import gps_control
+        from .sources.text import gps_table
+
+        traces = spark.read.parquet(args.path)
+        fixes = traces.select("profile_id").distinct().crossJoin(gps_table(spark, args.gps))  # one table of fixes for all profiles
+        gps_control(traces, fixes, args.offset, args.extrapolate).write.parquet(args.out)
         return
     traces = spark.read.parquet(args.path)
     first = traces.selectExpr("size(samples) AS n").first()
@@ -71,6 +117,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         from .plans.profile import Profile, process
 
         process(Profile(traces, times, args.dt), **steps_of(args)).traces.write.parquet(args.out)
+    elif args.command == "step":
+        from .plans.profile import Profile
+
+        method, whole = STEPS[args.name]
+        numbers = [int(v) if i < whole else v for i, v in enumerate(args.args)]
+        getattr(Profile(traces, times, args.dt), method)(*numbers).traces.write.parquet(args.out)
     else:
         from .sources.sinks import target, write_csv
 

@@ -8,38 +8,55 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..functions.arrays import doubles
+from ..plans.tables import samples as long_samples
 from .windows import coherence_over, gradient
 
 WINDOWS = {"blackman": np.blackman, "bartlett": np.bartlett, "hamming": np.hamming, "hanning": np.hanning}
 
 
-def dft(samples: Column, n: int, bins: int, length: int | None = None) -> Column:
-    """Array of (re, im) of the first bins of a discrete Fourier transform over ``length`` (padded) samples, as expressions.
+def transformed(df: DataFrame, work, **named: str) -> DataFrame:
+    """Replace ``samples`` by arrays made from them: ``work`` turns a (rows x samples) matrix into a tuple of matrices.
 
-    The table of n cosines serves all bins, as k * s mod length points into it.
+    ``named``: the new columns and the kinds of their elements, in the order of the
+    tuple. Rows are transformed where they are, in Arrow batches; rows of equal
+    length go together, nulls among samples count as zero, and null samples give null.
     """
-    length = length or n
-    cos, sin = doubles(np.cos(2 * np.pi * np.arange(length) / length)), doubles(np.sin(2 * np.pi * np.arange(length) / length))
-
-    def one(k: Column) -> Column:
-        def part(table: Column) -> Column:
-            return F.aggregate(F.transform(samples, lambda v, s: v * F.get(table, F.pmod(k * s, F.lit(length)))), F.lit(0.0), lambda acc, v: acc + v)
-
-        return F.struct(part(cos).alias("re"), (-part(sin)).alias("im"))
-
-    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), one)
+    keep = [c for c in df.columns if c != "samples"]
+    picked = df.select(*keep, "samples")
+    schema = StructType([*picked.schema.fields[:-1], *StructType.fromDDL(", ".join(f"{n} array<{k}>" for n, k in named.items())).fields])
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.column(len(keep))
+            sizes = np.nan_to_num(pc.list_value_length(rows).to_numpy(zero_copy_only=False), nan=-1).astype(int)
+            out: list[list] = [[None] * batch.num_rows for _ in named]
+            for n in np.unique(sizes[sizes >= 0]):
+                at = np.flatnonzero(sizes == n)
+                flat = rows.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
+                made = work(np.nan_to_num(flat.astype(float)).reshape(len(at), n))
+                for column, matrix in zip(out, made):
+                    for i, row in zip(at.tolist(), matrix):
+                        column[i] = row
+            arrays = [batch.column(i) for i in range(len(keep))] + [pa.array(c, pa.list_(pa.float64())) for c in out]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *named])
+
+    return picked.mapInArrow(run, schema)
 
 
 def range_convert(chirps: DataFrame, bandwidth: float, centre: float, rate: float, speed: float, pad: int = 2, max_range: float = 4000.0,
                   window: str = "blackman", beta: float | None = None, snum: int = 64) -> DataFrame:
     """Complex range profile of each chirp, a row per range bin: sample_idx, range, re, im, fine.
 
-    Row-local expressions; all bins are kept where no range exceeds ``max_range``.
+    Row-local; all bins are kept where no range exceeds ``max_range``.
     """
     if window == "kaiser":
         if beta is None:
@@ -53,15 +70,16 @@ def range_convert(chirps: DataFrame, bandwidth: float, centre: float, rate: floa
     keep = int((ranges <= max_range).sum())
     phase = 2 * np.pi * centre * delay - rate * delay**2 / 2
     scale = math.sqrt(2 * pad) / snum / math.sqrt(np.mean(weights**2))
-    w = doubles(weights)
-    mean = F.aggregate("samples", F.lit(0.0), lambda acc, v: acc + v) / snum
-    flat = chirps.withColumn("windowed__", F.zip_with(F.transform("samples", lambda v: v - mean), w, lambda v, x: v * x))
-    spectrum = dft(F.col("windowed__"), snum, keep, pad * snum)
-    out = flat.select(*[c for c in chirps.columns if c != "samples"], F.posexplode(spectrum).alias("sample_idx", "z"))
-    c, s = F.get(doubles(np.cos(phase[:keep])), F.col("sample_idx")), F.get(doubles(np.sin(phase[:keep])), F.col("sample_idx"))
-    z = F.col("z")
-    re, im = (z["re"] * c + z["im"] * s) * scale, (z["im"] * c - z["re"] * s) * scale
-    out = out.withColumn("re", re).withColumn("im", im).withColumn("range", F.get(doubles(ranges[:keep]), F.col("sample_idx"))).drop("z")
+    turn = np.exp(-1j * phase[:keep]) * scale
+
+    def work(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        z = np.fft.rfft((x - x.mean(1, keepdims=True)) * weights, pad * snum)[:, :keep] * turn
+        return z.real, z.imag
+
+    bins = F.posexplode(F.arrays_zip("re", "im"))
+    flat = transformed(chirps, work, re="double", im="double").select(*[c for c in chirps.columns if c != "samples"], bins.alias("sample_idx", "z"))
+    out = flat.withColumn("re", F.col("z.re")).withColumn("im", F.col("z.im")).drop("z")
+    out = out.withColumn("range", F.col("sample_idx") * F.lit(float(ranges[1])))
     wavelength = speed / centre
     return out.withColumn("fine", F.atan2("im", "re") / (4 * math.pi / wavelength - 4 * F.col("range") * rate / speed**2))
 
@@ -191,37 +209,38 @@ def phase_uncertainty(profile: DataFrame, bed_range: float, seed: int = 0) -> Da
 
 def vertical_spectrum(traces: DataFrame, dt: float, snum: int) -> DataFrame:
     """Mean power of each frequency (MHz) over all traces of a profile; rows are transformed where they are."""
-    flat = traces.select("profile_id", F.posexplode(dft(F.col("samples"), snum, snum // 2)).alias("bin", "z"))
-    power = F.avg(F.col("z")["re"] * F.col("z")["re"] + F.col("z")["im"] * F.col("z")["im"])
-    return flat.groupBy("profile_id", "bin").agg(power.alias("power")).withColumn("mhz", F.col("bin") / (snum * dt) / 1e6)
+    power = transformed(traces.select("profile_id", "samples"), lambda x: (np.abs(np.fft.rfft(x, snum)[:, : snum // 2]) ** 2,), power="double")
+    flat = power.select("profile_id", F.posexplode("power").alias("bin", "p"))
+    return flat.groupBy("profile_id", "bin").agg(F.avg("p").alias("power")).withColumn("mhz", F.col("bin") / (snum * dt) / 1e6)
 
 
 def periodogram(traces: DataFrame, dt: float, snum: int, scaling: str = "spectrum") -> DataFrame:
     """One-sided periodogram of each trace less its mean, boxcar window."""
-    mean = F.aggregate("samples", F.lit(0.0), lambda acc, v: acc + v) / snum
-    centred = traces.withColumn("c__", F.transform("samples", lambda v: v - mean))
-    bins = snum // 2 + 1
-    flat = centred.select("profile_id", "trace_idx", F.posexplode(dft(F.col("c__"), snum, bins)).alias("bin", "z"))
-    power = F.col("z")["re"] * F.col("z")["re"] + F.col("z")["im"] * F.col("z")["im"]
-    scale = 1 / snum**2 if scaling == "spectrum" else dt / snum
-    twice = F.when((F.col("bin") == 0) | ((F.col("bin") == bins - 1) & F.lit(snum % 2 == 0)), 1.0).otherwise(2.0)
-    return flat.select("profile_id", "trace_idx", "bin", (power * scale * twice).alias("power"), (F.col("bin") / (snum * dt)).alias("hz"))
+    twice = np.full(snum // 2 + 1, 2.0)
+    twice[0] = 1.0
+    if snum % 2 == 0:
+        twice[-1] = 1.0
+    scale = twice * (1 / snum**2 if scaling == "spectrum" else dt / snum)
+    power = transformed(traces.select("profile_id", "trace_idx", "samples"), lambda x: (np.abs(np.fft.rfft(x - x.mean(1, keepdims=True), snum)) ** 2 * scale,), power="double")
+    flat = power.select("profile_id", "trace_idx", F.posexplode("power").alias("bin", "power"))
+    return flat.withColumn("hz", F.col("bin") / (snum * dt))
 
 
-def horizontal_spectrum(traces: DataFrame, spacing: float, bins: int) -> DataFrame:
-    """Mean power over samples of the first bins of a transform along the traces, with their wavelengths.
+def horizontal_spectrum(traces: DataFrame, spacing: float) -> DataFrame:
+    """Mean power over samples of every frequency along the traces from 0 on, with its wavelength.
 
-    Every trace adds its share to each bin: partial sums of samples x bins, never a whole profile in a task.
+    A group holds one number a trace: the traces of one sample. Their powers are
+    averaged over samples in partial sums.
     """
-    n = F.count(F.lit(1)).over(Window.partitionBy("profile_id"))
-    base = traces.withColumn("n__", n).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    angle = 2 * math.pi * F.pmod(F.col("bin") * F.col("trace_idx"), F.col("n__")) / F.col("n__")
-    turned = base.withColumn("c__", F.cos(angle)).withColumn("s__", F.sin(angle))
-    flat = turned.select("profile_id", "bin", "n__", "c__", "s__", F.posexplode("samples").alias("sample_idx", "v"))
-    sums = flat.groupBy("profile_id", "bin", "n__", "sample_idx").agg(F.sum(F.col("v") * F.col("c__")).alias("re"), F.sum(F.col("v") * F.col("s__")).alias("im"))
-    power = F.avg(F.col("re") * F.col("re") + F.col("im") * F.col("im"))
-    return sums.groupBy("profile_id", "bin", "n__").agg(power.alias("power")).select(
-        "profile_id", "bin", "power", F.when(F.col("bin") > 0, F.lit(spacing) * F.col("n__") / F.col("bin")).alias("wavelength"))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.nan_to_num(pdf.sort_values("trace_idx")["v"].to_numpy(float))
+        power = np.abs(np.fft.fft(v)[: (len(v) + 1) // 2]) ** 2
+        return pd.DataFrame({"profile_id": pdf["profile_id"].iloc[0], "bin": np.arange(len(power), dtype=np.int32), "n": len(v), "power": power})
+
+    flat = long_samples(traces, "profile_id", "trace_idx")
+    powers = flat.groupBy("profile_id", "sample_idx").applyInPandas(run, "profile_id string, bin int, n long, power double")
+    wavelength = F.when(F.col("bin") > 0, F.lit(spacing) * F.max("n") / F.col("bin"))
+    return powers.groupBy("profile_id", "bin").agg(F.avg("power").alias("power"), wavelength.alias("wavelength"))
 
 
 def chirp_header(header: Column, clock: float = 1e9, eps: float = 3.18) -> dict[str, Column]:

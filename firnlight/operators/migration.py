@@ -1,9 +1,10 @@
 """Migration of radargrams.
 
 Kirchhoff migration sums along hyperbolas and is a join of outputs with the
-traces in their aperture. The frequency-wavenumber methods transform a whole
-profile: one profile is then one group and must fit one worker (10,000 x 10,000
-doubles are 0.8 GB); profiles run in parallel.
+traces in their aperture. Stolt's and Gazdag's methods go by columns: along the
+traces sample by sample, then wavenumber by wavenumber, and back. Only the
+migration with velocities that vary across a profile has it as one group, which
+must fit one worker (10,000 x 10,000 doubles are 0.8 GB); profiles run in parallel.
 """
 
 from __future__ import annotations
@@ -45,8 +46,8 @@ def time_gradient(traces: DataFrame, step: float) -> DataFrame:
     return traces.withColumn("samples", F.transform("samples", slope))
 
 
-def kirchhoff(traces: DataFrame, travel_time: list[float], spacing: float, velocity: float = 1.69e8, aperture: int | None = None) -> DataFrame:
-    """Kirchhoff migration in the far field; long samples.
+def kirchhoff(traces: DataFrame, travel_time: list[float], spacing: float, velocity: float = 1.69e8, aperture: int | None = None, nearfield: bool = False) -> DataFrame:
+    """Kirchhoff migration in the far field, and on request with the near-field term; long samples.
 
     Each input trace contributes an array to the output traces of its aperture
     (all of them, if none is given); contributions are added up in partial sums by
@@ -56,7 +57,8 @@ def kirchhoff(traces: DataFrame, travel_time: list[float], spacing: float, veloc
     output and are not joined with it.
     """
     dt = travel_time[1] - travel_time[0]
-    graded = time_gradient(traces, dt * 1e-6)
+    graded = time_gradient(traces.withColumn("heard__", F.col("samples")) if nearfield else traces, dt * 1e-6)
+    raw = ["heard__"] if nearfield else []
     n = traces.groupBy("profile_id").agg(F.count(F.lit(1)).alias("n__"))
     heard = math.floor(velocity * travel_time[-1] * 1e-6 / 2 / spacing) + 1
     reach = F.lit(heard if aperture is None else min(aperture, heard))
@@ -67,12 +69,15 @@ def kirchhoff(traces: DataFrame, travel_time: list[float], spacing: float, veloc
     depth = doubles([velocity * t * 1e-6 / 2 for t in travel_time])
     x2 = F.pow((F.col("trace_idx") - F.col("out__")) * spacing, F.lit(2.0))
     # A row a term: columns are compiled, while functions within a transform are interpreted.
-    terms = spread.select("profile_id", "out__", "samples", x2.alias("x2__"), F.posexplode(depth).alias("sample_idx", "z__"))
+    terms = spread.select("profile_id", "out__", "samples", *raw, x2.alias("x2__"), F.posexplode(depth).alias("sample_idx", "z__"))
     terms = terms.withColumn("r__", F.sqrt(F.col("x2__") + F.col("z__") * F.col("z__")))
     z, r = F.col("z__"), F.col("r__")
     at = F.rint((2 * r / velocity * 1e6 - travel_time[0]) / dt).cast("int")
-    value = F.when(2 * r / velocity * 1e6 <= travel_time[-1], F.get("samples", at)).otherwise(0.0)
-    c = F.when(r > 0, value * z / r / velocity).otherwise(F.coalesce(value, F.lit(0.0)) / velocity)
+    inside = (2 * r / velocity * 1e6 <= travel_time[-1]) & (r > 0)  # at the surface itself the angle is not defined
+    term = F.get("samples", at) / velocity
+    if nearfield:
+        term = term + F.get("heard__", at) / (r * r)
+    c = F.when(inside, term * z / r).otherwise(0.0)
     out = terms.groupBy("profile_id", "out__", "sample_idx").agg((F.sum(c) / (2 * math.pi)).alias("v"))
     return out.withColumnRenamed("out__", "trace_idx")
 
@@ -87,44 +92,67 @@ def whole_profile(traces: DataFrame, work) -> DataFrame:
     return traces.select("profile_id", "trace_idx", "samples").groupBy("profile_id").applyInPandas(run, "profile_id string, trace_idx int, samples array<double>")
 
 
-def stolt_matrix(data: np.ndarray, dt: float, spacing: float, velocity: float, across: int = 10, down: int = 10) -> np.ndarray:
-    """Stolt's mapping of frequency to vertical wavenumber at a constant velocity."""
-    n, m = data.shape
-    x = data * edge_taper(m, across)[None, :] * edge_taper(n, down)[:, None]
-    spec = np.fft.fft2(x)
+def by_wavenumber(traces: DataFrame, work, spacing: float, across: int, down: int) -> DataFrame:
+    """Taper, transform along the traces, apply ``work`` to each wavenumber, transform back; long samples.
+
+    Three shuffles: by sample, by wavenumber and by sample again. A group holds one
+    number for each trace or for each sample, never a profile. ``work`` takes a
+    complex column over time and its wavenumber.
+    """
+    columns = "profile_id string, sample_idx int, k int, kx double, re double, im double"
+
+    def forward(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.nan_to_num(pdf.sort_values("trace_idx")["v"].to_numpy(float))
+        z = np.fft.fft(v)
+        return pd.DataFrame({"profile_id": pdf["profile_id"].iloc[0], "sample_idx": pdf["sample_idx"].iloc[0], "k": np.arange(len(z), dtype=np.int32),
+                             "kx": 2 * np.pi * np.fft.fftfreq(len(z), spacing), "re": z.real, "im": z.imag})
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("sample_idx")
+        z = work(pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy(), float(pdf["kx"].iloc[0]))
+        return pdf.assign(re=z.real, im=z.imag)
+
+    def back(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k")
+        v = np.fft.ifft(pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()).real
+        return pd.DataFrame({"profile_id": pdf["profile_id"].iloc[0], "trace_idx": np.arange(len(v), dtype=np.int32), "sample_idx": pdf["sample_idx"].iloc[0], "v": v})
+
+    spectra = tapered(traces, across, down).groupBy("profile_id", "sample_idx").applyInPandas(forward, columns)
+    moved = spectra.groupBy("profile_id", "k").applyInPandas(inside, columns)
+    return moved.groupBy("profile_id", "sample_idx").applyInPandas(back, "profile_id string, trace_idx int, sample_idx int, v double")
+
+
+def stolt_column(column: np.ndarray, kx: float, dt: float, velocity: float) -> np.ndarray:
+    """Stolt's mapping of frequency to vertical wavenumber at a constant velocity, for one horizontal wavenumber."""
+    n = len(column)
+    spec = np.fft.fft(column)
     omega = 2 * np.pi * np.fft.fftfreq(n, dt)
-    kx = 2 * np.pi * np.fft.fftfreq(m, spacing)
     kz = omega * 2 / velocity
     order = np.argsort(omega)
-    out = np.zeros_like(spec)
-    for j in range(m):
-        wanted = np.sign(kz) * velocity / 2 * np.sqrt(kz**2 + kx[j] ** 2)
-        column = spec[order, j]
-        value = np.interp(wanted, omega[order], column.real, 0, 0) + 1j * np.interp(wanted, omega[order], column.imag, 0, 0)
-        root = np.sqrt(kx[j] ** 2 + kz**2)
-        out[:, j] = value * np.divide(np.abs(kz), root, out=np.zeros(n), where=root > 0)
-    out[0, 0] = 0
-    return np.fft.ifft2(out).real
-
-
-def phase_shift_matrix(data: np.ndarray, dt: float, spacing: float, velocity, across: int = 10, down: int = 10) -> np.ndarray:
-    """Gazdag's phase shift; ``velocity`` constant or one value per output time."""
-    n, m = data.shape
+    root = np.sqrt(kx**2 + kz**2)
+    wanted = np.sign(kz) * velocity / 2 * root
+    value = np.interp(wanted, omega[order], spec.real[order], 0, 0) + 1j * np.interp(wanted, omega[order], spec.imag[order], 0, 0)
+    out = value * np.divide(np.abs(kz), root, out=np.zeros(n), where=root > 0)
+    if kx == 0:
+        out[0] = 0
+    return np.fft.ifft(out)
+
+
+def phase_shift_column(column: np.ndarray, kx: float, dt: float, velocity) -> np.ndarray:
+    """Gazdag's phase shift for one horizontal wavenumber; ``velocity`` constant or one value per output time."""
+    n = len(column)
     speed = np.broadcast_to(np.asarray(velocity, float), (n,))
-    x = data * edge_taper(m, across)[None, :] * edge_taper(n, down)[:, None]
     size = 1 << (2 * n - 1).bit_length()
-    spec = np.fft.fft2(x, (size, m))
-    omega = 2 * np.pi * np.fft.fftfreq(size, dt)[:, None]
-    kx = 2 * np.pi * np.fft.fftfreq(m, spacing)[None, :]
-    image = np.zeros((n, m), complex)
-    phase = np.ones_like(spec)
+    field = np.fft.fft(column, size)
+    omega = 2 * np.pi * np.fft.fftfreq(size, dt)
+    image = np.zeros(n, complex)
     for i in range(n):
-        image[i] = (spec * phase).sum(0) / size
+        image[i] = field.sum() / size
         with np.errstate(divide="ignore", invalid="ignore"):
             cos2 = 1 - (speed[i] * kx / (2 * omega)) ** 2
         inside = np.isfinite(cos2) & (cos2 > 0)
-        phase = np.where(inside, phase * np.exp(1j * omega * dt * np.sqrt(np.where(inside, cos2, 0))), 0)
-    return np.fft.ifft(image, axis=1).real
+        field = np.where(inside, field * np.exp(1j * omega * dt * np.sqrt(np.where(inside, cos2, 0))), 0)
+    return image
 
 
 def finite_difference_matrix(data: np.ndarray, dt: float, spacing: float, velocity: np.ndarray, across: int = 10, down: int = 10) -> np.ndarray:
@@ -148,18 +176,20 @@ def finite_difference_matrix(data: np.ndarray, dt: float, spacing: float, veloci
     return image
 
 
-def migrate(traces: DataFrame, kind: str, travel_time: list[float], spacing: float, velocity=1.68e8, across: int = 10, down: int = 10) -> DataFrame:
+def migrate(traces: DataFrame, kind: str, travel_time: list[float], spacing: float, velocity=1.68e8, across: int = 10, down: int = 10, nearfield: bool = False) -> DataFrame:
     """Migrate every profile: kirch, stolt, phsh (velocity may vary in time), ffd (and across), tk (taper only)."""
     dt = (travel_time[1] - travel_time[0]) * 1e-6
     if kind == "kirch":
-        return kirchhoff(traces, travel_time, spacing, velocity)
+        return kirchhoff(traces, travel_time, spacing, velocity, nearfield=nearfield)
     if kind == "tk":
         return tapered(traces, across, down)
-    work = {"stolt": stolt_matrix, "phsh": phase_shift_matrix, "ffd": finite_difference_matrix}.get(kind)
-    if work is None:
-        raise ValueError(f"unknown migration {kind}" + ("; it needs the external seismic tools" if kind.startswith("su") else ""))
-    moved = whole_profile(traces, lambda x: work(x, dt, spacing, velocity, across, down))
-    return long_samples(moved, "profile_id", "trace_idx")
+    if kind in ("stolt", "phsh"):
+        work = {"stolt": stolt_column, "phsh": phase_shift_column}[kind]
+        return by_wavenumber(traces, lambda z, kx: work(z, kx, dt, velocity), spacing, across, down)
+    if kind == "ffd":
+        moved = whole_profile(traces, lambda x: finite_difference_matrix(x, dt, spacing, velocity, across, down))
+        return long_samples(moved, "profile_id", "trace_idx")
+    raise ValueError(f"unknown migration {kind}" + ("; it needs the external seismic tools" if kind.startswith("su") else ""))
 
 
 def velocity_profile(table: list[tuple[float, float]], travel_time: list[float]) -> np.ndarray:

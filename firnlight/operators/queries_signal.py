@@ -130,11 +130,11 @@ def vertical_spectrum(spark, d):
 
 
 @query("horizontal_spectrum", f"""
-WITH {S}, n AS (SELECT count(*) AS n FROM tr), b AS (SELECT unnest(range(8))::INT AS b),
+WITH {S}, n AS (SELECT count(*) AS n FROM tr), b AS (SELECT unnest(range((n + 1) // 2))::INT AS b FROM n),
 f AS (SELECT b, k, n, sum(v * cos(2 * pi() * (b * i % n) / n)) AS re, sum(v * sin(2 * pi() * (b * i % n) / n)) AS im FROM s, b, n GROUP BY ALL)
 SELECT b AS bin, round(avg(re * re + im * im), 4) + 0.0 AS power, CASE WHEN b > 0 THEN round(any_value(2.0 * n / b), 6) + 0.0 END AS wavelength FROM f GROUP BY b""")
 def horizontal_spectrum(spark, d):
-    return R.horizontal_spectrum(traces(spark, d), 2.0, 8).select("bin", (F.round("power", 4) + F.lit(0.0)).alias("power"), r6("wavelength").alias("wavelength"))
+    return R.horizontal_spectrum(traces(spark, d), 2.0).select("bin", (F.round("power", 4) + F.lit(0.0)).alias("power"), r6("wavelength").alias("wavelength"))
 
 
 @query("periodogram", f"""
@@ -385,7 +385,7 @@ g AS (SELECT p, i, j, (a[least(j + 1, 63) + 1] - a[greatest(j - 1, 0) + 1]) / ((
 o AS (SELECT t.p, t.i AS o, j AS z, 1.69e8::DOUBLE * (0.01::DOUBLE * j) * 1e-6::DOUBLE / 2 AS d FROM t, j),
 r AS (SELECT o.p, o.o, o.z, o.d, t.i, sqrt(((t.i - o.o) * 0.5::DOUBLE) * ((t.i - o.o) * 0.5::DOUBLE) + o.d * o.d) AS r FROM o JOIN t ON o.p = t.p),
 h AS (SELECT *, round_even((2 * r / 1.69e8::DOUBLE * 1e6) / 0.01::DOUBLE, 0)::INT AS at FROM r WHERE 2 * r / 1.69e8::DOUBLE * 1e6 <= 0.63::DOUBLE)
-SELECT h.p AS profile_id, h.o::INT AS trace_idx, z AS sample_idx, round(sum(g.g * CASE WHEN r > 0 THEN d / r ELSE 1 END / 1.69e8::DOUBLE) / (2 * pi()), 4) + 0.0 AS v
+SELECT h.p AS profile_id, h.o::INT AS trace_idx, z AS sample_idx, round(sum(g.g * CASE WHEN r > 0 THEN d / r ELSE 0 END / 1.69e8::DOUBLE) / (2 * pi()), 4) + 0.0 AS v
 FROM h JOIN g ON g.p = h.p AND g.i = h.i AND g.j = h.at WHERE h.p = '3' AND h.o < 20 GROUP BY 1, 2, 3""")
 def kirchhoff_small(spark, d):
     out = M.kirchhoff(_small(spark, d).where("profile_id = '3'"), travel_time(), 0.5)
@@ -398,7 +398,7 @@ g AS (SELECT p, i, j, (a[least(j + 1, 63) + 1] - a[greatest(j - 1, 0) + 1]) / ((
 o AS (SELECT t.p, t.i AS o, j AS z, 1.69e8::DOUBLE * (0.01::DOUBLE * j) * 1e-6::DOUBLE / 2 AS d FROM t, j),
 r AS (SELECT o.p, o.o, o.z, o.d, t.i, sqrt(((t.i - o.o) * 0.5::DOUBLE) * ((t.i - o.o) * 0.5::DOUBLE) + o.d * o.d) AS r FROM o JOIN t ON o.p = t.p),
 h AS (SELECT *, round_even((2 * r / 1.69e8::DOUBLE * 1e6) / 0.01::DOUBLE, 0)::INT AS at FROM r WHERE 2 * r / 1.69e8::DOUBLE * 1e6 <= 0.63::DOUBLE)
-SELECT h.p AS profile_id, h.o::INT AS trace_idx, z AS sample_idx, round(sum(g.g * CASE WHEN r > 0 THEN d / r ELSE 1 END / 1.69e8::DOUBLE) / (2 * pi()), 4) + 0.0 AS v
+SELECT h.p AS profile_id, h.o::INT AS trace_idx, z AS sample_idx, round(sum(g.g * CASE WHEN r > 0 THEN d / r ELSE 0 END / 1.69e8::DOUBLE) / (2 * pi()), 4) + 0.0 AS v
 FROM h JOIN g ON g.p = h.p AND g.i = h.i AND g.j = h.at GROUP BY 1, 2, 3""")
 def kirchhoff(spark, d):
     out = M.kirchhoff(_small(spark, d), travel_time(), 0.5)

@@ -103,43 +103,69 @@ def range_gain(traces: DataFrame, travel_time: list[float], slope: float) -> Dat
     return traces.withColumn("samples", gained)
 
 
-def wiener(traces: DataFrame, vertical: int = 1, horizontal: int = 10) -> DataFrame:
+def around(column: str, size: int, value) -> Column:
+    """For each sample an array of ``value`` over ``size`` samples, from size // 2 before it on; row-local."""
+    steps = F.sequence(F.lit(-(size // 2)), F.lit(size - 1 - size // 2))
+    return F.transform(column, lambda v, k: F.transform(steps, lambda d: value(k + d)))
+
+
+def wiener(traces: DataFrame, vertical: int = 1, horizontal: int = 10, noise: float | None = None) -> DataFrame:
     """Wiener denoising over a window of traces and samples; beyond the edges counts as zero.
 
-    Returns long samples. ``vertical`` must be 1: rows of samples are then independent.
+    Sums over samples are made within each trace, and those over traces by a window
+    of one number a trace. ``noise``: power of the noise, by default the mean of
+    the local variances of the profile. Returns long samples.
     """
-    if vertical != 1:
-        raise ValueError("only windows of one sample in height run without the whole matrix")
     left, right = -(horizontal // 2), horizontal - 1 - horizontal // 2
     near = Window.partitionBy(*ALONG).orderBy("trace_idx").rowsBetween(left, right)
-    flat = long_samples(traces, "profile_id", "trace_idx")
+    if vertical == 1:
+        flat = long_samples(traces, "profile_id", "trace_idx").withColumn("s__", F.col("v")).withColumn("q__", F.col("v") * F.col("v"))
+    else:
+        def there(k: Column) -> Column:
+            return F.when(k >= 0, F.coalesce(F.get("samples", k), F.lit(0.0))).otherwise(0.0)
+
+        sums = F.transform(around("samples", vertical, there), lambda a: F.struct(
+            F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v).alias("s"), F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v * v).alias("q")))
+        rows = F.posexplode(F.arrays_zip(F.col("samples").alias("v"), sums.alias("z"))).alias("sample_idx", "x")
+        flat = traces.select("profile_id", "trace_idx", rows).select("profile_id", "trace_idx", "sample_idx", F.col("x.v").alias("v"), F.col("x.z.s").alias("s__"), F.col("x.z.q").alias("q__"))
+    size = vertical * horizontal
     stats = (
-        flat.withColumn("m__", F.sum("v").over(near) / horizontal)
-        .withColumn("q__", F.sum(F.col("v") * F.col("v")).over(near) / horizontal - F.col("m__") * F.col("m__"))
+        flat.withColumn("m__", F.sum("s__").over(near) / size)
+        .withColumn("q__", F.sum("q__").over(near) / size - F.col("m__") * F.col("m__"))
     )
-    noise = stats.groupBy("profile_id").agg(F.avg("q__").alias("noise__"))
-    joined = stats.join(noise, "profile_id")
+    if noise is None:
+        level = stats.groupBy("profile_id").agg(F.avg("q__").alias("noise__"))
+        joined = stats.join(level, "profile_id")
+    else:
+        joined = stats.withColumn("noise__", F.lit(float(noise)))
     out = F.when(F.col("q__") < F.col("noise__"), F.col("m__")).otherwise(F.col("m__") + (1 - F.col("noise__") / F.col("q__")) * (F.col("v") - F.col("m__")))
     return joined.select("profile_id", "trace_idx", "sample_idx", out.alias("v"))
 
 
-def median_filter(traces: DataFrame, width: int) -> DataFrame:
-    """Median over an odd number of neighbouring traces, the edge mirrored; long samples.
+def median_filter(traces: DataFrame, width: int, height: int = 1) -> DataFrame:
+    """Median over neighbouring traces and samples, the edges mirrored; long samples.
 
-    The frame is collected and sorted, for medians take no moving frames; it holds ``width`` values.
+    The frame is collected and sorted, for medians take no moving frames; it holds
+    ``width`` times ``height`` values.
     """
-    half = width // 2
     whole = Window.partitionBy(*ALONG)
-    flat = long_samples(traces, "profile_id", "trace_idx").withColumn("n__", F.count(F.lit(1)).over(whole))
-    near = F.collect_list(F.struct("trace_idx", "v")).over(whole.orderBy("trace_idx").rowsBetween(-width, width))
+    last = F.size("samples") - 1
+
+    def mirrored(k: Column) -> Column:
+        return F.get("samples", F.when(k < 0, -k - 1).when(k > last, 2 * last + 1 - k).otherwise(k))
+
+    columns = traces.select("profile_id", "trace_idx", F.posexplode(around("samples", height, mirrored)).alias("sample_idx", "a"))
+    flat = columns.withColumn("n__", F.count(F.lit(1)).over(whole))
+    near = F.collect_list(F.struct("trace_idx", "a")).over(whole.orderBy("trace_idx").rowsBetween(-width, width))
     framed = flat.withColumn("f__", near)
 
-    def value(step: int) -> Column:
+    def values(step: int) -> Column:
         at = F.col("trace_idx") + step
-        mirrored = F.when(at < 0, -at - 1).when(at >= F.col("n__"), 2 * F.col("n__") - 1 - at).otherwise(at)
-        return F.filter("f__", lambda x: x["trace_idx"] == mirrored)[0]["v"]
+        there = F.when(at < 0, -at - 1).when(at >= F.col("n__"), 2 * F.col("n__") - 1 - at).otherwise(at)
+        return F.filter("f__", lambda x: x["trace_idx"] == there)[0]["a"]
 
-    return framed.select("profile_id", "trace_idx", "sample_idx", F.sort_array(F.array(*[value(s) for s in range(-half, half + 1)]))[half].alias("v"))
+    every = F.sort_array(F.flatten(F.array(*[values(s) for s in range(-(width // 2), width - width // 2)])))
+    return framed.select("profile_id", "trace_idx", "sample_idx", every[width * height // 2].alias("v"))
 
 
 def gradient(value: Column, along: Column, window) -> Column:

@@ -53,6 +53,37 @@ class Profile:
     def remove_mean(self, first: int, last: int) -> Profile:
         return self._with("hfilt", (first, last), traces=windows.remove_mean_trace(self.traces, list(self.travel_time), first, last))
 
+    def adaptive(self, width: int) -> Profile:
+        return self._with("ahfilt", width, traces=windows.adaptive_filter(self.traces, list(self.travel_time), width))
+
+    def _from_long(self, flag: str, value, flat: DataFrame) -> Profile:
+        """The profile with its samples replaced by long ones."""
+        arrays = windows.to_arrays(flat, "profile_id", "trace_idx")
+        return self._with(flag, value, traces=self.traces.drop("samples").join(arrays, ["profile_id", "trace_idx"]))
+
+    def denoise(self, vertical: int = 1, horizontal: int = 10, noise: float | None = None, kind: str = "wiener") -> Profile:
+        if kind == "median":
+            return self._from_long("denoise", (vertical, horizontal), windows.median_filter(self.traces, horizontal, vertical))
+        if kind != "wiener":
+            raise ValueError(f"unknown filter {kind}")
+        return self._from_long("denoise", (vertical, horizontal), windows.wiener(self.traces, vertical, horizontal, noise))
+
+    def high_pass(self, wavelength: float, spacing: float) -> Profile:
+        return self._from_long("hp", wavelength, filters.high_pass(self.traces, wavelength, spacing))
+
+    def low_pass(self, wavelength: float, spacing: float) -> Profile:
+        return self._from_long("lp", wavelength, filters.low_pass(self.traces, wavelength, spacing))
+
+    def horizontal_band_pass(self, short: float, long: float, spacing: float) -> Profile:
+        return self._from_long("hbp", (short, long), filters.horizontal_band_pass(self.traces, short, long, spacing))
+
+    def elevate(self, velocity: float = 1.69e8) -> Profile:
+        """Correct for elevation; the shared vectors keep the profile's own samples, as every trace now has more."""
+        return self._with("elev", velocity, traces=shape.elevation_correct(self.traces, self.dt, velocity))
+
+    def locate(self, fixes: DataFrame, offset: float = 0.0, extrapolate: bool = False) -> Profile:
+        return self._with("geolocate", offset, traces=geometry.gps_control(self.traces, fixes, offset, extrapolate))
+
     def gain(self, slope: float) -> Profile:
         return self._with("rgain", slope, traces=windows.range_gain(self.traces, list(self.travel_time), slope))
 
@@ -69,8 +100,7 @@ class Profile:
 
     def migrate(self, kind: str, spacing: float, velocity: float = 1.68e8) -> Profile:
         flat = migration.migrate(self.traces, kind, list(self.travel_time), spacing, velocity)
-        arrays = windows.to_arrays(flat, "profile_id", "trace_idx")
-        return self._with("mig", kind, traces=self.traces.drop("samples").join(arrays, ["profile_id", "trace_idx"]))
+        return self._from_long("mig", kind, flat)
 
     def validate(self) -> list[str]:
         """What is wrong with the profile; an empty list if nothing is. One pass over the traces."""
@@ -91,7 +121,7 @@ class Profile:
 #: Steps in the order in which they are applied, whatever order they are asked for.
 ORDER: dict[str, Callable] = {
     "hcrop": Profile.hcrop, "restack": Profile.restack, "rev": Profile.reverse, "vbp": Profile.band_pass, "hfilt": Profile.remove_mean,
-    "nmo": Profile.moveout, "interp": Profile.respace, "crop": Profile.crop, "migrate": Profile.migrate,
+    "ahfilt": Profile.adaptive, "nmo": Profile.moveout, "denoise": Profile.denoise, "interp": Profile.respace, "crop": Profile.crop, "migrate": Profile.migrate,
 }
 
 

@@ -3,7 +3,8 @@
 Every reader goes through Spark's ``binaryFile`` source, so paths are what Spark
 can open, one file is one row, and files are parsed in parallel. A reader returns
 one row per trace; what belongs to the file as a whole is repeated on its traces.
-Files that cannot be parsed give no traces; ``strict`` raises instead.
+A file that cannot be parsed raises; only on request (``strict=False``) are such
+files passed over.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 TRACES = """profile_id string, fn string, trace_idx int, trace_num int, snum int, dt double, trig double, chan string, decday double,
@@ -35,8 +37,8 @@ def traces_of(path: str, data: np.ndarray, dt: float, **columns) -> pd.DataFrame
     return out[NAMES]
 
 
-def read_files(spark: SparkSession, path: str, parse: Callable[[str, bytes], pd.DataFrame], strict: bool = False) -> DataFrame:
-    """One row per trace of the files at ``path``."""
+def read_files(spark: SparkSession, path: str, parse: Callable[[str, bytes], pd.DataFrame], strict: bool = True) -> DataFrame:
+    """One row per trace of the files at ``path``; without ``strict`` files that do not parse are passed over."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -132,12 +134,18 @@ def write_segy(samples: np.ndarray, interval: int) -> bytes:
 
 
 def parse_wheel(magnets: int = 1, diameter: float = 0.5, level: float = 0.1) -> Callable[[str, bytes], pd.DataFrame]:
-    """A stream of records f4, u2, i2, f4, f4, u2, u2 and so many u2 samples; distances from a wheel's counts."""
+    """A stream of records f4, u2, i2, f4, f4, u2, u2 and so many u2 samples; distances from a wheel's counts.
+
+    A record holds time, count, pressure, vertical and horizontal step, averages and
+    length. The step is the median of the records', pressures are differences from
+    the first, and the trigger is where the mean trace first rises by more than
+    ``level`` of its largest amplitude in a sample (0 if it never does).
+    """
     def parse(path: str, raw: bytes) -> pd.DataFrame:
-        at, times, counts, rows = 0, [], [], []
+        at, times, counts, pressures, steps, rows = 0, [], [], [], [], []
         head = struct.Struct("<fHhffHH")
         while at + head.size <= len(raw):
-            time, wheel, _, _, _, _, n = head.unpack_from(raw, at)
+            time, wheel, pressure, _, step, _, n = head.unpack_from(raw, at)
             at += head.size
             if at + 2 * n > len(raw):
                 break
@@ -145,12 +153,16 @@ def parse_wheel(magnets: int = 1, diameter: float = 0.5, level: float = 0.1) ->
             at += 2 * n
             times.append(time)
             counts.append(wheel)
+            pressures.append(pressure)
+            steps.append(step)
         if not rows:
             raise ValueError("no records")
         data = np.stack(rows, 1)
-        steep = np.abs(np.gradient(data.mean(1)))
-        trig = int(np.flatnonzero(steep > level * steep.max())[0]) if steep.max() > 0 else 0
-        return traces_of(path, data, 1e-8, decday=np.array(times, float), dist=np.array(counts) * np.pi * diameter / magnets, trig=float(trig))
+        mean = data.mean(1)
+        steep = np.flatnonzero(np.abs(np.gradient(mean)) > level * np.abs(mean).max())
+        dist = np.array(counts) * np.pi * diameter / magnets
+        return traces_of(path, data, float(np.median(steps)), decday=np.array(times, float), dist=dist, trig=float(steep[0]) if len(steep) else 0.0,
+                         pressure=np.array(pressures, float) - pressures[0], trace_int=np.gradient(dist) if len(dist) > 1 else np.zeros(1))
 
     return parse
 
@@ -202,11 +214,51 @@ def split_project(blob: bytes) -> dict[str, bytes]:
 GATED = {"gprMax": "h5py", "bsi": "h5py", "delores": "h5py", "UoA_h5": "h5py", "UoA_mat": "h5py", "mcords_nc": "netCDF4"}
 
 
-def load(spark: SparkSession, kind: str, path: str, **options) -> DataFrame:
+def with_coordinates(traces: DataFrame, s_srs: str | None = None, t_srs: str | None = None) -> DataFrame:
+    """Degrees from x_coord and y_coord in ``s_srs``, then x_coord and y_coord in ``t_srs`` from degrees.
+
+    Systems: EPSG:326zz and EPSG:327zz (UTM), for ``t_srs`` also utm (the zone of
+    each profile's mean), EPSG:3031, EPSG:3413 and EPSG:3995 (polar stereographic).
+    """
+    from ..functions.scalars import polar_stereographic, utm, utm_inverse
+    from ..operators.geometry import project
+
+    def zone_of(name: str) -> tuple[int, bool]:
+        code = name.upper().removeprefix("EPSG:")
+        if len(code) != 5 or code[:3] not in ("326", "327") or not 1 <= int(code[3:]) <= 60:
+            raise ValueError(f"unknown coordinate system {name}")
+        return int(code[3:]), code[:3] == "326"
+
+    if s_srs is not None:
+        zone, north = zone_of(s_srs)
+        lat, long = utm_inverse(F.col("x_coord"), F.col("y_coord"), F.lit(zone), north)
+        traces = traces.withColumns({"lat": lat, "long": long})
+    if t_srs is None:
+        return traces
+    polar = {"EPSG:3031": (-71.0, 0.0), "EPSG:3413": (70.0, -45.0), "EPSG:3995": (71.0, 0.0)}.get(t_srs.upper())
+    if polar:
+        x, y = polar_stereographic(F.col("lat"), F.col("long"), *polar)
+    elif t_srs.lower() == "utm":
+        return project(traces)
+    else:
+        zone, north = zone_of(t_srs)
+        x, y, _ = utm(F.col("lat"), F.col("long"), F.lit(zone))
+        y = y - F.when(F.col("lat") < 0, 10_000_000.0).otherwise(0.0) + (0.0 if north else 10_000_000.0)
+    return traces.withColumns({"x_coord": x, "y_coord": y})
+
+
+def load(spark: SparkSession, kind: str, path: str, s_srs: str | None = None, t_srs: str | None = None, **options) -> DataFrame:
+    """The traces of files of a kind, with coordinates from ``s_srs`` and in ``t_srs`` on request."""
+    return with_coordinates(load_files(spark, kind, path, **options), s_srs, t_srs)
+
+
+def load_files(spark: SparkSession, kind: str, path: str, **options) -> DataFrame:
     """Read files of a kind: gssi, pe, ramac, segy, tek, apres, osu, seidart, mat, stomat, mcords_mat, parquet; others name the missing library."""
     from . import matlab as ML
     from . import text as T
 
+    strict = options.pop("strict", True)
+
     if kind in GATED:
         raise ImportError(f"files of kind {kind} need {GATED[kind]}, which is not installed")
     if kind == "parquet":
@@ -214,14 +266,14 @@ def load(spark: SparkSession, kind: str, path: str, **options) -> DataFrame:
     if kind == "osu":
         return T.read_trace_texts(spark, path)
     if kind == "pe":
-        return read_files(spark, path, parse_dt1(options["header"]))
+        return read_files(spark, path, parse_dt1(options["header"]), strict)
     if kind == "ramac":
-        return read_files(spark, path, parse_rd3(options["samples"], options["window_ns"]))
+        return read_files(spark, path, parse_rd3(options["samples"], options["window_ns"]), strict)
     if kind == "seidart":
-        return read_files(spark, path, parse_simulation(options["dt"]))
+        return read_files(spark, path, parse_simulation(options["dt"]), strict)
     parse = {"mat": ML.parse_native, "stomat": ML.parse_native, "mcords_mat": ML.parse_sounder, "gssi": parse_dzt, "segy": parse_segy, "tek": parse_wheel(**options) if kind == "tek" else None, "apres": parse_bursts}.get(kind)
     if parse is None:
         raise ValueError(f"unknown kind {kind}")
-    return read_files(spark, path, parse)
+    return read_files(spark, path, parse, strict)
 
 

@@ -20,8 +20,8 @@ def key_values(lines: list[str], separator: str = "=") -> dict[str, str]:
 
 
 def header(spark: SparkSession, path: str, separator: str = "=") -> dict[str, str]:
-    """The keys of one small header file; a header is a few dozen lines."""
-    return key_values([r[0] for r in spark.read.text(path).limit(1000).collect()], separator)
+    """The keys of one header file, read whole, so that its lines keep their order."""
+    return key_values([line for r in spark.read.text(path, wholetext=True).collect() for line in r[0].splitlines()], separator)
 
 
 def sentences(spark: SparkSession, path: str, mark: str, number: str) -> DataFrame:

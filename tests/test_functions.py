@@ -11,6 +11,7 @@ from firnlight.operators import analysis, migration, moveout
 from firnlight.operators import picks as P
 from firnlight.operators.filters import band_pass_operator, corner
 from firnlight.sources import binary
+from tests.whole_matrix import phase_shift_matrix, stolt_matrix
 
 
 def gain(sos, w):
@@ -83,7 +84,7 @@ def test_migrations_focus_a_point():
         k = round(t / dt)
         if k < n:
             data[k, j] = 1
-    for f in (migration.stolt_matrix, migration.phase_shift_matrix):
+    for f in (stolt_matrix, phase_shift_matrix):
         out = f(data, dt, dx, v)
         at = np.unravel_index(np.abs(out).argmax(), out.shape)
         assert abs(at[0] - z0) <= 2 and abs(at[1] - x0) <= 2

@@ -6,11 +6,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from firnlight.operators import filters, geometry, migration, shape, windows
+from firnlight.functions import filters as N
+from firnlight.operators import along, analysis, filters, geometry, migration, shape, windows
 from firnlight.operators import picks as P
 from firnlight.plans.profile import Profile, process
 from firnlight.sources import binary, sinks, text
 from firnlight.streaming import stacks
+from tests.whole_matrix import phase_shift_matrix, stolt_matrix
 
 
 @pytest.fixture(scope="module")
@@ -122,7 +124,9 @@ def test_sources_and_sinks(spark, small, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/line.DZT").write_bytes(bytes(head) + data.tobytes())
     (tmp_path / "in/broken.DZT").write_bytes(b"x")
-    got = binary.load(spark, "gssi", f"file://{tmp_path}/in")
+    with pytest.raises(Exception, match="unpack_from"):  # a damaged file raises
+        binary.load(spark, "gssi", f"file://{tmp_path}/in").count()
+    got = binary.load(spark, "gssi", f"file://{tmp_path}/in", strict=False)
     assert got.count() == 4 and got.first().profile_id == "line"
     with pytest.raises(ImportError):
         binary.load(spark, "gprMax", "x")
@@ -203,5 +207,189 @@ def test_kirchhoff_equals_brute_force(spark):
                 for i in range(len(x)):
                     r = np.hypot((i - o) * spacing, depth)
                     if 2 * r / v * 1e6 <= times[-1]:
-                        total += slope[i, round(2 * r / v * 1e6 / 0.01)] * (depth / r if r > 0 else 1) / v
+                        total += slope[i, round(2 * r / v * 1e6 / 0.01)] * (depth / r if r > 0 else 0) / v  # no angle at the surface itself
                 assert got[p, o, z] == pytest.approx(total / (2 * np.pi), rel=1e-9, abs=1e-9)
+
+
+def test_values_along_profiles_in_segments(spark):
+    rng = np.random.default_rng(0)
+    rows = [(p, i, float(rng.normal())) for p, n in (("a", 50), ("b", 1), ("c", 23)) for i in range(n) if rng.random() < 0.8 or i == 0]
+    df = spark.createDataFrame(rows, "profile_id string, trace_idx int, v double").repartition(3)
+    out = along.with_neighbour(along.with_neighbour(df, "before", ["v"], segment=7), "after", ["trace_idx", "v"], ahead=True, segment=5)
+    out = along.with_running(out, segment=6, total=F.col("v"), n=F.lit(1))
+    got = {(r.profile_id, r.trace_idx): r for r in out.collect()}
+    assert len(got) == len(rows)
+    for p in "abc":
+        own = [r for r in rows if r[0] == p]
+        total = 0.0
+        for k, (_, i, v) in enumerate(own):
+            r, total = got[p, i], total + v
+            assert (r.before.v if r.before else None) == (own[k - 1][2] if k else None)
+            assert (r.after.trace_idx if r.after else None) == (own[k + 1][1] if k + 1 < len(own) else None)
+            assert r.total == pytest.approx(total) and r.n == k + 1
+    again = along.renumbered(df, segment=4)
+    assert sorted((r.profile_id, r.trace_idx) for r in again.collect()) == sorted((p, k) for p in "abc" for k in range(sum(r[0] == p for r in rows)))
+
+
+def test_windows_reach_over_the_edges_of_segments(spark):
+    n = along.SEGMENT + 300
+    df = spark.range(n).select(F.lit("p").alias("profile_id"), F.col("id").cast("int").alias("trace_idx"), (F.sin("id") * 5 + F.col("id") % 7).alias("height"))
+    got = {r.trace_idx: r.rms for r in analysis.roughness(df, 20, 50.0).where(f"trace_idx > {n - 400}").collect()}
+    h = np.sin(np.arange(n)) * 5 + np.arange(n) % 7
+    for i in range(n - 399, n):
+        x = np.arange(max(i - 20, 0), min(i + 20, n))
+        line = np.polyval(np.polyfit(x - i, h[x], 1), x - i)
+        assert got[i] == pytest.approx(np.sqrt(((h[x] - line) ** 2).sum() / (len(x) - 1)), rel=1e-6)
+
+
+def test_constant_spacing_over_many_segments(spark):
+    n = 3 * along.SEGMENT
+    df = spark.range(n).select(F.lit("p").alias("profile_id"), F.col("id").cast("int").alias("trace_idx"), (F.col("id") * 0.001).alias("dist"), F.array(F.col("id").cast("double")).alias("samples"))
+    out = geometry.constant_spacing(df, 2.5, []).orderBy("trace_idx").collect()
+    assert [r.trace_idx for r in out] == list(range(len(out))) and len(out) == int((n - 1) / 2.5) + 1
+    assert all(r.samples[0] == pytest.approx(2.5 * r.trace_idx, abs=1e-6) for r in out)
+
+
+def matrix_of(spark, x, profile="p"):
+    return spark.createDataFrame([(profile, i, [float(v) for v in x[:, i]]) for i in range(x.shape[1])], "profile_id string, trace_idx int, samples array<double>")
+
+
+def as_matrix(flat, shape):
+    out = np.full(shape, np.nan)
+    for r in flat.collect():
+        out[r.sample_idx, r.trace_idx] = r.v
+    return out
+
+
+def test_migrations_by_columns_equal_whole_matrices(spark):
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(24, 17)), rng.normal(size=(24, 8))
+    t = [0.01 * k for k in range(24)]
+    both = matrix_of(spark, x).union(matrix_of(spark, y, "q"))
+    speed = np.linspace(1.6e8, 2e8, 24)
+    for kind, whole, v in (("stolt", stolt_matrix, 1.68e8), ("phsh", phase_shift_matrix, 1.68e8), ("phsh", phase_shift_matrix, speed)):
+        out = migration.migrate(both, kind, t, 0.5, v, 4, 3)
+        for p, data in (("p", x), ("q", y)):
+            assert as_matrix(out.where(F.col("profile_id") == p), data.shape) == pytest.approx(whole(data, 1e-8, 0.5, v, 4, 3), abs=1e-9)
+
+
+@pytest.mark.parametrize("nearfield", [False, True])
+def test_kirchhoff_equals_the_sum_over_hyperbolas(spark, nearfield):
+    x = np.random.default_rng(2).normal(size=(12, 9))
+    t, v, dx = np.arange(12) * 1e-8, 1.69e8, 0.4
+    grad, out = np.gradient(x, t, axis=0), np.zeros_like(x)
+    for i in range(9):
+        for k in range(12):
+            for j in range(9):
+                r = np.hypot((j - i) * dx, v * t[k] / 2)
+                if r > 0 and 2 * r / v <= t[-1]:
+                    at = int(np.abs(t - 2 * r / v).argmin())
+                    cos = v * t[k] / 2 / r
+                    out[k, i] += grad[at, j] * cos / v + (x[at, j] * cos / r**2 if nearfield else 0)
+    got = migration.migrate(matrix_of(spark, x), "kirch", (t * 1e6).tolist(), dx, v, nearfield=nearfield)
+    assert as_matrix(got, x.shape) == pytest.approx(out / (2 * np.pi), rel=1e-6, abs=1e-6)
+
+
+@pytest.mark.parametrize(("vertical", "horizontal"), [(1, 10), (3, 4), (4, 5)])
+def test_denoising_over_traces_and_samples(spark, vertical, horizontal):
+    x = np.random.default_rng(3).normal(size=(9, 13))
+    df = matrix_of(spark, x)
+    mean, square, mid = (np.zeros_like(x) for _ in range(3))
+    for k in range(9):
+        for i in range(13):
+            ks, js = (np.arange(c - s // 2, c + s - s // 2) for c, s in ((k, vertical), (i, horizontal)))
+            box = np.array([[x[a, b] if 0 <= a < 9 and 0 <= b < 13 else 0.0 for b in js] for a in ks])
+            mean[k, i], square[k, i] = box.mean(), (box**2).mean()
+            mirror = lambda a, n: -a - 1 if a < 0 else 2 * n - 1 - a if a >= n else a
+            mid[k, i] = sorted(x[mirror(a, 9), mirror(b, 13)] for a in ks for b in js)[vertical * horizontal // 2]
+    var = square - mean**2
+    for noise in (None, 0.7):
+        level = var.mean() if noise is None else noise
+        want = np.where(var < level, mean, mean + (1 - level / var) * (x - mean))
+        assert as_matrix(windows.wiener(df, vertical, horizontal, noise), x.shape) == pytest.approx(want)
+    assert as_matrix(windows.median_filter(df, horizontal, vertical), x.shape) == pytest.approx(mid)
+
+
+def test_horizontal_filters_follow_every_sample(spark):
+    x = np.random.default_rng(4).normal(size=(3, 120)).cumsum(1)
+    df = matrix_of(spark, x).repartition(5)
+    for out, corners, order, kind in (
+        (filters.high_pass(df, 50.0, 2.0), [2 / 25], 5, "high"), (filters.low_pass(df, 50.0, 2.0), [2 / 25], 3, "low"),
+        (filters.horizontal_band_pass(df, 20.0, 100.0, 2.0), [2 / 50, 2 / 10], 5, "bandpass")):
+        whole = N.zero_phase(N.sections(order, corners, kind), x.T, N.padding_of(order, kind)).T
+        assert as_matrix(out, x.shape) == pytest.approx(whole, abs=1e-8)
+
+
+def test_picks_followed_and_smoothed_query_wide(spark):
+    x = np.random.default_rng(5).normal(size=(64, 90))
+    window = P.PickWindow.of(10.0, 1e-8, 64)
+    got = {(r.picknum, r.trace_idx): (r.samp1, r.samp2, r.samp3) for r in P.auto_pick(matrix_of(spark, x), window, [(1, 30, 25), (2, 0, 40)]).collect()}
+    half = window.length // 2 + 1
+    for number, seed, start in ((1, 30, 25), (2, 0, 40)):
+        for way in (1, -1):
+            mid = start
+            for i in range(seed, 90) if way > 0 else range(seed, -1, -1):
+                top, centre, bottom, _ = P.pick_one(x[:, i], window, mid)
+                assert got[number, i] == (top, centre, bottom)
+                mid = min(max((top + bottom) // 2, half), max(64 - half, half))
+    layer = [(("p"), 1, i, None if i in (40, 41, 50) else float(20.0 + 5 * np.sin(i))) for i in range(90)]
+    picks = spark.createDataFrame([(p, n, i, s, s, s) for p, n, i, s in layer], "profile_id string, picknum int, trace_idx int, samp1 double, samp2 double, samp3 double")
+    smooth = {r.trace_idx: r.samp2 for r in P.smooth_picks(picks, 6).collect()}
+    pad = N.padding_of(3, "low")
+    for low, high in ((0, 40), (42, 50), (51, 90)):
+        run = np.array([layer[i][3] for i in range(low, high)])
+        want = np.round(N.zero_phase(N.sections(3, [2 / 6], "low"), run[:, None], pad)[:, 0]) if len(run) > pad else run
+        assert [smooth[i] for i in range(low, high)] == pytest.approx(want.tolist())
+    assert smooth[40] is None and smooth[50] is None
+
+
+def test_attenuation_needs_uncorrected_correlation(spark):
+    rng = np.random.default_rng(6)
+    z = np.tile(np.linspace(0.1, 0.5, 20), 20)
+    rows = [("p", n, i, float(z[i]), float(db[i])) for n, db in ((1, -2 * 10 * z + rng.normal(size=400) * 0.05), (2, rng.normal(size=400))) for i in range(400)]
+    layers = spark.createDataFrame(rows, "profile_id string, picknum int, trace_idx int, z double, db double")
+    out = analysis.attenuation_growing(layers, [float(k) for k in range(30)], 5.0, 0.3, (100,)).where("trace_idx between 60 and 340").collect()
+    assert all(r.attenuation == 10.0 for r in out if r.picknum == 1) and all(r.attenuation is None for r in out if r.picknum == 2)
+
+
+def test_wheel_records(spark):
+    rec = b"".join(struct.pack("<fHhffHH", 10.5 + k, 2 * k, 7 + k, 0.5, 2e-9, 1, 5) + np.array([512, 512, 520, 612, 512], "<u2").tobytes() for k in range(3))
+    tek = binary.parse_wheel()("x.DAT", rec)
+    assert tek.dt[0] == pytest.approx(2e-9) and tek.pressure.tolist() == [0, 1, 2] and tek.decday.tolist() == [10.5, 11.5, 12.5]
+    assert tek.trig[0] == 2 and tek.trace_int.tolist() == pytest.approx([np.pi] * 3)  # slopes 0, 4, 50, -4, -100; the level is 10
+
+
+def test_headers_are_read_whole(spark, tmp_path):
+    (tmp_path / "h.hd").write_text("\n".join(f"K{i} = {i}" for i in range(3000)))
+    keys = text.header(spark, f"file://{tmp_path}/h.hd")
+    assert len(keys) == 3000 and keys["K2999"] == "2999"
+
+
+def test_coordinates_on_load(spark, small, tmp_path):
+    small.withColumn("lat", F.lit(-75.0) + F.col("trace_idx") * 0.01).withColumn("long", F.lit(10.0)).write.parquet(f"file://{tmp_path}/t")
+    plane = binary.load(spark, "parquet", f"file://{tmp_path}/t", t_srs="EPSG:32732")
+    r = plane.orderBy("trace_idx").first()
+    assert 3e5 < r.x_coord < 7e5 and 1e6 < r.y_coord < 2e6
+    plane.drop("lat", "long").write.parquet(f"file://{tmp_path}/u")
+    back = binary.load(spark, "parquet", f"file://{tmp_path}/u", s_srs="EPSG:32732", t_srs="EPSG:3031").orderBy("trace_idx").first()
+    assert (back.lat, back.long) == (pytest.approx(-75.0), pytest.approx(10.0)) and back.y_coord > 1e6
+    with pytest.raises(ValueError):
+        binary.load(spark, "parquet", f"file://{tmp_path}/t", t_srs="EPSG:1")
+
+
+def test_steps_of_the_command_line(spark, small, tmp_path):
+    from firnlight import cli
+
+    at = f"file://{tmp_path}"
+    small.withColumn("decday", F.col("trace_idx").cast("double")).write.parquet(f"{at}/in")
+    for name, args in (("agc", ["4"]), ("rgain", ["2.5"]), ("elev", []), ("rev", []), ("denoise", ["1", "3"]), ("ahfilt", ["4"])):
+        cli.main(["step", name, f"{at}/in", f"{at}/{name}", "--dt", "1e-8", "--args", *args], spark)
+        assert spark.read.parquet(f"{at}/{name}").count() == 12
+    cli.main(["proc", f"{at}/in", f"{at}/proc", "--dt", "1e-8", "--ahfilt", "4", "--denoise", "1", "3", "--crop", "1", "5"], spark)
+    assert spark.read.parquet(f"{at}/proc").selectExpr("max(size(samples)) AS n").first().n == 4
+    cli.main(["cat", f"{at}/in", f"{at}/rev", f"{at}/cat"], spark)
+    assert spark.read.parquet(f"{at}/cat").count() == 24
+    (tmp_path / "gps.txt").write_text("".join(f"{k} {k * 2.0} {-80 + k} 100\n" for k in range(12)))
+    cli.main(["geolocate", f"{at}/in", f"{at}/geo", "--gps", f"{at}/gps.txt", "--offset", "0.5"], spark)
+    geo = {r.trace_idx: r for r in spark.read.parquet(f"{at}/geo").collect()}
+    assert geo[4].lat == pytest.approx(-76.5) and len(geo[4].samples) == 8

@@ -42,6 +42,27 @@ def test_query_gives_rows(spark, name):
     assert catalog.queries()[name](spark, SF).count() > 0
 
 
+def windows_of(plan):
+    """Every window of a plan, as (has partition keys, carries arrays)."""
+    out, waiting = [], [plan]
+    while waiting:
+        node = waiting.pop()
+        if node.nodeName() == "Window":
+            columns = node.output()
+            kinds = [columns.apply(i).dataType().typeName() for i in range(columns.size())]
+            out.append((not node.partitionSpec().isEmpty(), "array" in kinds))
+        children = node.children()
+        waiting += [children.apply(i) for i in range(children.size())]
+    return out
+
+
+def test_no_window_gathers_the_samples_of_all_traces(spark):
+    """A window without keys in the optimised plan is one task; none may carry samples there."""
+    bad = [name for name, q in sorted(catalog.queries().items())
+           if any(arrays and not keys for keys, arrays in windows_of(q(spark, SF)._jdf.queryExecution().optimizedPlan()))]
+    assert bad == []
+
+
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
