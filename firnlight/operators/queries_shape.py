@@ -175,3 +175,20 @@ r AS (SELECT s.i, k, CASE WHEN i + o < 0 THEN -(i + o) - 1 WHEN i + o >= n THEN
 SELECT r.i AS trace_idx, r.k AS sample_idx, round(median(s.v), 6) + 0.0 AS v FROM r JOIN s ON s.i = r.j AND s.k = r.k GROUP BY 1, 2""")
 def median_denoise(spark, d):
     return windows.median_filter(traces(spark, d), 3).select("trace_idx", "sample_idx", r6("v").alias("v"))
+
+
+@query("wiener_box", f"""
+WITH {S}, b AS (SELECT i, k, v, sum(v) OVER w AS s, sum(v * v) OVER w AS q FROM s WINDOW w AS (PARTITION BY i ORDER BY k ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+q AS (SELECT i, k, v, sum(s) OVER w / 12 AS m, sum(q) OVER w / 12 - (sum(s) OVER w / 12) * (sum(s) OVER w / 12) AS q FROM b
+  WINDOW w AS (PARTITION BY k ORDER BY i ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)), n AS (SELECT avg(q) AS n FROM q)
+SELECT i AS trace_idx, k AS sample_idx, round(CASE WHEN q < n THEN m ELSE m + (1 - n / q) * (v - m) END, 6) + 0.0 AS v FROM q, n""")
+def wiener_box(spark, d):
+    return windows.wiener(traces(spark, d), 3, 4).select("trace_idx", "sample_idx", r6("v").alias("v"))
+
+
+@query("median_box", f"""
+WITH {S}, n AS (SELECT max(i) + 1 AS n FROM tr), o AS (SELECT unnest([-1, 0, 1]) AS o), u AS (SELECT unnest([-1, 0, 1]) AS u),
+r AS (SELECT s.i, k, CASE WHEN i + o < 0 THEN -(i + o) - 1 WHEN i + o >= n THEN 2 * n - 1 - (i + o) ELSE i + o END AS j, CASE WHEN k + u < 0 THEN 0 WHEN k + u > 63 THEN 63 ELSE k + u END AS l FROM s, n, o, u)
+SELECT r.i AS trace_idx, r.k AS sample_idx, round(median(s.v), 6) + 0.0 AS v FROM r JOIN s ON s.i = r.j AND s.k = r.l GROUP BY 1, 2""")
+def median_box(spark, d):
+    return windows.median_filter(traces(spark, d), 3, 3).select("trace_idx", "sample_idx", r6("v").alias("v"))

@@ -195,6 +195,15 @@ def strain_rate(spark, d):
     return out.select("pair_id", (F.round("strain", 8) + F.lit(0.0)).alias("strain"), r6("w0").alias("w0"), (F.round("r2", 5) + F.lit(0.0)).alias("r2"))
 
 
+@query("difference_chain", f"""
+WITH {UNWRAP.replace('3 PRECEDING AND 2 FOLLOWING', '10 PRECEDING AND 9 FOLLOWING').replace('near < 0.3', 'near < 0.9')}
+SELECT pair_id, round(regr_slope(w, rg), 8) + 0.0 AS strain, round(regr_intercept(w, rg), 6) + 0.0 AS w0 FROM df WHERE rg > 10 AND rg < 200 GROUP BY 1""")
+def difference_chain(spark, d):
+    pair = _pairs(spark, d).withColumn("range", (F.col("sample_idx") - 4) * 10.0)
+    _, strain = R.difference_chain(pair, 8, 2, 0.56, 2e8, 1.68e8, 10.0, 200.0)
+    return strain.select("pair_id", (F.round("strain", 8) + F.lit(0.0)).alias("strain"), r6("w0").alias("w0"))
+
+
 @query("chirp_stack", f"WITH {S}, a AS (SELECT *, i // 10 AS q, row_number() OVER (PARTITION BY i // 10, k ORDER BY i) AS n FROM s) SELECT q::INT AS acq_id, k AS sample_idx, round(avg(v), 6) + 0.0 AS v FROM a WHERE n <= 6 GROUP BY 1, 2")
 def chirp_stack(spark, d):
     return R.stack_chirps(_chirps(spark, d), 6).withColumn("v", r6("v"))
@@ -218,6 +227,18 @@ def range_conversion(spark, d):
     return out.select("acq_id", "burst", "chirp", "sample_idx", r6("range").alias("range"), r6("re").alias("re"), r6("im").alias("im"))
 
 
+@query("single_chain", f"""
+WITH {S}, w AS (SELECT unnest(range(64)) AS k, unnest({_values(W64)}) AS w), c AS (SELECT i, s.k, (v - avg(v) OVER (PARTITION BY i)) * w AS v FROM s JOIN w ON s.k = w.k),
+b AS (SELECT unnest(range(64))::INT AS b), f AS (SELECT i, b, sum(v * cos(2 * pi() * (b * k % 128) / 128)) AS re, -sum(v * sin(2 * pi() * (b * k % 128) / 128)) AS im FROM c, b GROUP BY 1, 2),
+p AS (SELECT *, b / 4e8 AS tau FROM f), q AS (SELECT *, 2 * pi() * 3e8 * tau - 6e9 * tau * tau / 2 AS ph, dense_rank() OVER (PARTITION BY i // 10, b ORDER BY i) AS n FROM p)
+SELECT (i // 10)::INT AS acq_id, b AS sample_idx, round(avg(tau) * 0.84e8, 6) + 0.0 AS range,
+  round(avg(re * cos(ph) + im * sin(ph)) * {math.sqrt(4) / 64 / math.sqrt(np.mean(W64**2))!r}, 6) + 0.0 AS re, round(avg(im * cos(ph) - re * sin(ph)) * {math.sqrt(4) / 64 / math.sqrt(np.mean(W64**2))!r}, 6) + 0.0 AS im
+FROM q WHERE n <= 6 GROUP BY 1, 2""")
+def single_chain(spark, d):
+    out = R.single_chain(_chirps(spark, d), 10.0, 6, bandwidth=2e8, centre=3e8, rate=6e9, speed=1.68e8)
+    return out.select("acq_id", "sample_idx", r6("range").alias("range"), r6("re").alias("re"), r6("im").alias("im"))
+
+
 THETAS = [k * math.pi / 9 for k in range(10)]
 
 
@@ -383,13 +404,13 @@ def _by():
 WITH {TR}, t AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY i) - 1 AS i, a FROM tr), j AS (SELECT unnest(range(64))::INT AS j),
 g AS (SELECT p, i, j, (a[least(j + 1, 63) + 1] - a[greatest(j - 1, 0) + 1]) / ((least(j + 1, 63) - greatest(j - 1, 0)) * 1e-8::DOUBLE) AS g FROM t, j),
 o AS (SELECT t.p, t.i AS o, j AS z, 1.69e8::DOUBLE * (0.01::DOUBLE * j) * 1e-6::DOUBLE / 2 AS d FROM t, j),
-r AS (SELECT o.p, o.o, o.z, o.d, t.i, sqrt(((t.i - o.o) * 0.5::DOUBLE) * ((t.i - o.o) * 0.5::DOUBLE) + o.d * o.d) AS r FROM o JOIN t ON o.p = t.p),
+r AS (SELECT o.p, o.o, o.z, o.d, t.i, sqrt(((t.i - o.o) * 0.5::DOUBLE) * ((t.i - o.o) * 0.5::DOUBLE) + o.d * o.d) AS r FROM o JOIN t ON o.p = t.p AND abs(t.i - o.o) <= 3),
 h AS (SELECT *, round_even((2 * r / 1.69e8::DOUBLE * 1e6) / 0.01::DOUBLE, 0)::INT AS at FROM r WHERE 2 * r / 1.69e8::DOUBLE * 1e6 <= 0.63::DOUBLE)
 SELECT h.p AS profile_id, h.o::INT AS trace_idx, z AS sample_idx, round(sum(g.g * CASE WHEN r > 0 THEN d / r ELSE 0 END / 1.69e8::DOUBLE) / (2 * pi()), 4) + 0.0 AS v
-FROM h JOIN g ON g.p = h.p AND g.i = h.i AND g.j = h.at WHERE h.p = '3' AND h.o < 20 GROUP BY 1, 2, 3""")
+FROM h JOIN g ON g.p = h.p AND g.i = h.i AND g.j = h.at GROUP BY 1, 2, 3""")
 def kirchhoff_small(spark, d):
-    out = M.kirchhoff(_small(spark, d).where("profile_id = '3'"), travel_time(), 0.5)
-    return out.where("trace_idx < 20").select("profile_id", "trace_idx", "sample_idx", (F.round("v", 4) + F.lit(0.0)).alias("v"))
+    out = M.kirchhoff(_small(spark, d), travel_time(), 0.5, aperture=3)  # a small aperture, over all profiles
+    return out.select("profile_id", "trace_idx", "sample_idx", (F.round("v", 4) + F.lit(0.0)).alias("v"))
 
 
 @query("kirchhoff", f"""
@@ -405,6 +426,19 @@ def kirchhoff(spark, d):
     return out.select("profile_id", "trace_idx", "sample_idx", (F.round("v", 4) + F.lit(0.0)).alias("v"))
 
 
+@query("kirchhoff_near", f"""
+WITH {TR}, t AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY i) - 1 AS i, a FROM tr), j AS (SELECT unnest(range(64))::INT AS j),
+g AS (SELECT p, i, j, (a[least(j + 1, 63) + 1] - a[greatest(j - 1, 0) + 1]) / ((least(j + 1, 63) - greatest(j - 1, 0)) * 1e-8::DOUBLE) AS g, a[j + 1] AS h FROM t, j),
+o AS (SELECT t.p, t.i AS o, j AS z, 1.69e8::DOUBLE * (0.01::DOUBLE * j) * 1e-6::DOUBLE / 2 AS d FROM t, j),
+r AS (SELECT o.p, o.o, o.z, o.d, t.i, sqrt(((t.i - o.o) * 0.5::DOUBLE) * ((t.i - o.o) * 0.5::DOUBLE) + o.d * o.d) AS r FROM o JOIN t ON o.p = t.p),
+h AS (SELECT *, round_even((2 * r / 1.69e8::DOUBLE * 1e6) / 0.01::DOUBLE, 0)::INT AS at FROM r WHERE 2 * r / 1.69e8::DOUBLE * 1e6 <= 0.63::DOUBLE)
+SELECT h.p AS profile_id, h.o::INT AS trace_idx, z AS sample_idx, round(sum(CASE WHEN r > 0 THEN (g.g / 1.69e8::DOUBLE + g.h / (r * r)) * d / r ELSE 0 END) / (2 * pi()), 4) + 0.0 AS v
+FROM h JOIN g ON g.p = h.p AND g.i = h.i AND g.j = h.at GROUP BY 1, 2, 3""")
+def kirchhoff_near(spark, d):
+    out = M.kirchhoff(_small(spark, d), travel_time(), 0.5, nearfield=True)
+    return out.select("profile_id", "trace_idx", "sample_idx", (F.round("v", 4) + F.lit(0.0)).alias("v"))
+
+
 @query("migration_taper", f"""
 WITH {TR}, n AS (SELECT count(*) AS n FROM tr), j AS (SELECT unnest(range(64))::INT AS j)
 SELECT i AS trace_idx, j AS sample_idx, round(a[j + 1] * least(least(i, n - 1 - i) / 10.0, 1.0) * least(least(j, 63 - j) / 5.0, 1.0), 6) + 0.0 AS v FROM tr, n, j""")

@@ -39,6 +39,11 @@ def traces_of(path: str, data: np.ndarray, dt: float, **columns) -> pd.DataFrame
 
 def read_files(spark: SparkSession, path: str, parse: Callable[[str, bytes], pd.DataFrame], strict: bool = True) -> DataFrame:
     """One row per trace of the files at ``path``; without ``strict`` files that do not parse are passed over."""
+    return parsed(spark.read.format("binaryFile").load(path), parse, strict)
+
+
+def parsed(files: DataFrame, parse: Callable[[str, bytes], pd.DataFrame], strict: bool = True) -> DataFrame:
+    """One row per trace of files given as rows of path and content."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -49,7 +54,7 @@ def read_files(spark: SparkSession, path: str, parse: Callable[[str, bytes], pd.
                     if strict:
                         raise
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, TRACES)
+    return files.select("path", "content").mapInPandas(run, TRACES)
 
 
 def parse_dzt(path: str, raw: bytes) -> pd.DataFrame:
