@@ -9,49 +9,18 @@ import math
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..functions.arrays import doubles
 from ..plans.tables import samples as long_samples
-from .windows import coherence_over, gradient
+from .batches import map_arrays
+from .windows import coherence_over, gradient, to_arrays
 
 WINDOWS = {"blackman": np.blackman, "bartlett": np.bartlett, "hamming": np.hamming, "hanning": np.hanning}
 
 
-def transformed(df: DataFrame, work, **named: str) -> DataFrame:
-    """Replace ``samples`` by arrays made from them: ``work`` turns a (rows x samples) matrix into a tuple of matrices.
-
-    ``named``: the new columns and the kinds of their elements, in the order of the
-    tuple. Rows are transformed where they are, in Arrow batches; rows of equal
-    length go together, nulls among samples count as zero, and null samples give null.
-    """
-    keep = [c for c in df.columns if c != "samples"]
-    picked = df.select(*keep, "samples")
-    schema = StructType([*picked.schema.fields[:-1], *StructType.fromDDL(", ".join(f"{n} array<{k}>" for n, k in named.items())).fields])
-
-    def run(batches):
-        for batch in batches:
-            rows = batch.column(len(keep))
-            sizes = np.nan_to_num(pc.list_value_length(rows).to_numpy(zero_copy_only=False), nan=-1).astype(int)
-            out: list[list] = [[None] * batch.num_rows for _ in named]
-            for n in np.unique(sizes[sizes >= 0]):
-                at = np.flatnonzero(sizes == n)
-                flat = rows.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
-                made = work(np.nan_to_num(flat.astype(float)).reshape(len(at), n))
-                for column, matrix in zip(out, made):
-                    for i, row in zip(at.tolist(), matrix):
-                        column[i] = row
-            arrays = [batch.column(i) for i in range(len(keep))] + [pa.array(c, pa.list_(pa.float64())) for c in out]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *named])
-
-    return picked.mapInArrow(run, schema)
-
-
 def range_convert(chirps: DataFrame, bandwidth: float, centre: float, rate: float, speed: float, pad: int = 2, max_range: float = 4000.0,
                   window: str = "blackman", beta: float | None = None, snum: int = 64) -> DataFrame:
     """Complex range profile of each chirp, a row per range bin: sample_idx, range, re, im, fine.
@@ -77,7 +46,7 @@ def range_convert(chirps: DataFrame, bandwidth: float, centre: float, rate: floa
         return z.real, z.imag
 
     bins = F.posexplode(F.arrays_zip("re", "im"))
-    flat = transformed(chirps, work, re="double", im="double").select(*[c for c in chirps.columns if c != "samples"], bins.alias("sample_idx", "z"))
+    flat = map_arrays(chirps, ["samples"], work, re="double", im="double").select(*[c for c in chirps.columns if c != "samples"], bins.alias("sample_idx", "z"))
     out = flat.withColumn("re", F.col("z.re")).withColumn("im", F.col("z.im")).drop("z")
     out = out.withColumn("range", F.col("sample_idx") * F.lit(float(ranges[1])))
     wavelength = speed / centre
@@ -209,7 +178,7 @@ def phase_uncertainty(profile: DataFrame, bed_range: float, seed: int = 0) -> Da
 
 def vertical_spectrum(traces: DataFrame, dt: float, snum: int) -> DataFrame:
     """Mean power of each frequency (MHz) over all traces of a profile; rows are transformed where they are."""
-    power = transformed(traces.select("profile_id", "samples"), lambda x: (np.abs(np.fft.rfft(x, snum)[:, : snum // 2]) ** 2,), power="double")
+    power = map_arrays(traces.select("profile_id", "samples"), ["samples"], lambda x: (np.abs(np.fft.rfft(x, snum)[:, : snum // 2]) ** 2,), power="double")
     flat = power.select("profile_id", F.posexplode("power").alias("bin", "p"))
     return flat.groupBy("profile_id", "bin").agg(F.avg("p").alias("power")).withColumn("mhz", F.col("bin") / (snum * dt) / 1e6)
 
@@ -221,7 +190,7 @@ def periodogram(traces: DataFrame, dt: float, snum: int, scaling: str = "spectru
     if snum % 2 == 0:
         twice[-1] = 1.0
     scale = twice * (1 / snum**2 if scaling == "spectrum" else dt / snum)
-    power = transformed(traces.select("profile_id", "trace_idx", "samples"), lambda x: (np.abs(np.fft.rfft(x - x.mean(1, keepdims=True), snum)) ** 2 * scale,), power="double")
+    power = map_arrays(traces.select("profile_id", "trace_idx", "samples"), ["samples"], lambda x: (np.abs(np.fft.rfft(x - x.mean(1, keepdims=True), snum)) ** 2 * scale,), power="double")
     flat = power.select("profile_id", "trace_idx", F.posexplode("power").alias("bin", "power"))
     return flat.withColumn("hz", F.col("bin") / (snum * dt))
 
@@ -232,13 +201,9 @@ def horizontal_spectrum(traces: DataFrame, spacing: float) -> DataFrame:
     A group holds one number a trace: the traces of one sample. Their powers are
     averaged over samples in partial sums.
     """
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.nan_to_num(pdf.sort_values("trace_idx")["v"].to_numpy(float))
-        power = np.abs(np.fft.fft(v)[: (len(v) + 1) // 2]) ** 2
-        return pd.DataFrame({"profile_id": pdf["profile_id"].iloc[0], "bin": np.arange(len(power), dtype=np.int32), "n": len(v), "power": power})
-
-    flat = long_samples(traces, "profile_id", "trace_idx")
-    powers = flat.groupBy("profile_id", "sample_idx").applyInPandas(run, "profile_id string, bin int, n long, power double")
+    rows = to_arrays(long_samples(traces, "profile_id", "trace_idx").select("profile_id", F.col("sample_idx").alias("row"), F.col("trace_idx").alias("sample_idx"), "v"), "profile_id", "row")
+    power = map_arrays(rows.withColumn("n", F.size("samples")), ["samples"], lambda x: (np.abs(np.fft.fft(x)[:, : (x.shape[1] + 1) // 2]) ** 2,), power="double")
+    powers = power.select("profile_id", "n", F.posexplode("power").alias("bin", "power"))
     wavelength = F.when(F.col("bin") > 0, F.lit(spacing) * F.max("n") / F.col("bin"))
     return powers.groupBy("profile_id", "bin").agg(F.avg("power").alias("power"), wavelength.alias("wavelength"))
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import doubles
 from ..plans.tables import samples as long_samples
 from .along import with_profile
+from .batches import map_arrays
 
 
 def edge_taper(n: int, width: int) -> np.ndarray:
@@ -92,64 +93,67 @@ def whole_profile(traces: DataFrame, work) -> DataFrame:
     return traces.select("profile_id", "trace_idx", "samples").groupBy("profile_id").applyInPandas(run, "profile_id string, trace_idx int, samples array<double>")
 
 
+def gathered(flat: DataFrame, key: str, order: str, *values: str) -> DataFrame:
+    """One row for each profile and ``key``, with arrays of ``values`` in the order of the other index."""
+    rows = F.array_sort(F.collect_list(F.struct(order, *values)))
+    arrays = flat.groupBy("profile_id", key).agg(rows.alias("rows__"))
+    return arrays.select("profile_id", key, *[F.col(f"rows__.{v}").alias(v) for v in values])
+
+
 def by_wavenumber(traces: DataFrame, work, spacing: float, across: int, down: int) -> DataFrame:
     """Taper, transform along the traces, apply ``work`` to each wavenumber, transform back; long samples.
 
     Three shuffles: by sample, by wavenumber and by sample again. A group holds one
-    number for each trace or for each sample, never a profile. ``work`` takes a
-    complex column over time and its wavenumber.
+    number for each trace or for each sample, never a profile. ``work`` takes
+    complex rows over time and their wavenumbers.
     """
-    columns = "profile_id string, sample_idx int, k int, kx double, re double, im double"
-
-    def forward(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.nan_to_num(pdf.sort_values("trace_idx")["v"].to_numpy(float))
-        z = np.fft.fft(v)
-        return pd.DataFrame({"profile_id": pdf["profile_id"].iloc[0], "sample_idx": pdf["sample_idx"].iloc[0], "k": np.arange(len(z), dtype=np.int32),
-                             "kx": 2 * np.pi * np.fft.fftfreq(len(z), spacing), "re": z.real, "im": z.imag})
-
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample_idx")
-        z = work(pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy(), float(pdf["kx"].iloc[0]))
-        return pdf.assign(re=z.real, im=z.imag)
-
-    def back(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        v = np.fft.ifft(pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()).real
-        return pd.DataFrame({"profile_id": pdf["profile_id"].iloc[0], "trace_idx": np.arange(len(v), dtype=np.int32), "sample_idx": pdf["sample_idx"].iloc[0], "v": v})
-
-    spectra = tapered(traces, across, down).groupBy("profile_id", "sample_idx").applyInPandas(forward, columns)
-    moved = spectra.groupBy("profile_id", "k").applyInPandas(inside, columns)
-    return moved.groupBy("profile_id", "sample_idx").applyInPandas(back, "profile_id string, trace_idx int, sample_idx int, v double")
-
-
-def stolt_column(column: np.ndarray, kx: float, dt: float, velocity: float) -> np.ndarray:
-    """Stolt's mapping of frequency to vertical wavenumber at a constant velocity, for one horizontal wavenumber."""
-    n = len(column)
-    spec = np.fft.fft(column)
+    def forward(x: np.ndarray) -> tuple:
+        z = np.fft.fft(x)
+        return z.real, z.imag, np.broadcast_to(2 * np.pi * np.fft.fftfreq(x.shape[1], spacing), x.shape)
+
+    def inside(re: np.ndarray, im: np.ndarray, kx: np.ndarray) -> tuple:
+        z = work(re + 1j * im, kx)
+        return z.real, z.imag
+
+    samples = gathered(tapered(traces, across, down), "sample_idx", "trace_idx", "v")
+    spectra = map_arrays(samples, ["v"], forward, re="double", im="double", kx="double")
+    columns = spectra.select("profile_id", "sample_idx", F.posexplode(F.arrays_zip("re", "im", "kx")).alias("k", "z"))
+    columns = columns.select("profile_id", "sample_idx", "k", F.col("z.re").alias("re"), F.col("z.im").alias("im"), F.col("z.kx").alias("kx"))
+    columns = gathered(columns, "k", "sample_idx", "re", "im", "kx").withColumn("kx", F.col("kx")[0])
+    moved = map_arrays(columns, ["re", "im"], inside, "kx", re="double", im="double")
+    back = moved.select("profile_id", "k", F.posexplode(F.arrays_zip("re", "im")).alias("sample_idx", "z"))
+    back = back.select("profile_id", "k", "sample_idx", F.col("z.re").alias("re"), F.col("z.im").alias("im"))
+    image = map_arrays(gathered(back, "sample_idx", "k", "re", "im"), ["re", "im"], lambda re, im: (np.fft.ifft(re + 1j * im).real,), v="double")
+    return image.select("profile_id", "sample_idx", F.posexplode("v").alias("trace_idx", "v")).select("profile_id", "trace_idx", "sample_idx", "v")
+
+
+def stolt_columns(columns: np.ndarray, kx: np.ndarray, dt: float, velocity: float) -> np.ndarray:
+    """Stolt's mapping of frequency to vertical wavenumber at a constant velocity; a row for each horizontal wavenumber."""
+    n = columns.shape[1]
     omega = 2 * np.pi * np.fft.fftfreq(n, dt)
     kz = omega * 2 / velocity
     order = np.argsort(omega)
-    root = np.sqrt(kx**2 + kz**2)
+    spec = np.fft.fft(columns)[:, order]
+    root = np.sqrt(kx[:, None] ** 2 + kz[None, :] ** 2)
     wanted = np.sign(kz) * velocity / 2 * root
-    value = np.interp(wanted, omega[order], spec.real[order], 0, 0) + 1j * np.interp(wanted, omega[order], spec.imag[order], 0, 0)
-    out = value * np.divide(np.abs(kz), root, out=np.zeros(n), where=root > 0)
-    if kx == 0:
-        out[0] = 0
+    value = np.array([np.interp(w, omega[order], s.real, 0, 0) + 1j * np.interp(w, omega[order], s.imag, 0, 0) for w, s in zip(wanted, spec)])
+    out = value * np.divide(np.abs(kz)[None, :], root, out=np.zeros_like(root), where=root > 0)
+    out[kx == 0, 0] = 0
     return np.fft.ifft(out)
 
 
-def phase_shift_column(column: np.ndarray, kx: float, dt: float, velocity) -> np.ndarray:
-    """Gazdag's phase shift for one horizontal wavenumber; ``velocity`` constant or one value per output time."""
-    n = len(column)
+def phase_shift_columns(columns: np.ndarray, kx: np.ndarray, dt: float, velocity) -> np.ndarray:
+    """Gazdag's phase shift, a row for each horizontal wavenumber; ``velocity`` constant or one value per output time."""
+    n = columns.shape[1]
     speed = np.broadcast_to(np.asarray(velocity, float), (n,))
     size = 1 << (2 * n - 1).bit_length()
-    field = np.fft.fft(column, size)
-    omega = 2 * np.pi * np.fft.fftfreq(size, dt)
-    image = np.zeros(n, complex)
+    field = np.fft.fft(columns, size)
+    omega = 2 * np.pi * np.fft.fftfreq(size, dt)[None, :]
+    image = np.zeros(columns.shape, complex)
     for i in range(n):
-        image[i] = field.sum() / size
+        image[:, i] = field.sum(1) / size
         with np.errstate(divide="ignore", invalid="ignore"):
-            cos2 = 1 - (speed[i] * kx / (2 * omega)) ** 2
+            cos2 = 1 - (speed[i] * kx[:, None] / (2 * omega)) ** 2
         inside = np.isfinite(cos2) & (cos2 > 0)
         field = np.where(inside, field * np.exp(1j * omega * dt * np.sqrt(np.where(inside, cos2, 0))), 0)
     return image
@@ -184,7 +188,7 @@ def migrate(traces: DataFrame, kind: str, travel_time: list[float], spacing: flo
     if kind == "tk":
         return tapered(traces, across, down)
     if kind in ("stolt", "phsh"):
-        work = {"stolt": stolt_column, "phsh": phase_shift_column}[kind]
+        work = {"stolt": stolt_columns, "phsh": phase_shift_columns}[kind]
         return by_wavenumber(traces, lambda z, kx: work(z, kx, dt, velocity), spacing, across, down)
     if kind == "ffd":
         moved = whole_profile(traces, lambda x: finite_difference_matrix(x, dt, spacing, velocity, across, down))
