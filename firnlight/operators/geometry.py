@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .along import renumbered, with_neighbour, with_profile, with_running
+from .along import SEGMENT, inside, renumbered, with_neighbour, with_profile, with_running
 
 
 def cumulative_distance(traces: DataFrame) -> DataFrame:
@@ -19,11 +19,26 @@ def cumulative_distance(traces: DataFrame) -> DataFrame:
 
 def cull_stationary(traces: DataFrame, min_movement: float = 1e-2) -> DataFrame:
     """Leave out traces that moved less than ``min_movement`` metres, and take their steps off later distances."""
-    after = with_neighbour(traces, "prev__", ["dist"])
-    marked = after.withColumn("step__", F.col("dist") - F.col("prev__")["dist"]).withColumn("still__", F.coalesce(F.col("step__") * 1000 < min_movement, F.lit(False)))
-    totals = with_running(marked, lost__=F.when(F.col("still__"), F.col("step__")).otherwise(0.0), n__=(~F.col("still__")).cast("int"))
-    out = totals.withColumn("dist", F.col("dist") - F.col("lost__")).where(~F.col("still__"))
-    return out.withColumn("trace_idx", (F.col("n__") - 1).cast("int")).drop("prev__", "step__", "still__", "lost__", "n__")
+    def still(step: Column) -> Column:
+        return F.coalesce(step * 1000 < min_movement, F.lit(False))
+
+    # Steps within a segment first; of a segment's first trace the step follows once the ends of segments are in one table.
+    base = traces.withColumn("segment__", F.floor(F.col("trace_idx") / SEGMENT))
+    base = base.withColumn("step__", F.col("dist") - F.lag("dist").over(inside())).withColumn("first__", F.row_number().over(inside()) == 1)
+    kept = (~still(F.col("step__")) & ~F.col("first__")).cast("int")
+    lost = F.when(still(F.col("step__")), F.col("step__")).otherwise(0.0)
+    ends = base.groupBy("profile_id", "segment__").agg(
+        F.min_by("dist", "trace_idx").alias("low__"), F.max_by("dist", "trace_idx").alias("high__"), F.sum(lost).alias("lost__"), F.sum(kept).alias("kept__"))
+    along = Window.partitionBy("profile_id").orderBy("segment__")
+    edge = F.col("low__") - F.lag("high__").over(along)
+    ends = ends.withColumn("edge__", edge).withColumns({"lost0__": F.when(still(F.col("edge__")), F.col("edge__")).otherwise(0.0), "kept0__": (~still(F.col("edge__"))).cast("int")})
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select("profile_id", "segment__", "edge__", *[
+        (F.coalesce(F.sum(F.col(f"{c}__") + F.col(f"{c}0__")).over(before), F.lit(0)) + F.col(f"{c}0__")).alias(f"{c}__") for c in ("lost", "kept")])
+    out = base.join(starts, ["profile_id", "segment__"]).withColumn("still__", still(F.when(F.col("first__"), F.col("edge__")).otherwise(F.col("step__"))))
+    out = out.withColumns({"lost__": F.col("lost__") + F.sum(lost).over(inside()), "kept__": F.col("kept__") + F.sum(kept).over(inside())})
+    out = out.where(~F.col("still__")).withColumns({"dist": F.col("dist") - F.col("lost__"), "trace_idx": (F.col("kept__") - 1).cast("int")})
+    return out.select(*traces.columns)
 
 
 def interpolate(points: DataFrame, fixes: DataFrame, key: str, at: str, values: list[str], extrapolate: bool = False) -> DataFrame:

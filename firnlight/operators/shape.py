@@ -78,20 +78,18 @@ def hcrop_distance(traces: DataFrame, limit: float, side: str = "left") -> DataF
 def restack(traces: DataFrame, count: int) -> DataFrame:
     """Mean of every ``count`` traces (made odd); an incomplete last stack is left out.
 
-    A sample that is missing in one trace of a stack is missing in the stack. Only
-    partial sums are shuffled; one row holds a whole stack again.
+    A sample that is missing in one trace of a stack is missing in the stack. The
+    arrays of a stack meet in one row, which holds ``count`` traces.
     """
     n = count + 1 if count % 2 == 0 else count
     stack = F.floor(F.col("trace_idx") / n).cast("int")
     geometry = [c for c in GEOMETRY if c in traces.columns]
     base = traces.withColumn("stack", stack)
-    means = base.groupBy("profile_id", "stack").agg(F.count(F.lit(1)).alias("n__"), *[F.avg(c).alias(c) for c in geometry])
-    flat = base.select("profile_id", "stack", F.posexplode("samples").alias("sample_idx", "v"))
-    mean = F.when(F.count("v") == n, F.avg("v"))
-    stacked = flat.groupBy("profile_id", "stack", "sample_idx").agg(mean.alias("v"), F.count(F.lit(1)).alias("m")).where(F.col("m") == n)
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("sample_idx", "v"))), lambda x: x["v"])
-    arrays = stacked.groupBy("profile_id", "stack").agg(rows.alias("samples"))
-    out = means.where(F.col("n__") == n).drop("n__").join(arrays, ["profile_id", "stack"])
+    rows = F.array_sort(F.collect_list(F.struct("trace_idx", F.coalesce("samples", F.array().cast("array<double>")).alias("a"))))
+    stacks = base.groupBy("profile_id", "stack").agg(*[F.avg(c).alias(c) for c in geometry], rows.alias("rows__")).where(F.size("rows__") == n)
+    height = F.array_min(F.transform("rows__", lambda r: F.size(r["a"])))
+    mean = F.transform(F.sequence(F.lit(0), height - 1), lambda k: F.aggregate("rows__", F.lit(0.0), lambda acc, r: acc + F.get(r["a"], k)) / n)
+    out = stacks.withColumn("samples", F.when(height > 0, mean).otherwise(F.array().cast("array<double>"))).drop("rows__")
     return out.withColumnRenamed("stack", "trace_idx").withColumn("trace_num", F.col("trace_idx") + 1)
 
 

@@ -393,3 +393,30 @@ def test_steps_of_the_command_line(spark, small, tmp_path):
     cli.main(["geolocate", f"{at}/in", f"{at}/geo", "--gps", f"{at}/gps.txt", "--offset", "0.5"], spark)
     geo = {r.trace_idx: r for r in spark.read.parquet(f"{at}/geo").collect()}
     assert geo[4].lat == pytest.approx(-76.5) and len(geo[4].samples) == 8
+
+
+def test_stationary_traces_go_over_many_segments(spark, monkeypatch):
+    monkeypatch.setattr(geometry, "SEGMENT", 7)
+    rng = np.random.default_rng(9)
+    rows, want = [], {}
+    for p in ("a", "b"):
+        dist, lost, number = 0.0, 0.0, 0
+        for i in range(60):
+            step = float(rng.choice([0.0, 2e-6, 0.5]) if i not in (7, 14) else 0.0) if i else 0.0
+            dist += step
+            rows.append((p, i, dist, [float(i)]))
+            if i and step * 1000 < 1e-2:
+                lost += step
+                continue
+            want[p, number] = (dist - lost, float(i))
+            number += 1
+    df = spark.createDataFrame(rows, "profile_id string, trace_idx int, dist double, samples array<double>").repartition(3)
+    got = {(r.profile_id, r.trace_idx): (r.dist, r.samples[0]) for r in geometry.cull_stationary(df).collect()}
+    assert set(got) == set(want) and all(got[k] == (pytest.approx(want[k][0], abs=1e-9), want[k][1]) for k in want)
+
+
+def test_restack_of_gaps_and_short_traces(spark):
+    rows = [("p", i, [float(i), None if i == 4 else 1.0, 2.0][: 2 if i == 7 else 3]) for i in range(11)] + [("q", i, None if i == 1 else [1.0]) for i in range(3)]
+    df = spark.createDataFrame(rows, "profile_id string, trace_idx int, samples array<double>")
+    got = {(r.profile_id, r.trace_idx): r.samples for r in shape.restack(df, 3).collect()}
+    assert got == {("p", 0): [1.0, 1.0, 2.0], ("p", 1): [4.0, None, 2.0], ("p", 2): [7.0, 1.0], ("q", 0): []}
