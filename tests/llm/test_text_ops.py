@@ -473,3 +473,16 @@ def test_html_operator_edges(spark):
     out = html.extract_main_text(df).collect()
     assert sorted((r.text, r.n_chars) for r in out) == sorted([(words("a", 60), len(words("a", 60)))] * 2 + [("", 0)] * 2)
     assert html.extract_main_text(df.limit(0)).count() == 0
+
+
+def test_toxicity_on_held_out_labels(spark):
+    """Learned from four fifths of the labels, judged on the rest: most toxic texts are caught, clean ones are left alone."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    part = F.crc32(F.concat(F.lit("held"), F.col("doc_id").cast("string")).cast("binary")) % 5
+    chain = toxicity.fit_toxicity(docs, labels.where(part != 0))
+    held = labels.where(part == 0).where("toxic is not null")
+    out = toxicity.score_toxicity(docs.join(held.select("doc_id"), "doc_id", "left_semi"), chain, keep=["doc_id"]).join(held, "doc_id").toPandas()
+    toxic = out.toxic == 1
+    caught, false = int((out[toxic].p_toxic >= 0.5).sum()), int((out[~toxic].p_toxic >= 0.5).sum())
+    print(f"held out: {caught} of {int(toxic.sum())} caught, {false} of {int((~toxic).sum())} false")
+    assert caught >= 0.85 * toxic.sum() and false <= 0.02 * (~toxic).sum()
