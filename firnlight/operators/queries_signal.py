@@ -7,7 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions.filters import operator_matrix
+from ..functions.filters import operator_matrix, padding_of, sections, steady_state
 from ..plans.registry import query
 from ..plans.tables import DT, PK, SNUM, S, TR, picks, r6, samples, traces, travel_time
 from . import analysis as A
@@ -44,17 +44,48 @@ for _kind, _order in (("butter", 3), ("cheby1", 3), ("bessel", 3), ("fir", 8)):
         return _long(V.vertical_band_pass(traces(spark, d), DT, *BAND, order, kind))
 
 
-@query("horizontal_bandpass")
+def _zero_phase(sos: np.ndarray, padding: int) -> str:
+    """Tables of the recursion of a zero-phase filter, from l (key, x) to zp (key, j, v): j numbers the series from 0."""
+    first = steady_state(sos) * np.cumprod([1.0, *(sos[:-1, :3].sum(1) / sos[:-1, 3:].sum(1))])[:, None]
+
+    def run(name: str, source: str) -> str:
+        state = [f"z{s}{n}" for s in range(len(sos)) for n in "12"]
+        begin = ", ".join(f"{float(c)!r}::DOUBLE * x[1] AS {z}" for z, c in zip(state, first.ravel()))
+        step = f"SELECT {name}.key, i + 1 AS i, x[i + 2] AS w, {', '.join(state)} FROM {name} JOIN {source} USING (key) WHERE i + 1 < len(x)"
+        before = "w"
+        for s, (b0, *_) in enumerate(sos):
+            step = f"SELECT *, {float(b0)!r}::DOUBLE * {before} + z{s}1 AS w{s} FROM ({step})"
+            before = f"w{s}"
+        after = []
+        for s, (_, b1, b2, _, a1, a2) in enumerate(sos):
+            x, y = f"w{s - 1}" if s else "w", f"w{s}"
+            after += [f"{float(b1)!r}::DOUBLE * {x} - {float(a1)!r}::DOUBLE * {y} + z{s}2", f"{float(b2)!r}::DOUBLE * {x} - {float(a2)!r}::DOUBLE * {y}"]
+        return f"{name} AS (SELECT key, -1 AS i, 0.0::DOUBLE AS y, {begin} FROM {source} UNION ALL SELECT key, i, {before}, {', '.join(after)} FROM ({step}))"
+
+    return f"""wide AS (SELECT key, list_concat(list_transform(range({padding}, 0, -1), lambda j: 2 * x[1] - x[j + 1]), x, list_transform(range(1, {padding + 1}), lambda j: 2 * x[len(x)] - x[len(x) - j])) AS x FROM l),
+{run("f1", "wide")},
+back AS (SELECT key, list(y ORDER BY i DESC) AS x FROM f1 WHERE i >= 0 GROUP BY key),
+{run("f2", "back")},
+zp AS (SELECT key, (len(x) - 1 - i - {padding})::INT AS j, y AS v FROM f2 JOIN back USING (key) WHERE i >= {padding} AND i < len(x) - {padding})"""
+
+
+def _along(corners, order: int, btype: str) -> str:
+    return f"""
+WITH RECURSIVE {S}, l AS (SELECT k AS key, list(v ORDER BY i) AS x FROM s GROUP BY k), {_zero_phase(sections(order, corners, btype), padding_of(order, btype))}
+SELECT j AS trace_idx, key AS sample_idx, round(v, 6) + 0.0 AS v FROM zp"""
+
+
+@query("horizontal_bandpass", _along([2 / 50, 2 / 10], 5, "bandpass"))
 def horizontal_bandpass(spark, d):
     return V.horizontal_band_pass(traces(spark, d), 20.0, 100.0, 2.0).select("trace_idx", "sample_idx", r6("v").alias("v"))
 
 
-@query("horizontal_lowpass")
+@query("horizontal_lowpass", _along([2 / 25], 3, "low"))
 def horizontal_lowpass(spark, d):
     return V.low_pass(traces(spark, d), 50.0, 2.0).select("trace_idx", "sample_idx", r6("v").alias("v"))
 
 
-@query("horizontal_highpass")
+@query("horizontal_highpass", _along([2 / 25], 5, "high"))
 def horizontal_highpass(spark, d):
     return V.high_pass(traces(spark, d), 50.0, 2.0).select("trace_idx", "sample_idx", r6("v").alias("v"))
 
@@ -87,12 +118,39 @@ def guided_pick(spark, d):
     return P.guided_pick(traces(spark, d), PICK, 20, 40).select(*OUT, r6("power").alias("power"))
 
 
-@query("auto_pick")
+_HALF = PICK.length // 2 + 1
+
+
+def _follow(source: str) -> str:
+    """One pick around ``mid`` of the samples ``a`` of ``source`` (n, way, seed, i, mid, a), with the next one's ``mid``."""
+    w = PICK
+    return f"""SELECT n, way, seed, i, tp + st AS top, c + st AS mid_pick, bt + st AS bottom, list_sum(list_transform(p[tp + 1:bt + 1], lambda v: v * v)) / (bt - tp + 1) AS power,
+  least(greatest((tp + bt + 2 * st) // 2, {_HALF}), {max(SNUM - _HALF, _HALF)})::INT AS mid
+FROM (SELECT *, CASE WHEN c <= 1 THEN 0 ELSE f + list_position(p[f + 1:c], list_min(p[f + 1:c])) - 1 END AS tp,
+  CASE WHEN c >= {w.length - 1} THEN {w.length - 1} ELSE c + list_position(p[c + 2:c + 1 + {w.half_wave}], list_min(p[c + 2:c + 1 + {w.half_wave}])) END AS bt
+FROM (SELECT *, greatest(c - {w.half_wave}, 0) AS f FROM (SELECT *, list_position(p[{w.margin + 2}:{w.margin + 1 + w.half_wave}], list_max(p[{w.margin + 2}:{w.margin + 1 + w.half_wave}])) + {w.margin} AS c
+FROM (SELECT *, floor(mid - {w.length} / 2.0)::INT AS st, a[floor(mid - {w.length} / 2.0)::INT + 1:floor(mid - {w.length} / 2.0)::INT + {w.length}] AS p FROM ({source})))))"""
+
+
+@query("auto_pick", f"""
+WITH RECURSIVE {TR}, sd AS (SELECT * FROM (VALUES (1, 100, 25, -1), (1, 100, 25, 1), (2, 0, 40, -1), (2, 0, 40, 1)) AS t(n, seed, mid, way)),
+f0 AS (SELECT n, way, seed, mid, CASE WHEN way < 0 THEN max(i) ELSE min(i) END AS i FROM sd JOIN tr ON (tr.i - seed) * way >= 0 GROUP BY n, way, seed, mid),
+fl AS ({_follow("SELECT f0.*, a FROM f0 JOIN tr ON f0.i = tr.i")}
+  UNION ALL {_follow("SELECT n, way, seed, tr.i, mid, a FROM fl JOIN tr ON tr.i = fl.i + way")})
+SELECT n::INT AS picknum, i AS trace_idx, top::DOUBLE AS samp1, mid_pick::DOUBLE AS samp2, bottom::DOUBLE AS samp3, round(power, 6) + 0.0 AS power FROM fl WHERE i <> seed OR way < 0""")
 def auto_pick(spark, d):
     return P.auto_pick(traces(spark, d), PICK, [(1, 100, 25), (2, 0, 40)]).select("picknum", *OUT, r6("power").alias("power"))
 
 
-@query("pick_smooth")
+@query("pick_smooth", f"""
+WITH RECURSIVE {PK}, r AS (SELECT *, sum((samp2 IS NULL)::INT) OVER (PARTITION BY n ORDER BY i) AS run FROM pk),
+q AS (SELECT n, i, run, c, CASE c WHEN 1 THEN samp1 WHEN 2 THEN samp2 ELSE samp3 END AS v, row_number() OVER (PARTITION BY n, run, c ORDER BY i) - 1 AS j
+  FROM r, (SELECT unnest([1, 2, 3]) AS c) WHERE samp2 IS NOT NULL),
+l AS (SELECT {{'n': n, 'run': run, 'c': c}} AS key, list(v ORDER BY i) AS x FROM q GROUP BY n, run, c HAVING count(*) > {padding_of(3, "low")}),
+{_zero_phase(sections(3, [2 / 6], "low"), padding_of(3, "low"))},
+o AS (SELECT q.n, q.i, q.c, coalesce(round_even(zp.v, 0), q.v) + 0.0 AS v FROM q LEFT JOIN zp ON zp.key = {{'n': q.n, 'run': q.run, 'c': q.c}} AND zp.j = q.j)
+SELECT pk.n AS picknum, pk.i AS trace_idx, max(v) FILTER (c = 1) AS samp1, max(v) FILTER (c = 2) AS samp2, max(v) FILTER (c = 3) AS samp3
+FROM pk LEFT JOIN o ON o.n = pk.n AND o.i = pk.i GROUP BY 1, 2""")
 def pick_smooth(spark, d):
     return P.smooth_picks(picks(spark, d), 6).select("picknum", *OUT)
 
@@ -446,14 +504,64 @@ def migration_taper(spark, d):
     return M.tapered(traces(spark, d), 10, 5).select("trace_idx", "sample_idx", r6("v").alias("v"))
 
 
-for _kind in ("stolt", "phsh"):
+STEP = (travel_time()[1] - travel_time()[0]) * 1e-6
+#: h: transforms along the tapered traces of each profile, by wavenumber k and sample s.
+SPECTRA = TR + """, t AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY i) - 1 AS i, count(*) OVER (PARTITION BY p) AS n, a FROM tr),
+x AS (SELECT p, i, n, s, a[s + 1] * least(least(i, n - 1 - i) / 10.0::DOUBLE, 1) * least(least(s, 63 - s) / 10.0::DOUBLE, 1) AS v FROM t, (SELECT unnest(range(64))::INT AS s)),
+k AS (SELECT p, n, k, CASE WHEN k = 0 THEN 0 ELSE 2 * pi() * (CASE WHEN k <= (n - 1) // 2 THEN k ELSE k - n END) / (n * 0.5::DOUBLE) END AS kx FROM (SELECT p, n, unnest(range(n)) AS k FROM (SELECT DISTINCT p, n FROM t))),
+h AS (SELECT p, k, kx, s, sum(v * cos(2 * pi() * (k * i % x.n) / x.n)) AS re, -sum(v * sin(2 * pi() * (k * i % x.n) / x.n)) AS im FROM x JOIN k USING (p) GROUP BY ALL)"""
+#: From g, the migrated columns, back to traces.
+IMAGE = """SELECT p AS profile_id, i::INT AS trace_idx, s::INT AS sample_idx, round(sum(re * cos(2 * pi() * (k * i % n) / n) - im * sin(2 * pi() * (k * i % n) / n)) / any_value(n), 6) + 0.0 AS v
+FROM g JOIN (SELECT p, i, n FROM t) USING (p) GROUP BY 1, 2, 3"""
+
+
+def _stolt(velocity: float) -> str:
+    omega = 2 * np.pi * np.fft.fftfreq(SNUM, STEP)
+    kz = omega * 2 / velocity
+    low, high = float(omega.min()), float(omega.max())
+    return f"""
+WITH {SPECTRA}, m AS (SELECT unnest(range(-32, 32))::INT AS m),
+f AS (SELECT p, k, m, sum(re * cos(2 * pi() * m * s / 64) + im * sin(2 * pi() * m * s / 64)) AS re, sum(im * cos(2 * pi() * m * s / 64) - re * sin(2 * pi() * m * s / 64)) AS im FROM h, m GROUP BY 1, 2, 3),
+z AS (SELECT unnest(range(64))::INT AS q, unnest({_values(kz)}) AS kz, unnest({_values(np.sign(kz) * velocity / 2)}) AS half),
+w AS (SELECT p, k, q, abs(kz) / sqrt(kx * kx + kz * kz) AS c, half * sqrt(kx * kx + kz * kz) AS w FROM k, z WHERE kz <> 0),
+u AS (SELECT *, w / {float(2 * np.pi / (SNUM * STEP))!r}::DOUBLE AS u FROM w WHERE w >= {low!r}::DOUBLE AND w <= {high!r}::DOUBLE),
+l AS (SELECT *, least(greatest(floor(u), -32), 30)::INT AS lo FROM u),
+o AS (SELECT l.p, l.k, q, c * (a.re + (u - lo) * (b.re - a.re)) AS re, c * (a.im + (u - lo) * (b.im - a.im)) AS im
+  FROM l JOIN f a ON a.p = l.p AND a.k = l.k AND a.m = lo JOIN f b ON b.p = l.p AND b.k = l.k AND b.m = lo + 1),
+g AS (SELECT p, k, s, sum(re * cos(2 * pi() * (q * s % 64) / 64) - im * sin(2 * pi() * (q * s % 64) / 64)) / 64 AS re, sum(im * cos(2 * pi() * (q * s % 64) / 64) + re * sin(2 * pi() * (q * s % 64) / 64)) / 64 AS im
+  FROM o, (SELECT unnest(range(64)) AS s) GROUP BY 1, 2, 3)
+{IMAGE}"""
+
+
+def _phase_shift(velocity) -> str:
+    speed = np.broadcast_to(np.asarray(velocity, float), (SNUM,))
+    return f"""
+WITH {SPECTRA}, w AS (SELECT w, 2 * pi() * (CASE WHEN w < 64 THEN w ELSE w - 128 END) / (128 * {STEP!r}::DOUBLE) AS om FROM (SELECT unnest(range(128))::INT AS w)),
+f AS (SELECT p, k, kx, w, om, sum(re * cos(2 * pi() * (w * s % 128) / 128) + im * sin(2 * pi() * (w * s % 128) / 128)) AS re, sum(im * cos(2 * pi() * (w * s % 128) / 128) - re * sin(2 * pi() * (w * s % 128) / 128)) AS im FROM h, w GROUP BY 1, 2, 3, 4, 5),
+d AS (SELECT unnest(range(64))::INT AS s, unnest({_values(speed)}) AS d),
+c AS (SELECT f.*, s, CASE WHEN om <> 0 THEN 1 - (d * kx / (2 * om)) * (d * kx / (2 * om)) ELSE -1 END AS c FROM f, d),
+a AS (SELECT *, coalesce(sum(CASE WHEN c > 0 THEN sqrt(c) ELSE 0 END) OVER b, 0) * om * {STEP!r}::DOUBLE AS ph, coalesce(min(c) OVER b, 1) AS least_c FROM c WINDOW b AS (PARTITION BY p, k, w ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT p, k, s, coalesce(sum(re * cos(ph) - im * sin(ph)) FILTER (least_c > 0), 0) / 128 AS re, coalesce(sum(im * cos(ph) + re * sin(ph)) FILTER (least_c > 0), 0) / 128 AS im FROM a GROUP BY 1, 2, 3)
+{IMAGE}"""
+
+
+def _migrated(spark, d, kind, *velocity):
+    return M.migrate(_small(spark, d), kind, travel_time(), 0.5, *velocity).select("profile_id", "trace_idx", "sample_idx", r6("v").alias("v"))
+
+
+@query("stolt", _stolt(1.68e8))
+def stolt(spark, d):
+    return _migrated(spark, d, "stolt")
+
+
+@query("phase_shift", _phase_shift(1.68e8))
+def phase_shift(spark, d):
+    return _migrated(spark, d, "phsh")
+
 
-    @query({"stolt": "stolt", "phsh": "phase_shift"}[_kind])
-    def migrated(spark, d, kind=_kind):
-        return M.migrate(_small(spark, d), kind, travel_time(), 0.5).select("profile_id", "trace_idx", "sample_idx", r6("v").alias("v"))
+SPEEDS = M.velocity_profile([(1.9e8, 0.0), (1.68e8, 30.0)], travel_time())
 
 
-@query("gazdag")
+@query("gazdag", _phase_shift(SPEEDS))
 def gazdag(spark, d):
-    speed = M.velocity_profile([(1.9e8, 0.0), (1.68e8, 30.0)], travel_time())
-    return M.migrate(_small(spark, d), "phsh", travel_time(), 0.5, speed).select("profile_id", "trace_idx", "sample_idx", r6("v").alias("v"))
+    return _migrated(spark, d, "phsh", SPEEDS)
