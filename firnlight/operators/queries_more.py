@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..functions.filters import operator_matrix
+from ..functions.filters import operator_matrix, padding_of, sections
 from ..plans.registry import query
 from ..plans.tables import PK, S, TR, picks, r6, read, samples, traces, travel_time
 from . import apres as R
 from . import geometry as G
 from . import windows as W
-from .queries_signal import QUAD, THETAS, _differences, _pairs, _sites, _values
+from .queries_signal import QUAD, THETAS, _differences, _pairs, _sites, _values, _zero_phase
 
 
 def r4(c):
@@ -134,7 +134,9 @@ def quadpol_zip(spark, d):
     return R.zip_acquisitions(parts, ["site", "sample_idx"]).select("site", "sample_idx", "range", r6("hh_re").alias("hh_re"), r6("vv_re").alias("vv_re"))
 
 
-@query("extinction_filtered")
+@query("extinction_filtered", f"""
+WITH RECURSIVE {QUAD}, l AS (SELECT {{'site': site, 't': t}} AS key, list(an ORDER BY s) AS x FROM an GROUP BY site, t), {_zero_phase(sections(3, [0.2], "low"), padding_of(3, "low"))}
+SELECT key.site AS site, j AS sample_idx, arg_min(key.t, (v, key.t)) AS cpe_idx FROM zp WHERE key.t >= 2 AND key.t < 8 GROUP BY 1, 2""")
 def extinction_filtered(spark, d):
     anomalies = R.power_anomaly(R.rotate(_sites(spark, d), THETAS)).select("site", "sample_idx", "theta_idx", "anomaly")
     return R.extinction_axis(R.low_pass_range(anomalies, "anomaly", 0.1, 1.0), 2, 8)

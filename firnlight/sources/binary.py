@@ -16,6 +16,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.scalars import common_start
 
 
 TRACES = """profile_id string, fn string, trace_idx int, trace_num int, snum int, dt double, trig double, chan string, decday double,
@@ -208,6 +211,67 @@ def parse_simulation(dt: float, share: float = 0.5) -> Callable[[str, bytes], pd
     return parse
 
 
+#: Days from the epoch of decimal days to 1970.
+EPOCH = 719529.0
+
+
+def parse_gecko(channel: int = 1) -> Callable[[str, bytes], pd.DataFrame]:
+    """One channel of a recording whose traces follow each other channel by channel.
+
+    Versions (in hundredths) differ in the header's fields and padding, and in
+    those of traces. Markers and comments give no trace, nor does a record that
+    the file breaks off in; other channels are passed over.
+    """
+    def parse(path: str, raw: bytes) -> pd.DataFrame:
+        version, channels = struct.unpack_from("<H", raw)[0], raw[76]
+        mhz, pre, post = struct.unpack_from("<HHH", raw, 82)
+        wide = 27 if version < 360 else 0
+        at = 97 + (2 if version < 321 else 0) + (2 if version < 380 else 4) + wide
+        if not 1 <= channel <= channels or not mhz:
+            raise ValueError(f"no channel {channel} in this recording")
+        for k in range(channels):
+            if raw[at] != k + 1:
+                raise ValueError("a damaged channel header")
+            at += 5 + wide
+        padding = 0 if version >= 360 else 14 if version >= 320 else 12
+        head = struct.Struct(f"<Bxidf2x{'ff' if version < 321 else ''}ddff{padding}x")
+        snum, rows, turn = pre + post, [], 0
+        while at + head.size <= len(raw):
+            kind, _, day, interval, *gauges, lat, long, elev, _ = head.unpack_from(raw, at)
+            at += head.size + (38 if kind == 1 else 0)
+            if kind:
+                continue
+            if at + 2 * snum > len(raw):
+                break
+            if turn % channels == channel - 1:
+                rows.append((day + EPOCH, interval, lat, long, elev, gauges[1] if gauges else 0.0, np.frombuffer(raw, "<i2", snum, at)))
+            turn += 1
+            at += 2 * snum
+        if not rows:
+            raise ValueError("no traces")
+        *heads, body = zip(*rows)
+        named = dict(zip(("decday", "trace_int", "lat", "long", "elev", "pressure"), map(np.array, heads)))
+        return traces_of(path, np.stack(body, 1), 1 / (mhz * 1e6), chan=str(channel), trig=float(pre), **named)
+
+    return parse
+
+
+def in_one_profile(traces: DataFrame, name: str) -> DataFrame:
+    """The files of a folder as one profile, file after file by their first times.
+
+    It is called by what the files' names share, or ``name``. Only one row a file
+    is ordered; the traces are numbered by a join.
+    """
+    files = traces.groupBy("fn").agg(F.min("decday").alias("first__"), F.count(F.lit(1)).alias("n__"))
+    folder = Window.partitionBy(F.regexp_replace("fn", "[^/]*$", ""))
+    before = folder.orderBy("first__", "fn").rowsBetween(Window.unboundedPreceding, -1)
+    shared = F.regexp_extract(common_start(F.array(F.min("fn").over(folder), F.max("fn").over(folder))), "[^/]*$", 0)
+    files = files.select("fn", F.coalesce(F.sum("n__").over(before), F.lit(0)).cast("int").alias("start__"), F.regexp_replace(shared, r"\.[^.]*$", "").alias("shared__"))
+    place = F.col("trace_idx") + F.col("start__")
+    called = F.when(F.col("shared__") == "", name).otherwise(F.col("shared__"))
+    return traces.join(files, "fn").withColumns({"profile_id": called, "trace_num": place + 1, "trace_idx": place}).select(*traces.columns)
+
+
 def split_project(blob: bytes) -> dict[str, bytes]:
     """The files within a project blob, by the names ``lineN.ext`` that come before their contents."""
     import re
@@ -258,7 +322,7 @@ def load(spark: SparkSession, kind: str, path: str, s_srs: str | None = None, t_
 
 
 def load_files(spark: SparkSession, kind: str, path: str, **options) -> DataFrame:
-    """Read files of a kind: gssi, pe, ramac, segy, tek, apres, osu, seidart, mat, stomat, mcords_mat, parquet; others name the missing library."""
+    """Read files of a kind: gssi, pe, ramac, segy, tek, apres, gecko, osu, seidart, mat, stomat, mcords_mat, parquet; others name the missing library."""
     from . import matlab as ML
     from . import text as T
 
@@ -270,6 +334,8 @@ def load_files(spark: SparkSession, kind: str, path: str, **options) -> DataFram
         return spark.read.parquet(path)
     if kind == "osu":
         return T.read_trace_texts(spark, path)
+    if kind == "gecko":
+        return in_one_profile(read_files(spark, path, parse_gecko(**options), strict), "gecko")
     if kind == "pe":
         return read_files(spark, path, parse_dt1(options["header"]), strict)
     if kind == "ramac":

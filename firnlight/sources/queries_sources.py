@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from ..plans.registry import query
 from ..plans.tables import SNUM, TR, r6, samples, traces
-from . import binary, matlab, sinks
+from . import binary, matlab, sinks, text
 
 #: The traces of each label, numbered from 0, and their samples.
 X = TR + """, t AS (SELECT p, (row_number() OVER (PARTITION BY p ORDER BY i) - 1)::INT AS i, a FROM tr),
@@ -29,11 +29,11 @@ def labelled(spark, d) -> DataFrame:
     return traces(spark, d, by_label=True).select("profile_id", number.cast("int").alias("trace_idx"), "samples")
 
 
-def files_of(spark, d, encode: Callable[[np.ndarray], bytes]) -> DataFrame:
-    """(path, content): one file a label, from its (samples x traces) matrix."""
+def files_of(spark, d, encode: Callable[..., bytes], by_name: bool = False) -> DataFrame:
+    """(path, content): one file a label, from its (samples x traces) matrix and on request the label."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         data = np.array(pdf.sort_values("trace_idx")["samples"].tolist(), float).T
-        return pd.DataFrame({"path": [f"dir/{pdf['profile_id'].iloc[0]}.bin"], "content": [encode(data)]})
+        return pd.DataFrame({"path": [f"dir/{pdf['profile_id'].iloc[0]}.bin"], "content": [encode(data, *[pdf["profile_id"].iloc[0]] * by_name)]})
 
     return labelled(spark, d).groupBy("profile_id").applyInPandas(run, "path string, content binary")
 
@@ -118,3 +118,38 @@ def read_simulation(spark, d):
         return "\n".join(" ".join(f"{v:.4f}" for v in row) for row in x.T).encode()
 
     return read_back(spark, d, encode, binary.parse_simulation(1e-8, 0.95))
+
+
+def gecko(x: np.ndarray, label: str) -> bytes:
+    """A recording of version 3.8 with one channel, a marker after each trace and times by the label."""
+    head = bytearray(101)
+    struct.pack_into("<H", head, 0, 380)
+    struct.pack_into("<B", head, 76, 1)
+    struct.pack_into("<HHH", head, 82, 100, 4, SNUM - 4)
+    out = [bytes(head), struct.pack("<BHBB", 1, 500, 0, 0)]
+    for k, column in enumerate(x.T):
+        place = struct.pack("<idfHddff", k, int(label) + 0.001 * k, 1.0, 50, -80.0, 0.002 * k, 3.5, 0.1)
+        out += [b"\0\0", place, np.floor(column * 100).astype("<i2").tobytes(), b"\1\0", place, bytes(38)]
+    return b"".join(out)
+
+
+@query("read_gecko", f"""WITH {X}, o AS (SELECT p, coalesce(sum(count(*)) OVER (ORDER BY p::INT ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM t GROUP BY p)
+SELECT 'gecko' AS profile_id, (i + o)::INT AS trace_idx, k AS sample_idx, floor(v * 100) + 0.0 AS v, 4.0::DOUBLE AS trig, round(719529 + p::INT + 0.001::DOUBLE * i, 6) + 0.0 AS decday, round(0.002::DOUBLE * i, 6) + 0.0 AS long
+FROM x JOIN o USING (p)""")
+def read_gecko(spark, d):
+    out = binary.in_one_profile(binary.parsed(files_of(spark, d, gecko, by_name=True), binary.parse_gecko()), "gecko")
+    return samples(out, "profile_id", "trace_idx", "trig", "decday", "long").withColumns({c: r6(c) for c in ("v", "decday", "long")})
+
+
+FIXES = f"WITH {X} SELECT p AS fn, i::DOUBLE AS trace_num, round(-(79 + (i % 60 + 0.5::DOUBLE) / 60), 8) + 0.0 AS lat, round(170 + (i % 60 + 0.25::DOUBLE) / 60, 8) + 0.0 AS long, i + 0.5::DOUBLE AS altitude FROM t"
+
+for _name, _mark, _kind in (("read_dzg", "$GSSIS,%d,1.5", text.DZG), ("read_pulse_gps", "Trace #%d at position 2.5", text.PULSE)):
+
+    @query(_name, FIXES)
+    def read_fixes(spark, d, mark=_mark, kind=_kind):
+        i = F.col("trace_idx")
+        minutes = F.lpad((i % 60).cast("string"), 2, "0")
+        line = F.concat(F.format_string(mark, i), F.lit("\r\n$GPGGA,120000,79"), minutes, F.lit(".5,S,170"), minutes, F.lit(".25,E,1,08,0.9,"), i.cast("string"), F.lit(".5,M,-5.5,M,,*47"))
+        lines = labelled(spark, d).groupBy(F.col("profile_id").alias("fn")).agg(F.array_sort(F.collect_list(F.struct("trace_idx", line.alias("line")))).alias("rows"))
+        fixes = text.fixes_of(lines.select("fn", F.array_join("rows.line", "\r\n").alias("value")), *kind)
+        return fixes.select("fn", "trace_num", *[(F.round(c, 8) + F.lit(0.0)).alias(c) for c in ("lat", "long")], "altitude")

@@ -30,19 +30,28 @@ def sentences(spark: SparkSession, path: str, mark: str, number: str) -> DataFra
     ``mark``: what such lines start with, ``number``: a pattern whose group is the
     number. Files are read whole, so the order of lines is theirs.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("fn"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
+    return fixes_of(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("fn"), "value"), mark, number)
+
+
+def fixes_of(files: DataFrame, mark: str, number: str) -> DataFrame:
+    """The same of files given as rows of fn and value, the whole text."""
+    whole = files.select("fn", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
     before = Window.partitionBy("fn").orderBy("line_no")
     trace = F.when(F.col("line").startswith(mark), F.regexp_extract("line", number, 1).try_cast("double"))
     found = whole.withColumn("trace_num", F.last(trace, ignorenulls=True).over(before)).where(F.col("line").rlike(r"^\$..GGA"))
     return found.select("fn", "trace_num", *[v.alias(k) for k, v in gga(F.col("line")).items()])
 
 
+#: What lines with a trace number start with, and the pattern of the number, in the two kinds of files.
+DZG, PULSE = ("$GSSIS", r"^\$GSSIS,(\d+)"), ("Trace", r"Trace #(\d+)")
+
+
 def dzg(spark: SparkSession, path: str) -> DataFrame:
-    return sentences(spark, path, "$GSSIS", r"^\$GSSIS,(\d+)")
+    return sentences(spark, path, *DZG)
 
 
 def pulse_gps(spark: SparkSession, path: str) -> DataFrame:
-    return sentences(spark, path, "Trace", r"Trace #(\d+)")
+    return sentences(spark, path, *PULSE)
 
 
 def cor_table(spark: SparkSession, path: str) -> DataFrame:

@@ -171,3 +171,26 @@ def test_sounder_and_simulation():
     assert out.samples[0].tolist() == [0, 20, 0] and np.isnan(out.samples[1][1]) and out.decday.tolist() == [719529, 719530] and out.dt[0] == pytest.approx(1e-8)
     sim = binary.parse_simulation(1e-9)("x.txt", b"0 5 1\n0 5 2\n")
     assert sim.samples[1].tolist() == [5, 2] and len(sim) == 2
+
+
+@pytest.mark.parametrize("version", [300, 320, 321, 360, 380])
+def test_recordings_of_all_versions_and_channels(version):
+    old = version < 360
+    head = bytearray(93 + 2 * (version < 321) + (2 if version < 380 else 4) + 4 + 27 * old)
+    struct.pack_into("<H", head, 0, version)
+    head[76] = 2
+    struct.pack_into("<HHH", head, 82, 250, 1, 2)
+    raw = bytes(head) + b"".join(struct.pack("<BHBB", k, 500, 0, 0) + bytes(27 * old) for k in (1, 2))
+
+    def record(kind, day, *values):
+        gauges = struct.pack("<ff", 7.0, 8.5) if version < 321 else b""
+        place = struct.pack("<BxidfH", kind, 1, day, 2.0, 50) + gauges + struct.pack("<ddff", -80.0, 170.0, 900.0, 0.1)
+        return place + bytes(0 if not old else 12 if version < 320 else 14) + (bytes(38) if kind == 1 else struct.pack(f"<{len(values)}h", *values))
+
+    raw += record(0, 1.0, 1, 2, 3) + record(0, 1.0, 4, 5, 6) + record(1, 1.5) + record(0, 2.0, 7, 8, 9) + record(0, 2.0, -1, -2, -3)
+    for channel, want in ((1, [[1, 2, 3], [7, 8, 9]]), (2, [[4, 5, 6], [-1, -2, -3]])):
+        got = binary.parse_gecko(channel)("a/x.gtd", raw + record(0, 3.0, 1, 1, 1)[:-2])  # the last record breaks off
+        assert [x.tolist() for x in got.samples] == want and got.decday.tolist() == [719530.0, 719531.0]
+        assert got.dt[0] == pytest.approx(4e-9) and got.trig[0] == 1 and got.elev[0] == 900 and got.pressure[0] == (8.5 if version < 321 else 0)
+    with pytest.raises(ValueError):
+        binary.parse_gecko(3)("x.gtd", raw)

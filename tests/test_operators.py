@@ -420,3 +420,9 @@ def test_restack_of_gaps_and_short_traces(spark):
     df = spark.createDataFrame(rows, "profile_id string, trace_idx int, samples array<double>")
     got = {(r.profile_id, r.trace_idx): r.samples for r in shape.restack(df, 3).collect()}
     assert got == {("p", 0): [1.0, 1.0, 2.0], ("p", 1): [4.0, None, 2.0], ("p", 2): [7.0, 1.0], ("q", 0): []}
+
+
+def test_files_of_a_folder_become_one_profile_in_the_order_of_time(spark):
+    rows = [("a", f"d/line_{f}.gtd", i, i + 1, day + i) for f, day, n in (("1", 20.0, 2), ("2", 10.0, 3)) for i in range(n)]
+    out = binary.in_one_profile(spark.createDataFrame(rows, "profile_id string, fn string, trace_idx int, trace_num int, decday double"), "x").orderBy("trace_idx").collect()
+    assert [(r.profile_id, r.trace_idx, r.trace_num, r.decday) for r in out] == [("line_", k, k + 1, t) for k, t in enumerate([10.0, 11.0, 12.0, 20.0, 21.0])]
