@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, html, jaccard, langid, mixing, repetition, search, secrets, toxicity
+from . import audit, bpe, chat, exactdup, html, jaccard, langid, merkle, mixing, repetition, search, secrets, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,14 @@ def queries() -> dict:
         "op8_language_id": langid.op8_language_id,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_bpe": bpe.op10_bpe,
+        "op11_exact_dedup": exactdup.op11_exact_dedup,
+        "op12_merkle_manifest": merkle.op12_merkle_manifest,
+        "op13_filter_audit": audit.op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scans": secrets.ORACLE, "op4_chat_format": chat.ORACLE, "op5_exact_topk": search.ORACLE}
+    return {
+        "op1_secret_scans": secrets.ORACLE, "op4_chat_format": chat.ORACLE, "op5_exact_topk": search.ORACLE,
+        "op11_exact_dedup": exactdup.ORACLE, "op12_merkle_manifest": merkle.ORACLE, "op13_filter_audit": audit.ORACLE,
+    }
