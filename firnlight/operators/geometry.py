@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .along import SEGMENT, inside, renumbered, with_neighbour, with_profile, with_running
+from .along import SEGMENT, in_ranges, inside, renumbered, with_neighbour, with_profile, with_running
 
 
 def cumulative_distance(traces: DataFrame) -> DataFrame:
@@ -41,47 +41,59 @@ def cull_stationary(traces: DataFrame, min_movement: float = 1e-2) -> DataFrame:
     return out.select(*traces.columns)
 
 
-def interpolate(points: DataFrame, fixes: DataFrame, key: str, at: str, values: list[str], extrapolate: bool = False) -> DataFrame:
+def interpolate(points: DataFrame, fixes: DataFrame, key: str, at: str, values: list[str], extrapolate: bool = False,
+                each: bool = False, size: int = SEGMENT) -> DataFrame:
     """Linear interpolation of ``values`` of ``fixes`` at the ``at`` of ``points``, per ``key``.
 
-    Points and fixes are laid in one order and each point takes the last fix before
-    and the first after it: one shuffle by key and two sorts, no range join. Outside
-    the fixes the end segment is carried on, or the result is null. Rows without
-    ``at`` stay, with null values; equal fixes count once.
+    Points and fixes are dealt to ranges of ``at`` of about ``size`` rows, so a key of
+    any length is many tasks. Within a range each point takes the last fix before and
+    the first after it, in two sorts; where a range has none, it takes those of the
+    nearest ranges that do, from a table with one row a range. Beyond all fixes the
+    outermost two are carried on, or the result is null. With ``each`` a fix holds for
+    those of its values that are not null. Rows without ``at`` stay, with null values;
+    equal fixes count once.
     """
-    w = Window.partitionBy(key).orderBy(at)
-    known = fixes.where(F.col(at).isNotNull()).groupBy(key, at).agg(*[F.first(v).alias(v) for v in values])
-    fix = F.struct(F.col(at).alias("t"), *[F.col(v).alias(v) for v in values])
-    if extrapolate:  # each fix also knows its neighbours' segments
-        known = known.withColumn("f__", fix).withColumn("prev__", F.lag("f__").over(w)).withColumn("next__", F.lead("f__").over(w))
-    else:
-        none = F.lit(None).cast(known.select(fix.alias("f")).schema["f"].dataType)
-        known = known.withColumn("f__", fix).withColumn("prev__", none).withColumn("next__", none)
+    known = fixes.where(F.col(at).isNotNull()).groupBy(key, at).agg(*[(F.min(v) if each else F.first(v)).alias(v) for v in values])
     shared = [c for c in points.columns if c not in values]
-    every = points.select(*shared).withColumn("is_fix__", F.lit(0)).unionByName(
-        known.select(key, at, "f__", "prev__", "next__").withColumn("is_fix__", F.lit(1)), allowMissingColumns=True)
+    held = {v: f"fix{i}__" for i, v in enumerate(values)}
+
+    def fix(v: str) -> Column:
+        whole = F.struct(F.col(at).cast("double").alias("t"), F.col(v).alias("v"))
+        return F.when(F.col(v).isNotNull(), whole) if each else whole
+
+    known = known.select(key, at, *[fix(v).alias(c) for v, c in held.items()])
+    timed = points.where(F.col(at).isNotNull()).select(*shared)
+    every = in_ranges(timed.withColumn("is_fix__", F.lit(0)).unionByName(known.withColumn("is_fix__", F.lit(1)), allowMissingColumns=True), key, at, size)
+    ends = every.groupBy(key, "range__").agg(*[f(c).alias(f"{n}_{c}") for c in held.values() for n, f in (("low", F.min), ("high", F.max))])
+    up, down = (Window.partitionBy(key).orderBy(o("range__")).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc, F.desc))
+    edges = ends.select(key, "range__", *[F.last(f"high_{c}", ignorenulls=True).over(up).alias(f"before_{c}") for c in held.values()],
+                        *[F.last(f"low_{c}", ignorenulls=True).over(down).alias(f"after_{c}") for c in held.values()])
     # The next fix is the last one in the opposite order: a frame that runs to the end would be read anew for every row.
-    up = Window.partitionBy(key).orderBy(F.col(at).asc_nulls_last(), F.desc("is_fix__"))
-    down = Window.partitionBy(key).orderBy(F.col(at).desc_nulls_last(), F.desc("is_fix__"))
-    before, after = (w.rowsBetween(Window.unboundedPreceding, 0) for w in (up, down))
-    fixed = F.when(F.col("is_fix__") == 1, F.struct("f__", "prev__", "next__"))
-    seen = every.withColumn("last__", F.last(fixed, ignorenulls=True).over(before)).withColumn("first__", F.last(fixed, ignorenulls=True).over(after))
-    found = seen.withColumns({
-        "a__": F.col("last__")["f__"], "b__": F.col("first__")["f__"], "a0__": F.col("last__")["prev__"], "b1__": F.col("first__")["next__"]})
-    found = found.where(F.col("is_fix__") == 0)
-    # Beyond an end the last two fixes give the line.
-    low = F.when(F.col("a__").isNull(), F.col("b__")).when(F.col("b__").isNull(), F.col("a0__")).otherwise(F.col("a__"))
-    high = F.when(F.col("a__").isNull(), F.col("b1__")).when(F.col("b__").isNull(), F.col("a__")).otherwise(F.col("b__"))
-    out = found.withColumn("l__", low).withColumn("h__", high)
+    there, back = (Window.partitionBy(key, "range__").orderBy(o(at), F.desc("is_fix__")).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc, F.desc))
+    seen = every.withColumns({f"a_{c}": F.last(c, ignorenulls=True).over(there) for c in held.values()} | {f"b_{c}": F.last(c, ignorenulls=True).over(back) for c in held.values()})
+    seen = seen.where("is_fix__ = 0").join(edges, [key, "range__"], "left")
+    if extrapolate:
+        outer = known.groupBy(key).agg(*[f(c).alias(f"{n}_{c}") for c in held.values() for n, f in (("first", F.min), ("last", F.max))])
+        inner = known.join(outer, key).groupBy(key).agg(*[F.first(f"{n}_{c}").alias(f"{n}_{c}") for c in held.values() for n in ("first", "last")],
+                                                        *[F.min(F.when(F.col(c)["t"] > F.col(f"first_{c}")["t"], F.col(c))).alias(f"second_{c}") for c in held.values()],
+                                                        *[F.max(F.when(F.col(c)["t"] < F.col(f"last_{c}")["t"], F.col(c))).alias(f"but_{c}") for c in held.values()])
+        seen = seen.join(inner, key, "left")
     t = F.col(at)
 
     def value(v: str) -> Column:
-        a, b, t0, t1 = F.col("l__")[v], F.col("h__")[v], F.col("l__")["t"], F.col("h__")["t"]
-        line = F.when(t0 == t1, a).otherwise(a + (b - a) * F.try_divide(t - t0, t1 - t0))
-        exact = F.when(F.col("a__")["t"] == t, F.col("a__")[v])
-        return F.when(t.isNotNull(), F.coalesce(exact, line))
+        c = held[v]
+        a, b = F.coalesce(f"a_{c}", f"before_{c}"), F.coalesce(f"b_{c}", f"after_{c}")
+        low, high = a, b
+        if extrapolate:
+            low = F.when(a.isNull(), F.col(f"first_{c}")).when(b.isNull(), F.col(f"but_{c}")).otherwise(a)
+            high = F.when(a.isNull(), F.col(f"second_{c}")).when(b.isNull(), F.col(f"last_{c}")).otherwise(b)
+        t0, t1 = low["t"], high["t"]
+        line = F.when(t0 == t1, low["v"]).otherwise(low["v"] + (high["v"] - low["v"]) * F.try_divide(t - t0, t1 - t0))
+        return F.coalesce(F.when(a["t"] == t, a["v"]), line).alias(v)
 
-    return out.select(*shared, *[value(v).alias(v) for v in values])
+    found = seen.select(*shared, *[value(v) for v in values])
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema.fields if f.name in values]
+    return found.unionByName(points.where(F.col(at).isNull()).select(*shared, *none))
 
 
 def gps_control(traces: DataFrame, fixes: DataFrame, offset: float = 0.0, extrapolate: bool = False) -> DataFrame:
@@ -90,10 +102,10 @@ def gps_control(traces: DataFrame, fixes: DataFrame, offset: float = 0.0, extrap
     return placed(traces, moved, "decday", ["lat", "long", "elev"], extrapolate)
 
 
-def placed(traces: DataFrame, fixes: DataFrame, at: str, values: list[str], extrapolate: bool) -> DataFrame:
+def placed(traces: DataFrame, fixes: DataFrame, at: str, values: list[str], extrapolate: bool, each: bool = False) -> DataFrame:
     """Traces with interpolated values; their samples stay out of the sort along the profile and are joined back."""
     names = ["profile_id", "trace_idx", *[at] * (at != "trace_idx")]
-    found = interpolate(traces.select(*names), fixes, "profile_id", at, values, extrapolate).select("profile_id", "trace_idx", *values)
+    found = interpolate(traces.select(*names), fixes, "profile_id", at, values, extrapolate, each).select("profile_id", "trace_idx", *values)
     return traces.drop(*values).join(found, ["profile_id", "trace_idx"])
 
 
@@ -130,12 +142,8 @@ def search_offset(traces: DataFrame, fixes: DataFrame, start: float = 0.0, passe
 
 
 def clean_gps(traces: DataFrame, values: list[str]) -> DataFrame:
-    """Fill missing positions linearly along trace numbers, carried on beyond the ends."""
-    out = traces
-    for v in values:
-        known = traces.where(F.col(v).isNotNull()).select("profile_id", "trace_idx", v)
-        out = placed(out, known, "trace_idx", [v], extrapolate=True)
-    return out
+    """Fill missing positions linearly along trace numbers, carried on beyond the ends; all columns in one pass."""
+    return placed(traces, traces.select("profile_id", "trace_idx", *values), "trace_idx", values, extrapolate=True, each=True)
 
 
 def constant_spacing(traces: DataFrame, spacing: float, values: list[str], min_movement: float = 1e-2) -> DataFrame:

@@ -19,12 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import common_start
-
-
-TRACES = """profile_id string, fn string, trace_idx int, trace_num int, snum int, dt double, trig double, chan string, decday double,
-lat double, long double, elev double, x_coord double, y_coord double, dist double, pressure double, trace_int double, data_dtype string, samples array<double>"""
-NAMES = [c.split()[0] for c in TRACES.replace("\n", " ").split(",")]
-
+from .records import LAYOUTS, NAMES, TRACES, pe_options, read_ranges, segy_head, segy_records, whole_file
 
 def traces_of(path: str, data: np.ndarray, dt: float, **columns) -> pd.DataFrame:
     """Rows of a (samples x traces) matrix; missing columns are null."""
@@ -60,88 +55,37 @@ def parsed(files: DataFrame, parse: Callable[[str, bytes], pd.DataFrame], strict
     return files.select("path", "content").mapInPandas(run, TRACES)
 
 
-def parse_dzt(path: str, raw: bytes) -> pd.DataFrame:
-    """A pulse-radar file with a 1024-byte-aligned header: u16 or u32 samples, offset binary."""
-    snum, bits, trigger = struct.unpack_from("<HHh", raw, 4)
-    span = struct.unpack_from("<f", raw, 26)[0]
-    channel = struct.unpack_from("<H", raw, 52)[0]
-    width = bits // 8
-    if snum == 0 or width not in (2, 4):
-        raise ValueError("not a pulse-radar file")
-    for start in (32768 * width, 512 * width):
-        if len(raw) > start and (len(raw) - start) // (width * snum) > 0:
-            body = np.frombuffer(raw, f"<u{width}", ((len(raw) - start) // (width * snum)) * snum, start)
-            break
-    else:
-        raise ValueError("no samples")
-    data = body.reshape(-1, snum).T.copy()
-    data[:2] = data[2] if snum > 2 else data[:2]
-    return traces_of(path, data, span / snum * 1e-9, chan=str(channel), trig=float(trigger))
-
-
-def parse_dt1(header: dict[str, str]) -> Callable[[str, bytes], pd.DataFrame]:
-    """Traces with a header of 25 floats and 28 bytes each; ``header`` holds the text file's keys."""
-    snum = int(float(header["NUMBER OF PTS/TRC"]))
-    dt = float(header["TOTAL TIME WINDOW"]) / snum * 1e-9
-    kind = "<i2" if header.get("VERSION", "").strip() == "1.0" else "<f4"
+def fixed(kind: str, options: dict | None = None, strict: bool = True) -> Callable[[str, bytes], pd.DataFrame]:
+    """The parser of files of fixed-length records of a kind, whole in memory; see :mod:`.records`.
 
+    A file that ends within a record raises, or gives its whole records.
+    """
     def parse(path: str, raw: bytes) -> pd.DataFrame:
-        size = 128 + snum * np.dtype(kind).itemsize
-        tnum = len(raw) // size
-        if not tnum:
-            raise ValueError("no traces")
-        rows = np.frombuffer(raw, np.uint8, tnum * size).reshape(tnum, size)
-        heads = rows[:, :100].copy().view("<f4")
-        data = rows[:, 128:].copy().view(kind).astype(float).T
-        data -= np.nanmean(data[:100], axis=0)
-        return traces_of(path, data, dt, dist=heads[:, 1].astype(float) / 1000, trace_num=heads[:, 0].astype(int))
+        layout, columns = whole_file(kind, path, raw, options, strict)
+        return traces_of(path, columns["samples"].T, columns["dt"], **{k: v for k, v in columns.items() if k in NAMES and k not in ("samples", "dt", "snum", "trace_idx")})
 
     return parse
 
 
-def parse_rd3(samples: int, window_ns: float, trig: float = 36.0) -> Callable[[str, bytes], pd.DataFrame]:
-    """16-bit samples, trace after trace, with the text header's number of samples and time window."""
-    def parse(path: str, raw: bytes) -> pd.DataFrame:
-        data = np.frombuffer(raw, "<i2", len(raw) // 2 // samples * samples).reshape(-1, samples).T
-        return traces_of(path, data, window_ns / samples * 1e-9, trig=trig)
+parse_dzt, parse_segy, parse_bursts = fixed("gssi"), fixed("segy"), fixed("apres")
 
-    return parse
+
+def parse_dt1(header: dict[str, str]) -> Callable[[str, bytes], pd.DataFrame]:
+    """Traces with a header of 25 floats and 28 bytes each; ``header`` holds the text file's keys."""
+    return fixed("pe", pe_options(header))
 
 
-def parse_segy(path: str, raw: bytes) -> pd.DataFrame:
-    """SEG-Y: 3600 bytes of file header, then traces with 240-byte headers; 2 and 4-byte integers and IEEE or IBM floats."""
-    order = ">" if 0 < struct.unpack_from(">h", raw, 3224)[0] < 20 else "<"
-    interval, _, snum = struct.unpack_from(f"{order}hhh", raw, 3216)
-    code = struct.unpack_from(f"{order}h", raw, 3224)[0]
-    kinds = {1: "u4", 2: "i4", 3: "i2", 5: "f4"}
-    if code not in kinds or snum <= 0:
-        raise ValueError("unknown sample format")
-    kind = np.dtype(f"{order}{kinds[code]}")
-    size = 240 + snum * kind.itemsize
-    tnum = (len(raw) - 3600) // size
-    rows = np.frombuffer(raw, np.uint8, tnum * size, 3600).reshape(tnum, size)
-    data = rows[:, 240:].copy().view(kind)
-    if code == 1:
-        bits = data.astype(np.uint32)
-        sign = np.where(bits >> 31, -1.0, 1.0)
-        data = sign * (bits & 0xFFFFFF) / 2.0**24 * 16.0 ** (((bits >> 24) & 0x7F).astype(int) - 64)
-    group = rows[:, 80:88].copy().view(f"{order}i4") / 100.0
-    return traces_of(path, np.asarray(data, float).T, interval * 1e-9, x_coord=group[:, 0], y_coord=group[:, 1])
+def parse_rd3(samples: int, window_ns: float, trig: float = 36.0) -> Callable[[str, bytes], pd.DataFrame]:
+    """16-bit samples, trace after trace, with the text header's number of samples and time window."""
+    return fixed("ramac", {"samples": samples, "window_ns": window_ns, "trig": trig})
 
 
 def write_segy(samples: np.ndarray, interval: int) -> bytes:
     """A SEG-Y file (little endian, IEEE floats) of a (samples x traces) matrix."""
-    snum, tnum = samples.shape
-    head = bytearray(3600)
-    struct.pack_into("<hhh", head, 3216, interval, 0, snum)
-    struct.pack_into("<h", head, 3224, 5)
-    rows = np.zeros((tnum, 240 + 4 * snum), np.uint8)
-    rows[:, 0:4] = np.arange(1, tnum + 1, dtype="<i4")[:, None].view(np.uint8)
-    rows[:, 240:] = samples.T.astype("<f4").copy().view(np.uint8)
-    return bytes(head) + rows.tobytes()
+    return segy_head(interval, len(samples)) + segy_records(np.arange(samples.shape[1]), samples.T).tobytes()
 
 
-def parse_wheel(magnets: int = 1, diameter: float = 0.5, level: float = 0.1) -> Callable[[str, bytes], pd.DataFrame]:
+def parse_wheel(magnets: int = 1, diameter: float = 0.5, level: float = 0.1, strict: bool = True) -> Callable[[str, bytes], pd.DataFrame]:
     """A stream of records f4, u2, i2, f4, f4, u2, u2 and so many u2 samples; distances from a wheel's counts.
 
     A record holds time, count, pressure, vertical and horizontal step, averages and
@@ -156,6 +100,7 @@ def parse_wheel(magnets: int = 1, diameter: float = 0.5, level: float = 0.1) ->
             time, wheel, pressure, _, step, _, n = head.unpack_from(raw, at)
             at += head.size
             if at + 2 * n > len(raw):
+                at -= head.size
                 break
             rows.append(np.frombuffer(raw, "<u2", n, at).astype(float) - 512)
             at += 2 * n
@@ -165,6 +110,8 @@ def parse_wheel(magnets: int = 1, diameter: float = 0.5, level: float = 0.1) ->
             steps.append(step)
         if not rows:
             raise ValueError("no records")
+        if strict and at < len(raw):
+            raise ValueError(f"the file breaks off: {len(raw) - at} bytes after {len(rows)} whole records")
         data = np.stack(rows, 1)
         mean = data.mean(1)
         steep = np.flatnonzero(np.abs(np.gradient(mean)) > level * np.abs(mean).max())
@@ -175,28 +122,6 @@ def parse_wheel(magnets: int = 1, diameter: float = 0.5, level: float = 0.1) ->
     return parse
 
 
-def parse_bursts(path: str, raw: bytes) -> pd.DataFrame:
-    """Phase-sensitive bursts: text keys, then u16 or u32 samples of all chirps after ``*** End Header ***``."""
-    mark = b"*** End Header ***"
-    at, parts = 0, []
-    while (end := raw.find(mark, at)) >= 0:
-        text = raw[at:end].decode("latin-1")
-        keys = dict(line.split("=", 1) for line in text.splitlines() if "=" in line)
-        n, chirps = int(keys["N_ADC_SAMPLES"]), int(keys.get("NSubBursts", 1)) * int(keys.get("nAttenuators", 1))
-        average = int(keys.get("Average", 0))
-        kind = np.dtype("<u2" if average == 0 else "<f4" if average == 2 else "<u4")
-        start = end + len(mark)
-        start += len(raw[start : start + 2]) - len(raw[start : start + 2].lstrip(b"\r\n"))
-        body = np.frombuffer(raw, kind, min(n * chirps, (len(raw) - start) // kind.itemsize), start).astype(float)
-        if average:
-            body = body / max(chirps, 1) if average == 1 else body
-        parts.append(body[: len(body) // n * n].reshape(-1, n).T * 2.5 / 2**16)
-        at = start + n * chirps * kind.itemsize
-    if not parts:
-        raise ValueError("no bursts")
-    return traces_of(path, np.hstack(parts), 1 / 40000)
-
-
 def parse_simulation(dt: float, share: float = 0.5) -> Callable[[str, bytes], pd.DataFrame]:
     """A text matrix with a line per trace; samples before the mean amplitude first passes a share of its largest are cut."""
     def parse(path: str, raw: bytes) -> pd.DataFrame:
@@ -215,12 +140,12 @@ def parse_simulation(dt: float, share: float = 0.5) -> Callable[[str, bytes], pd
 EPOCH = 719529.0
 
 
-def parse_gecko(channel: int = 1) -> Callable[[str, bytes], pd.DataFrame]:
+def parse_gecko(channel: int = 1, strict: bool = True) -> Callable[[str, bytes], pd.DataFrame]:
     """One channel of a recording whose traces follow each other channel by channel.
 
     Versions (in hundredths) differ in the header's fields and padding, and in
-    those of traces. Markers and comments give no trace, nor does a record that
-    the file breaks off in; other channels are passed over.
+    those of traces. Markers and comments give no trace; other channels are passed
+    over. A file that ends within a record raises, or gives its whole records.
     """
     def parse(path: str, raw: bytes) -> pd.DataFrame:
         version, channels = struct.unpack_from("<H", raw)[0], raw[76]
@@ -237,11 +162,13 @@ def parse_gecko(channel: int = 1) -> Callable[[str, bytes], pd.DataFrame]:
         head = struct.Struct(f"<Bxidf2x{'ff' if version < 321 else ''}ddff{padding}x")
         snum, rows, turn = pre + post, [], 0
         while at + head.size <= len(raw):
+            begin = at
             kind, _, day, interval, *gauges, lat, long, elev, _ = head.unpack_from(raw, at)
             at += head.size + (38 if kind == 1 else 0)
             if kind:
                 continue
             if at + 2 * snum > len(raw):
+                at = begin
                 break
             if turn % channels == channel - 1:
                 rows.append((day + EPOCH, interval, lat, long, elev, gauges[1] if gauges else 0.0, np.frombuffer(raw, "<i2", snum, at)))
@@ -249,6 +176,8 @@ def parse_gecko(channel: int = 1) -> Callable[[str, bytes], pd.DataFrame]:
             at += 2 * snum
         if not rows:
             raise ValueError("no traces")
+        if strict and at < len(raw):
+            raise ValueError(f"the file breaks off: {len(raw) - at} bytes after {turn} whole traces")
         *heads, body = zip(*rows)
         named = dict(zip(("decday", "trace_int", "lat", "long", "elev", "pressure"), map(np.array, heads)))
         return traces_of(path, np.stack(body, 1), 1 / (mhz * 1e6), chan=str(channel), trig=float(pre), **named)
@@ -321,6 +250,15 @@ def load(spark: SparkSession, kind: str, path: str, s_srs: str | None = None, t_
     return with_coordinates(load_files(spark, kind, path, **options), s_srs, t_srs)
 
 
+def with_positions(traces: DataFrame, fixes: DataFrame) -> DataFrame:
+    """Latitudes, longitudes and elevations along trace numbers, from a table of positions with the name of its profile."""
+    from ..operators.geometry import placed
+
+    fixes = fixes.select("profile_id", F.col("trace_num").cast("double").alias("number__"), "lat", "long", "elev")
+    numbered = traces.withColumn("number__", F.col("trace_num").cast("double"))
+    return placed(numbered, fixes, "number__", ["lat", "long", "elev"], True).select(*traces.columns)
+
+
 def load_files(spark: SparkSession, kind: str, path: str, **options) -> DataFrame:
     """Read files of a kind: gssi, pe, ramac, segy, tek, apres, gecko, osu, seidart, mat, stomat, mcords_mat, parquet; others name the missing library."""
     from . import matlab as ML
@@ -336,13 +274,14 @@ def load_files(spark: SparkSession, kind: str, path: str, **options) -> DataFram
         return T.read_trace_texts(spark, path)
     if kind == "gecko":
         return in_one_profile(read_files(spark, path, parse_gecko(**options), strict), "gecko")
-    if kind == "pe":
-        return read_files(spark, path, parse_dt1(options["header"]), strict)
-    if kind == "ramac":
-        return read_files(spark, path, parse_rd3(options["samples"], options["window_ns"]), strict)
+    if kind in LAYOUTS:
+        options |= pe_options(options.pop("header")) if kind == "pe" and "header" in options else {}
+        positions = options.pop("positions", None)
+        traces = read_ranges(spark, kind, path, strict=strict, **options)
+        return traces if positions is None else with_positions(traces, T.cor_table(spark, positions))
     if kind == "seidart":
         return read_files(spark, path, parse_simulation(options["dt"]), strict)
-    parse = {"mat": ML.parse_native, "stomat": ML.parse_native, "mcords_mat": ML.parse_sounder, "gssi": parse_dzt, "segy": parse_segy, "tek": parse_wheel(**options) if kind == "tek" else None, "apres": parse_bursts}.get(kind)
+    parse = {"mat": ML.parse_native, "stomat": ML.parse_native, "mcords_mat": ML.parse_sounder, "tek": parse_wheel(**options) if kind == "tek" else None}.get(kind)
     if parse is None:
         raise ValueError(f"unknown kind {kind}")
     return read_files(spark, path, parse, strict)

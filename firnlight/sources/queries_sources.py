@@ -7,6 +7,7 @@ the formula.
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -17,7 +18,8 @@ from pyspark.sql.window import Window
 
 from ..plans.registry import query
 from ..plans.tables import SNUM, TR, r6, samples, traces
-from . import binary, matlab, sinks, text
+from . import binary, matlab, records, sinks, text
+from .shared import shared_dir
 
 #: The traces of each label, numbered from 0, and their samples.
 X = TR + """, t AS (SELECT p, (row_number() OVER (PARTITION BY p ORDER BY i) - 1)::INT AS i, a FROM tr),
@@ -47,10 +49,50 @@ def select(value: str, more: str = "", x: str = "x") -> str:
     return f"WITH {X} SELECT p AS profile_id, i AS trace_idx, k AS sample_idx, round({value}, 6) + 0.0 AS v{more} FROM {x}"
 
 
+def kept_files(files: DataFrame, ending: str) -> str:
+    """A new folder of the shared one with these files (path, content), written by the executors."""
+    folder = f"{shared_dir(files.sparkSession)}/files-{uuid.uuid4().hex}"
+
+    def run(frames):
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"]):
+                system, at = records.store(folder)
+                system.create_dir(at)
+                with system.open_output_stream(f"{at}/{path.rsplit('/', 1)[-1].rsplit('.', 1)[0]}.{ending}") as out:
+                    out.write(content)
+            yield frame[["path"]]
+
+    files.mapInPandas(run, "path string").count()
+    return folder
+
+
+def by_ranges(spark, d, encode, kind: str, *more: str, **options) -> DataFrame:
+    """Files made by formula, kept, and read by ranges of some traces."""
+    out = records.read_ranges(spark, kind, kept_files(files_of(spark, d, encode), "bin"), rangeBytes=2000, **options)
+    return samples(out, "profile_id", "trace_idx", *more).withColumn("v", r6("v")).withColumns({c: r6(c) for c in more})
+
+
+def segy_folder(spark, d) -> str:
+    """The labels' traces as SEG-Y files, a file a label, each written by several tasks."""
+    folder = f"{shared_dir(spark)}/segy-{uuid.uuid4().hex}"
+    rows = traces(spark, d, by_label=True)
+    number = F.row_number().over(Window.partitionBy("profile_id").orderBy("trace_idx")) - 1
+    sinks.write_segy_files(rows.select("profile_id", number.cast("int").alias("trace_idx"), "x_coord", "y_coord", "samples"), folder, 10)
+    return folder
+
+
 @query("read_segy", select("v::FLOAT::DOUBLE"))
 def read_segy(spark, d):
-    files = sinks.segy_files(labelled(spark, d), 10).select(F.concat("profile_id", F.lit(".sgy")).alias("path"), "content")
-    return samples(binary.parsed(files, binary.parse_segy), "profile_id", "trace_idx").withColumn("v", r6("v"))
+    return samples(records.read_ranges(spark, "segy", segy_folder(spark, d), rangeBytes=2000), "profile_id", "trace_idx").withColumn("v", r6("v"))
+
+
+@query("read_segy_range", f"""WITH {TR}, t AS (SELECT *, (row_number() OVER (PARTITION BY p ORDER BY i) - 1)::INT AS n FROM tr)
+SELECT p AS profile_id, n AS trace_idx, n + 1 AS trace_num, x AS x_coord, y AS y_coord FROM t WHERE n BETWEEN 3 AND 11""")
+def read_segy_range(spark, d):
+    """Positions of some traces of every file: of their ranges only the heads are read."""
+    records.register(spark)
+    heads = spark.read.format("radar").schema("profile_id string, trace_idx int, trace_num int, x_coord double, y_coord double").options(kind="segy", rangeBytes=2000)
+    return heads.load(segy_folder(spark, d)).where("trace_idx >= 3 and trace_idx < 12")
 
 
 def dzt(x: np.ndarray) -> bytes:
@@ -62,7 +104,7 @@ def dzt(x: np.ndarray) -> bytes:
 
 @query("read_dzt", f"WITH {X} SELECT p AS profile_id, i AS trace_idx, k AS sample_idx, floor(a[greatest(k, 2) + 1] * 100) + 30000 AS v, 3.0::DOUBLE AS trig FROM t, (SELECT unnest(range(64))::INT AS k)")
 def read_dzt(spark, d):
-    return read_back(spark, d, dzt, binary.parse_dzt, "trig")
+    return by_ranges(spark, d, dzt, "gssi", "trig")
 
 
 def dt1(x: np.ndarray) -> bytes:
@@ -71,13 +113,12 @@ def dt1(x: np.ndarray) -> bytes:
 
 @query("read_dt1", f"WITH {X}, q AS (SELECT *, floor(v * 100) AS q FROM x) SELECT p AS profile_id, i AS trace_idx, k AS sample_idx, round(q - avg(q) OVER (PARTITION BY p, i), 6) + 0.0 AS v, round(i * 0.5 / 1000, 6) + 0.0 AS dist FROM q")
 def read_dt1(spark, d):
-    parse = binary.parse_dt1({"NUMBER OF PTS/TRC": "64", "TOTAL TIME WINDOW": "640", "VERSION": "1.0"})
-    return read_back(spark, d, dt1, parse, "dist")
+    return by_ranges(spark, d, dt1, "pe", "dist", points=SNUM, window_ns=640, version="1.0")
 
 
 @query("read_rd3", select("floor(v * 100)", ", 36.0::DOUBLE AS trig"))
 def read_rd3(spark, d):
-    return read_back(spark, d, lambda x: np.floor(x * 100).T.astype("<i2").tobytes(), binary.parse_rd3(SNUM, 640.0), "trig")
+    return by_ranges(spark, d, lambda x: np.floor(x * 100).T.astype("<i2").tobytes(), "ramac", "trig", samples=SNUM, window_ns=640.0)
 
 
 def wheel(x: np.ndarray) -> bytes:
@@ -95,7 +136,7 @@ def bursts(x: np.ndarray) -> bytes:
 
 @query("read_bursts", select("(floor(v * 1000) + 32768) * 2.5 / 65536"))
 def read_bursts(spark, d):
-    return read_back(spark, d, bursts, binary.parse_bursts)
+    return by_ranges(spark, d, bursts, "apres")
 
 
 @query("read_native", select("v", ", round(-80 + i * 0.001::DOUBLE, 6) + 0.0 AS lat"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.picks import export_table
-from .binary import write_segy
+from .records import write_segy_files  # noqa: F401
 
 
 def save(path: str, traces: DataFrame, picks: DataFrame | None = None, mode: str = "errorifexists") -> None:
@@ -46,12 +44,3 @@ def write_points(path: str, rows: DataFrame, x: str = "long", y: str = "lat") ->
     feature = F.struct(
         F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array(x, y).alias("coordinates")).alias("geometry"), F.struct(*others).alias("properties"))
     rows.select(F.to_json(feature).alias("value")).write.text(path)
-
-
-def segy_files(traces: DataFrame, interval: int) -> DataFrame:
-    """(profile_id, content): one SEG-Y file per profile; a profile must fit one worker."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        data = np.array(pdf.sort_values("trace_idx")["samples"].tolist(), float).T
-        return pd.DataFrame({"profile_id": [pdf["profile_id"].iloc[0]], "content": [write_segy(data, interval)]})
-
-    return traces.select("profile_id", "trace_idx", "samples").groupBy("profile_id").applyInPandas(run, "profile_id string, content binary")

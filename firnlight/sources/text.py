@@ -59,7 +59,8 @@ def cor_table(spark: SparkSession, path: str) -> DataFrame:
     schema = "trace_num int, date string, time string, lat double, ns string, long double, ew string, elev double, unit string, pdop double"
     rows = spark.read.csv(path, sep="\t", schema=schema)
     sign = lambda c, minus: F.when(F.col(c) == minus, -1).otherwise(1)
-    return rows.select("trace_num", F.try_to_timestamp(F.concat_ws(" ", "date", "time")).alias("ts"), (F.col("lat") * sign("ns", "S")).alias("lat"),
+    named = F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("profile_id")
+    return rows.select(named, "trace_num", F.try_to_timestamp(F.concat_ws(" ", "date", "time")).alias("ts"), (F.col("lat") * sign("ns", "S")).alias("lat"),
                        (F.col("long") * sign("ew", "W")).alias("long"), "elev", "pdop")
 
 

@@ -138,8 +138,8 @@ def test_sources_and_sinks(spark, small, tmp_path):
     assert [tuple(r) for r in text.table(spark, f"file://{tmp_path}/v.txt", ["v", "z"]).collect()] == [(1.6e8, 0.0), (1.7e8, 50.0)]
     sinks.save(f"file://{tmp_path}/out", small)
     assert spark.read.parquet(f"file://{tmp_path}/out/traces").count() == 12
-    files = sinks.segy_files(small, 10).collect()
-    assert len(binary.parse_segy("x", bytes(files[0].content))) == 12
+    sinks.write_segy_files(small, f"{tmp_path}/segy", 10)
+    assert binary.load(spark, "segy", f"{tmp_path}/segy").count() == 12
     sinks.write_points(f"file://{tmp_path}/points", small.select("lat", F.col("x_coord").alias("long"), "trace_idx"))
     assert '"coordinates":[0.0,-80.0]' in spark.read.text(f"file://{tmp_path}/points").orderBy("value").toPandas().value.str.cat()
     with pytest.raises(ValueError):
