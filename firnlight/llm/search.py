@@ -14,7 +14,8 @@ Edge cases: vectors that are null or hold null, NaN or infinite components take
 no part; vectors of other lengths count as padded with zeros; of equal ids a
 query passes over all; a repeated row is a candidate as often as it is there, and
 rows of one query id, repeated or not, share one ranking, as in the SQL; fewer
-than k candidates give fewer rows; an empty table gives none. Repeated rows are
+than k candidates give fewer rows; an empty table gives none; components so large
+that a product of two vectors may pass 2^53 are refused, as it would not be exact. Repeated rows are
 folded before the search and no more than k of them go on, as no more can count.
 """
 
@@ -69,8 +70,10 @@ class BallTree:
 
         ``reached``: scores that each query's kth best has reached elsewhere.
         """
-        bounds = queries @ self.centre.T + np.sqrt((queries**2).sum(1))[:, None] * self.radius[None, :]
-        bounds = bounds * (1 + 1e-12) + 1e-6
+        length = np.sqrt((queries**2).sum(1))[:, None]
+        # Rounding errors go with the sizes of what is added up, not with the sum, which may cancel or be negative.
+        slack = 1e-9 * length * (np.sqrt((self.centre**2).sum(1)) + self.radius)[None, :] + 1e-6
+        bounds = queries @ self.centre.T + length * self.radius[None, :] + slack
         kth = reached.astype(float)
         best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # query row, id, score
         frontier = [(-float(bounds[:, 0].max(initial=-np.inf)), 0)]

@@ -324,6 +324,34 @@ def test_top_k_counts_repeated_rows_as_the_sql_does(spark, tmp_path):
     assert sorted(map(tuple, search.op5_exact_topk(spark, str(tmp_path)).collect())) == want
 
 
+@pytest.mark.parametrize("scale", [1, -1, 1000, -1000, 2**22, -(2**22)])
+def test_ball_trees_keep_ties_of_any_sign_and_size(scale):
+    """Equal vectors over several leaves, and queries that see them as good, bad or near the largest exact score."""
+    rng = np.random.default_rng(6)
+    ids = rng.permutation(3000)
+    x = np.full((3000, 64), 256.0)
+    x[2000:2500, 3] = 255
+    x[2500:] = rng.integers(-300, 300, (500, 64))
+    tree = search.BallTree(ids, x, leaf=64)
+    queries = np.vstack([np.full((1, 64), -256.0), np.full((1, 64), 256.0), rng.integers(-9, 9, (20, 64))]) * scale / (1 if abs(scale) < 2**20 else 8)
+    queries = np.trunc(queries)
+    at, vec, score = tree.search(np.full(len(queries), -1), queries, 5, np.full(len(queries), -float(2**62)))
+    for q in range(len(queries)):
+        all_scores = queries[q] @ x.T
+        best = np.lexsort((ids, -all_scores))[:5]
+        mine = sorted(zip(-score[at == q], vec[at == q]))
+        assert mine == [(-all_scores[j], ids[j]) for j in best]
+
+
+def test_top_k_of_negative_ties_over_shards(spark):
+    rows = [(i, [256] * 8) for i in range(400)] + [(1000, [-256] * 8), (1050, [-255] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>").repartition(4)
+    q = df.where("vec_id >= 1000").withColumnRenamed("vec_id", "query_id")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in search.top_k(df, q, 5, shard_rows=40, query_rows=4).collect())
+    one = 8 * 256 * 255
+    assert got == [(1000, 1, 1050, one), *[(1000, k + 2, k, -8 * 65536) for k in range(4)], (1050, 1, 1000, one), *[(1050, k + 2, k, -one) for k in range(4)]]
+
+
 def test_top_k_over_many_shards_and_rounds(spark):
     """Shards enough for four rounds, hot rows and vectors of several lengths."""
     rng = np.random.default_rng(4)
