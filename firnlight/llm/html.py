@@ -11,9 +11,13 @@ container around it as the article, that one is. Siblings with a fair part of
 its points, and headings before it, are kept with it. All the text of those
 containers is returned.
 
-A class name decides by itself only where it names nothing but a part around the
-article; a section inside it with such a word and another one is kept if it reads
-like the article, by length, commas and share of links.
+A class name drops by itself only where it names nothing but a part around the
+article (site-footer), or reader comments. Where such a word stands beside one that
+tells of a topic (share-price), or has a plain meaning as well (discussion), the
+element is kept if it reads like the article: little of it links, commas, and most
+of it in blocks of a sentence and more. Outside a named article it then competes by
+its points but joins no other container. If all this leaves no text, words with a
+plain meaning are doubted too.
 
 Edge cases: null or empty html gives an empty text, markup without text too;
 unclosed and misnested tags close as browsers close them; attributes and nesting
@@ -32,8 +36,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import map_texts, read
 
-#: A comment, a declaration, or the start of a tag.
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)", re.S)
+#: A comment, a declaration (CDATA among them, which browsers read as a comment), or the start of a tag.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)", re.S)
 #: What ends a tag or begins a quoted value in it.
 STOP = re.compile(r"[>\"']")
 ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -67,7 +71,16 @@ DROP_WORDS = frozenset(
     "promo promoted promotion recommended related search share sharing shares sidebar sidebars signup skip social sponsor sponsored subscribe "
     "subscription toolbar toc widget widgets contentinfo complementary".split()
 )
-COMMENT_WORDS = frozenset("comment comments commentlist disqus discussion replies reply respond responses".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus".split())
+#: Words that may name reader comments or a section of the article.
+TALK_WORDS = frozenset("discussion replies reply respond response responses".split())
+#: Words of DROP_WORDS with a plain meaning as well.
+PLAIN_WORDS = frozenset("alert banner notice notices promotion recommended related search share shares sharing social subscription".split())
+#: Words in a name that tell nothing of what the element is about.
+FRAME_WORDS = frozenset(
+    "area articles bar bottom button buttons center col column container fixed global group holder icon icons inner items layout left link links lists module nav outer page panel "
+    "placeholder posts primary region right row secondary section site slot stories sub tertiary title top wrap wrapper zone".split()
+)
 #: Words that say the element holds the article after all.
 KEEP_WORDS = frozenset("article articlebody content entry main post story".split())
 #: Of those, the ones that name the article alone.
@@ -76,8 +89,8 @@ ARTICLE_WORDS = KEEP_WORDS - {"content", "main"}
 ITEM_WORDS = frozenset("body box card item list thread unit".split())
 #: Words for a part around the article that say nothing inside it.
 IN_ARTICLE = frozenset("header byline search toc skip".split())
-#: Characters of a doubtful element from which it may be part of the article.
-PROSE_CHARS = 400
+#: Characters of a block that holds a sentence.
+SENTENCE = 80
 #: Points of an element for what it is.
 TAG_POINTS = {"article": 10.0, "main": 10.0, "section": 2.0, "div": 2.0, "td": 1.0, "blockquote": 1.0, "ul": -3.0, "ol": -3.0, "dl": -3.0}
 CONTAINERS = frozenset("article main section div td body blockquote center".split())
@@ -85,8 +98,11 @@ SIBLING_SHARE = 0.2
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 
-def part_of_page(tag: str, attrs: str, in_article: bool) -> str:
-    """``drop`` for a part around the article, ``article`` or ``keep`` for what is named as the article or its frame, ``maybe`` if the scores must tell."""
+def part_of_page(tag: str, attrs: str, in_article: bool, doubt: bool = False) -> str:
+    """``drop`` for a part around the article, ``article`` or ``keep`` for what is named as the article or its frame, ``maybe`` if its text must tell.
+
+    With ``doubt`` no name decides that has a plain meaning.
+    """
     if tag in DROP or tag == "header" and not in_article:
         return "drop"
     plain = "article" if tag == "article" else "keep" if tag == "main" else ""
@@ -115,15 +131,19 @@ def part_of_page(tag: str, attrs: str, in_article: bool) -> str:
         return "drop"
     if words & KEEP_WORDS:
         # A part of the article named after it, as story-share, is what its last word says.
-        if in_article and any(p[-1] in DROP_WORDS - IN_ARTICLE and set(p) & KEEP_WORDS for n in names if (p := PART.findall(n))):
+        if in_article and any(p[-1] in DROP_WORDS - IN_ARTICLE and set(p) & KEEP_WORDS for n in names if (p := [w for w in PART.findall(n) if w not in FRAME_WORDS])):
             return "maybe"
         return "article" if words & ARTICLE_WORDS else "keep"
-    if in_article:
-        words -= IN_ARTICLE
-        # A section of the article may be named by such a word and its topic, as related-work.
-        if words & DROP_WORDS and all(set(p) - DROP_WORDS - ITEM_WORDS for n in names if set(p := PART.findall(n)) & DROP_WORDS):
-            return "maybe"
-    return "drop" if words & DROP_WORDS else ""
+    around = DROP_WORDS - IN_ARTICLE if in_article else DROP_WORDS
+    if not words & (around | TALK_WORDS):
+        return ""
+    # A name drops if it holds nothing but such words and words of the frame; otherwise, as in related-work, the text tells.
+    sure = DROP_WORDS - PLAIN_WORDS if doubt else DROP_WORDS
+    for n in names:
+        parts = {w for w in PART.findall(n) if w.isalpha()}
+        if parts & sure & around and not parts - DROP_WORDS - ITEM_WORDS - FRAME_WORDS:
+            return "drop"
+    return "maybe"
 
 
 class TagEnds:
@@ -152,6 +172,11 @@ def main_text(html: str | None) -> str:
     """The article's text; blocks in page order, joined by one space."""
     if not html:
         return ""
+    return read_page(html) or read_page(html, doubt=True)
+
+
+def read_page(html: str, doubt: bool = False) -> str:
+    """The text of the best container; with ``doubt`` names with a plain meaning do not decide."""
     ends, opened = TagEnds(html), Counter()  # elements open by name
     tags, parents, drops, in_article, blocks, parts = ["html"], [0], [False], [False], [0], [""]
     texts: list[tuple[int, bool, str]] = []  # node, in a link, text; a space where a block or line ends
@@ -181,8 +206,6 @@ def main_text(html: str | None) -> str:
             texts.append((stack[-1], links > 0, unescape(html[at : m.start()])))
         at = end + 1 if m["tag"] else m.end()
         begin = html.find("<", at)
-        if m["cdata"] and not drops[stack[-1]]:
-            texts.append((stack[-1], links > 0, m["cdata"]))
         tag = m["tag"]
         if tag is None:
             continue
@@ -222,7 +245,7 @@ def main_text(html: str | None) -> str:
         tags.append(tag)
         parents.append(top)
         attrs = html[m.end() : end]
-        part = part_of_page(tag, attrs, in_article[top])
+        part = part_of_page(tag, attrs, in_article[top], doubt)
         in_article.append(in_article[top] or part == "article" or tag == "main")
         drops.append(drops[top] or part == "drop")
         parts.append(part)
@@ -242,7 +265,7 @@ def main_text(html: str | None) -> str:
 
     n = len(tags)
     if "maybe" in parts:
-        set_aside(drops, parts, parents, texts)
+        set_aside(drops, parts, parents, blocks, texts)
         texts = [t for t in texts if t[2] == " " or not drops[t[0]]]
     chars, linked, commas = [0] * n, [0] * n, [0] * n
     for node, in_link, text in texts:
@@ -285,7 +308,7 @@ def main_text(html: str | None) -> str:
                 density = linked[i] / chars[i]
                 if i < best and tags[i] in HEADINGS and density < 0.25:
                     chosen.add(i)
-                if points[i] >= least and tags[i] in CONTAINERS or tags[i] == "p" and density < 0.25 and chars[i] > 80:
+                if points[i] >= least and tags[i] in CONTAINERS and (parts[i] != "maybe" or in_article[i]) or tags[i] == "p" and density < 0.25 and chars[i] > 80:
                     chosen.add(i)
     inside = [False] * n
     for i in range(n):
@@ -293,20 +316,24 @@ def main_text(html: str | None) -> str:
     return " ".join("".join(t if inside[node] or t == " " else " " for node, _, t in texts).split())
 
 
-def set_aside(drops: list[bool], parts: list[str], parents: list[int], texts: list[tuple[int, bool, str]]) -> None:
-    """Drop the elements with a doubtful name, and all in them, unless they read like the article: long, with commas, and few links."""
+def set_aside(drops: list[bool], parts: list[str], parents: list[int], blocks: list[int], texts: list[tuple[int, bool, str]]) -> None:
+    """Drop the elements with a doubtful name, and all in them, unless they read like the article: sentences, with commas, and few links."""
     n = len(parts)
-    chars, linked, commas = [0] * n, [0] * n, [0] * n
+    chars, linked, commas, long = [0] * n, [0] * n, [0] * n, [0] * n
+    own = [0] * n
     for node, in_link, text in texts:
         k = len(text.strip())
         chars[node] += k
+        own[blocks[node]] += k
         linked[node] += k * in_link
-        commas[node] += text.count(",")
+        commas[node] += text.count(",") + text.count("،") + text.count("、") + text.count("，")
+    for node in range(n):
+        long[node] = own[node] if own[node] >= SENTENCE else 0
     for node in range(n - 1, 0, -1):
-        for sums in (chars, linked, commas):
+        for sums in (chars, linked, commas, long):
             sums[parents[node]] += sums[node]
     for node in range(1, n):
-        prose = chars[node] >= PROSE_CHARS and commas[node] >= chars[node] / 400 and linked[node] < 0.1 * chars[node]
+        prose = long[node] >= 0.5 * chars[node] > 0 and commas[node] >= chars[node] / 400 and linked[node] < 0.1 * chars[node]
         drops[node] = drops[node] or drops[parents[node]] or parts[node] == "maybe" and not prose
 
 

@@ -466,6 +466,32 @@ def test_html_names_decide_with_the_scores():
         assert html.main_text(f"<article><p>{a}</p>{part}<p>{b}</p></article>") == f"{a} {b}"
 
 
+@pytest.mark.parametrize("attrs", ["class='social-policy-report'", "id='share-price'", "class='discussion'", "class='report'", "id=share", "class='nyt-promo-story'"])
+def test_html_names_never_lose_an_article(attrs):
+    a, b = words("a", 150), words("b", 40)
+    for tag in ("div", "section"):
+        assert html.main_text(f"<nav>menu</nav><{tag} {attrs}><h2>Head</h2><p>{a}</p><p>{b}</p></{tag}><footer>f</footer>") == f"Head {a} {b}"
+
+
+def test_html_sections_named_like_parts_stay():
+    a, b, c = words("a", 60), words("b", 200), "Earlier surveys, of the same line, found a bed that is rough at this scale and smooth at larger ones, and a layer that ends at the divide."
+    for part, text in (("<section class='discussion'><h2>Discussion</h2><p>{}</p></section>", b), ("<div class='related-work'><p>{}</p></div>", c), ("<div class=\"response\"><p>{}</p></div>", c)):
+        inside = re.sub("<[^>]+>", " ", part.format(text)).split()
+        assert html.main_text(f"<article><p>{a}</p>{part.format(text)}<p>{a}</p></article>") == " ".join([a, *inside, a])
+
+
+def test_html_parts_around_go_by_their_names():
+    a, notice = words("a", 150), words("n", 60)
+    for name in ("site-footer", "page_sidebar left", "cookie-notice", "ad-container", "top-nav-bar", "related-articles", "newsletter-signup-box", "user-comments", "comment-list"):
+        assert html.main_text(f"<body><div class='{name}'><p>{notice}</p></div><div><p>{a}</p><p>{a}</p></div><div id='{name}'><p>{notice}</p></div></body>") == f"{a} {a}", name
+    for name in ("story-share-links", "discussion", "acme-social"):  # short items and links are no prose
+        assert html.main_text(f"<article><p>{a}</p><div class='{name}'><p>Ann: fine, yes</p><p>Bob: no, thanks</p><a href=x>Reply, now</a></div></article>") == a, name
+
+
+def test_html_cdata_is_a_comment():
+    assert html.main_text("<p>x<![CDATA[hid]]>y</p>") == "xy" and html.main_text("<p>a<![CDATA[b > c") == "a c"
+
+
 def test_html_operator_edges(spark):
     page = f"<article><p>{words('a', 60)}</p></article>"
     rows = [(1, page, "own"), (1, page, "own"), (None, None, None), (2, "", "own")]
