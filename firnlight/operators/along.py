@@ -68,29 +68,16 @@ def with_halo(traces: DataFrame, before: int, after: int, segment: int = SEGMENT
     return traces.withColumn("segment__", F.explode(F.sequence(first, last))).withColumn("owned__", F.col("segment__") == own)
 
 
-def splittable_join(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
-    """An inner join of rows with an aggregate by the same keys, whose hot keys adaptive execution can split.
-
-    Joined in the aggregate's own partitions a hot key would stay in one task; with
-    a hash beside the keys both sides are dealt anew for the join.
-    """
-    dealt = [df.withColumn("deal__", F.xxhash64(*keys)) for df in (rows, few)]
-    return dealt[0].join(dealt[1], [*keys, "deal__"]).drop("deal__")
-
-
-def in_ranges(rows: DataFrame, key: str, at: str, size: int = SEGMENT) -> DataFrame:
-    """Add ``range__``, which grows with ``at`` within a key and has about ``size`` rows.
-
-    Each key is cut into equal ranges between its least and largest value, as many
-    as its rows ask for; each of these again, between its own least and largest, so
-    that values in clusters are spread too. Only equal values cannot be parted.
-    ``at`` must not be null.
+def in_ranges(rows: DataFrame, key: str, at: str, size: int = SEGMENT, counted: DataFrame | None = None) -> DataFrame:
+    """Add ``range__``, which grows with ``at``, so that a key of many rows has about ``size`` of them in each.
+
+    Ranges have one width for all keys, the least that any key of over ``size`` rows
+    asks for; it is one number, from one aggregation of keys and ``at`` alone. Where
+    values crowd, a range has more rows, which are sorted with spilling and never
+    collected. ``at`` must not be null. ``counted``: rows to count instead, cheaper to
+    make and as many at least.
     """
-    def cut(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-        few = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).alias("parts__"), F.min(at).alias("low__"), F.max(at).alias("high__"))
-        place = F.try_divide(F.col(at) - F.col("low__"), F.col("high__") - F.col("low__")) * F.col("parts__")
-        cell = F.coalesce(F.least(F.floor(place).cast("long"), F.col("parts__") - 1), F.lit(0))
-        return splittable_join(df, few, keys).withColumn(name, cell).drop("parts__", "low__", "high__")
-
-    twice = cut(cut(rows, [key], "coarse__"), [key, "coarse__"], "fine__")
-    return twice.withColumn("range__", F.struct("coarse__", "fine__")).drop("coarse__", "fine__")
+    per = (rows if counted is None else counted).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("low"), F.max(at).alias("high"))
+    asked = F.when((F.col("n") > size) & (F.col("high") > F.col("low")), (F.col("high") - F.col("low")) / F.ceil(F.col("n") / size))
+    width = per.agg(F.min(asked).alias("width")).first()["width"]
+    return rows.withColumn("range__", F.floor(F.col(at) / F.lit(float(width) if width else 1e300)))

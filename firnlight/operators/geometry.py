@@ -55,43 +55,45 @@ def interpolate(points: DataFrame, fixes: DataFrame, key: str, at: str, values:
     """
     known = fixes.where(F.col(at).isNotNull()).groupBy(key, at).agg(*[(F.min(v) if each else F.first(v)).alias(v) for v in values])
     shared = [c for c in points.columns if c not in values]
-    held = {v: f"fix{i}__" for i, v in enumerate(values)}
+    # One fix for all values, or one for each of them.
+    held = {f"fix{i}__": part for i, part in enumerate([[v] for v in values] if each else [values])}
 
-    def fix(v: str) -> Column:
-        whole = F.struct(F.col(at).cast("double").alias("t"), F.col(v).alias("v"))
-        return F.when(F.col(v).isNotNull(), whole) if each else whole
+    def fix(part: list[str]) -> Column:
+        whole = F.struct(F.col(at).cast("double").alias("t"), *[F.col(v).alias(f"v{i}") for i, v in enumerate(part)])
+        return F.when(F.col(part[0]).isNotNull(), whole) if each else whole
 
-    known = known.select(key, at, *[fix(v).alias(c) for v, c in held.items()])
+    known = known.select(key, at, *[fix(part).alias(c) for c, part in held.items()])
     timed = points.where(F.col(at).isNotNull()).select(*shared)
-    every = in_ranges(timed.withColumn("is_fix__", F.lit(0)).unionByName(known.withColumn("is_fix__", F.lit(1)), allowMissingColumns=True), key, at, size)
-    ends = every.groupBy(key, "range__").agg(*[f(c).alias(f"{n}_{c}") for c in held.values() for n, f in (("low", F.min), ("high", F.max))])
+    every = in_ranges(timed.withColumn("is_fix__", F.lit(0)).unionByName(known.withColumn("is_fix__", F.lit(1)), allowMissingColumns=True), key, at, size,
+                      points.select(key, at).union(fixes.select(key, at)))
+    ends = every.groupBy(key, "range__").agg(*[f(c).alias(f"{n}_{c}") for c in held for n, f in (("low", F.min), ("high", F.max))])
     up, down = (Window.partitionBy(key).orderBy(o("range__")).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc, F.desc))
-    edges = ends.select(key, "range__", *[F.last(f"high_{c}", ignorenulls=True).over(up).alias(f"before_{c}") for c in held.values()],
-                        *[F.last(f"low_{c}", ignorenulls=True).over(down).alias(f"after_{c}") for c in held.values()])
+    edges = ends.select(key, "range__", *[F.last(f"high_{c}", ignorenulls=True).over(up).alias(f"before_{c}") for c in held],
+                        *[F.last(f"low_{c}", ignorenulls=True).over(down).alias(f"after_{c}") for c in held])
     # The next fix is the last one in the opposite order: a frame that runs to the end would be read anew for every row.
     there, back = (Window.partitionBy(key, "range__").orderBy(o(at), F.desc("is_fix__")).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc, F.desc))
-    seen = every.withColumns({f"a_{c}": F.last(c, ignorenulls=True).over(there) for c in held.values()} | {f"b_{c}": F.last(c, ignorenulls=True).over(back) for c in held.values()})
+    seen = every.withColumns({f"a_{c}": F.last(c, ignorenulls=True).over(there) for c in held} | {f"b_{c}": F.last(c, ignorenulls=True).over(back) for c in held})
     seen = seen.where("is_fix__ = 0").join(edges, [key, "range__"], "left")
     if extrapolate:
-        outer = known.groupBy(key).agg(*[f(c).alias(f"{n}_{c}") for c in held.values() for n, f in (("first", F.min), ("last", F.max))])
-        inner = known.join(outer, key).groupBy(key).agg(*[F.first(f"{n}_{c}").alias(f"{n}_{c}") for c in held.values() for n in ("first", "last")],
-                                                        *[F.min(F.when(F.col(c)["t"] > F.col(f"first_{c}")["t"], F.col(c))).alias(f"second_{c}") for c in held.values()],
-                                                        *[F.max(F.when(F.col(c)["t"] < F.col(f"last_{c}")["t"], F.col(c))).alias(f"but_{c}") for c in held.values()])
+        outer = known.groupBy(key).agg(*[f(c).alias(f"{n}_{c}") for c in held for n, f in (("first", F.min), ("last", F.max))])
+        inner = known.join(outer, key).groupBy(key).agg(*[F.first(f"{n}_{c}").alias(f"{n}_{c}") for c in held for n in ("first", "last")],
+                                                        *[F.min(F.when(F.col(c)["t"] > F.col(f"first_{c}")["t"], F.col(c))).alias(f"second_{c}") for c in held],
+                                                        *[F.max(F.when(F.col(c)["t"] < F.col(f"last_{c}")["t"], F.col(c))).alias(f"but_{c}") for c in held])
         seen = seen.join(inner, key, "left")
     t = F.col(at)
 
-    def value(v: str) -> Column:
-        c = held[v]
+    def value(c: str, place: int, v: str) -> Column:
         a, b = F.coalesce(f"a_{c}", f"before_{c}"), F.coalesce(f"b_{c}", f"after_{c}")
         low, high = a, b
         if extrapolate:
             low = F.when(a.isNull(), F.col(f"first_{c}")).when(b.isNull(), F.col(f"but_{c}")).otherwise(a)
             high = F.when(a.isNull(), F.col(f"second_{c}")).when(b.isNull(), F.col(f"last_{c}")).otherwise(b)
         t0, t1 = low["t"], high["t"]
-        line = F.when(t0 == t1, low["v"]).otherwise(low["v"] + (high["v"] - low["v"]) * F.try_divide(t - t0, t1 - t0))
-        return F.coalesce(F.when(a["t"] == t, a["v"]), line).alias(v)
+        x, y = low[f"v{place}"], high[f"v{place}"]
+        line = F.when(t0 == t1, x).otherwise(x + (y - x) * F.try_divide(t - t0, t1 - t0))
+        return F.coalesce(F.when(a["t"] == t, a[f"v{place}"]), line).alias(v)
 
-    found = seen.select(*shared, *[value(v) for v in values])
+    found = seen.select(*shared, *[value(c, i, v) for c, part in held.items() for i, v in enumerate(part)])
     none = [F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema.fields if f.name in values]
     return found.unionByName(points.where(F.col(at).isNull()).select(*shared, *none))
 

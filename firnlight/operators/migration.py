@@ -2,9 +2,9 @@
 
 Kirchhoff migration sums along hyperbolas and is a join of outputs with the
 traces in their aperture. Stolt's and Gazdag's methods go by columns: along the
-traces sample by sample, then wavenumber by wavenumber, and back. Only the
-migration with velocities that vary across a profile has it as one group, which
-must fit one worker (10,000 x 10,000 doubles are 0.8 GB); profiles run in parallel.
+traces sample by sample, then wavenumber by wavenumber, and back. With velocities
+that vary across a profile it goes down level by level, frequency by frequency. No
+group holds a profile.
 """
 
 from __future__ import annotations
@@ -17,9 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import doubles
-from ..plans.tables import samples as long_samples
+from ..sources.shared import stored
 from .along import with_profile
 from .batches import map_arrays
+from .tiles import TILE, turn
+
+
+#: Squared cosines up to which a wave counts as evanescent; where it grazes, rounding would decide.
+GRAZING = 1e-9
 
 
 def edge_taper(n: int, width: int) -> np.ndarray:
@@ -83,48 +88,34 @@ def kirchhoff(traces: DataFrame, travel_time: list[float], spacing: float, veloc
     return out.withColumnRenamed("out__", "trace_idx")
 
 
-def whole_profile(traces: DataFrame, work) -> DataFrame:
-    """Apply a numpy function on (samples x traces) to each profile; one profile is one group."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("trace_idx")
-        data = work(np.array(pdf["samples"].tolist(), float).T)
-        return pd.DataFrame({"profile_id": pdf["profile_id"].to_numpy(), "trace_idx": pdf["trace_idx"].to_numpy(), "samples": list(data.T)})
+def numbered(traces: DataFrame) -> DataFrame:
+    """Traces as rows of :func:`.tiles.turn`."""
+    return with_profile(traces.where("samples is not null"), n=F.count(F.lit(1))).withColumn("place", F.col("trace_idx"))
 
-    return traces.select("profile_id", "trace_idx", "samples").groupBy("profile_id").applyInPandas(run, "profile_id string, trace_idx int, samples array<double>")
 
+def long_of(rows: DataFrame) -> DataFrame:
+    """Long samples of rows (profile_id, place of the sample, v over the traces)."""
+    return rows.select("profile_id", F.posexplode("v").alias("trace_idx", "v"), F.col("place").alias("sample_idx")).select("profile_id", "trace_idx", "sample_idx", "v")
 
-def gathered(flat: DataFrame, key: str, order: str, *values: str) -> DataFrame:
-    """One row for each profile and ``key``, with arrays of ``values`` in the order of the other index."""
-    rows = F.array_sort(F.collect_list(F.struct(order, *values)))
-    arrays = flat.groupBy("profile_id", key).agg(rows.alias("rows__"))
-    return arrays.select("profile_id", key, *[F.col(f"rows__.{v}").alias(v) for v in values])
 
-
-def by_wavenumber(traces: DataFrame, work, spacing: float, across: int, down: int) -> DataFrame:
+def by_wavenumber(traces: DataFrame, work, spacing: float, across: int, down: int, tile: int = TILE) -> DataFrame:
     """Taper, transform along the traces, apply ``work`` to each wavenumber, transform back; long samples.
 
-    Three shuffles: by sample, by wavenumber and by sample again. A group holds one
-    number for each trace or for each sample, never a profile. ``work`` takes
-    complex rows over time and their wavenumbers.
+    Three shuffles of tiles: to rows over the traces, to wavenumbers, and back. A
+    group holds some rows of one number for each trace or for each sample, never a
+    profile. ``work`` takes complex rows over time and their wavenumbers.
     """
-    def forward(x: np.ndarray) -> tuple:
-        z = np.fft.fft(x)
-        return z.real, z.imag, np.broadcast_to(2 * np.pi * np.fft.fftfreq(x.shape[1], spacing), x.shape)
+    def forward(at: np.ndarray, m: int, v: np.ndarray) -> tuple:
+        z = np.fft.fft(v * edge_taper(v.shape[1], across)[None, :] * edge_taper(m, down)[at, None])
+        return z.real, z.imag
 
-    def inside(re: np.ndarray, im: np.ndarray, kx: np.ndarray) -> tuple:
-        z = work(re + 1j * im, kx)
+    def inside(at: np.ndarray, m: int, re: np.ndarray, im: np.ndarray) -> tuple:
+        z = work(re + 1j * im, 2 * np.pi * np.fft.fftfreq(m, spacing)[at])
         return z.real, z.imag
 
-    samples = gathered(tapered(traces, across, down), "sample_idx", "trace_idx", "v")
-    spectra = map_arrays(samples, ["v"], forward, re="double", im="double", kx="double")
-    columns = spectra.select("profile_id", "sample_idx", F.posexplode(F.arrays_zip("re", "im", "kx")).alias("k", "z"))
-    columns = columns.select("profile_id", "sample_idx", "k", F.col("z.re").alias("re"), F.col("z.im").alias("im"), F.col("z.kx").alias("kx"))
-    columns = gathered(columns, "k", "sample_idx", "re", "im", "kx").withColumn("kx", F.col("kx")[0])
-    moved = map_arrays(columns, ["re", "im"], inside, "kx", re="double", im="double")
-    back = moved.select("profile_id", "k", F.posexplode(F.arrays_zip("re", "im")).alias("sample_idx", "z"))
-    back = back.select("profile_id", "k", "sample_idx", F.col("z.re").alias("re"), F.col("z.im").alias("im"))
-    image = map_arrays(gathered(back, "sample_idx", "k", "re", "im"), ["re", "im"], lambda re, im: (np.fft.ifft(re + 1j * im).real,), v="double")
-    return image.select("profile_id", "sample_idx", F.posexplode("v").alias("trace_idx", "v")).select("profile_id", "trace_idx", "sample_idx", "v")
+    spectra = turn(numbered(traces), ["samples"], forward, ["re", "im"], tile)
+    moved = turn(spectra, ["re", "im"], inside, ["re", "im"], tile)
+    return long_of(turn(moved, ["re", "im"], lambda at, m, re, im: (np.fft.ifft(re + 1j * im).real,), ["v"], tile))
 
 
 def stolt_columns(columns: np.ndarray, kx: np.ndarray, dt: float, velocity: float) -> np.ndarray:
@@ -154,34 +145,136 @@ def phase_shift_columns(columns: np.ndarray, kx: np.ndarray, dt: float, velocity
         image[:, i] = field.sum(1) / size
         with np.errstate(divide="ignore", invalid="ignore"):
             cos2 = 1 - (speed[i] * kx[:, None] / (2 * omega)) ** 2
-        inside = np.isfinite(cos2) & (cos2 > 0)
+        inside = np.isfinite(cos2) & (cos2 > GRAZING)
         field = np.where(inside, field * np.exp(1j * omega * dt * np.sqrt(np.where(inside, cos2, 0))), 0)
     return image
 
 
-def finite_difference_matrix(data: np.ndarray, dt: float, spacing: float, velocity: np.ndarray, across: int = 10, down: int = 10) -> np.ndarray:
-    """Split-step migration for velocities (samples x traces): phase shift at the mean, thin lens for the rest."""
-    n, m = data.shape
-    x = data * edge_taper(m, across)[None, :] * edge_taper(n, down)[:, None]
-    size = 1 << (2 * n - 1).bit_length()
-    field = np.fft.fft(x, size, axis=0)
-    omega = 2 * np.pi * np.fft.fftfreq(size, dt)[:, None]
-    kx = 2 * np.pi * np.fft.fftfreq(m, spacing)[None, :]
-    image = np.zeros((n, m))
-    for i in range(n):
-        image[i] = field.sum(0).real / size
-        mean = velocity[i].mean()
+def tridiagonal(low: np.ndarray, diagonal: np.ndarray, high: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Solve a tridiagonal system in each row, all rows and places at once, by cyclic reduction.
+
+    Every pass ties each unknown to those twice as far away. The systems must be
+    diagonally dominant.
+    """
+    far, n = 1, right.shape[1]
+
+    def moved(x: np.ndarray, by: int, fill: float) -> np.ndarray:
+        out = np.full_like(x, fill)
+        if by > 0:
+            out[:, by:] = x[:, :-by]
+        else:
+            out[:, :by] = x[:, -by:]
+        return out
+
+    while far < n:
+        a, c = -low / moved(diagonal, far, 1), -high / moved(diagonal, -far, 1)
+        right = right + a * moved(right, far, 0) + c * moved(right, -far, 0)
+        diagonal = diagonal + a * moved(high, far, 0) + c * moved(low, -far, 0)
+        low, high = a * moved(low, far, 0), c * moved(high, -far, 0)
+        far *= 2
+    return right / diagonal
+
+
+def lateral_steps(field: np.ndarray, omega: np.ndarray, velocity: np.ndarray, dt: float, spacing: float) -> tuple[np.ndarray, np.ndarray]:
+    """Carry frequencies (rows over the traces) down by one step for each row of ``velocity``: Fourier finite differences.
+
+    A step has the thickness that the level's least velocity c passes in ``dt``. It
+    is a phase shift with c, a thin lens for c / v, and for what is left of the
+    dips a tridiagonal step, the 45-degree expansion in Cayley's form; its real
+    part is held at a quarter so that the system stays dominant. Gives the field
+    below and the complex field above each step.
+    """
+    kx = 2 * np.pi * np.fft.fftfreq(field.shape[1], spacing)[None, :]
+    w, above = omega[:, None], []
+    for v in velocity:
+        above.append(field)
+        c = v.min()
+        p = (c / v)[None, :]
         with np.errstate(divide="ignore", invalid="ignore"):
-            cos2 = 1 - (mean * kx / (2 * omega)) ** 2
-        inside = np.isfinite(cos2) & (cos2 > 0)
-        step = np.where(inside, np.exp(1j * omega * dt * np.sqrt(np.where(inside, cos2, 0))), 0)
-        field = np.fft.ifft(np.fft.fft(field, axis=1) * step, axis=1)
-        field = field * np.exp(1j * omega * dt * (velocity[i][None, :] / mean - 1))
-    return image
+            cos2 = 1 - (c * kx / (2 * w)) ** 2
+            kappa = (v[None, :] / (2 * w * spacing)) ** 2
+        inside = np.isfinite(cos2) & (cos2 > GRAZING)
+        shift = np.where(inside, np.exp(1j * w * dt * np.sqrt(np.where(inside, cos2, 0))), 0)
+        field = np.fft.ifft(np.fft.fft(field) * shift) * np.exp(1j * w * dt * (p - 1))
+        if (p < 1).any():
+            still = w == 0  # the mean in time ends with the first step
+            kappa = np.where(still, 0, kappa)
+            real, turned = np.minimum((1 + p + p * p) / 4 * kappa, 0.25), w * dt * p * (1 - p) * kappa / 4
+            bent = -2 * field
+            bent[:, 1:] += field[:, :-1]
+            bent[:, :-1] += field[:, 1:]
+            off = real - 1j * turned
+            low, high = off.copy(), off.copy()
+            low[:, 0], high[:, -1] = 0, 0
+            field = tridiagonal(low, 1 - 2 * off, high, field + (real + 1j * turned) * bent)
+    return field, np.array(above)
+
+
+def lateral(traces: DataFrame, dt: float, spacing: float, velocity: str = "velocity", across: int = 10, down: int = 10, steps: int = 64, tile: int = TILE) -> DataFrame:
+    """Migration with velocities that vary along and down the profile; long samples over the levels' steps.
+
+    ``velocity``: a column with an array of velocities for the samples of each trace.
+    Frequencies do not meet until the image is summed, so the profile is parted by
+    frequency: a group holds some frequencies, a number a trace each, and the
+    velocities of ``steps`` levels. After these the fields are written to the shared
+    folder and the next levels begin, so no group holds a profile, whatever its
+    length and depth. Edges are fixed at zero in the tridiagonal step.
+    """
+    spark = traces.sparkSession
+    size = traces.select(F.size("samples")).where("samples is not null").first()
+    if size is None:
+        return long_of(spark.createDataFrame([], "profile_id string, place int, v array<double>"))
+    m = size[0]
+    long = 1 << (2 * m - 1).bit_length()
+    rows = numbered(traces)
+
+    def spectrum(x: np.ndarray) -> tuple:
+        z = np.fft.rfft(x * edge_taper(m, down)[None, :], long)
+        return z.real, z.imag
+
+    def along(at: np.ndarray, length: int, re: np.ndarray, im: np.ndarray) -> tuple:
+        taper = edge_taper(re.shape[1], across)[None, :]
+        return re * taper, im * taper
+
+    spectra = map_arrays(rows.select("profile_id", "n", "place", "samples"), ["samples"], spectrum, re="double", im="double")
+    fields = turn(spectra, ["re", "im"], along, ["re", "im"], tile)
+    speeds = stored(turn(rows.select("profile_id", "n", "place", F.col(velocity).alias("v")), ["v"], lambda at, length, v: (v,), ["v"], tile), "velocities")
+    counts = traces.groupBy("profile_id").agg(F.greatest(F.lit(1), F.floor(tile / F.count(F.lit(1)))).cast("int").alias("width"))
+    state = fields.join(counts, "profile_id").select("profile_id", "place", F.floor(F.col("place") / F.col("width")).cast("int").alias("part"), F.lit(False).alias("image"), "re", "im")
+    parts = counts.select("profile_id", F.explode(F.sequence(F.lit(0), F.floor((long // 2) / F.col("width")).cast("int"))).alias("part"))
+    kind = "profile_id string, place int, part int, image boolean, re array<double>, im array<double>"
+
+    def carried(first: int):
+        def run(key, fields: pd.DataFrame, speeds: pd.DataFrame) -> pd.DataFrame:
+            fields, speeds = fields.sort_values("place"), speeds.sort_values("place")
+            k = fields["place"].to_numpy()
+            z = np.array(fields["re"].tolist()) + 1j * np.array(fields["im"].tolist())
+            below, above = lateral_steps(z, 2 * np.pi * k / (long * dt), np.array(speeds["v"].tolist()), dt, spacing)
+            twice = np.where((k == 0) | (k == long // 2), 1.0, 2.0)[None, :, None]
+            image = (above * twice).real.sum(1) / long
+            done = {"profile_id": key[0], "part": key[1]}
+            return pd.concat([
+                pd.DataFrame(done | {"place": k, "image": False, "re": list(below.real), "im": list(below.imag)}),
+                pd.DataFrame(done | {"place": np.arange(first, first + len(image)), "image": True, "re": list(image), "im": None})])[[c.split()[0] for c in kind.split(", ")]]
+
+        return run
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"profile_id": pdf["profile_id"].iloc[:1], "place": pdf["place"].iloc[:1], "v": [np.sum(pdf["re"].tolist(), axis=0)]})
+
+    image = None
+    for first in range(0, m, steps):
+        levels = speeds.where(F.col("place").between(first, first + steps - 1)).join(parts, "profile_id").select("profile_id", "part", "place", "v")
+        out = state.groupBy("profile_id", "part").cogroup(levels.groupBy("profile_id", "part")).applyInPandas(carried(first), kind)
+        if first + steps < m:
+            out = stored(out, "fields")
+        state, seen = out.where("not image"), out.where("image")
+        image = seen if image is None else image.unionByName(seen)
+    return long_of(image.groupBy("profile_id", "place").applyInPandas(added, "profile_id string, place int, v array<double>"))
 
 
 def migrate(traces: DataFrame, kind: str, travel_time: list[float], spacing: float, velocity=1.68e8, across: int = 10, down: int = 10, nearfield: bool = False) -> DataFrame:
-    """Migrate every profile: kirch, stolt, phsh (velocity may vary in time), ffd (and across), tk (taper only)."""
+    """Migrate every profile: kirch, stolt, phsh (velocity may vary in time), ffd (and across: the name of a column of arrays), tk (taper only)."""
     dt = (travel_time[1] - travel_time[0]) * 1e-6
     if kind == "kirch":
         return kirchhoff(traces, travel_time, spacing, velocity, nearfield=nearfield)
@@ -191,8 +284,9 @@ def migrate(traces: DataFrame, kind: str, travel_time: list[float], spacing: flo
         work = {"stolt": stolt_columns, "phsh": phase_shift_columns}[kind]
         return by_wavenumber(traces, lambda z, kx: work(z, kx, dt, velocity), spacing, across, down)
     if kind == "ffd":
-        moved = whole_profile(traces, lambda x: finite_difference_matrix(x, dt, spacing, velocity, across, down))
-        return long_samples(moved, "profile_id", "trace_idx")
+        if not isinstance(velocity, str):
+            traces, velocity = traces.withColumn("velocity", doubles([float(v) for v in np.broadcast_to(velocity, (len(travel_time),))])), "velocity"
+        return lateral(traces, dt, spacing, velocity, across, down)
     raise ValueError(f"unknown migration {kind}" + ("; it needs the external seismic tools" if kind.startswith("su") else ""))
 
 

@@ -540,8 +540,8 @@ WITH {SPECTRA}, w AS (SELECT w, 2 * pi() * (CASE WHEN w < 64 THEN w ELSE w - 128
 f AS (SELECT p, k, kx, w, om, sum(re * cos(2 * pi() * (w * s % 128) / 128) + im * sin(2 * pi() * (w * s % 128) / 128)) AS re, sum(im * cos(2 * pi() * (w * s % 128) / 128) - re * sin(2 * pi() * (w * s % 128) / 128)) AS im FROM h, w GROUP BY 1, 2, 3, 4, 5),
 d AS (SELECT unnest(range(64))::INT AS s, unnest({_values(speed)}) AS d),
 c AS (SELECT f.*, s, CASE WHEN om <> 0 THEN 1 - (d * kx / (2 * om)) * (d * kx / (2 * om)) ELSE -1 END AS c FROM f, d),
-a AS (SELECT *, coalesce(sum(CASE WHEN c > 0 THEN sqrt(c) ELSE 0 END) OVER b, 0) * om * {STEP!r}::DOUBLE AS ph, coalesce(min(c) OVER b, 1) AS least_c FROM c WINDOW b AS (PARTITION BY p, k, w ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-g AS (SELECT p, k, s, coalesce(sum(re * cos(ph) - im * sin(ph)) FILTER (least_c > 0), 0) / 128 AS re, coalesce(sum(im * cos(ph) + re * sin(ph)) FILTER (least_c > 0), 0) / 128 AS im FROM a GROUP BY 1, 2, 3)
+a AS (SELECT *, coalesce(sum(CASE WHEN c > 1e-9 THEN sqrt(c) ELSE 0 END) OVER b, 0) * om * {STEP!r}::DOUBLE AS ph, coalesce(min(c) OVER b, 1) AS least_c FROM c WINDOW b AS (PARTITION BY p, k, w ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT p, k, s, coalesce(sum(re * cos(ph) - im * sin(ph)) FILTER (least_c > 1e-9), 0) / 128 AS re, coalesce(sum(im * cos(ph) + re * sin(ph)) FILTER (least_c > 1e-9), 0) / 128 AS im FROM a GROUP BY 1, 2, 3)
 {IMAGE}"""
 
 
@@ -565,3 +565,11 @@ SPEEDS = M.velocity_profile([(1.9e8, 0.0), (1.68e8, 30.0)], travel_time())
 @query("gazdag", _phase_shift(SPEEDS))
 def gazdag(spark, d):
     return _migrated(spark, d, "phsh", SPEEDS)
+
+
+@query("ffd")
+def ffd(spark, d):
+    """Velocities that vary along each profile and down it; checked against a solver of whole matrices."""
+    speeds = F.transform("samples", lambda v, k: F.lit(1.6e8) + 3e6 * F.pmod("trace_idx", F.lit(4)) + 1e5 * k)
+    moved = M.migrate(_small(spark, d).withColumn("velocity", speeds), "ffd", travel_time(), 0.5, "velocity")
+    return moved.select("profile_id", "trace_idx", "sample_idx", r6("v").alias("v"))

@@ -88,9 +88,6 @@ def test_migrations_focus_a_point():
         out = f(data, dt, dx, v)
         at = np.unravel_index(np.abs(out).argmax(), out.shape)
         assert abs(at[0] - z0) <= 2 and abs(at[1] - x0) <= 2
-    same = migration.finite_difference_matrix(data, dt, dx, np.full((n, m), v))
-    at = np.unravel_index(np.abs(same).argmax(), same.shape)
-    assert abs(at[0] - z0) <= 2 and abs(at[1] - x0) <= 2
 
 
 def test_velocity_profile():

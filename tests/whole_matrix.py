@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from firnlight.operators.migration import edge_taper
+from firnlight.operators.migration import GRAZING, edge_taper
 
 
 def stolt_matrix(data: np.ndarray, dt: float, spacing: float, velocity: float, across: int = 10, down: int = 10) -> np.ndarray:
@@ -40,6 +40,30 @@ def phase_shift_matrix(data: np.ndarray, dt: float, spacing: float, velocity, ac
         image[i] = (spec * phase).sum(0) / size
         with np.errstate(divide="ignore", invalid="ignore"):
             cos2 = 1 - (speed[i] * kx / (2 * omega)) ** 2
-        inside = np.isfinite(cos2) & (cos2 > 0)
+        inside = np.isfinite(cos2) & (cos2 > GRAZING)
         phase = np.where(inside, phase * np.exp(1j * omega * dt * np.sqrt(np.where(inside, cos2, 0))), 0)
     return np.fft.ifft(image, axis=1).real
+
+
+def lateral_matrix(data: np.ndarray, dt: float, spacing: float, velocity: np.ndarray, across: int = 10, down: int = 10) -> np.ndarray:
+    """Fourier finite differences, frequency by frequency, with dense systems; ``velocity`` as (samples x traces)."""
+    n, m = data.shape
+    x = data * edge_taper(m, across)[None, :] * edge_taper(n, down)[:, None]
+    size = 1 << (2 * n - 1).bit_length()
+    spec = np.fft.fft(x, size, axis=0)
+    kx = 2 * np.pi * np.fft.fftfreq(m, spacing)
+    second = np.diag(np.full(m, -2.0)) + np.diag(np.ones(m - 1), 1) + np.diag(np.ones(m - 1), -1)
+    image = np.zeros((n, m))
+    for w, field in zip(2 * np.pi * np.fft.fftfreq(size, dt), spec):
+        for i in range(n):
+            image[i] += field.real / size
+            if w == 0:
+                break
+            c = velocity[i].min()
+            p = c / velocity[i]
+            cos2 = 1 - (c * kx / (2 * w)) ** 2
+            field = np.fft.ifft(np.fft.fft(field) * np.where(cos2 > GRAZING, np.exp(1j * w * dt * np.sqrt(np.maximum(cos2, 0))), 0)) * np.exp(1j * w * dt * (p - 1))
+            kappa = (velocity[i] / (2 * w * spacing)) ** 2
+            real, turned = np.minimum((1 + p + p**2) / 4 * kappa, 0.25), w * dt * p * (1 - p) * kappa / 4
+            field = np.linalg.solve(np.eye(m) + (real - 1j * turned)[:, None] * second, field + (real + 1j * turned) * (second @ field))
+    return image
