@@ -4,16 +4,14 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.arrays import doubles
-from ..functions.filters import median_filter
 from ..functions.scalars import refractive_focusing
-from .along import with_halo
+from ..sources.shared import stored
+from .along import renumbered, with_halo, with_profile, with_running
 
 LAYER = ("profile_id", "picknum")
 
@@ -134,38 +132,90 @@ def trial_rate(stats: dict[str, Column], rates: list[float], target: float, widt
     return F.when(resolved, F.array_min(tried)["rate"])
 
 
-def first_resolved(found: list[tuple[float, str]]) -> tuple[Column, Column]:
-    """Rate and window of the smallest window that resolves; ``found`` lists windows and their columns from small to large."""
-    rate = F.coalesce(*[F.col(c) for _, c in found])
-    window = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(float(w))) for w, c in found])
-    return rate, window
+SUMS = ("n", "z", "p", "zz", "pp", "zp")
 
 
-def attenuation_growing(layer: DataFrame, rates: list[float], target: float = 1.0, width: float = 0.1, windows: tuple[int, ...] = (100, 200, 300, 400)) -> DataFrame:
-    """Attenuation at each trace of a layer from the smallest window of traces that resolves it."""
-    out = layer
-    names = []
-    for w in windows:
-        near = Window.partitionBy(*LAYER).orderBy("trace_idx").rowsBetween(-(w // 2), w // 2 - 1)
-        sums = {k: F.col(f"{k}__{w}") for k in ("n", "szz", "spp", "szp")}
-        out = out.withColumns({f"{k}__{w}": v for k, v in slope_columns(near).items()})
-        names.append((w, f"rate__{w}"))
-        out = out.withColumn(f"rate__{w}", trial_rate(sums, rates, target, width))
-    rate, window = first_resolved(names)
-    return out.select("profile_id", "picknum", "trace_idx", rate.alias("attenuation"), window.alias("window"))
+def regression(sums: dict[str, Column]) -> dict[str, Column]:
+    """Count and centred second moments of depth and power from their plain sums."""
+    n, z, p = sums["n"], sums["z"], sums["p"]
+    return {"n": n, "szz": sums["zz"] - F.try_divide(z * z, n), "spp": sums["pp"] - F.try_divide(p * p, n), "szp": sums["zp"] - F.try_divide(z * p, n)}
 
 
-def attenuation_growing_depths(layers: DataFrame, depths: list[float], rates: list[float], windows: tuple[float, ...], target: float = 1.0, width: float = 0.1) -> DataFrame:
-    """The same around each depth, over all layers: windows of depth grow until the rate is resolved.
+def powers(z: Column, p: Column) -> dict[str, Column]:
+    return {"n": F.lit(1), "z": z, "p": p, "zz": z * z, "pp": p * p, "zp": z * p}
 
-    Depths and windows are short lists; only partial sums are shuffled.
+
+def attenuation_growing(layers: DataFrame, rates: list[float], target: float = 1.0, width: float = 0.1, initial: int = 100, step: int = 100, batch: int = 4) -> DataFrame:
+    """Attenuation at each trace of each layer from the smallest window of its traces that resolves it.
+
+    A window of w traces is [t - w // 2, t + w // 2) among the layer's picks with
+    power and depth; it grows from ``initial`` by ``step`` as long as it lies within
+    the profile, to the profile's end if need be. Where no whole window resolves the
+    rate, and near the ends, it is null.
+
+    Running sums along the layer give any window from two of their rows. Open traces
+    try some windows in a round, twice as many in the next, so that rounds grow with
+    the logarithm of the profile's length; a round is two joins by place, and what
+    is left open is written to the shared folder.
     """
-    table = F.array(*[F.struct(F.lit(float(d)).alias("depth"), F.lit(float(w)).alias("w")) for d in depths for w in windows])
-    hits = layers.select("profile_id", "db", "z", F.explode(F.filter(table, lambda t: F.abs(F.col("z") - t["depth"]) < t["w"] / 2)).alias("t"))
-    sums = hits.groupBy("profile_id", F.col("t")["depth"].alias("depth"), F.col("t")["w"].alias("w")).agg(*[v.alias(k) for k, v in slope_columns().items()])
-    tried = sums.withColumn("rate", trial_rate({k: F.col(k) for k in ("n", "szz", "spp", "szp")}, rates, target, width))
-    best = F.min(F.when(F.col("rate").isNotNull(), F.struct("w", "rate")))
-    return tried.groupBy("profile_id", "depth").agg(best.alias("b")).select("profile_id", "depth", F.col("b")["rate"].alias("attenuation"), F.col("b")["w"].alias("window"))
+    known = layers.where("db is not null and z is not null").select(F.to_json(F.struct(*LAYER)).alias("profile_id"), "trace_idx", "z", "db")
+    centred = with_profile(known, z0__=F.avg("z"), p0__=F.avg("db"), m=F.count(F.lit(1)))
+    sums = with_running(centred, **powers(F.col("z") - F.col("z0__"), F.col("db") - F.col("p0__")))
+    table = stored(sums.select(F.col("profile_id").alias("layer"), "trace_idx", "m", (F.col("n") - 1).alias("t"), *SUMS), "layers")
+
+    def upto(name: str) -> DataFrame:
+        return table.select("layer", F.col("t").alias(f"{name}_t"), F.struct(*SUMS).alias(name))
+
+    least = initial // 2
+    left = table.where((F.col("t") >= least) & (F.col("t") < F.col("m") - least)).select("layer", "trace_idx", "t", "m")
+    first, found = 0, None
+    while True:
+        grown = F.explode(F.sequence(F.lit(initial + step * first).cast("long"), F.lit(initial + step * (first + batch - 1)).cast("long"), F.lit(step).cast("long")))
+        tried = left.withColumn("w", grown).withColumn("half", F.floor(F.col("w") / 2)).where((F.col("half") <= F.col("t")) & (F.col("half") <= F.col("m") - F.col("t")))
+        tried = tried.withColumn("a_t", F.col("t") - F.col("half") - 1).withColumn("b_t", F.col("t") + F.col("half") - 1)
+        both = tried.join(upto("b"), ["layer", "b_t"]).join(upto("a"), ["layer", "a_t"], "left")
+        rate = trial_rate(regression({c: F.col("b")[c] - F.coalesce(F.col("a")[c], F.lit(0)) for c in SUMS}), rates, target, width)
+        seen = both.select("layer", "trace_idx", "t", "m", "w", rate.alias("rate"))
+        best = F.min(F.when(F.col("rate").isNotNull(), F.struct("w", "rate"))).alias("best")
+        done = stored(seen.groupBy("layer", "trace_idx", "t", "m").agg(best), "growing")
+        hits = done.where("best is not null").select("layer", "trace_idx", "best")
+        found = hits if found is None else found.unionByName(hits)
+        first, batch = first + batch, 2 * batch
+        half = (initial + step * first) // 2
+        left = done.where("best is null").where((F.lit(half) <= F.col("t")) & (F.lit(half) <= F.col("m") - F.col("t"))).drop("best")
+        if left.isEmpty():
+            break
+    named = layers.select(*LAYER, "trace_idx").withColumn("layer", F.to_json(F.struct(*LAYER)))
+    out = named.join(found, ["layer", "trace_idx"], "left")
+    return out.select(*LAYER, "trace_idx", F.col("best")["rate"].alias("attenuation"), F.col("best")["w"].cast("double").alias("window"))
+
+
+def attenuation_growing_depths(layers: DataFrame, depths: list[float], rates: list[float], initial: float = 0.1, step: float = 0.1, target: float = 1.0, width: float = 0.1) -> DataFrame:
+    """The same around each depth, over all layers of a profile: windows of depth grow until the rate is resolved.
+
+    A window lies between the least and the largest depth of the profile; half the
+    span of the rates below ``width`` must be ``target`` at most. A point counts in
+    the first window that holds it, and windows are running sums of these counts, so
+    each point makes one row for each of the few ``depths``.
+    """
+    known = layers.where("db is not null and z is not null")
+    ends = known.groupBy("profile_id").agg(F.min("z").alias("low"), F.max("z").alias("high"), F.avg("db").alias("p0"))
+    away = F.abs(F.col("z") - F.col("depth"))
+    # The first k with away < (initial + k * step) / 2; the guess may be off by one where it is a whole number.
+    guess = F.greatest(F.lit(0), F.floor((2 * away - initial) / step)).cast("long")
+    points = known.select("profile_id", "z", "db", F.explode(doubles(depths)).alias("depth")).join(ends, "profile_id")
+    points = points.withColumn("k", F.when(away < (initial + guess * step) / 2, guess).otherwise(guess + 1))
+    inside = (F.col("depth") - (initial + F.col("k") * step) / 2 >= F.col("low")) & (F.col("depth") + (initial + F.col("k") * step) / 2 <= F.col("high"))
+    own = powers(F.col("z") - F.col("depth"), F.col("db") - F.col("p0"))
+    sums = points.where(inside).groupBy("profile_id", "depth", "k").agg(*[F.sum(v).alias(c) for c, v in own.items()])
+    grown = Window.partitionBy("profile_id", "depth").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    stats = regression({c: F.sum(c).over(grown) for c in SUMS})
+    held = sums.select("profile_id", "depth", "k", *[v.alias(f"{c}__") for c, v in stats.items()])
+    tried = held.withColumn("rate", trial_rate({c: F.col(f"{c}__") for c in stats}, rates, 2 * target, width))
+    best = tried.groupBy("profile_id", "depth").agg(F.min(F.when(F.col("rate").isNotNull(), F.struct("k", "rate"))).alias("b"))
+    every = layers.select("profile_id").distinct().withColumn("depth", F.explode(doubles(depths)))
+    return every.join(best, ["profile_id", "depth"], "left").select(
+        "profile_id", "depth", F.col("b")["rate"].alias("attenuation"), (initial + F.col("b")["k"] * step).alias("window"))
 
 
 def continuity(traces: DataFrame, cut: float | None = None) -> DataFrame:
@@ -212,9 +262,15 @@ def roughness(bed: DataFrame, half: int, wavelength: float) -> DataFrame:
 
 
 def smoothed_bed(bed: DataFrame, width: int) -> DataFrame:
-    """Median of the bed's height over an odd number of traces, zeros beyond the ends; one number a trace per group."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("trace_idx")
-        return pdf.assign(height=median_filter(pdf["height"].to_numpy(float), width))
+    """Median of the bed's height over an odd number of traces, zeros beyond the ends.
 
-    return bed.groupBy("profile_id").applyInPandas(run, bed.schema)
+    Segments of traces with a halo of half the width; a frame holds ``width`` numbers.
+    """
+    half = width // 2
+    near = Window.partitionBy("profile_id", "segment__").orderBy("trace_idx").rowsBetween(-half, half)
+    placed = with_profile(renumbered(bed.withColumn("own__", F.col("trace_idx"))), last__=F.max("trace_idx"))
+    values = F.sort_array(F.collect_list("height").over(near))
+    # Frames that the profile's ends cut off hold zeros in the missing places.
+    beyond = F.greatest(half - F.col("trace_idx"), F.lit(0)) + F.greatest(F.col("trace_idx") + half - F.col("last__"), F.lit(0))
+    out = with_halo(placed, half, half).withColumn("values__", F.sort_array(F.concat(values, F.array_repeat(F.lit(0.0), beyond.cast("int")))))
+    return out.where("owned__").withColumns({"height": F.get("values__", F.lit(half)), "trace_idx": F.col("own__")}).select(*bed.columns)

@@ -414,21 +414,33 @@ x AS (SELECT *, CASE WHEN n >= 3 AND a > 0 AND t[1] > 0.2 AND len(near) > 0 AND
 
 
 @query("attenuation_m3", f"""
-WITH {LAY}, r AS (SELECT 50 AS w, ly.n AS pn, i, regr_count(db, z) OVER q AS n, regr_sxx(db, z) OVER q AS a, regr_syy(db, z) OVER q AS b, regr_sxy(db, z) OVER q AS c FROM ly WINDOW q AS (PARTITION BY ly.n ORDER BY i ROWS BETWEEN 25 PRECEDING AND 24 FOLLOWING)
-  UNION ALL SELECT 100, ly.n, i, regr_count(db, z) OVER q, regr_sxx(db, z) OVER q, regr_syy(db, z) OVER q, regr_sxy(db, z) OVER q FROM ly WINDOW q AS (PARTITION BY ly.n ORDER BY i ROWS BETWEEN 50 PRECEDING AND 49 FOLLOWING)),
-{TRIED}
-SELECT pn AS picknum, i AS trace_idx, arg_min(rate, w) FILTER (rate IS NOT NULL)::DOUBLE AS attenuation, min(w) FILTER (rate IS NOT NULL)::DOUBLE AS "window" FROM x GROUP BY 1, 2""")
+WITH {LAY}, v AS (SELECT n AS pn, i, z, db, row_number() OVER l - 1 AS t, count(*) OVER (PARTITION BY n) AS m FROM ly WHERE db IS NOT NULL WINDOW l AS (PARTITION BY n ORDER BY i)),
+w AS (SELECT unnest(range(20, (SELECT 2 * max(m) FROM v), 20)) AS w),
+r AS (SELECT w, a.pn, a.i, regr_count(b.db, b.z) AS n, regr_sxx(b.db, b.z) AS a, regr_syy(b.db, b.z) AS b, regr_sxy(b.db, b.z) AS c
+  FROM v a JOIN w ON w // 2 <= a.t AND w // 2 <= a.m - a.t JOIN v b ON b.pn = a.pn AND b.t >= a.t - w // 2 AND b.t < a.t + w // 2 WHERE a.t >= 10 AND a.t < a.m - 10 GROUP BY 1, 2, 3),
+{TRIED}, y AS (SELECT pn, i, arg_min(rate, w) FILTER (rate IS NOT NULL)::DOUBLE AS rate, min(w) FILTER (rate IS NOT NULL)::DOUBLE AS w FROM x GROUP BY 1, 2)
+SELECT ly.n AS picknum, ly.i AS trace_idx, y.rate AS attenuation, y.w AS "window" FROM ly LEFT JOIN y ON y.pn = ly.n AND y.i = ly.i""")
 def attenuation_m3(spark, d):
-    return A.attenuation_growing(_layers(spark, d), RATES, 5.0, 0.2, (50, 100)).drop("profile_id")
+    return A.attenuation_growing(_layers(spark, d), RATES, 5.0, 0.2, 20, 20).drop("profile_id")
 
 
 @query("attenuation_m6b", f"""
-WITH {LAY}, d AS (SELECT unnest([0.15, 0.3, 0.45]::DOUBLE[]) AS d), w AS (SELECT unnest([0.05, 0.1, 0.2, 0.4]::DOUBLE[]) AS w),
-r AS (SELECT d, w, regr_count(db, z) AS n, regr_sxx(db, z) AS a, regr_syy(db, z) AS b, regr_sxy(db, z) AS c FROM ly, d, w WHERE abs(z - d) < w / 2 GROUP BY 1, 2),
-{TRIED}
-SELECT d AS depth, arg_min(rate, w) FILTER (rate IS NOT NULL)::DOUBLE AS attenuation, min(w) FILTER (rate IS NOT NULL) AS "window" FROM x GROUP BY 1""")
+WITH {LAY}, d AS (SELECT unnest([0.15, 0.3, 0.45]::DOUBLE[]) AS d), w AS (SELECT 0.05::DOUBLE + unnest(range(100)) * 0.03::DOUBLE AS w),
+h AS (SELECT min(z) AS low, max(z) AS high FROM ly WHERE db IS NOT NULL),
+r AS (SELECT d, w, regr_count(db, z) AS n, regr_sxx(db, z) AS a, regr_syy(db, z) AS b, regr_sxy(db, z) AS c FROM ly, d, w, h WHERE abs(z - d) < w / 2 AND d - w / 2 >= low AND d + w / 2 <= high GROUP BY 1, 2),
+{TRIED}, y AS (SELECT d, arg_min(rate, w) FILTER (rate IS NOT NULL)::DOUBLE AS rate, min(w) FILTER (rate IS NOT NULL) AS w FROM x GROUP BY 1)
+SELECT d.d AS depth, y.rate AS attenuation, round(y.w, 6) AS "window" FROM d LEFT JOIN y USING (d)""")
 def attenuation_m6b(spark, d):
-    return A.attenuation_growing_depths(_layers(spark, d), [0.15, 0.3, 0.45], RATES, (0.05, 0.1, 0.2, 0.4), 5.0, 0.2).drop("profile_id")
+    out = A.attenuation_growing_depths(_layers(spark, d), [0.15, 0.3, 0.45], RATES, 0.05, 0.03, 2.5, 0.2)
+    return out.select("depth", "attenuation", F.round("window", 6).alias("window"))
+
+
+@query("bed_smooth", f"""
+WITH {TR}, h AS (SELECT i, elev - (i % 13) * 0.3::DOUBLE AS h, row_number() OVER (ORDER BY i) - 1 AS t, count(*) OVER () AS n FROM tr)
+SELECT a.i AS trace_idx, round(list_sort(list(b.h) || list_transform(range(11 - count(*)), lambda k: 0.0::DOUBLE))[6], 6) + 0.0 AS height FROM h a JOIN h b ON abs(a.t - b.t) <= 5 GROUP BY a.i""")
+def bed_smooth(spark, d):
+    bed = traces(spark, d).withColumn("height", F.col("elev") - (F.col("trace_idx") % 13) * 0.3).select("profile_id", "trace_idx", "height")
+    return A.smoothed_bed(bed, 11).select("trace_idx", r6("height").alias("height"))
 
 
 @query("continuity_index", f"""

@@ -348,7 +348,7 @@ def test_attenuation_needs_uncorrected_correlation(spark):
     z = np.tile(np.linspace(0.1, 0.5, 20), 20)
     rows = [("p", n, i, float(z[i]), float(db[i])) for n, db in ((1, -2 * 10 * z + rng.normal(size=400) * 0.05), (2, rng.normal(size=400))) for i in range(400)]
     layers = spark.createDataFrame(rows, "profile_id string, picknum int, trace_idx int, z double, db double")
-    out = analysis.attenuation_growing(layers, [float(k) for k in range(30)], 5.0, 0.3, (100,)).where("trace_idx between 60 and 340").collect()
+    out = analysis.attenuation_growing(layers, [float(k) for k in range(30)], 5.0, 0.3).where("trace_idx between 60 and 340").collect()
     assert all(r.attenuation == 10.0 for r in out if r.picknum == 1) and all(r.attenuation is None for r in out if r.picknum == 2)
 
 
