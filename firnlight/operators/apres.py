@@ -11,11 +11,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.arrays import doubles
 from ..plans.tables import samples as long_samples
+from ..sources.shared import stored
 from .batches import map_arrays
+from .quantiles import quantiles
 from .windows import coherence_over, gradient, to_arrays
 
 WINDOWS = {"blackman": np.blackman, "bartlett": np.bartlett, "hamming": np.hamming, "hanning": np.hanning}
@@ -167,12 +170,31 @@ def fabric_strength(dphi: Column, centre: float, speed: float = 3e8, delta_eps:
     return speed / (4 * math.pi * centre) * (2 * math.sqrt(eps) / delta_eps) * dphi
 
 
+def phase_by_place(profile: DataFrame, seed: int) -> Column:
+    """A phase in [0, 2 pi) for each sample, mixed from its place and the seed in 32 bits, so that it is the same at every reading.
+
+    The place is what there is of acq_id, burst, chirp and sample_idx, whole numbers or texts.
+    """
+    def whole(name: str) -> Column:
+        kind = profile.schema[name].dataType
+        return F.col(name).cast("long") if isinstance(kind, T.IntegralType) else F.crc32(F.col(name).cast("string"))
+
+    place = [F.pmod(F.coalesce(whole(c), F.lit(-1)), F.lit(1 << 32)) for c in ("acq_id", "burst", "chirp", "sample_idx") if c in profile.columns]
+
+    def mixed(h: Column, c: Column) -> Column:
+        x = h.bitwiseXOR(c)
+        y = (x.bitwiseXOR(F.shiftright(x, 16)) * 0x45D9F3B) % (1 << 32)
+        return y.bitwiseXOR(F.shiftright(y, 15))
+
+    return F.aggregate(F.array(*place), F.lit(seed % (1 << 32)).cast("long"), mixed) * (2 * math.pi / (1 << 32))
+
+
 def phase_uncertainty(profile: DataFrame, bed_range: float, seed: int = 0) -> DataFrame:
-    """Phase error from a noise phasor of the median magnitude below the bed and a random, seeded, phase."""
+    """Phase error from a noise phasor of the median magnitude below the bed and a seeded phase (see :func:`phase_by_place`)."""
     size = F.hypot("re", "im")
-    noise = profile.where(F.col("range") > bed_range).groupBy("acq_id").agg(F.median(size).alias("noise"))
-    turned = F.rand(seed) * 2 * math.pi
-    ratio = F.abs(F.col("noise") * F.sin(turned - F.atan2("im", "re"))) / size
+    below = stored(profile.where(F.col("range") > bed_range).select("acq_id", size.alias("size")), "noise")
+    noise = quantiles(below, ["acq_id"], "size", [0.5]).select("acq_id", F.col("quantiles")[0].alias("noise"))
+    ratio = F.abs(F.col("noise") * F.sin(phase_by_place(profile, seed) - F.atan2("im", "re"))) / size
     return profile.join(noise, "acq_id").withColumn("uncertainty", F.when(ratio <= 1, F.asin(ratio)))
 
 

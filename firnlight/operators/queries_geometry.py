@@ -8,6 +8,7 @@ from ..functions import scalars as X
 from ..plans.registry import query
 from ..plans.tables import S, TR, r6, read, traces
 from . import geometry as G
+from .quantiles import quantiles
 
 
 @query("cumulative_distance", f"""
@@ -198,8 +199,17 @@ def power_db(spark, d):
 def percentile_limits(spark, d):
     from ..plans.tables import samples
 
-    p = F.percentile("v", F.array(F.lit(0.01), F.lit(0.99)))
-    return samples(traces(spark, d), "trace_idx").agg(p.alias("p")).select(r6(F.col("p")[0]).alias("low"), r6(F.col("p")[1]).alias("high"))
+    q = quantiles(samples(traces(spark, d), "trace_idx"), [], "v", [0.01, 0.99])
+    return q.select(r6(F.col("quantiles")[0]).alias("low"), r6(F.col("quantiles")[1]).alias("high"))
+
+
+@query("profile_quantiles", f"WITH {S} SELECT p AS profile_id, count(v) AS n, round(quantile_cont(v, 0.05), 6) + 0.0 AS low, round(median(v), 6) + 0.0 AS mid, round(quantile_cont(v, 0.95), 6) + 0.0 AS high FROM s GROUP BY p")
+def profile_quantiles(spark, d):
+    """Limits and medians of each profile's samples."""
+    from ..plans.tables import samples
+
+    q = quantiles(samples(traces(spark, d, by_label=True), "profile_id"), ["profile_id"], "v", [0.05, 0.5, 0.95])
+    return q.select("profile_id", "n", *[r6(F.col("quantiles")[i]).alias(c) for i, c in enumerate(("low", "mid", "high"))])
 
 
 @query("phase_to_range", f"""

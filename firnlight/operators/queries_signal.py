@@ -350,10 +350,19 @@ def phase_gradient(spark, d):
     return R.phase_gradient(co, F.col("sample_idx") * 1.5).select("site", "sample_idx", "theta_idx", (F.round("dphi", 3) + F.lit(0.0)).alias("dphi"))
 
 
-@query("phase_uncertainty_seeded")
+@query("phase_uncertainty_seeded", f"""
+WITH {S}, w AS (SELECT unnest(range(64)) AS k, unnest({_values(W64)}) AS w), c AS (SELECT i, s.k, (v - avg(v) OVER (PARTITION BY i)) * w AS v FROM s JOIN w ON s.k = w.k),
+b AS (SELECT unnest(range(64))::INT AS b), f AS (SELECT i, b, sum(v * cos(2 * pi() * (b * k % 128) / 128)) AS re, -sum(v * sin(2 * pi() * (b * k % 128) / 128)) AS im FROM c, b GROUP BY 1, 2),
+p AS (SELECT *, b / 4e8 AS tau FROM f), q AS (SELECT *, 2 * pi() * 3e8 * tau - 6e9 * tau * tau / 2 AS ph FROM p),
+z AS (SELECT i, b, tau * 0.84e8 AS r, (re * cos(ph) + im * sin(ph)) * {math.sqrt(4) / 64 / math.sqrt(np.mean(W64**2))!r} AS re, (im * cos(ph) - re * sin(ph)) * {math.sqrt(4) / 64 / math.sqrt(np.mean(W64**2))!r} AS im FROM q),
+n AS (SELECT i // 10 AS acq, median(sqrt(re * re + im * im)) AS noise FROM z WHERE r > 10 GROUP BY 1),
+h AS (SELECT z.*, noise, list_reduce([1::BIGINT, i // 10, i // 5, i % 5, b],
+  lambda h, c: xor(xor(xor(h, c), xor(h, c) >> 16) * 73244475 % 4294967296, (xor(xor(h, c), xor(h, c) >> 16) * 73244475 % 4294967296) >> 15)) * 2 * pi() / 4294967296 AS turned FROM z JOIN n ON acq = i // 10),
+e AS (SELECT *, abs(noise * sin(turned - atan2(im, re))) / sqrt(re * re + im * im) AS e FROM h)
+SELECT (i // 10)::INT AS acq_id, (i // 5)::INT AS burst, i % 5 AS chirp, b AS sample_idx, CASE WHEN e <= 1 THEN round(asin(e), 5) + 0.0 END AS uncertainty FROM e""")
 def phase_uncertainty_seeded(spark, d):
     out = R.range_convert(_chirps(spark, d), 2e8, 3e8, 6e9, 1.68e8)
-    return R.phase_uncertainty(out, 10.0, 1).select("acq_id", "burst", "chirp", "sample_idx", "uncertainty")
+    return R.phase_uncertainty(out, 10.0, 1).select("acq_id", "burst", "chirp", "sample_idx", (F.round("uncertainty", 5) + F.lit(0.0)).alias("uncertainty"))
 
 
 def _layers(spark, d):
