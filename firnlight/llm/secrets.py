@@ -237,23 +237,31 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[count(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE_RULES)], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("findings")).alias("spans"), "blob_id")
 
 
-def _duck(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
-    p = pattern.replace("'", "''")
+#: KEY_BLOCK for engines without lookahead: what stands for the key is in groups 1 to 3, what must follow it in none.
+_SEP, _HEAD = r"(?:[ \t\n\x0B\f\r]|\\+[nr])", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+SQL_KEY_BLOCK = (
+    rf"(?:({_HEAD}(?:-{{0,4}}[^-])*-----END [A-Z ]{{0,40}}PRIVATE KEY-----)|({_HEAD}(?:{_SEP}*(?:Proc-Type|DEK-Info):[^\n\\]*)*(?:{_SEP}*[A-Za-z0-9+/=]{{20,}})*)"
+    rf"(?:({_SEP}+[A-Za-z0-9+/=]+)(?:[ \t\n\x0B\f\r]*(?:\n|\z)|\\|[\"']))?)")
+
+
+def _duck(rank: int, rule: Rule) -> str:
+    key = rule is KEY_BLOCK
+    p = (SQL_KEY_BLOCK if key else rule.pattern).replace("'", "''")
+    parts = [f"coalesce(regexp_extract_all(text, '{p}', {g})[i], '')" for g in (1, 2, 3)]
+    span = " || ".join(parts) if key else "whole[i]"
+    value = "whole" if key else f"regexp_extract_all(text, '{p}', {rule.group})"
     return f"""
-  SELECT blob_id, {rank} AS rank, '{kind}' AS kind, unnest(range(1, len(whole) + 1)) AS i, before, whole, value, {least} AS least
-  FROM (SELECT blob_id, string_split_regex(text, '{p}') AS before, regexp_extract_all(text, '{p}', 0) AS whole,
-               regexp_extract_all(text, '{p}', {group}) AS value FROM blobs)"""
+  SELECT blob_id, {rank} AS rank, '{rule.kind}' AS kind, i, before, whole, value, {span} AS span, {rule.least} AS least
+  FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM (SELECT blob_id, text, string_split_regex(text, '{p}') AS before, whole, {value} AS value
+        FROM (SELECT *, regexp_extract_all(text, '{p}', 0) AS whole FROM blobs)))"""
 
 
-#: The SQL is as it was: it finds the header of a private key only, so it differs from op1 where a text holds one.
-SQL_RULES = tuple(KEY_HEADER if r is KEY_BLOCK else r for r in RULES)
-
 ORACLE = f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, sha256(coalesce(text, '')) AS blob_id FROM documents),
 blobs AS (SELECT blob_id, any_value(text) AS text FROM docs GROUP BY blob_id),
-hits AS ({" UNION ALL ".join(_duck(r.kind, i, r.pattern, r.group, r.least) for i, r in enumerate(SQL_RULES))}),
+hits AS ({" UNION ALL ".join(_duck(i, r) for i, r in enumerate(RULES))}),
 spans AS (
-  SELECT blob_id, rank, kind, start, start + length(whole[i]) AS stop FROM (
+  SELECT blob_id, rank, kind, start, start + length(span) AS stop FROM (
     SELECT *, coalesce(list_sum(list_transform(before[1:i], lambda s: length(s))), 0)::BIGINT
             + coalesce(list_sum(list_transform(whole[1:i - 1], lambda s: length(s))), 0)::BIGINT AS start FROM hits)
   WHERE length(value[i]) >= least),

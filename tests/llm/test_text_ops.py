@@ -142,6 +142,16 @@ def test_private_keys_are_masked_whole(spark, tmp_path):
     ]
     out = {r.doc_id: r.text for r in secrets.redact_secrets(frame(spark, texts), f"file://{tmp_path}/l").collect()}
     got = [out[i] for i in range(len(texts))]
+    # The SQL finds the same blocks, and the same secrets in other texts.
+    rows = texts + SECRETS + [f"{begin}\n{c[0]}\nabc 'x", f"{begin} {c[0]} {c[1]} end,", f"{begin}\n{c[0]}\nab-----", f"{begin}-a--b----c-----END PRIVATE KEY-----!", f"{begin}x------END PRIVATE KEY-----", begin * 3, f"{begin}\\n{c[0]}\\n{c[1][:7]}\\n\""]
+    frame(spark, rows).write.parquet(f"{tmp_path}/sf/documents.parquet")
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from read_parquet('{tmp_path}/sf/documents.parquet/*.parquet')")
+    want = {r[0]: r for r in db.execute(secrets.ORACLE).fetchall()}
+    mine = {r.doc_id: tuple(r) for r in secrets.op1_secret_scans(spark, f"{tmp_path}/sf").collect()}
+    assert [mine[i] for i in range(len(rows))] == [want[i] for i in range(len(rows))] and sum("private_key" in w[5] for w in want.values()) == len(texts) + 7
     assert not [line for line in [*a, *b, *c, *d, *e, *f] if any(line in t for t in got)]
     assert got[0] == "é before\n[private_key]\nafter" and got[1] == "cut off\n[private_key]"
     assert got[2] == "no end\n[private_key]\n\nPlain words go on, and stay."
