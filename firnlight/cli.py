@@ -5,6 +5,9 @@
     python -m firnlight.cli step NAME IN OUT --dt 1e-8 [--args A ...]     one step: agc, rgain, elev, lp, hp, hbp, rev and those of proc
     python -m firnlight.cli cat IN ... OUT
     python -m firnlight.cli geolocate IN OUT --gps FIXES [--offset D] [--extrapolate]
+    python -m firnlight.cli migrate IN OUT --kind stolt --dt 1e-8 --spacing 5 [--velocity V | --table FILE] [--taper ACROSS DOWN]
+    python -m firnlight.cli convert KIND PATH OUT --to segy|csv|points|parquet
+    python -m firnlight.cli apres PATH OUT --bandwidth B --centre F --rate K [--speed V] [--max-range R] [--bed R]     range profiles of bursts, stacked
     python -m firnlight.cli export IN OUT --picks PICKS --layers 1 2 --dt 1e-8
 """
 
@@ -59,6 +62,30 @@ def parser() -> argparse.ArgumentParser:
     place.add_argument("--gps", required=True)
     place.add_argument("--offset", type=float, default=0.0)
     place.add_argument("--extrapolate", action="store_true")
+    migrate = sub.add_parser("migrate", help="migrate stored traces")
+    migrate.add_argument("path")
+    migrate.add_argument("out")
+    migrate.add_argument("--kind", choices=("kirch", "stolt", "phsh", "ffd", "tk"), default="stolt")
+    migrate.add_argument("--dt", type=float, required=True)
+    migrate.add_argument("--spacing", type=float, required=True, help="metres between traces")
+    migrate.add_argument("--velocity", type=float, default=1.68e8)
+    migrate.add_argument("--table", help="a file of velocities and depths, for phsh and ffd")
+    migrate.add_argument("--taper", nargs=2, type=int, default=(10, 10), metavar=("ACROSS", "DOWN"))
+    convert = sub.add_parser("convert", help="read vendor files and write them in another form")
+    convert.add_argument("kind")
+    convert.add_argument("path")
+    convert.add_argument("out")
+    convert.add_argument("--to", choices=("segy", "csv", "points", "parquet"), required=True)
+    convert.add_argument("--s-srs")
+    convert.add_argument("--t-srs")
+    apres = sub.add_parser("apres", help="range profiles of phase-sensitive bursts, a file an acquisition, its chirps stacked")
+    apres.add_argument("path")
+    apres.add_argument("out")
+    for name in ("bandwidth", "centre", "rate"):
+        apres.add_argument(f"--{name}", type=float, required=True)
+    apres.add_argument("--speed", type=float, default=1.68e8)
+    apres.add_argument("--max-range", type=float, default=4000.0)
+    apres.add_argument("--bed", type=float, default=0.0, help="range below which there is noise only")
     export = sub.add_parser("export", help="write picks as text, a line per trace")
     export.add_argument("path")
     export.add_argument("out")
@@ -86,6 +113,40 @@ def steps_of(args: argparse.Namespace) -> dict:
     return out
 
 
+def converted(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Files of a kind as SEG-Y, a line a trace, points, or stored traces."""
+    from pyspark.sql import functions as F
+
+    from .sources.binary import load
+    from .sources.sinks import write_points, write_segy_files
+
+    traces = load(spark, args.kind, args.path, args.s_srs, args.t_srs)
+    plain = traces.drop("samples", "header")
+    if args.to == "parquet":
+        traces.write.parquet(args.out)
+    elif args.to == "csv":
+        plain.write.csv(args.out, header=True)
+    elif args.to == "points":
+        write_points(args.out, plain.where("lat is not null and long is not null"))
+    else:
+        step = traces.select(F.round(F.col("dt") * 1e9).cast("int").alias("dt")).first()
+        write_segy_files(traces, args.out, step["dt"] if step else 1)
+
+
+def acquisitions(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Range profile of each file of bursts: range, power in dB, phase and its uncertainty."""
+    from pyspark.sql import functions as F
+
+    from .operators.apres import single_chain
+    from .sources.binary import load
+
+    chirps = load(spark, "apres", args.path).select(F.col("profile_id").alias("acq_id"), F.lit(0).alias("burst"), F.col("trace_idx").alias("chirp"), "samples")
+    size = chirps.select(F.size("samples").alias("n")).first()
+    out = single_chain(chirps, args.bed, bandwidth=args.bandwidth, centre=args.centre, rate=args.rate, speed=args.speed, max_range=args.max_range, snum=size["n"] if size else 1)
+    power = F.col("re") * F.col("re") + F.col("im") * F.col("im")
+    out.select("acq_id", "sample_idx", "range", F.when(power > 0, 10 * F.log10(power)).alias("db"), F.atan2("im", "re").alias("phase"), "uncertainty").write.parquet(args.out)
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.getOrCreate()
@@ -106,9 +167,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         from .operators.geometry import gps_control
         from .sources.text import gps_table
 
-        traces = spark.read.parquet(args.path)
-        fixes = traces.select("profile_id").distinct().crossJoin(gps_table(spark, args.gps))  # one table of fixes for all profiles
-        gps_control(traces, fixes, args.offset, args.extrapolate).write.parquet(args.out)
+        gps_control(spark.read.parquet(args.path), gps_table(spark, args.gps), args.offset, args.extrapolate).write.parquet(args.out)
+        return
+    if args.command in ("convert", "apres"):
+        converted(spark, args) if args.command == "convert" else acquisitions(spark, args)
         return
     traces = spark.read.parquet(args.path)
     first = traces.selectExpr("size(samples) AS n").first()
@@ -117,6 +179,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         from .plans.profile import Profile, process
 
         process(Profile(traces, times, args.dt), **steps_of(args)).traces.write.parquet(args.out)
+    elif args.command == "migrate":
+        from .operators.migration import migrate, velocity_profile
+        from .operators.windows import to_arrays
+        from .sources.text import table
+
+        velocity = args.velocity
+        if args.table:  # a few rows: the layers of a profile
+            velocity = velocity_profile([(r["v"], r["z"]) for r in table(spark, args.table, ["v", "z"]).collect()], list(times))
+        image = to_arrays(migrate(traces, args.kind, list(times), args.spacing, velocity, *args.taper), "profile_id", "trace_idx")
+        traces.drop("samples").join(image, ["profile_id", "trace_idx"]).select(*traces.columns).write.parquet(args.out)
     elif args.command == "step":
         from .plans.profile import Profile
 

@@ -190,12 +190,12 @@ def phase_by_place(profile: DataFrame, seed: int) -> Column:
 
 
 def phase_uncertainty(profile: DataFrame, bed_range: float, seed: int = 0) -> DataFrame:
-    """Phase error from a noise phasor of the median magnitude below the bed and a seeded phase (see :func:`phase_by_place`)."""
+    """Phase error from a noise phasor of the median magnitude below the bed and a seeded phase (see :func:`phase_by_place`); null without samples below the bed."""
     size = F.hypot("re", "im")
     below = stored(profile.where(F.col("range") > bed_range).select("acq_id", size.alias("size")), "noise")
     noise = quantiles(below, ["acq_id"], "size", [0.5]).select("acq_id", F.col("quantiles")[0].alias("noise"))
     ratio = F.abs(F.col("noise") * F.sin(phase_by_place(profile, seed) - F.atan2("im", "re"))) / size
-    return profile.join(noise, "acq_id").withColumn("uncertainty", F.when(ratio <= 1, F.asin(ratio)))
+    return profile.join(noise, "acq_id", "left").withColumn("uncertainty", F.when(ratio <= 1, F.asin(ratio)))
 
 
 def vertical_spectrum(traces: DataFrame, dt: float, snum: int) -> DataFrame:

@@ -99,9 +99,18 @@ def interpolate(points: DataFrame, fixes: DataFrame, key: str, at: str, values:
 
 
 def gps_control(traces: DataFrame, fixes: DataFrame, offset: float = 0.0, extrapolate: bool = False) -> DataFrame:
-    """Positions of the traces from GPS fixes at their time; longitudes in [0, 360)."""
-    moved = fixes.select("profile_id", (F.col("decday") + offset).alias("decday"), "lat", F.pmod("long", F.lit(360.0)).alias("long"), "elev")
-    return placed(traces, moved, "decday", ["lat", "long", "elev"], extrapolate)
+    """Positions of the traces from GPS fixes at their time; longitudes in [0, 360).
+
+    Fixes without a profile_id are of all profiles: then time alone is the key, and
+    neither side is copied.
+    """
+    values = ["lat", "long", "elev"]
+    moved = fixes.select(*["profile_id"] * ("profile_id" in fixes.columns), (F.col("decday") + offset).alias("decday"), "lat", F.pmod("long", F.lit(360.0)).alias("long"), "elev")
+    if "profile_id" in fixes.columns:
+        return placed(traces, moved, "decday", values, extrapolate)
+    clock = F.lit(0).alias("clock__")
+    found = interpolate(traces.select("profile_id", "trace_idx", "decday", clock), moved.select(clock, "*"), "clock__", "decday", values, extrapolate)
+    return traces.drop(*values).join(found.select("profile_id", "trace_idx", *values), ["profile_id", "trace_idx"])
 
 
 def placed(traces: DataFrame, fixes: DataFrame, at: str, values: list[str], extrapolate: bool, each: bool = False) -> DataFrame:

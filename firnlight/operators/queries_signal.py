@@ -7,6 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..functions.filters import operator_matrix, padding_of, sections, steady_state
 from ..plans.registry import query
 from ..plans.tables import DT, PK, SNUM, S, TR, picks, r6, samples, traces, travel_time
@@ -113,6 +114,16 @@ def packet_pick(spark, d):
     return P.pick_packets(traces(spark, d), PICK, F.lit(30) + F.col("trace_idx") % 5).select(*OUT, r6("power").alias("power"))
 
 
+@query("sql_packet_pick", _pick_sql("(30 + i % 5)"))
+def sql_packet_pick(spark, d):
+    """The same by the table function, in SQL."""
+    tables.register(spark)
+    w = PICK
+    return spark.sql(
+        f"SELECT t.trace_idx, p.samp1, p.samp2, p.samp3, round(p.power, 6) + 0D AS power FROM {{traces}} t, LATERAL pick_packet(t.samples, 30 + t.trace_idx % 5, {w.length}, {w.half_wave}, {w.margin}, {w.polarity}) p",
+        traces=traces(spark, d)).select(*OUT, "power")
+
+
 @query("guided_pick", _pick_sql("(round_even(i * (40 - 20)::DOUBLE / n, 0) + 20)"))
 def guided_pick(spark, d):
     return P.guided_pick(traces(spark, d), PICK, 20, 40).select(*OUT, r6("power").alias("power"))

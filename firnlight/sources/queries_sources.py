@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import tables
 from ..plans.registry import query
 from ..plans.tables import SNUM, TR, r6, samples, traces
 from . import binary, matlab, records, sinks, text
@@ -194,3 +195,14 @@ for _name, _mark, _kind in (("read_dzg", "$GSSIS,%d,1.5", text.DZG), ("read_puls
         lines = labelled(spark, d).groupBy(F.col("profile_id").alias("fn")).agg(F.array_sort(F.collect_list(F.struct("trace_idx", line.alias("line")))).alias("rows"))
         fixes = text.fixes_of(lines.select("fn", F.array_join("rows.line", "\r\n").alias("value")), *kind)
         return fixes.select("fn", "trace_num", *[(F.round(c, 8) + F.lit(0.0)).alias(c) for c in ("lat", "long")], "altitude")
+
+
+@query("sql_project_files", f"""WITH {X}, f AS (SELECT p, i, unnest(['hd', 'dt1']) AS e FROM t WHERE i % 3 < 2)
+SELECT p AS profile_id, 'line' || i || '.' || e AS name, CASE e WHEN 'hd' THEN length('N=' || i) ELSE i % 9 + 1 END AS n_bytes FROM f""")
+def sql_project_files(spark, d):
+    """Project blobs made by formula, a blob a label, and taken apart in SQL."""
+    tables.register(spark)
+    i = F.col("trace_idx").cast("string")
+    part = F.concat(F.lit("line"), i, F.lit(".hdN="), i, F.lit("line"), i, F.lit(".dt1"), F.repeat(F.lit("z"), F.col("trace_idx") % 9 + 1))
+    blobs = labelled(spark, d).where("trace_idx % 3 < 2").groupBy("profile_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("trace_idx", part.alias("part"))))["part"], "").alias("text"))
+    return spark.sql("SELECT b.profile_id, f.name, octet_length(f.content) AS n_bytes FROM {blobs} b, LATERAL project_files(cast(concat('head', b.text) AS binary)) f", blobs=blobs)

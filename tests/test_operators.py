@@ -395,6 +395,35 @@ def test_steps_of_the_command_line(spark, small, tmp_path):
     assert geo[4].lat == pytest.approx(-76.5) and len(geo[4].samples) == 8
 
 
+def test_files_and_migrations_of_the_command_line(spark, small, tmp_path):
+    from firnlight import cli
+
+    at = f"file://{tmp_path}"
+    small.write.parquet(f"{at}/in")
+    (tmp_path / "v.txt").write_text("# v z\n1.7e8 0\n1.6e8 20\n")
+    for kind, more in (("stolt", []), ("phsh", ["--table", f"{at}/v.txt"]), ("ffd", ["--table", f"{at}/v.txt"]), ("kirch", []), ("tk", ["--taper", "1", "1"])):
+        cli.main(["migrate", f"{at}/in", f"{at}/{kind}", "--kind", kind, "--dt", "1e-8", "--spacing", "1.5", *more], spark)
+        moved = spark.read.parquet(f"{at}/{kind}")
+        assert moved.count() == 12 and moved.columns == small.columns and moved.first().samples is not None
+    (tmp_path / "raw").mkdir()
+    body = np.arange(24, dtype="<u2").reshape(4, 6)
+    head = bytearray(65536)
+    struct.pack_into("<HHh", head, 4, 6, 16, 3)
+    struct.pack_into("<f", head, 26, 60.0)
+    (tmp_path / "raw/line.DZT").write_bytes(bytes(head) + body.tobytes())
+    for to in ("segy", "csv", "parquet", "points"):
+        cli.main(["convert", "gssi", f"{at}/raw", f"{tmp_path}/{to}", "--to", to], spark)
+    back = binary.load(spark, "segy", f"{tmp_path}/segy").orderBy("trace_idx").collect()
+    assert [r.samples for r in back] == [r.samples for r in spark.read.parquet(f"{tmp_path}/parquet").orderBy("trace_idx").collect()] and back[0].dt == pytest.approx(1e-8)
+    assert spark.read.csv(f"{tmp_path}/csv", header=True).count() == 4
+    (tmp_path / "bursts").mkdir()
+    tone = (np.cos(2 * np.pi * 9 * np.arange(200) / 200) * 9000 + 32768).astype("<u2")
+    (tmp_path / "bursts/a.DAT").write_bytes(b"N_ADC_SAMPLES=200\r\nNSubBursts=3\r\n*** End Header ***\r\n" + np.tile(tone, 3).tobytes())
+    cli.main(["apres", f"{at}/bursts", f"{at}/profile", "--bandwidth", "2e8", "--centre", "3e8", "--rate", "2e8", "--bed", "20"], spark)
+    profile = spark.read.parquet(f"{at}/profile").orderBy(F.desc("db")).collect()
+    assert profile[0].acq_id == "a" and profile[0].sample_idx == 18 and abs(profile[0].uncertainty) < 0.01  # padded twice
+
+
 def test_stationary_traces_go_over_many_segments(spark, monkeypatch):
     monkeypatch.setattr(geometry, "SEGMENT", 7)
     rng = np.random.default_rng(9)
