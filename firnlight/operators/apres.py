@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.arrays import doubles
+from ..functions.peaks import with_peaks
 from ..plans.tables import samples as long_samples
 from ..sources.shared import stored
 from .batches import map_arrays
@@ -310,41 +311,41 @@ def low_pass_range(images: DataFrame, column: str, cutoff: float, rate: float, o
 def bed_pick(pair: DataFrame, differences: DataFrame, kernel: int = 201, prominence: float = 10.0, width: float = 300.0, most_apart: int = 50, least_coherence: float = 0.9) -> DataFrame:
     """The bed of each pair: last wide peak of the smoothed power of both profiles, with its coherence.
 
-    Peaks need a whole profile: a group is one pair. Without a peak, too far apart
-    or too little coherent, the result is null with the reason in ``fault``.
+    A profile is one array down the samples. Without a peak, too far apart or too
+    little coherent, the reason is in ``fault``; in the first two cases the rest is null.
     """
-    import pandas as pd
-
-    from ..functions.filters import median_filter, peaks
-
-    def run(profile: pd.DataFrame, co: pd.DataFrame) -> pd.DataFrame:
-        profile, co = profile.sort_values("sample_idx"), co.sort_values("range")
-        name = (profile if len(profile) else co)["pair_id"].iloc[0]
-        found, levels = [], []
-        for re, im in (("re1", "im1"), ("re2", "im2")):
-            power = 10 * np.log10(np.maximum(profile[re].to_numpy(float) ** 2 + profile[im].to_numpy(float) ** 2, 1e-300))
-            smooth = median_filter(power, kernel) if len(power) else power
-            at = peaks(smooth, prominence, width)
-            found.append(int(at.max()) if len(at) else -1)
-            levels.append(float(smooth[found[-1]]) if len(at) else float("nan"))
-        row = {"pair_id": name, "sample_idx": None, "range": None, "coherence": None, "power": None, "fault": None}
-        if min(found) < 0:
-            row["fault"] = "no peak"
-        elif abs(found[0] - found[1]) >= most_apart:
-            row["fault"] = "picks too far apart"
-        else:
-            sample = sum(found) // 2
-            where = float(profile["range"].iloc[sample])
-            near = int((co["range"] - where).abs().to_numpy().argmin()) if len(co) else 0
-            part = np.hypot(co["co_re"], co["co_im"]).to_numpy()[max(0, near - 10) : near + 10]
-            coherence = float(np.median(part)) if len(part) else 0.0
-            row |= {"sample_idx": sample, "range": where, "coherence": coherence, "power": sum(levels) / 2}
-            if coherence <= least_coherence:
-                row["fault"] = "coherence too low"
-        return pd.DataFrame([row])
-
-    schema = "pair_id int, sample_idx int, range double, coherence double, power double, fault string"
-    return pair.groupBy("pair_id").cogroup(differences.groupBy("pair_id")).applyInPandas(lambda a, b: run(a, b), schema)
+    half = kernel // 2
+    down = Window.partitionBy("pair_id").orderBy("sample_idx")
+    near = down.rowsBetween(-half, half)
+
+    def smooth(re: str, im: str) -> Column:
+        """Running median of dB, zeros beyond the ends."""
+        power = 10 * F.log10(F.greatest(F.col(re) * F.col(re) + F.col(im) * F.col(im), F.lit(1e-300)))
+        zeros = F.array_repeat(F.lit(0.0), (kernel - F.count(F.lit(1)).over(near)).cast("int"))
+        return F.get(F.sort_array(F.concat(F.collect_list(power).over(near), zeros)), F.lit(half))
+
+    rows = pair.withColumns({"x1": smooth("re1", "im1"), "x2": smooth("re2", "im2")})
+    arrays = rows.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("sample_idx", "x1", "x2", "range"))).alias("p"))
+    arrays = arrays.select("pair_id", F.col("p.x1").alias("x1"), F.col("p.x2").alias("x2"), F.col("p.range").alias("ranges"))
+    found = with_peaks(with_peaks(arrays, "x1", "at1", prominence, width), "x2", "at2", prominence, width)
+    found = found.select("pair_id", "ranges", "x1", "x2", F.array_max("at1").alias("p1"), F.array_max("at2").alias("p2"))
+    size = F.hypot("co_re", "co_im")
+    co = differences.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("range", size.alias("size")))).alias("c"))
+    both = found.join(co, "pair_id", "full")
+    fault = F.when(F.col("p1").isNull() | F.col("p2").isNull(), "no peak").when(F.abs(F.col("p1") - F.col("p2")) >= most_apart, "picks too far apart")
+    picked = both.withColumn("fault", fault).withColumn("sample", F.when(F.col("fault").isNull(), F.floor((F.col("p1") + F.col("p2")) / 2).cast("int")))
+    picked = picked.withColumn("range", F.get("ranges", F.col("sample")))
+    away = F.transform("c", lambda r: F.abs(r["range"] - F.col("range")))
+    picked = picked.withColumn("near__", F.array_position(away, F.array_min(away)).cast("int") - 1)
+    first = F.greatest(F.col("near__") - 10, F.lit(0))
+    part = F.sort_array(F.filter(F.transform(F.slice("c", first + 1, F.col("near__") + 10 - first), lambda r: r["size"]), lambda v: v.isNotNull()))
+    picked = picked.withColumn("part__", part).withColumn("m__", F.size("part__"))
+    middle = (F.get("part__", F.floor((F.col("m__") - 1) / 2).cast("int")) + F.get("part__", F.floor(F.col("m__") / 2).cast("int"))) / 2
+    there = F.col("sample").isNotNull()
+    out = picked.withColumn("coherence", F.when(there, F.coalesce(F.when(F.col("m__") > 0, middle), F.lit(0.0))))
+    level = (F.get("x1", F.col("p1")) + F.get("x2", F.col("p2"))) / 2
+    fault = F.coalesce(F.col("fault"), F.when(F.col("coherence") <= least_coherence, "coherence too low"))
+    return out.select("pair_id", F.col("sample").alias("sample_idx"), "range", "coherence", F.when(there, level).alias("power"), fault.alias("fault"))
 
 
 def noise_error(values: DataFrame, win: int, column: str = "uncertainty") -> DataFrame:

@@ -11,7 +11,7 @@ from ..plans.tables import PK, S, TR, picks, r6, read, samples, traces, travel_t
 from . import apres as R
 from . import geometry as G
 from . import windows as W
-from .queries_signal import QUAD, THETAS, _differences, _pairs, _sites, _values, _zero_phase
+from .queries_signal import QUAD, THETAS, UNWRAP, _differences, _pairs, _sites, _values, _zero_phase
 
 
 def r4(c):
@@ -142,10 +142,36 @@ def extinction_filtered(spark, d):
     return R.extinction_axis(R.low_pass_range(anomalies, "anomaly", 0.1, 1.0), 2, 8)
 
 
-@query("bed_pick")
+PICKED = f"""{UNWRAP},
+pz AS (SELECT i // 2 AS p, i % 2 AS w, s, a[2 * s + 1] AS re, a[2 * s + 2] AS im FROM tr, (SELECT unnest(range(32))::INT AS s)),
+pd AS (SELECT p, w, s, 10 * log10(greatest(re * re + im * im, 1e-300)) AS d FROM pz WHERE p IN (SELECT p FROM pz WHERE w = 1)),
+sm AS (SELECT p, w, s, list_sort([coalesce(lag(d) OVER o, 0), d, coalesce(lead(d) OVER o, 0)])[2] AS x FROM pd WINDOW o AS (PARTITION BY p, w ORDER BY s)),
+rn AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY p, w ORDER BY s) AS r FROM (SELECT *, coalesce(x <> lag(x) OVER (PARTITION BY p, w ORDER BY s), true) AS new FROM sm)),
+ru AS (SELECT p, w, min(s) AS f, max(s) AS l, any_value(x) AS x, r FROM rn GROUP BY p, w, r),
+ca AS (SELECT b.p, b.w, ((b.f + b.l) // 2) AS pos, b.x FROM ru b JOIN ru a ON a.p = b.p AND a.w = b.w AND a.r = b.r - 1 AND a.x < b.x JOIN ru c ON c.p = b.p AND c.w = b.w AND c.r = b.r + 1 AND c.x < b.x),
+ed AS (SELECT ca.*, coalesce(max(m.s) FILTER (m.s < pos AND m.x > ca.x), -1) + 1 AS lf, coalesce(min(m.s) FILTER (m.s > pos AND m.x > ca.x), 32) - 1 AS rt FROM ca JOIN sm m USING (p, w) GROUP BY ca.p, ca.w, pos, ca.x),
+prm AS (SELECT ed.*, ed.x - greatest(min(m.x) FILTER (m.s BETWEEN lf AND pos), min(m.x) FILTER (m.s BETWEEN pos AND rt)) AS rise FROM ed JOIN sm m USING (p, w) GROUP BY ed.p, ed.w, pos, ed.x, lf, rt),
+wd AS (SELECT prm.*, prm.x - rise / 2 AS lv, coalesce(max(m.s) FILTER (m.s BETWEEN lf AND pos AND m.x <= prm.x - rise / 2), lf) AS a, coalesce(min(m.s) FILTER (m.s BETWEEN pos AND rt AND m.x <= prm.x - rise / 2), rt) AS b
+  FROM prm JOIN sm m USING (p, w) WHERE rise >= 1 GROUP BY prm.p, prm.w, pos, prm.x, lf, rt, rise),
+hw AS (SELECT wd.*, CASE WHEN ma.x < lv THEN a + (lv - ma.x) / (na.x - ma.x) ELSE a END AS lo, CASE WHEN mb.x < lv THEN b - (lv - mb.x) / (nb.x - mb.x) ELSE b END AS hi
+  FROM wd JOIN sm ma ON ma.p = wd.p AND ma.w = wd.w AND ma.s = a JOIN sm mb ON mb.p = wd.p AND mb.w = wd.w AND mb.s = b
+  LEFT JOIN sm na ON na.p = wd.p AND na.w = wd.w AND na.s = a + 1 LEFT JOIN sm nb ON nb.p = wd.p AND nb.w = wd.w AND nb.s = b - 1),
+la AS (SELECT p, max(pos) FILTER (w = 0) AS p1, max(pos) FILTER (w = 1) AS p2 FROM hw WHERE hi - lo >= 1 GROUP BY p),
+ok AS (SELECT d.p, p1, p2, CASE WHEN p1 IS NULL OR p2 IS NULL THEN 'no peak' WHEN abs(p1 - p2) >= 20 THEN 'picks too far apart' END AS fault FROM (SELECT DISTINCT p FROM pd) d LEFT JOIN la USING (p)),
+sa AS (SELECT *, CASE WHEN fault IS NULL THEN (p1 + p2) // 2 END AS sample FROM ok),
+co2 AS (SELECT pair_id AS p, row_number() OVER (PARTITION BY pair_id ORDER BY rg) - 1 AS j, rg, sqrt(re * re + im * im) AS size FROM df),
+ne AS (SELECT sa.p, arg_min(j, (abs(rg - sample * 10.0::DOUBLE), j)) AS near FROM sa JOIN co2 USING (p) WHERE sample IS NOT NULL GROUP BY sa.p),
+me AS (SELECT ne.p, median(size) AS coherence FROM ne JOIN co2 USING (p) WHERE j >= greatest(near - 10, 0) AND j < near + 10 GROUP BY ne.p)"""
+
+
+@query("bed_pick", f"""WITH {PICKED}
+SELECT sa.p::INT AS pair_id, sample::INT AS sample_idx, sample * 10.0::DOUBLE AS range, round(CASE WHEN sample IS NOT NULL THEN coalesce(coherence, 0) END, 6) + 0.0 AS coherence,
+  round((x1.x + x2.x) / 2, 6) + 0.0 AS power, coalesce(fault, CASE WHEN coalesce(coherence, 0) <= 0.2 THEN 'coherence too low' END) AS fault
+FROM sa LEFT JOIN me USING (p) LEFT JOIN sm x1 ON sample IS NOT NULL AND x1.p = sa.p AND x1.w = 0 AND x1.s = p1 LEFT JOIN sm x2 ON sample IS NOT NULL AND x2.p = sa.p AND x2.w = 1 AND x2.s = p2""")
 def bed_pick(spark, d):
     pair = _pairs(spark, d).withColumn("range", F.col("sample_idx") * 10.0)
-    return R.bed_pick(pair, _differences(spark, d), kernel=3, prominence=1.0, width=1.0, most_apart=20, least_coherence=0.2)
+    out = R.bed_pick(pair, _differences(spark, d), kernel=3, prominence=1.0, width=1.0, most_apart=20, least_coherence=0.2)
+    return out.withColumns({c: r6(c) for c in ("coherence", "power")})
 
 
 @query("polarised_chain", f"""

@@ -101,3 +101,40 @@ def test_bed_medians_over_segments(spark, monkeypatch):
         got = analysis.smoothed_bed(bed, width).orderBy("profile_id", "trace_idx").collect()
         assert [r.height for r in got][:-1] == pytest.approx(median_filter(h, width).tolist()) and got[0].trace_idx == 0 and got[49].trace_idx == 98
         assert got[-1].height == (1.0 if width == 1 else 0.0)
+
+
+def test_peaks_of_arrays_equal_the_numpy_ones(spark):
+    """Plateaus, ties, ends, walls, and arrays of some chunks."""
+    from firnlight.functions.filters import peaks
+    from firnlight.functions.peaks import with_peaks
+
+    rng = np.random.default_rng(7)
+    arrays = [[], [1.0], [1.0, 2.0], [1, 2, 1.0], [1, 2, 2, 1.0], [2, 2, 1, 3, 3, 3, 1, 3, 0.0], [1.0] * 9, list(range(9)), list(range(9, 0, -1))]
+    arrays += [rng.integers(0, 5, n).astype(float).tolist() for n in (10, 40, 90)] + [np.cumsum(rng.normal(size=n)).tolist() for n in (30, 200)]
+    df = spark.createDataFrame([(i, [float(v) for v in a]) for i, a in enumerate(arrays)] + [(99, None)], "id int, x array<double>")
+    for prominence, width in ((0.0, 0.0), (1.0, 0.0), (2.0, 2.5)):
+        got = {r.id: r.at for r in with_peaks(df, "x", "at", prominence, width, chunk=16).collect()}
+        assert got.pop(99) is None
+        assert got == {i: peaks(np.array(a, float), prominence, width).tolist() for i, a in enumerate(arrays)}
+
+
+def test_bed_picks_of_pairs(spark):
+    """A clear bed, beds too far apart, no peak, a bed without coherence, and a pair without differences."""
+    from firnlight.operators.apres import bed_pick
+
+    def profile(at, n=80):
+        x = np.full(n, 0.001)
+        if at is not None:
+            x[at - 4 : at + 5] = 1.0
+        return x
+
+    rows, co = [], []
+    for pair, (a, b, c) in enumerate(((40, 42, 0.95), (20, 60, 0.95), (None, 30, 0.95), (40, 40, 0.5), (50, 50, None))):
+        rows += [(pair, s, 5.0 * s, float(x), 0.0, float(y), 0.0) for s, (x, y) in enumerate(zip(profile(a), profile(b)))]
+        co += [(pair, 10.0 * k, c, 0.0) for k in range(40)] if c else []
+    pairs = spark.createDataFrame(rows, "pair_id int, sample_idx int, range double, re1 double, im1 double, re2 double, im2 double").repartition(3)
+    differences = spark.createDataFrame(co, "pair_id int, range double, co_re double, co_im double")
+    got = {r.pair_id: r for r in bed_pick(pairs, differences, kernel=3, prominence=10.0, width=3.0, most_apart=20, least_coherence=0.9).collect()}
+    assert (got[0].sample_idx, got[0].range, got[0].fault) == (41, 205.0, None) and got[0].coherence == pytest.approx(0.95) and got[0].power == pytest.approx(0.0)
+    assert [got[k].fault for k in (1, 2, 3, 4)] == ["picks too far apart", "no peak", "coherence too low", "coherence too low"]
+    assert got[1].sample_idx is None and got[3].sample_idx == 40 and got[4].coherence == 0.0
