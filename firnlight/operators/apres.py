@@ -6,6 +6,7 @@ Complex values are pairs of columns re, im.
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -364,11 +365,19 @@ def single_chain(chirps: DataFrame, bed_range: float, count: int | None = None,
     return phase_uncertainty(stacked, bed_range, seed)
 
 
-def difference_chain(pair: DataFrame, win: int, step: int, wavelength: float, rate: float, speed: float, low: float, high: float) -> tuple[DataFrame, DataFrame]:
-    """(differences, strain): coherence, unwrapped phase, displacement and strain rate of time pairs with a range column."""
+class Differences(NamedTuple):
+    """What a chain of time pairs gives; nothing is computed that is not used."""
+
+    differences: DataFrame
+    strain: DataFrame
+    bed: DataFrame
+
+
+def difference_chain(pair: DataFrame, win: int, step: int, wavelength: float, rate: float, speed: float, low: float, high: float, **bed) -> Differences:
+    """Coherence, unwrapped phase and displacement of time pairs with a range column, their strain rates, and beds (options of :func:`bed_pick`)."""
     co = phase_difference(pair, win, step)
     differences = range_difference(unwrap(co), wavelength, rate, speed, win)
-    return differences, strain_rate(differences, low, high)
+    return Differences(differences, strain_rate(differences, low, high), bed_pick(pair, differences, **bed))
 
 
 def polarised_chain(site: DataFrame, thetas: list[float], first: int, last: int, n_theta: int, n_range: int) -> DataFrame:

@@ -174,6 +174,29 @@ def bed_pick(spark, d):
     return out.withColumns({c: r6(c) for c in ("coherence", "power")})
 
 
+@query("difference_bed", f"""WITH {PICKED.replace("sample * 10.0::DOUBLE), j", "(sample - 4) * 10.0::DOUBLE), j")}
+SELECT sa.p::INT AS pair_id, sample::INT AS sample_idx, (sample - 4) * 10.0::DOUBLE AS range, round(CASE WHEN sample IS NOT NULL THEN coalesce(coherence, 0) END, 6) + 0.0 AS coherence,
+  coalesce(fault, CASE WHEN coalesce(coherence, 0) <= 0.2 THEN 'coherence too low' END) AS fault FROM sa LEFT JOIN me USING (p)""")
+def difference_bed(spark, d):
+    """The beds at the end of the chain of time pairs."""
+    pair = _pairs(spark, d).withColumn("range", (F.col("sample_idx") - 4) * 10.0)
+    chain = R.difference_chain(pair, 8, 2, 0.56, 2e8, 1.68e8, 10.0, 200.0, kernel=3, prominence=1.0, width=1.0, most_apart=20, least_coherence=0.2)
+    return chain.bed.select("pair_id", "sample_idx", "range", r6("coherence").alias("coherence"), "fault")
+
+
+@query("pick_edits", f"""
+WITH {PK}, e AS (SELECT * FROM pk WHERE n <> 2 UNION ALL SELECT i, 2, samp1 + 1, samp2 + 1, samp3 + 1, power FROM pk WHERE n = 2 UNION ALL SELECT i, 4, NULL, NULL, NULL, NULL FROM tr)
+SELECT n AS picknum, i AS trace_idx, CASE WHEN n <> 1 OR i < 100 THEN samp1 END AS samp1, CASE WHEN n <> 1 OR i < 100 THEN samp2 END AS samp2, CASE WHEN n <> 1 OR i < 100 THEN round(power, 6) + 0.0 END AS power FROM e""")
+def pick_edits(spark, d):
+    """A layer added, one replaced, and one cleared from a trace on."""
+    from . import picks as P
+
+    have = picks(spark, d)
+    moved = have.where("picknum = 2").drop("picknum").withColumns({c: F.col(c) + 1 for c in ("samp1", "samp2", "samp3")})
+    out = P.delete_right(P.update_pick(P.add_pick(have, traces(spark, d), 4), moved, 2), 1, 100)
+    return out.select("picknum", "trace_idx", "samp1", "samp2", r6("power").alias("power"))
+
+
 @query("polarised_chain", f"""
 WITH {QUAD}, x AS (SELECT site, s, arg_min(t, (an, t)) AS t FROM an WHERE t >= 2 AND t < 8 GROUP BY 1, 2)
 SELECT site, s AS sample_idx, t AS cpe_idx, round(re, 4) + 0.0 AS co_re, round(im, 4) + 0.0 AS co_im FROM x JOIN cc USING (site, s, t)""")

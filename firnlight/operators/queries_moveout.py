@@ -6,9 +6,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..functions.arrays import doubles
 from ..plans.profile import Profile, process
 from ..plans.registry import query
-from ..plans.tables import DT, S, TR, r6, read, samples, traces, travel_time
+from ..plans.tables import DT, PK, S, TR, picks, r6, read, samples, traces, travel_time
 from . import moveout as N
 
 _T = np.array(travel_time())
@@ -70,3 +71,33 @@ def decday_to_time(spark, d):
     day = F.lit(738885.0) + F.col("trace_idx") / F.lit(1440.0)
     whole = F.round(F.unix_micros(X.day_to_timestamp(day)) / 1e6).cast("bigint") * 1000000
     return traces(spark, d).select("trace_idx", whole.alias("us"))
+
+
+_FIRN_Z, _FIRN_RHO = [0.0, 8.0, 20.0, 45.0], [350.0, 520.0, 740.0, 917.0]
+_FIRN = f"""f AS (SELECT unnest({_list(_FIRN_Z)}) AS z, unnest(list_transform({_list(_FIRN_RHO)}, lambda r: 3e8 / (1 + 0.000845::DOUBLE * r))) AS u),
+y AS (SELECT 0 AS k, 0.0::DOUBLE AS z UNION ALL SELECT k + 1, y.z + 0.005::DOUBLE * 1e-6 * (SELECT arg_min(u, (abs(f.z - y.z), f.z)) FROM f) FROM y WHERE k < 63)"""
+
+
+def _permittivity(density: float) -> float:
+    return (1 + 0.000845 * density) ** 2
+
+
+@query("firn_depth", f"WITH RECURSIVE {PK}, {_FIRN} SELECT n AS picknum, i AS trace_idx, round(z, 6) + 0.0 AS depth FROM pk LEFT JOIN y ON k = samp2")
+def firn_depth(spark, d):
+    """Depths of picks under a density profile."""
+    depth = N.depths_of(travel_time(), _FIRN_Z, _FIRN_RHO, _permittivity)
+    return picks(spark, d).select("picknum", "trace_idx", r6(F.get(doubles(depth), F.col("samp2").cast("int"))).alias("depth"))
+
+
+@query("firn_rms_depth", f"""
+WITH RECURSIVE {PK}, {_FIRN}, g AS (SELECT list(z ORDER BY k) AS b FROM y),
+u AS (SELECT b, list_transform(range(1, 65), lambda k: (b[least(k + 1, 64)] - b[greatest(k - 1, 1)]) / ((least(k + 1, 64) - greatest(k - 1, 1)) * 0.01::DOUBLE) * 2e6) AS v FROM g),
+it AS (SELECT 0 AS r, list_transform(range(64), lambda k: k * 0.01::DOUBLE / 2 * 1.69e8 * 1e-6) AS d, false AS done
+  UNION ALL SELECT r + 1, n, r >= 5 AND list_max(list_transform(range(1, 65), lambda k: abs(n[k] - d[k]))) <= 0.1::DOUBLE * 1e-8 / 2 * 1.69e8
+  FROM (SELECT r, d, list_transform(range(1, 65), lambda k: (k - 1) * 0.01::DOUBLE / 2 * 1e-6 * sqrt(list_avg(list_filter(list_transform(range(1, 65), lambda j: CASE WHEN b[j] <= d[k] THEN v[j] * v[j] END), lambda q: q IS NOT NULL)))) AS n FROM it, u WHERE NOT done AND r < 40)),
+o AS (SELECT unnest(range(64)) AS k, unnest(d) AS z FROM it WHERE r = (SELECT max(r) FROM it))
+SELECT n AS picknum, i AS trace_idx, round(z, 6) + 0.0 AS depth FROM pk LEFT JOIN o ON k = samp2""")
+def firn_rms_depth(spark, d):
+    """The same by root-mean-square velocities."""
+    depth = N.rms_depths(travel_time(), _FIRN_Z, _FIRN_RHO, _permittivity, DT, rounds=40)
+    return picks(spark, d).select("picknum", "trace_idx", r6(F.get(doubles(depth), F.col("samp2").cast("int"))).alias("depth"))

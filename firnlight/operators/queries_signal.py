@@ -269,7 +269,7 @@ WITH {UNWRAP.replace('3 PRECEDING AND 2 FOLLOWING', '10 PRECEDING AND 9 FOLLOWIN
 SELECT pair_id, round(regr_slope(w, rg), 8) + 0.0 AS strain, round(regr_intercept(w, rg), 6) + 0.0 AS w0 FROM df WHERE rg > 10 AND rg < 200 GROUP BY 1""")
 def difference_chain(spark, d):
     pair = _pairs(spark, d).withColumn("range", (F.col("sample_idx") - 4) * 10.0)
-    _, strain = R.difference_chain(pair, 8, 2, 0.56, 2e8, 1.68e8, 10.0, 200.0)
+    strain = R.difference_chain(pair, 8, 2, 0.56, 2e8, 1.68e8, 10.0, 200.0).strain
     return strain.select("pair_id", (F.round("strain", 8) + F.lit(0.0)).alias("strain"), r6("w0").alias("w0"))
 
 
