@@ -165,23 +165,23 @@ me AS (SELECT ne.p, median(size) AS coherence FROM ne JOIN co2 USING (p) WHERE j
 
 
 @query("bed_pick", f"""WITH {PICKED}
-SELECT sa.p::INT AS pair_id, sample::INT AS sample_idx, sample * 10.0::DOUBLE AS range, round(CASE WHEN sample IS NOT NULL THEN coalesce(coherence, 0) END, 6) + 0.0 AS coherence,
+SELECT sa.p::INT AS pair_id, sample::DOUBLE AS sample_idx, sample * 10.0::DOUBLE AS range, round(CASE WHEN sample IS NOT NULL THEN coalesce(coherence, 0) END, 6) + 0.0 AS coherence,
   round((x1.x + x2.x) / 2, 6) + 0.0 AS power, coalesce(fault, CASE WHEN coalesce(coherence, 0) <= 0.2 THEN 'coherence too low' END) AS fault
 FROM sa LEFT JOIN me USING (p) LEFT JOIN sm x1 ON sample IS NOT NULL AND x1.p = sa.p AND x1.w = 0 AND x1.s = p1 LEFT JOIN sm x2 ON sample IS NOT NULL AND x2.p = sa.p AND x2.w = 1 AND x2.s = p2""")
 def bed_pick(spark, d):
     pair = _pairs(spark, d).withColumn("range", F.col("sample_idx") * 10.0)
     out = R.bed_pick(pair, _differences(spark, d), kernel=3, prominence=1.0, width=1.0, most_apart=20, least_coherence=0.2)
-    return out.withColumns({c: r6(c) for c in ("coherence", "power")})
+    return out.withColumns({c: r6(c) for c in ("coherence", "power")} | {"sample_idx": F.col("sample_idx").cast("double")})
 
 
 @query("difference_bed", f"""WITH {PICKED.replace("sample * 10.0::DOUBLE), j", "(sample - 4) * 10.0::DOUBLE), j")}
-SELECT sa.p::INT AS pair_id, sample::INT AS sample_idx, (sample - 4) * 10.0::DOUBLE AS range, round(CASE WHEN sample IS NOT NULL THEN coalesce(coherence, 0) END, 6) + 0.0 AS coherence,
+SELECT sa.p::INT AS pair_id, sample::DOUBLE AS sample_idx, (sample - 4) * 10.0::DOUBLE AS range, round(CASE WHEN sample IS NOT NULL THEN coalesce(coherence, 0) END, 6) + 0.0 AS coherence,
   coalesce(fault, CASE WHEN coalesce(coherence, 0) <= 0.2 THEN 'coherence too low' END) AS fault FROM sa LEFT JOIN me USING (p)""")
 def difference_bed(spark, d):
     """The beds at the end of the chain of time pairs."""
     pair = _pairs(spark, d).withColumn("range", (F.col("sample_idx") - 4) * 10.0)
     chain = R.difference_chain(pair, 8, 2, 0.56, 2e8, 1.68e8, 10.0, 200.0, kernel=3, prominence=1.0, width=1.0, most_apart=20, least_coherence=0.2)
-    return chain.bed.select("pair_id", "sample_idx", "range", r6("coherence").alias("coherence"), "fault")
+    return chain.bed.select("pair_id", F.col("sample_idx").cast("double").alias("sample_idx"), "range", r6("coherence").alias("coherence"), "fault")
 
 
 @query("pick_edits", f"""
