@@ -14,7 +14,8 @@ Edge cases: a null text or one without a letter is ``und`` with score 0 and
 rejected; ties go to the language with more labelled rows, then by name; without
 any labelled row all is ``und``; with one language the score is 1; repeated rows
 are predicted each, texts of any length whole, and own columns named as the new
-ones give way to them; an empty table gives no rows.
+ones give way to them; an empty table gives no rows. In the query a row without an id
+is in no fold: it is predicted, not learned from, and its ``held_out`` is null.
 """
 
 from __future__ import annotations
