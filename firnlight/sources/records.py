@@ -42,6 +42,9 @@ from pyspark.sql.types import StructType
 #: Bytes of a range, and of records decoded together.
 RANGE_BYTES, BATCH_BYTES = 64 << 20, 4 << 20
 
+#: Tasks from which on ranges grow, up to ``RANGE_BYTES``: a task costs more than a few records.
+MANY_RANGES = 256
+
 #: The columns of a trace.
 TRACES = """profile_id string, fn string, trace_idx int, trace_num int, snum int, dt double, trig double, chan string, decday double,
 lat double, long double, elev double, x_coord double, y_coord double, dist double, pressure double, trace_int double, data_dtype string, samples array<double>"""
@@ -297,8 +300,7 @@ class RadarReader(DataSourceReader):
             yield f
 
     def partitions(self) -> list[Range]:
-        size = int(self.options.get("rangebytes", RANGE_BYTES))
-        out = []
+        found, wanted = [], 0
         for path, end in files_at(self.options["path"]):
             if self.files is not None and path not in self.files:
                 continue
@@ -310,13 +312,19 @@ class RadarReader(DataSourceReader):
                 if self.strict:
                     raise
                 continue
-            step, first = max(1, size // layout.size), 0
+            first = 0
             for start, n in layout.runs:
                 low = max(0, self.low - first)
                 high = n if self.high is None else min(n, self.high + 1 - first)
-                for k in range(low, high, step):
-                    out.append(Range(path, end, first + k, start + k * layout.size, min(step, high - k)))
+                if low < high:
+                    found.append((path, end, first, start, layout.size, low, high))
+                    wanted += (high - low) * layout.size
                 first += n
+        size = max(int(self.options.get("rangebytes", RANGE_BYTES)), min(RANGE_BYTES, -(-wanted // MANY_RANGES)))
+        out = []
+        for path, end, first, start, record, low, high in found:
+            step = max(1, size // record)
+            out += [Range(path, end, first + k, start + k * record, min(step, high - k)) for k in range(low, high, step)]
         return out
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
@@ -357,7 +365,11 @@ def column(values, n: int, kind: pa.DataType) -> pa.Array:
 
 
 class RadarSource(DataSource):
-    """``radar``: traces of vendor files by ranges. Options: kind, path, rangeBytes, strict, and those of the kind's layout."""
+    """``radar``: traces of vendor files by ranges. Options: kind, path, rangeBytes, strict, and those of the kind's layout.
+
+    ``rangeBytes`` is the least size of a range; where more than ``MANY_RANGES`` would
+    come of it, ranges are so much larger, up to ``RANGE_BYTES``.
+    """
 
     @classmethod
     def name(cls) -> str:

@@ -90,6 +90,22 @@ def test_filters_leave_out_ranges_and_files(spark, tmp_path):
     assert some.count() == 40 and some.rdd.getNumPartitions() <= 4
 
 
+def test_ranges_of_few_records_grow_with_the_files(tmp_path):
+    """200,000 traces of 16 bytes in ranges of 160 would be 20,000 tasks; a filter's few traces still have ranges of their own."""
+    for name in "ab":
+        (tmp_path / f"{name}.bin").write_bytes(dzt(100_000))
+
+    def ranges(*filters):
+        reader = records.RadarReader(None, {"kind": "gssi", "path": str(tmp_path), "rangeBytes": "160"})
+        assert list(reader.pushFilters(list(filters))) == list(filters)
+        return sorted((p.path[-5:], p.first, p.count) for p in reader.partitions())
+
+    got = ranges()
+    assert 100 < len(got) < 300 and sum(n for *_, n in got) == 200_000
+    assert all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(got, got[1:]))
+    assert ranges(GreaterThan(("trace_idx",), 20), LessThan(("trace_idx",), 41), EqualTo(("fn",), f"{tmp_path}/b.bin")) == [("b.bin", 21, 10), ("b.bin", 31, 10)]
+
+
 def test_a_file_of_three_gigabytes(spark, tmp_path):
     """No value grows with the file: its size is a hole's, and a filter reads five traces of it."""
     with open(tmp_path / "long.rd3", "wb") as f:
