@@ -292,21 +292,29 @@ def azimuth_rotation(images: DataFrame, thetas: list[float], azimuth: float) ->
 
 
 def low_pass_range(images: DataFrame, column: str, cutoff: float, rate: float, order: int = 3) -> DataFrame:
-    """Zero-phase low-pass of a column along range for each site and azimuth; one number a range bin per group."""
-    import pandas as pd
+    """Zero-phase low-pass of a column along range for each site and azimuth; missing values are left out.
 
+    A series is one array, and many are filtered at a time.
+    """
     from ..functions.filters import padding_of, sections, zero_phase
 
     sos, padding = sections(order, [2 * cutoff / rate], "low"), padding_of(order, "low")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample_idx").reset_index(drop=True)
-        there = pdf[column].notna().to_numpy()
-        if there.sum() > padding:
-            pdf.loc[there, column] = zero_phase(sos, pdf.loc[there, column].to_numpy(float)[:, None], padding)[:, 0]
-        return pdf
-
-    return images.groupBy("site", "theta_idx").applyInPandas(run, images.schema)
+    keys = ["site", "theta_idx"]
+    there = F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))
+
+    def work(x: np.ndarray) -> tuple[np.ndarray]:
+        return (zero_phase(sos, x.T, padding).T if x.shape[1] > padding else x,)
+
+    rest = [F.col(c) for c in images.columns if c not in (*keys, column)]
+    row = F.struct(F.col("sample_idx").alias("at__"), F.when(there, F.col(column).cast("double")).alias("x__"), F.struct(*rest).alias("rest__"))
+    series = images.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows__"))
+    known = F.filter("rows__", lambda r: r["x__"].isNotNull())
+    passed = map_arrays(series.select(*keys, "rows__", F.transform(known, lambda r: r["x__"]).alias("known__")), ["known__"], work, passed__="double")
+    # Values come first and then what is missing, so that the filtered ones meet their rows by place.
+    ordered = F.concat(known, F.filter("rows__", lambda r: r["x__"].isNull()))
+    rows = passed.select(*keys, "passed__", F.posexplode(ordered).alias("place__", "r__"))
+    value = F.get("passed__", F.col("place__")).cast(images.schema[column].dataType)
+    return rows.select(*[value.alias(c) if c == column else F.col(c) if c in keys else F.col("r__")["rest__"][c].alias(c) for c in images.columns])
 
 
 def bed_pick(pair: DataFrame, differences: DataFrame, kernel: int = 201, prominence: float = 10.0, width: float = 300.0, most_apart: int = 50, least_coherence: float = 0.9) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from firnlight.functions import filters as N
-from firnlight.operators import along, analysis, filters, geometry, migration, shape, windows
+from firnlight.operators import along, analysis, apres, filters, geometry, migration, shape, windows
 from firnlight.operators import picks as P
 from firnlight.plans.profile import Profile, process
 from firnlight.sources import binary, sinks, text
@@ -343,6 +343,24 @@ def test_picks_followed_and_smoothed_query_wide(spark):
     assert smooth[40] is None and smooth[50] is None
 
 
+def test_low_pass_along_range_takes_many_series_at_a_time(spark):
+    """Missing values are left out, short series stay, other columns stay with their rows; no Python call for each series."""
+    rng = np.random.default_rng(11)
+    series = {(site, theta): rng.normal(size=6 if theta == 2 else 30) for site in (1, None) for theta in range(3)}
+    rows = [(site, 5 * j, theta, None if theta == 1 and j in (3, 4) else float("nan") if theta == 1 and j == 9 else float(v), f"r{j}") for (site, theta), x in series.items() for j, v in enumerate(x)]
+    images = spark.createDataFrame(rows, "site int, sample_idx int, theta_idx int, anomaly double, name string").repartition(5)
+    out = apres.low_pass_range(images, "anomaly", 0.1, 1.0)
+    assert out.schema == images.schema and "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+    got = {(r.site, r.theta_idx, r.sample_idx): (r.anomaly, r.name) for r in out.collect()}
+    assert len(got) == len(rows)
+    pad = N.padding_of(3, "low")
+    for (site, theta), x in series.items():
+        there = [j for j in range(len(x)) if theta != 1 or j not in (3, 4, 9)]
+        want = N.zero_phase(N.sections(3, [0.2], "low"), x[there][:, None], pad)[:, 0] if len(there) > pad else x[there]
+        assert [got[site, theta, 5 * j][0] for j in there] == pytest.approx(want.tolist())
+        assert all(got[site, theta, 5 * j][1] == f"r{j}" and (j in there or got[site, theta, 5 * j][0] is None) for j in range(len(x)))
+
+
 def test_attenuation_needs_uncorrected_correlation(spark):
     rng = np.random.default_rng(6)
     z = np.tile(np.linspace(0.1, 0.5, 20), 20)
