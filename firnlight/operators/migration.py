@@ -23,6 +23,9 @@ from .batches import map_arrays
 from .tiles import TILE, turn
 
 
+#: Traces of a segment of outputs in Kirchhoff migration.
+KIRCHHOFF_SEGMENT = 512
+
 #: Squared cosines up to which a wave counts as evanescent; where it grazes, rounding would decide.
 GRAZING = 1e-9
 
@@ -56,11 +59,14 @@ def kirchhoff(traces: DataFrame, travel_time: list[float], spacing: float, veloc
     """Kirchhoff migration in the far field, and on request with the near-field term; long samples.
 
     Each input trace contributes an array to the output traces of its aperture
-    (all of them, if none is given); contributions are added up in partial sums by
-    output, so no task holds a profile. Time per output sample is the nearest
+    (all of them, if none is given). Time per output sample is the nearest
     sample to twice the distance over the velocity, nothing beyond the last; so
     traces whose distance alone lies beyond the last sample add nothing to an
     output and are not joined with it.
+
+    Outputs go by segments of at least as many traces as they hear to a side, so a
+    trace is dealt to three at most; traces are shuffled once, contributions are
+    added up where they arise, and no task holds a profile.
     """
     dt = travel_time[1] - travel_time[0]
     graded = time_gradient(traces.withColumn("heard__", F.col("samples")) if nearfield else traces, dt * 1e-6)
@@ -68,14 +74,18 @@ def kirchhoff(traces: DataFrame, travel_time: list[float], spacing: float, veloc
     n = traces.groupBy("profile_id").agg(F.count(F.lit(1)).alias("n__"))
     heard = math.floor(velocity * travel_time[-1] * 1e-6 / 2 / spacing) + 1
     reach = F.lit(heard if aperture is None else min(aperture, heard))
-    # By trace and into a fixed number of tasks: the terms are many times the input that scans are cut by.
-    graded = graded.repartition(int(traces.sparkSession.conf.get("spark.sql.shuffle.partitions")), "profile_id", "trace_idx")
-    spread = graded.join(F.broadcast(n), graded["profile_id"].eqNullSafe(n["profile_id"])).drop(n["profile_id"]).withColumn(
-        "out__", F.explode(F.sequence(F.greatest(F.lit(0), F.col("trace_idx") - reach).cast("int"), F.least(F.col("n__") - 1, F.col("trace_idx") + reach).cast("int"))))
+    wide = max(KIRCHHOFF_SEGMENT, heard if aperture is None else min(aperture, heard))
+    low, high = F.greatest(F.lit(0), F.col("trace_idx") - reach).cast("int"), F.least(F.col("n__") - 1, F.col("trace_idx") + reach).cast("int")
+    sized = graded.join(F.broadcast(n), graded["profile_id"].eqNullSafe(n["profile_id"])).drop(n["profile_id"])
+    dealt = sized.withColumn("segment__", F.explode(F.sequence(F.floor(low / wide), F.floor(high / wide))))
+    # Into a fixed number of tasks: the terms are many times the input that scans are cut by.
+    dealt = dealt.repartition(int(traces.sparkSession.conf.get("spark.sql.shuffle.partitions")), "profile_id", "segment__")
+    first, last = F.greatest(low, F.col("segment__") * wide).cast("int"), F.least(high, (F.col("segment__") + 1) * wide - 1).cast("int")
+    spread = dealt.withColumn("out__", F.explode(F.sequence(first, last)))
     depth = doubles([velocity * t * 1e-6 / 2 for t in travel_time])
     x2 = F.pow((F.col("trace_idx") - F.col("out__")) * spacing, F.lit(2.0))
     # A row a term: columns are compiled, while functions within a transform are interpreted.
-    terms = spread.select("profile_id", "out__", "samples", *raw, x2.alias("x2__"), F.posexplode(depth).alias("sample_idx", "z__"))
+    terms = spread.select("profile_id", "segment__", "out__", "samples", *raw, x2.alias("x2__"), F.posexplode(depth).alias("sample_idx", "z__"))
     terms = terms.withColumn("r__", F.sqrt(F.col("x2__") + F.col("z__") * F.col("z__")))
     z, r = F.col("z__"), F.col("r__")
     at = F.rint((2 * r / velocity * 1e6 - travel_time[0]) / dt).cast("int")
@@ -84,8 +94,8 @@ def kirchhoff(traces: DataFrame, travel_time: list[float], spacing: float, veloc
     if nearfield:
         term = term + F.get("heard__", at) / (r * r)
     c = F.when(inside, term * z / r).otherwise(0.0)
-    out = terms.groupBy("profile_id", "out__", "sample_idx").agg((F.sum(c) / (2 * math.pi)).alias("v"))
-    return out.withColumnRenamed("out__", "trace_idx")
+    out = terms.groupBy("profile_id", "segment__", "out__", "sample_idx").agg((F.sum(c) / (2 * math.pi)).alias("v"))
+    return out.drop("segment__").withColumnRenamed("out__", "trace_idx")
 
 
 def numbered(traces: DataFrame) -> DataFrame:

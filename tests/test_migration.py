@@ -138,3 +138,18 @@ def test_ffd_query_equals_dense_systems(spark):
 def test_lateral_migration_of_an_empty_table(spark):
     _, _, traces = profiles(spark, (4, 3))
     assert migration.lateral(traces.limit(0), DT, DX).count() == 0
+
+
+def test_kirchhoff_terms_are_not_shuffled(spark, monkeypatch):
+    """Traces are dealt to segments of outputs once, also where these are short; sums by output need no shuffle of terms."""
+    rng = np.random.default_rng(12)
+    x, times, spacing = rng.normal(size=(23, 16)), [0.01 * k for k in range(16)], 2.5
+    rows = [(p, i, [float(v) for v in r]) for p, part in (("a", x), ("b", x[:5])) for i, r in enumerate(part)]
+    df = spark.createDataFrame(rows, "profile_id string, trace_idx int, samples array<double>").repartition(4)
+    got = []
+    for segment in (512, 2, 1):
+        monkeypatch.setattr(migration, "KIRCHHOFF_SEGMENT", segment)
+        out = migration.kirchhoff(df, times, spacing, nearfield=True)
+        assert not [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line and "out__" in line]
+        got.append({(r.profile_id, r.trace_idx, r.sample_idx): r.v for r in out.collect()})
+    assert len(got[0]) == 28 * 16 and got[1] == pytest.approx(got[0]) and got[2] == pytest.approx(got[0])
