@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,11 +34,13 @@ def labelled(spark, d) -> DataFrame:
 
 def files_of(spark, d, encode: Callable[..., bytes], by_name: bool = False) -> DataFrame:
     """(path, content): one file a label, from its (samples x traces) matrix and on request the label."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        data = np.array(pdf.sort_values("trace_idx")["samples"].tolist(), float).T
-        return pd.DataFrame({"path": [f"dir/{pdf['profile_id'].iloc[0]}.bin"], "content": [encode(data, *[pdf["profile_id"].iloc[0]] * by_name)]})
+    def run(table: pa.Table) -> pa.Table:
+        name, order = table.column("profile_id")[0].as_py(), np.argsort(table.column("trace_idx").to_numpy())
+        flat = table.column("samples").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        data = flat.reshape(len(order), -1)[order].T
+        return pa.table({"path": [f"dir/{name}.bin"], "content": pa.array([encode(data, *[name] * by_name)], pa.binary())})
 
-    return labelled(spark, d).groupBy("profile_id").applyInPandas(run, "path string, content binary")
+    return labelled(spark, d).groupBy("profile_id").applyInArrow(run, "path string, content binary")
 
 
 def read_back(spark, d, encode, parse, *more: str) -> DataFrame:
@@ -123,7 +125,7 @@ def read_rd3(spark, d):
 
 
 def wheel(x: np.ndarray) -> bytes:
-    return b"".join(struct.pack("<fHhffHH", k, 2 * k, k % 5 + 3, 0.1, 2e-9, 1, SNUM) + (np.floor(c * 50) + 1512).astype("<u2").tobytes() for k, c in enumerate(x.T))
+    return b"".join(struct.pack("<fHhffHH", k, 2 * k % 65536, k % 5 + 3, 0.1, 2e-9, 1, SNUM) + (np.floor(c * 50) + 1512).astype("<u2").tobytes() for k, c in enumerate(x.T))
 
 
 @query("read_wheel", select("floor(v * 50) + 1000", ", round(2 * i * pi() * 0.5, 6) + 0.0 AS dist, (i % 5)::DOUBLE AS pressure, i::DOUBLE AS decday"))

@@ -4,6 +4,7 @@ import os
 import struct
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThan
@@ -183,3 +184,19 @@ def test_a_failed_job_leaves_nothing(spark, tmp_path, bad, words):
     with pytest.raises(Exception, match=words):
         records.write_segy_files(bad(profiles(spark, {"a": 20})), str(out), 10)
     assert not out.exists() or os.listdir(out) == []
+
+
+def test_a_long_file_of_unlike_records_is_given_in_parts(spark):
+    """40,000 records: the wheel's 16-bit count turns over, and rows are made some at a time."""
+    n = 40_000
+    raw = b"".join(struct.pack("<fHhffHH", k, 2 * k % 65536, k % 5 + 3, 0.1, 2e-9, 1, 32) + np.full(32, 512 + k % 7, "<u2").tobytes() for k in range(n))
+    parse = binary.parse_wheel()
+    parts = list(binary.pieces(parse, "x.DAT", raw))
+    assert len(parts) > 2 and max(map(len, parts)) <= (4 << 20) // (8 * 32)
+    whole = parse("x.DAT", raw)
+    assert [c.tolist() for c in pd.concat(parts)["samples"]] == [c.tolist() for c in whole["samples"]] and whole["data_dtype"][0] == "float64"
+    for c in ("trace_idx", "trace_num", "dist", "pressure", "decday", "trace_int", "snum", "dt", "profile_id"):
+        assert pd.concat(parts)[c].tolist() == whole[c].tolist()
+    assert whole["dist"].to_numpy() == pytest.approx(np.pi * np.arange(n)) and whole["pressure"].tolist() == [k % 5 for k in range(n)]
+    got = binary.parsed(spark.createDataFrame([("x.DAT", bytearray(raw))], "path string, content binary"), parse)
+    assert got.selectExpr("count(*)", "sum(trace_idx)", "sum(samples[3])").first()[:] == (n, n * (n - 1) // 2, sum(k % 7 for k in range(n)))
