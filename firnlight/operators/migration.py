@@ -185,7 +185,7 @@ def tridiagonal(low: np.ndarray, diagonal: np.ndarray, high: np.ndarray, right:
     return right / diagonal
 
 
-def lateral_steps(field: np.ndarray, omega: np.ndarray, velocity: np.ndarray, dt: float, spacing: float) -> tuple[np.ndarray, np.ndarray]:
+def lateral_steps(field: np.ndarray, omega: np.ndarray, velocity: np.ndarray, dt: float, spacing: float, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Carry frequencies (rows over the traces) down by one step for each row of ``velocity``: Fourier finite differences.
 
     A step has the thickness that the level's least velocity c passes in ``dt``. It
@@ -197,7 +197,7 @@ def lateral_steps(field: np.ndarray, omega: np.ndarray, velocity: np.ndarray, dt
     kx = 2 * np.pi * np.fft.fftfreq(field.shape[1], spacing)[None, :]
     w, above = omega[:, None], []
     for v in velocity:
-        above.append(field)
+        above.append(field if weights is None else weights @ field.real)
         c = v.min()
         p = (c / v)[None, :]
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -259,9 +259,8 @@ def lateral(traces: DataFrame, dt: float, spacing: float, velocity: str = "veloc
             fields, speeds = fields.sort_values("place"), speeds.sort_values("place")
             k = fields["place"].to_numpy()
             z = np.array(fields["re"].tolist()) + 1j * np.array(fields["im"].tolist())
-            below, above = lateral_steps(z, 2 * np.pi * k / (long * dt), np.array(speeds["v"].tolist()), dt, spacing)
-            twice = np.where((k == 0) | (k == long // 2), 1.0, 2.0)[None, :, None]
-            image = (above * twice).real.sum(1) / long
+            twice = np.where((k == 0) | (k == long // 2), 1.0, 2.0)
+            below, image = lateral_steps(z, 2 * np.pi * k / (long * dt), np.array(speeds["v"].tolist()), dt, spacing, twice / long)
             done = {"profile_id": key[0], "part": key[1]}
             return pd.concat([
                 pd.DataFrame(done | {"place": k, "image": False, "re": list(below.real), "im": list(below.imag)}),

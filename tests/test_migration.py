@@ -153,3 +153,19 @@ def test_kirchhoff_terms_are_not_shuffled(spark, monkeypatch):
         assert not [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line and "out__" in line]
         got.append({(r.profile_id, r.trace_idx, r.sample_idx): r.v for r in out.collect()})
     assert len(got[0]) == 28 * 16 and got[1] == pytest.approx(got[0]) and got[2] == pytest.approx(got[0])
+
+
+def test_lateral_steps_hold_one_row_for_a_level():
+    """With weights the sums are those of the fields, in memory for a row a level instead of all frequencies."""
+    import tracemalloc
+
+    rng = np.random.default_rng(13)
+    field = rng.normal(size=(16, 2048)) + 1j * rng.normal(size=(16, 2048))
+    omega, velocity, weights = 2e6 * np.arange(16), 1.6e8 + 1e6 * rng.random((32, 2048)), rng.random(16)
+    below, above = migration.lateral_steps(field, omega, velocity, 1e-8, 0.5)
+    tracemalloc.start()
+    again, image = migration.lateral_steps(field, omega, velocity, 1e-8, 0.5, weights)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert image.shape == (32, 2048) and np.array_equal(again, below)
+    assert image == pytest.approx((above.real * weights[None, :, None]).sum(1)) and peak < above.nbytes
