@@ -155,6 +155,14 @@ def test_kirchhoff_terms_are_not_shuffled(spark, monkeypatch):
     assert len(got[0]) == 28 * 16 and got[1] == pytest.approx(got[0]) and got[2] == pytest.approx(got[0])
 
 
+@pytest.mark.parametrize("name", ["kirchhoff", "kirchhoff_small"])
+def test_kirchhoff_queries_shuffle_traces_only(spark, name):
+    """In the far field as well: no exchange of the queries carries outputs or their samples."""
+    plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
+    moved = [line for line in plan if "Exchange hashpartitioning" in line]
+    assert moved and not [line for line in moved if "out__" in line or "sample_idx" in line]
+
+
 def test_lateral_steps_hold_one_row_for_a_level():
     """With weights the sums are those of the fields, in memory for a row a level instead of all frequencies."""
     import tracemalloc
