@@ -5,9 +5,11 @@ import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThan
+from pyspark.sql.types import StructType
 
 from firnlight.sources import binary, records
 
@@ -107,6 +109,20 @@ def test_ranges_of_few_records_grow_with_the_files(tmp_path):
     assert ranges(GreaterThan(("trace_idx",), 20), LessThan(("trace_idx",), 41), EqualTo(("fn",), f"{tmp_path}/b.bin")) == [("b.bin", 21, 10), ("b.bin", 31, 10)]
 
 
+def test_ranges_of_pulse_radar_grow_and_keep_every_trace(spark, tmp_path):
+    """20,000 traces of 136 bytes in ranges of 272 would be 10,000 tasks; heads and samples of all are read once."""
+    (tmp_path / "line.bin").write_bytes(pulse(20_000))
+    options = {"kind": "pe", "path": str(tmp_path), "rangeBytes": "272", **{k: str(v) for k, v in records.pe_options(PE).items()}}
+    reader = records.RadarReader(StructType.fromDDL(records.TRACES), options)
+    parts = reader.partitions()
+    assert 100 < len(parts) < 300
+    got = pa.Table.from_batches([batch for part in parts for batch in reader.read(part)])
+    _, want = records.whole_file("pe", str(tmp_path / "line.bin"), pulse(20_000), records.pe_options(PE))
+    for name in ("trace_idx", "trace_num", "dist"):
+        assert np.array_equal(got[name].to_numpy(), want[name])
+    assert np.array_equal(got["samples"].combine_chunks().flatten().to_numpy(), want["samples"].ravel())
+
+
 def test_a_file_of_three_gigabytes(spark, tmp_path):
     """No value grows with the file: its size is a hole's, and a filter reads five traces of it."""
     with open(tmp_path / "long.rd3", "wb") as f:
