@@ -13,8 +13,11 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.arrays import doubles
 from ..sources.shared import stored
@@ -55,6 +58,64 @@ def time_gradient(traces: DataFrame, step: float) -> DataFrame:
     return traces.withColumn("samples", F.transform("samples", slope))
 
 
+def padded(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows x longest) of lists, and where there is no number."""
+    lists = pa.concat_arrays(lists.chunks)
+    sizes = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(int)
+    out, missing = np.zeros((len(lists), max(1, sizes.max()))), np.ones((len(lists), max(1, sizes.max())), bool)
+    flat, there = lists.flatten(), np.arange(out.shape[1])[None, :] < sizes[:, None]
+    out[there], missing[there] = flat.to_numpy(zero_copy_only=False), flat.is_null().to_numpy(zero_copy_only=False)
+    return out, missing
+
+
+def segment_sums(travel_time: list[float], spacing: float, velocity: float, reach: int, wide: int, nearfield: bool):
+    """For :func:`kirchhoff`: the sums of a segment of ``wide`` outputs over its traces, offset by offset."""
+    dt, depth = travel_time[1] - travel_time[0], np.array([velocity * t * 1e-6 / 2 for t in travel_time])
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        place, begin = table["trace_idx"].to_numpy().astype(int), key[1].as_py() * wide
+        size = min(wide, table["n__"][0].as_py() - begin)
+        slope, missing = padded(table["samples"])
+        if nearfield:
+            raw, none = padded(table["heard__"])
+            missing = missing | none
+        total, known, heard = np.zeros((len(depth), size)), np.zeros((len(depth), size), bool), np.zeros(size, bool)
+        again = pd.Series(place).groupby(place).cumcount().to_numpy()  # traces of one number are added one after the other
+        for layer in range(again.max() + 1):
+            mine = np.flatnonzero(again == layer)
+            at_place = place[mine] - begin + reach
+            # (samples x traces) from ``reach`` before the segment to as many after it, so that an offset is a slice.
+            there, given = np.zeros(size + 2 * reach, bool), np.zeros((slope.shape[1], size + 2 * reach), bool)
+            far, near = np.zeros(given.shape), np.zeros(given.shape if nearfield else 0)
+            there[at_place], given[:, at_place], far[:, at_place] = True, ~missing[mine].T, slope[mine].T / velocity
+            if nearfield:
+                near[:, at_place] = raw[mine].T
+            for offset in range(-reach, reach + 1):
+                heard_by = slice(reach - offset, reach - offset + size)
+                if not there[heard_by].any():
+                    continue
+                r = np.sqrt((offset * spacing) * (offset * spacing) + depth * depth)
+                time = 2 * r / velocity * 1e6
+                inside = (time <= travel_time[-1]) & (r > 0)  # at the surface itself the angle is not defined
+                at = np.rint((time - travel_time[0]) / dt).astype(int)
+                z = np.flatnonzero(inside & (at >= 0) & (at < len(far)))
+                heard |= there[heard_by]
+                known[~inside] |= there[heard_by]
+                term = far[:, heard_by][at[z]]
+                if nearfield:
+                    term = term + near[:, heard_by][at[z]] / (r[z] * r[z])[:, None]
+                ok = given[:, heard_by][at[z]]
+                total[z] += np.where(ok, term * depth[z, None] / r[z, None], 0.0)
+                known[z] |= ok
+        outputs = np.flatnonzero(heard)
+        values = pa.array((total.T[outputs] / (2 * math.pi)).ravel(), mask=~known.T[outputs].ravel())
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(outputs) + 1, dtype="int32") * len(depth)), values)
+        return pa.table({"profile_id": pa.array([key[0].as_py()] * len(outputs), table.schema.field("profile_id").type),
+                         "trace_idx": pa.array((outputs + begin).astype("int32")), "v": lists})
+
+    return run
+
+
 def kirchhoff(traces: DataFrame, travel_time: list[float], spacing: float, velocity: float = 1.69e8, aperture: int | None = None, nearfield: bool = False) -> DataFrame:
     """Kirchhoff migration in the far field, and on request with the near-field term; long samples.
 
@@ -66,7 +127,8 @@ def kirchhoff(traces: DataFrame, travel_time: list[float], spacing: float, veloc
 
     Outputs go by segments of at least as many traces as they hear to a side, so a
     trace is dealt to three at most; traces are shuffled once, contributions are
-    added up where they arise, and no task holds a profile.
+    added up where they arise, and a group holds a segment and the traces that it
+    hears, not a profile.
     """
     dt = travel_time[1] - travel_time[0]
     graded = time_gradient(traces.withColumn("heard__", F.col("samples")) if nearfield else traces, dt * 1e-6)
@@ -77,25 +139,13 @@ def kirchhoff(traces: DataFrame, travel_time: list[float], spacing: float, veloc
     wide = max(KIRCHHOFF_SEGMENT, heard if aperture is None else min(aperture, heard))
     low, high = F.greatest(F.lit(0), F.col("trace_idx") - reach).cast("int"), F.least(F.col("n__") - 1, F.col("trace_idx") + reach).cast("int")
     sized = graded.join(F.broadcast(n), graded["profile_id"].eqNullSafe(n["profile_id"])).drop(n["profile_id"])
-    dealt = sized.withColumn("segment__", F.explode(F.sequence(F.floor(low / wide), F.floor(high / wide))))
-    # Into a fixed number of tasks: the terms are many times the input that scans are cut by.
+    dealt = sized.where(low <= high).withColumn("segment__", F.explode(F.sequence(F.floor(low / wide), F.floor(high / wide))))
+    # Into a fixed number of tasks: the work is many times the input that scans are cut by.
     dealt = dealt.repartition(int(traces.sparkSession.conf.get("spark.sql.shuffle.partitions")), "profile_id", "segment__")
-    first, last = F.greatest(low, F.col("segment__") * wide).cast("int"), F.least(high, (F.col("segment__") + 1) * wide - 1).cast("int")
-    spread = dealt.withColumn("out__", F.explode(F.sequence(first, last)))
-    depth = doubles([velocity * t * 1e-6 / 2 for t in travel_time])
-    x2 = F.pow((F.col("trace_idx") - F.col("out__")) * spacing, F.lit(2.0))
-    # A row a term: columns are compiled, while functions within a transform are interpreted.
-    terms = spread.select("profile_id", "segment__", "out__", "samples", *raw, x2.alias("x2__"), F.posexplode(depth).alias("sample_idx", "z__"))
-    terms = terms.withColumn("r__", F.sqrt(F.col("x2__") + F.col("z__") * F.col("z__")))
-    z, r = F.col("z__"), F.col("r__")
-    at = F.rint((2 * r / velocity * 1e6 - travel_time[0]) / dt).cast("int")
-    inside = (2 * r / velocity * 1e6 <= travel_time[-1]) & (r > 0)  # at the surface itself the angle is not defined
-    term = F.get("samples", at) / velocity
-    if nearfield:
-        term = term + F.get("heard__", at) / (r * r)
-    c = F.when(inside, term * z / r).otherwise(0.0)
-    out = terms.groupBy("profile_id", "segment__", "out__", "sample_idx").agg((F.sum(c) / (2 * math.pi)).alias("v"))
-    return out.drop("segment__").withColumnRenamed("out__", "trace_idx")
+    shape = StructType([traces.schema["profile_id"], *StructType.fromDDL("trace_idx int, v array<double>").fields])
+    work = segment_sums(travel_time, spacing, velocity, heard if aperture is None else min(aperture, heard), wide, nearfield)
+    out = dealt.select("profile_id", "segment__", "n__", "trace_idx", "samples", *raw).groupBy("profile_id", "segment__").applyInArrow(work, shape)
+    return out.select("profile_id", "trace_idx", F.posexplode("v").alias("sample_idx", "v"))
 
 
 def numbered(traces: DataFrame) -> DataFrame:

@@ -157,10 +157,11 @@ def test_kirchhoff_terms_are_not_shuffled(spark, monkeypatch):
 
 @pytest.mark.parametrize("name", ["kirchhoff", "kirchhoff_small"])
 def test_kirchhoff_queries_shuffle_traces_only(spark, name):
-    """In the far field as well: no exchange of the queries carries outputs or their samples."""
+    """In the far field as well: no exchange of the queries carries outputs or their samples, and terms are no rows to aggregate."""
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
     moved = [line for line in plan if "Exchange hashpartitioning" in line]
     assert moved and not [line for line in moved if "out__" in line or "sample_idx" in line]
+    assert not [line for line in plan if "Aggregate" in line and "sample_idx" in line]
 
 
 def test_lateral_steps_hold_one_row_for_a_level():
