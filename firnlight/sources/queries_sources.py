@@ -6,6 +6,7 @@ the formula.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 from collections.abc import Callable
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import tables
+from ..operators.along import SEGMENT, inside
 from ..plans.registry import query
 from ..plans.tables import SNUM, TR, r6, samples, traces
 from . import binary, matlab, records, sinks, text
@@ -69,9 +71,58 @@ def kept_files(files: DataFrame, ending: str) -> str:
     return folder
 
 
-def by_ranges(spark, d, encode, kind: str, *more: str, **options) -> DataFrame:
-    """Files made by formula, kept, and read by ranges of some traces."""
-    out = records.read_ranges(spark, kind, kept_files(files_of(spark, d, encode), "bin"), rangeBytes=2000, **options)
+def numbered(spark, d) -> DataFrame:
+    """The labels' traces numbered from 0 by segments, so that no task sees a whole label; ``tnum`` is the traces of the label."""
+    base = traces(spark, d, by_label=True).select("profile_id", "trace_idx", "samples").na.fill({"profile_id": "", "trace_idx": 2**31 - 1})
+    base = base.withColumn("segment__", F.floor(F.col("trace_idx") / SEGMENT))
+    label = Window.partitionBy("profile_id")
+    before = F.sum("n").over(label.orderBy("segment__").rowsBetween(Window.unboundedPreceding, -1))
+    counts = base.groupBy("profile_id", "segment__").agg(F.count(F.lit(1)).alias("n"))
+    starts = counts.select("profile_id", "segment__", F.coalesce(before, F.lit(0)).alias("start"), F.sum("n").over(label).alias("tnum"))
+    number = F.col("start") + F.row_number().over(inside()) - 1
+    # A left join: Spark may broadcast the starts, never the samples, whose tasks would then be the labels.
+    return base.join(starts, ["profile_id", "segment__"], "left").select("profile_id", number.cast("int").alias("trace_idx"), "samples", "tnum")
+
+
+def kept_records(rows: DataFrame, folder: str, head: Callable[[int], bytes], encode: Callable[..., np.ndarray]) -> DataFrame:
+    """Write one file a label, its records by all tasks at their places; a row for each run that was written.
+
+    ``rows`` are those of ``numbered``. Tasks write into one file, which needs a shared POSIX folder.
+    """
+    at = records.store(folder)[1]
+
+    def run(batches):
+        os.makedirs(at, exist_ok=True)
+        for batch in (x for x in batches if x.num_rows):
+            names, numbers, tnum = np.asarray(batch.column("profile_id").to_pylist(), object), batch.column("trace_idx").to_numpy(), batch.column("tnum").to_numpy()
+            data = batch.column("samples").flatten().to_numpy(zero_copy_only=False).reshape(len(numbers), -1)
+            cuts = [0, *(1 + np.flatnonzero((names[1:] != names[:-1]) | (np.diff(numbers) != 1))), len(numbers)]
+            for a, b in zip(cuts, cuts[1:]):
+                if not names[a]:
+                    raise ValueError("a trace without a label has no file")
+                begin, content = head(int(tnum[a])), encode(data[a:b], numbers[a:b])
+                with os.fdopen(os.open(f"{at}/{names[a]}.bin", os.O_WRONLY | os.O_CREAT, 0o644), "wb") as file:
+                    if numbers[a] == 0:
+                        file.write(begin)
+                    file.seek(len(begin) + int(numbers[a]) * content.itemsize * content.shape[1])
+                    file.write(content.tobytes())
+            yield pa.record_batch({"profile_id": [names[a] for a in cuts[:-1]], "n": np.diff(cuts)}, schema=pa.schema({"profile_id": pa.string(), "n": pa.int64()}))
+
+    return rows.mapInArrow(run, "profile_id string, n long")
+
+
+def by_ranges(spark, d, encode: Callable[..., np.ndarray], kind: str, *more: str, head: Callable[[int], bytes] = lambda n: b"", **options) -> DataFrame:
+    """Files made by formula, kept, and read by ranges of some traces.
+
+    ``encode`` makes records of (traces x samples) and the traces' numbers, ``head`` what goes before them from the
+    number of traces. In a store where nothing can be written at a place a file is one task's.
+    """
+    folder = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    if type(records.store(folder)[0]).__name__ == "LocalFileSystem":
+        kept_records(numbered(spark, d), folder, head, encode).count()
+    else:
+        folder = kept_files(files_of(spark, d, lambda x: head(x.shape[1]) + encode(x.T, np.arange(x.shape[1])).tobytes()), "bin")
+    out = records.read_ranges(spark, kind, folder, rangeBytes=2000, **options)
     return samples(out, "profile_id", "trace_idx", *more).withColumn("v", r6("v")).withColumns({c: r6(c) for c in more})
 
 
@@ -98,20 +149,22 @@ def read_segy_range(spark, d):
     return heads.load(segy_folder(spark, d)).where("trace_idx >= 3 and trace_idx < 12")
 
 
-def dzt(x: np.ndarray) -> bytes:
+def dzt_head(n: int) -> bytes:
     head = bytearray(65536)
     struct.pack_into("<HHh", head, 4, SNUM, 16, 3)
     struct.pack_into("<f", head, 26, 64.0)
-    return bytes(head) + (np.floor(x * 100) + 30000).T.astype("<u2").tobytes()
+    return bytes(head)
 
 
 @query("read_dzt", f"WITH {X} SELECT p AS profile_id, i AS trace_idx, k AS sample_idx, floor(a[greatest(k, 2) + 1] * 100) + 30000 AS v, 3.0::DOUBLE AS trig FROM t, (SELECT unnest(range(64))::INT AS k)")
 def read_dzt(spark, d):
-    return by_ranges(spark, d, dzt, "gssi", "trig")
+    return by_ranges(spark, d, lambda x, _: (np.floor(x * 100) + 30000).astype("<u2"), "gssi", "trig", head=dzt_head)
 
 
-def dt1(x: np.ndarray) -> bytes:
-    return b"".join(struct.pack("<25f28x", k + 1, 0.5 * k, *[0.0] * 23) + np.floor(column * 100).astype("<i2").tobytes() for k, column in enumerate(x.T))
+def dt1(x: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    heads = np.zeros((len(x), 32), "<f4")
+    heads[:, 0], heads[:, 1] = numbers + 1, 0.5 * numbers
+    return np.hstack([heads.view(np.uint8), np.floor(x * 100).astype("<i2").view(np.uint8)])
 
 
 @query("read_dt1", f"WITH {X}, q AS (SELECT *, floor(v * 100) AS q FROM x) SELECT p AS profile_id, i AS trace_idx, k AS sample_idx, round(q - avg(q) OVER (PARTITION BY p, i), 6) + 0.0 AS v, round(i * 0.5 / 1000, 6) + 0.0 AS dist FROM q")
@@ -121,7 +174,7 @@ def read_dt1(spark, d):
 
 @query("read_rd3", select("floor(v * 100)", ", 36.0::DOUBLE AS trig"))
 def read_rd3(spark, d):
-    return by_ranges(spark, d, lambda x: np.floor(x * 100).T.astype("<i2").tobytes(), "ramac", "trig", samples=SNUM, window_ns=640.0)
+    return by_ranges(spark, d, lambda x, _: np.floor(x * 100).astype("<i2"), "ramac", "trig", samples=SNUM, window_ns=640.0)
 
 
 def wheel(x: np.ndarray) -> bytes:
@@ -133,13 +186,13 @@ def read_wheel(spark, d):
     return read_back(spark, d, wheel, binary.parse_wheel(), "dist", "pressure", "decday")
 
 
-def bursts(x: np.ndarray) -> bytes:
-    return f"N_ADC_SAMPLES={SNUM}\r\nNSubBursts={x.shape[1]}\r\nAverage=0\r\n*** End Header ***\r\n".encode() + (np.floor(x * 1000) + 32768).T.astype("<u2").tobytes()
+def bursts_head(n: int) -> bytes:
+    return f"N_ADC_SAMPLES={SNUM}\r\nNSubBursts={n}\r\nAverage=0\r\n*** End Header ***\r\n".encode()
 
 
 @query("read_bursts", select("(floor(v * 1000) + 32768) * 2.5 / 65536"))
 def read_bursts(spark, d):
-    return by_ranges(spark, d, bursts, "apres")
+    return by_ranges(spark, d, lambda x, _: (np.floor(x * 1000) + 32768).astype("<u2"), "apres", head=bursts_head)
 
 
 @query("read_native", select("v", ", round(-80 + i * 0.001::DOUBLE, 6) + 0.0 AS lat"))

@@ -123,6 +123,39 @@ def test_ranges_of_pulse_radar_grow_and_keep_every_trace(spark, tmp_path):
     assert np.array_equal(got["samples"].combine_chunks().flatten().to_numpy(), want["samples"].ravel())
 
 
+@pytest.mark.parametrize("name", ["read_dt1", "read_dzt", "read_rd3", "read_bursts"])
+def test_a_label_is_written_by_many_tasks(spark, tmp_path, monkeypatch, name):
+    """All traces have one label, two numbers meet: no Python group or window holds the label, and its file equals that of one matrix."""
+    from firnlight import catalog
+    from firnlight.sources import queries_sources as q
+
+    n, step, merge = 600, 100, "spark.sql.adaptive.coalescePartitions.enabled"
+    rows = spark.range(n).selectExpr("if(id = 9, 8, id) as id").selectExpr(f"id * {step} as vec_id", "transform(sequence(0, 63), k -> float((id * 37 + k * 11) % 101 / 50 - 1)) as embedding", "7 as label")
+    rows.repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    written, held, kept = [], [], q.kept_records
+    monkeypatch.setattr(q, "files_of", lambda *a, **b: pytest.fail("a label in one group"))
+
+    def spy(rows, folder, head, encode):
+        out = kept(rows, folder, head, encode).cache()
+        written.append(out.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.sum("n").alias("n")).collect())
+        held.append((folder, head, encode, rows.collect()))
+        return out
+
+    monkeypatch.setattr(q, "kept_records", spy)
+    spark.conf.set(merge, "false")
+    try:
+        got = catalog.queries()[name](spark, str(tmp_path)).groupBy("profile_id", "trace_idx").count().collect()
+    finally:
+        spark.conf.unset(merge)
+    assert sorted(tuple(r) for r in got) == [("7", k, 64) for k in range(n)]
+    (tasks,), ((folder, head, encode, rows),) = written, held
+    assert sum(r["n"] for r in tasks) == n and max(r["n"] for r in tasks) < n / 2
+    rows = sorted(rows, key=lambda r: r["trace_idx"])
+    assert {(r["profile_id"], r["tnum"]) for r in rows} == {("7", n)} and [r["trace_idx"] for r in rows] == list(range(n))
+    whole = head(n) + encode(np.array([r["samples"] for r in rows]), np.arange(n)).tobytes()
+    assert open(f"{records.store(folder)[1]}/7.bin", "rb").read() == whole
+
+
 def test_a_file_of_three_gigabytes(spark, tmp_path):
     """No value grows with the file: its size is a hole's, and a filter reads five traces of it."""
     with open(tmp_path / "long.rd3", "wb") as f:
